@@ -1 +1,231 @@
-"""Registered queries."""
+"""Quality gates over the orders and lines written as raw text, with the faults in place."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.operators import quality
+from weftline.plans.registry import register
+from weftline.plans.tables import Tables, with_tables
+from weftline.schemas import ORDERS, POSTINGS
+
+_AS_OF = date(2000, 12, 31)
+_MAPPINGS = [
+    ("FranceMap", "1.0.0", "FR"), ("GermanyMap", "1.2.0", "DE"),
+    ("BritainMap", "1.0.0", "GB"), ("BritainMap2", "1.0.0", "GB"),
+]
+_PRODUCTS = [("FR", "AUTOMOBILE"), ("FR", "BUILDING"), ("DE", "FURNITURE"), ("DE", "MACHINERY"), ("GB", "AUTOMOBILE")]
+
+
+def _mappings(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(_MAPPINGS, "mapping_id string, version string, location string")
+
+
+def _product_map(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(_PRODUCTS, "location string, canonical_value string")
+
+
+def _countries(t: Tables) -> DataFrame:
+    """Customers with a country code per region; one code is unknown and one is missing."""
+    code = F.element_at(F.array(*[F.lit(c) for c in ("FR", "GB", "DE", "XX")]), F.col("n_regionkey") + 1)
+    nations = t.nation.select("n_nationkey", F.when(F.col("n_regionkey") < 4, code).alias("country"))
+    return t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "country", "c_mktsegment")
+
+
+def raw_orders(t: Tables) -> DataFrame:
+    """Orders as texts, as a source system might send them."""
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    price, day = F.col("o_totalprice").cast("string"), F.col("o_orderdate")
+    partner = F.when((priority == "5-LOW") & (status == "P"), " NULL ").when((priority == "5-LOW") & (status == "F"), "")
+    value = F.when(priority == "1-URGENT", "NaN").when(priority == "3-MEDIUM", F.concat(F.lit("-"), price))
+    return t.orders.join(_countries(t), F.col("o_custkey") == F.col("c_custkey")).select(
+        (F.col("o_orderkey") + 2).alias("row_number"),
+        F.col("o_orderkey").cast("string").alias("sales_order_id"),
+        partner.otherwise(F.col("o_custkey").cast("string")).alias("partner_id"),
+        "country",
+        F.col("c_mktsegment").alias("product"),
+        F.when(status == "O", "RELEASED").when(status == "F", "CLOSED").otherwise("HELD").alias("order_status"),
+        F.when(priority == "2-HIGH", F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("effective_date"),
+        F.lit("").alias("expiry_date"),
+        value.when((priority == "4-NOT SPECIFIED") & (status == "P"), "n/a").otherwise(price).alias("net_value_eur"),
+    )
+
+
+def raw_postings(t: Tables) -> DataFrame:
+    """Lines as texts. Their identifiers repeat; part and supplier make each row's number."""
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    flag = F.col("l_returnflag")
+    return (
+        t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(_countries(t), F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            line_number().alias("row_number"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("journal_entry_id"),
+            F.col("l_orderkey").cast("string").alias("sales_order_id"),
+            F.col("o_custkey").cast("string").alias("partner_id"),
+            "country",
+            F.col("c_mktsegment").alias("product"),
+            F.when(flag == "N", "POSTED").when(flag == "A", "CLEARED").otherwise("OPEN").alias("posting_status"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("posting_date"),
+            F.col("l_extendedprice").cast("string").alias("amount_in_company_currency_eur"),
+        )
+    )
+
+
+def line_number() -> Column:
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return (key * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+
+
+_SQL_RAW = """c AS (SELECT c_custkey, c_mktsegment, ['FR', 'GB', 'DE', 'XX', NULL][n_regionkey + 1] AS country
+   FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ raw AS (SELECT o_orderkey + 2 AS row_number, o_orderkey, o_orderpriority AS pri, o_orderstatus AS st, o_orderdate, o_totalprice,
+   country, c_mktsegment AS product FROM orders JOIN c ON o_custkey = c_custkey),
+ rawp AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS row_number,
+   l_orderkey * 10 + l_linenumber AS key, l_returnflag, l_shipdate, l_extendedprice, country, c_mktsegment AS product
+   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey)"""
+_OK_PRODUCT = """((country = 'FR' AND product IN ('AUTOMOBILE', 'BUILDING')) OR (country = 'DE' AND product IN ('FURNITURE', 'MACHINERY')))"""
+_BAD_COUNTRY = "(country IS NULL OR country NOT IN ('FR', 'DE'))"
+_SQL_PARTS = {
+    "MISSING_ID": "SELECT row_number, 'MISSING_ID' AS code, 'partner_id' AS field FROM raw WHERE pri = '5-LOW' AND st IN ('P', 'F')",
+    "INVALID_COUNTRY": f"SELECT row_number, 'INVALID_COUNTRY' AS code, 'country' AS field FROM raw WHERE {_BAD_COUNTRY}",
+    "INVALID_PRODUCT_MAPPING": f"SELECT row_number, 'INVALID_PRODUCT_MAPPING' AS code, 'product' AS field FROM raw WHERE {_BAD_COUNTRY} OR NOT {_OK_PRODUCT}",
+    "INVALID_STATUS": "SELECT row_number, 'INVALID_STATUS' AS code, 'order_status' AS field FROM raw WHERE st = 'P'",
+    "DATES": """SELECT row_number, CASE WHEN pri = '2-HIGH' THEN 'INVALID_DATE' ELSE 'FUTURE_DATE' END AS code, 'effective_date' AS field
+  FROM raw WHERE pri = '2-HIGH' OR CAST(o_orderdate AS DATE) > DATE '2000-12-31'""",
+    "NUMBERS": """SELECT row_number, CASE pri WHEN '1-URGENT' THEN 'NONFINITE_VALUE' WHEN '3-MEDIUM' THEN 'NEGATIVE_LOSS' ELSE 'INVALID_NUMBER' END AS code,
+  'net_value_eur' AS field FROM raw WHERE pri IN ('1-URGENT', '3-MEDIUM') OR (pri = '4-NOT SPECIFIED' AND st = 'P')""",
+}
+_SQL_ORDER_ISSUES = " UNION ALL ".join(_SQL_PARTS.values())
+_SQL_POSTING_ISSUES = f"""SELECT row_number, 'INVALID_COUNTRY' AS code, 'country' AS field FROM rawp WHERE {_BAD_COUNTRY}
+UNION ALL SELECT row_number, 'INVALID_PRODUCT_MAPPING', 'product' FROM rawp WHERE {_BAD_COUNTRY} OR NOT {_OK_PRODUCT}
+UNION ALL SELECT row_number, 'INVALID_STATUS', 'posting_status' FROM rawp WHERE l_returnflag = 'R'
+UNION ALL SELECT row_number, 'FUTURE_DATE', 'posting_date' FROM rawp WHERE CAST(l_shipdate AS DATE) > DATE '2000-12-31'
+UNION ALL SELECT row_number, 'DUPLICATE_ID', 'journal_entry_id' FROM (
+  SELECT row_number, row_number() OVER (PARTITION BY key ORDER BY row_number) AS rn FROM rawp) WHERE rn > 1"""
+_SQL_BASE = with_tables(_SQL_RAW)
+
+
+def _rows(rows: DataFrame, checks: list[Column]) -> DataFrame:
+    return rows.select("row_number", F.inline(F.array_compact(F.array(*checks)))).select("row_number", "code", "field")
+
+
+@register(
+    "h01_structure",
+    """SELECT 'MISSING_EXPECTED_DATASET' AS code, 'billing_documents' AS file, CAST(0 AS BIGINT) AS row_number, 'path' AS field
+UNION ALL SELECT 'MISSING_SCHEMA_FIELD', 'sales_orders', 1, 'expiry_date'
+UNION ALL SELECT 'MISSING_SCHEMA_FIELD', 'business_partners', 1, 'email'
+UNION ALL SELECT 'MISSING_SCHEMA_FIELD', 'business_partners', 1, 'partner_name'
+UNION ALL SELECT 'EMPTY_EXPECTED_DATASET', 'business_partners', 1, 'path' WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 1000000)""",
+)
+def h01(t: Tables) -> DataFrame:
+    partners = t.customer.where("c_acctbal > 1000000").select(
+        F.col("c_custkey").alias("row_number"), F.col("c_name").alias("partner_id"), F.col("c_mktsegment").alias("country")
+    )
+    given = {"business_partners": partners, "sales_orders": raw_orders(t).drop("expiry_date"), "acdoca_financials": raw_postings(t)}
+    report = quality.quality_report(given, _mappings(t), _product_map(t), _AS_OF)
+    structural = ("MISSING_EXPECTED_DATASET", "MISSING_SCHEMA_FIELD", "EMPTY_EXPECTED_DATASET")
+    return report.where(F.col("code").isin(*structural)).drop("message")
+
+
+@register("h02_missing_identifier", _SQL_BASE + _SQL_PARTS["MISSING_ID"])
+def h02(t: Tables) -> DataFrame:
+    return _rows(raw_orders(t), quality.identifier_issues(ORDERS))
+
+
+@register(
+    "h03_duplicate_identifier",
+    """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS key, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS row_number FROM lineitem)
+SELECT CAST(key AS VARCHAR) AS journal_entry_id, row_number FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_number) AS rn FROM r) WHERE rn > 1""",
+)
+def h03(t: Tables) -> DataFrame:
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    return quality.duplicate_rows(t.lineitem.select(key.alias("journal_entry_id"), line_number().alias("row_number")), "journal_entry_id")
+
+
+def _mapped(t: Tables) -> DataFrame:
+    return quality.attach_mapping(raw_orders(t), _mappings(t), _product_map(t))
+
+
+@register("h04_invalid_country", _SQL_BASE + _SQL_PARTS["INVALID_COUNTRY"])
+def h04(t: Tables) -> DataFrame:
+    return _rows(_mapped(t), quality.country_issues(has_product=False))
+
+
+@register("h05_invalid_product", _SQL_BASE + _SQL_PARTS["INVALID_PRODUCT_MAPPING"])
+def h05(t: Tables) -> DataFrame:
+    return _rows(_mapped(t), quality.country_issues(has_product=True)[1:])
+
+
+@register("h06_invalid_status", _SQL_BASE + _SQL_PARTS["INVALID_STATUS"])
+def h06(t: Tables) -> DataFrame:
+    return _rows(raw_orders(t), quality.status_issues(ORDERS))
+
+
+@register("h07_invalid_date", _SQL_BASE + _SQL_PARTS["DATES"])
+def h07(t: Tables) -> DataFrame:
+    return _rows(raw_orders(t), [quality.date_issue("effective_date", _AS_OF)])
+
+
+@register("h08_invalid_number", _SQL_BASE + _SQL_PARTS["NUMBERS"])
+def h08(t: Tables) -> DataFrame:
+    return _rows(raw_orders(t), [quality.number_issue("net_value_eur")])
+
+
+def _report(t: Tables) -> DataFrame:
+    given = {"sales_orders": raw_orders(t), "acdoca_financials": raw_postings(t)}
+    return quality.quality_report(given, _mappings(t), _product_map(t), _AS_OF, contracts=(ORDERS, POSTINGS))
+
+
+_SQL_REPORT = _SQL_BASE + f""", report AS (
+  SELECT 'sales_orders' AS file, row_number, code, field FROM ({_SQL_ORDER_ISSUES})
+  UNION ALL SELECT 'acdoca_financials', row_number, code, field FROM ({_SQL_POSTING_ISSUES}))
+"""
+
+
+@register("h09_quality_report", _SQL_REPORT + "SELECT code, file, row_number, field FROM report")
+def h09(t: Tables) -> DataFrame:
+    return _report(t).drop("message")
+
+
+@register(
+    "d17_quality_score",
+    _SQL_REPORT + """SELECT COUNT(*) AS issues, greatest(0, 100 - COUNT(*)) AS score,
+  CASE WHEN COUNT(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM report""",
+)
+def d17(t: Tables) -> DataFrame:
+    return quality.quality_score(_report(t))
+
+
+def _order_report(t: Tables) -> DataFrame:
+    return quality.quality_report({"sales_orders": raw_orders(t)}, _mappings(t), _product_map(t), _AS_OF, contracts=(ORDERS,))
+
+
+@register(
+    "h10_curated_rows",
+    _SQL_BASE + f"SELECT row_number, country, product FROM raw WHERE row_number NOT IN (SELECT row_number FROM ({_SQL_ORDER_ISSUES}))",
+)
+def h10(t: Tables) -> DataFrame:
+    return quality.curate(raw_orders(t), _order_report(t), "sales_orders")[0].select("row_number", "country", "product")
+
+
+@register(
+    "h10_quarantined_rows",
+    _SQL_BASE + f"SELECT row_number, string_agg(DISTINCT code || ':' || field, ',' ORDER BY code || ':' || field) AS reasons FROM ({_SQL_ORDER_ISSUES}) GROUP BY row_number",
+)
+def h10_quarantined(t: Tables) -> DataFrame:
+    quarantined = quality.curate(raw_orders(t), _order_report(t), "sales_orders")[1]
+    return quarantined.select("row_number", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register(
+    "h11_mapping_evidence",
+    _SQL_BASE + """SELECT 'sales_orders' AS file, row_number,
+  CASE country WHEN 'FR' THEN 'FranceMap@1.0.0' ELSE 'GermanyMap@1.2.0' END AS mapping_evidence FROM raw WHERE country IN ('FR', 'DE')""",
+)
+def h11(t: Tables) -> DataFrame:
+    return quality.mapping_evidence(raw_orders(t), _mappings(t), "sales_orders")
