@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
-from weftline.session import small_side
+from weftline.session import literal_rows, small_side
 
 _WORD = r"[\p{L}\p{N}_]+"
 
@@ -138,7 +138,7 @@ def lexicon(
     rows += [("product_version", code, code) for _, code in versions]
     rows += [("product_label", label, code) for label, code in versions]
     rows += [("product_cue", cue, cue) for cue in cues]
-    return spark.createDataFrame(rows, LEXICON_SCHEMA)
+    return literal_rows(spark, rows, LEXICON_SCHEMA)
 
 
 def _by_surface(entries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import small_side
+from weftline.session import literal_rows, small_side
 
 # Classification ranks and the denial codes in the order they are tried.
 CLASSIFICATION_RANK = {"Public": 0, "Internal": 1, "Confidential": 2, "Restricted": 3}
@@ -60,7 +60,7 @@ def role_table(spark, roles: Sequence[RolePolicy] = ROLES) -> DataFrame:
     rows = [
         (r.role, list(r.products), r.max_classification, r.country_lock, r.pii_blocked) for r in roles
     ]
-    return spark.createDataFrame(
+    return literal_rows(spark, 
         rows,
         "role string, allowed_products array<string>, max_classification string, "
         "country_lock string, pii_blocked boolean",

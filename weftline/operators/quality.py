@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import iso_date
 from weftline.schemas import CONTRACTS, COUNTRIES, TableContract
-from weftline.session import small_side
+from weftline.session import literal_rows, small_side
 
 # Identifier texts that count as missing.
 MISSING_IDENTIFIERS = ("", "null", "none")
@@ -215,7 +215,7 @@ def quality_report(
         (code, name, row, field, MESSAGES[code])
         for code, name, row, field in structure_issues(tables, contracts)
     ]
-    report = spark.createDataFrame(structural, ISSUE_SCHEMA)
+    report = literal_rows(spark, structural, ISSUE_SCHEMA)
     for contract in contracts:
         if contract.name in tables:
             report = report.unionByName(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import small_side
+from weftline.session import literal_rows, small_side
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -83,12 +83,12 @@ def shape_table(spark, rows: Sequence[tuple]) -> DataFrame:
             raise ValueError(f"unknown constraint: {constraint}")
         allowed = None
         if constraint == "in":
-            allowed = [(v, d) for v, d in value]
+            allowed = [{"value": v, "datatype": d} for v, d in value]
         elif constraint == "languageIn":
-            allowed = [(v, None) for v in value]
+            allowed = [{"value": v, "datatype": None} for v in value]
         single = None if allowed is not None else str(value)
         prepared.append((shape, target, path, constraint, single, allowed, message))
-    return spark.createDataFrame(prepared, SHAPE_SCHEMA)
+    return literal_rows(spark, prepared, SHAPE_SCHEMA)
 
 
 # Lexical forms of the checked datatypes.

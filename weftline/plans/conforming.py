@@ -11,7 +11,7 @@ from weftline.operators import catalog, normalize
 from weftline.plans.registry import register
 from weftline.plans.tables import SQL_ORDERS, Tables, with_tables
 from weftline.schemas import MONEY
-from weftline.session import scratch_path
+from weftline.session import literal_rows, scratch_path
 from weftline.sources import digests, tables
 
 _ORDER_CONTRACT = StructType([
@@ -117,11 +117,11 @@ _SEGMENTS = (
 
 
 def _value_map(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_SEGMENTS, "platform string, kind string, local_value string, canonical_value string")
+    return literal_rows(t.spark, _SEGMENTS, "platform string, kind string, local_value string, canonical_value string")
 
 
 def _registered(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("ProductAutomotive",), ("ProductCommercial",)], "id string")
+    return literal_rows(t.spark, [("ProductAutomotive",), ("ProductCommercial",)], "id string")
 
 
 _SQL_SEGMENT = """CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'ProductAutomotive' WHEN 'BUILDING' THEN 'ProductCommercial'
@@ -203,7 +203,7 @@ def _field_catalog(t: Tables) -> DataFrame:
 WHERE c_acctbal < 0 AND c_nationkey IN (1, 2, 3) AND c_mktsegment IN ('MACHINERY', 'FURNITURE')""",
 )
 def b12(t: Tables) -> DataFrame:
-    projected = t.spark.createDataFrame([("MACHINERY",), ("FURNITURE",)], "concept string")
+    projected = literal_rows(t.spark, [("MACHINERY",), ("FURNITURE",)], "concept string")
     return normalize.pii_columns(_field_catalog(t), projected, ["1", "2", "3"])
 
 
@@ -354,7 +354,7 @@ def c16(t: Tables) -> DataFrame:
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"),
         F.array("p_brand").alias("synonyms"), F.col("p_partkey").alias("ordinal"),
     )
-    aliases = t.spark.createDataFrame([("Automobile", "Hot Gear")], "alias string, name string")
+    aliases = literal_rows(t.spark, [("Automobile", "Hot Gear")], "alias string, name string")
     found = catalog.name_lookup(requests, assets, aliases)
     return found.withColumn("id", F.coalesce("id", F.lit("-")))
 

@@ -11,6 +11,7 @@ from weftline.operators import quality
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
 from weftline.schemas import ORDERS, POSTINGS
+from weftline.session import literal_rows
 
 _AS_OF = date(2000, 12, 31)
 _MAPPINGS = [
@@ -21,11 +22,11 @@ _PRODUCTS = [("FR", "AUTOMOBILE"), ("FR", "BUILDING"), ("DE", "FURNITURE"), ("DE
 
 
 def _mappings(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_MAPPINGS, "mapping_id string, version string, location string")
+    return literal_rows(t.spark, _MAPPINGS, "mapping_id string, version string, location string")
 
 
 def _product_map(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_PRODUCTS, "location string, canonical_value string")
+    return literal_rows(t.spark, _PRODUCTS, "location string, canonical_value string")
 
 
 def _countries(t: Tables) -> DataFrame:

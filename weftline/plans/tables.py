@@ -43,7 +43,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = table
+        return table
 
     def partners(self) -> DataFrame:
         nations = self.nation.select("n_nationkey", F.col("n_regionkey").alias("country"))

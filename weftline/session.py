@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SMALL_SIDE_ROWS = 200_000
 
@@ -21,6 +24,7 @@ def local_session(cores: int | str = 8, app: str = "weftline", **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
@@ -65,3 +69,15 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """
     counted = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
     return F.broadcast(df) if counted <= max_rows else df
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table written in code. Spark keeps it in the plan and knows its size."""
+    names = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    arrays = [pa.array(_plain(c), type=f.type) for c, f in zip(columns, names, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=names), schema=StructType.fromDDL(schema))
+
+
+def _plain(values: tuple) -> list:
+    return [list(v) if isinstance(v, tuple) else v for v in values]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.schemas import TRIPLE_COLUMNS
+from weftline.session import literal_rows
 
 # Standard vocabulary.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -137,7 +138,7 @@ def complete_labels(triples: DataFrame, sources: Mapping[str, str], lang: str =
     With several source values the smallest is used, so the result does not depend on order.
     """
     spark = triples.sparkSession
-    rules = spark.createDataFrame(list(sources.items()), "class string, source string")
+    rules = literal_rows(spark, list(sources.items()), "class string, source string")
     typed = triples.where(F.col("p") == RDF_TYPE).select("graph", "s", F.col("o").alias("class"))
     wanted = typed.join(F.broadcast(rules), "class")
     unlabelled = wanted.join(
