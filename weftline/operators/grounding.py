@@ -85,7 +85,7 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
         F.split(normal, _WORD, -1).alias("_gaps"),
     )
     runs = reduce(lambda a, b: F.concat(a, b), [_phrases(n) for n in sizes])
-    found = cut.select(key, F.inline(F.array_distinct(runs)))
+    found = cut.select(key, F.inline(runs))
     matched = found.join(small_side(sized.drop("_size")), "phrase")
     prefix_ok = (F.col("_prefix") == "") | (
         F.endswith("before", F.col("_prefix"))
