@@ -1 +1,320 @@
-"""Registered queries."""
+"""Scoring, reports and comparisons over documents, orders, parts and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.operators import evaluate, graph
+from weftline.plans.graphs import NUMBER, TITLE, part_triples
+from weftline.plans.registry import register
+from weftline.plans.tables import Tables, with_tables
+from weftline.plans.texts import _SQL_DIAGNOSIS, SQL_REQUESTS, diagnosis
+from weftline.sources.triples import RDFS_LABEL
+
+_LENGTHS = (400, 2500)
+
+
+def _records(t: Tables) -> DataFrame:
+    """One record per document source and length rule; statuses follow the source's number."""
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    sources = t.documents.select("source").distinct().withColumn("n", number)
+    records = sources.select("source", "n", F.explode(F.array(*[F.lit(v) for v in _LENGTHS])).alias("min_chars"))
+    expected = F.when(F.col("n") % 6 == 4, "UNSUPPORTED").when(F.col("n") % 6 == 5, "EMPTY_RESULT").otherwise("SUCCESS")
+    observed = F.when(F.col("n") % 7 == 3, "SYNTAX_ERROR").when((F.col("n") == 1) & (F.col("min_chars") > 1000), "EMPTY_RESULT").otherwise(F.col("expected_status"))
+    return (
+        records.withColumn("expected_status", expected)
+        .withColumn("observed_status", observed)
+        .select(
+            F.concat_ws(":", "source", F.col("min_chars").cast("string")).alias("record_id"), "source", "min_chars", "expected_status", "observed_status",
+            F.concat(F.lit("len"), F.col("min_chars").cast("string")).alias("condition"),
+            F.when(F.col("n") % 4 < 3, F.col("n") % 4).alias("tier"),
+            F.concat(F.lit("c"), (F.col("n") % 3).cast("string")).alias("category"),
+            (F.col("observed_status") == "EMPTY_RESULT").alias("recovery_attempted"),
+            ((F.col("observed_status") == "EMPTY_RESULT") & (F.col("n") % 2 == 1)).alias("recovery_success"),
+        )
+    )
+
+
+def _scored(t: Tables) -> DataFrame:
+    """Gold: documents of good quality; predicted: documents of at least the record's length."""
+    records = _records(t)
+    rules = F.explode(F.array(*[F.lit(v) for v in _LENGTHS])).alias("min_chars")
+    documents = t.documents.select("doc_id", "source", F.length("text").alias("chars"), rules)
+    item = [F.concat_ws(":", "source", F.col("min_chars").cast("string")).alias("record_id"), F.col("doc_id").alias("item")]
+    good = t.labels.where("quality = 1").select("doc_id")
+    gold = documents.join(good, "doc_id", "left_semi").select(*item)
+    predicted = documents.where("chars >= min_chars").select(*item)
+    bindings = documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select(*item, "quality")
+    optional = evaluate.optional_binding_counts(bindings, "record_id", ["quality"])
+    return evaluate.score(evaluate.count_items(records, gold, predicted)).join(optional, "record_id")
+
+
+_SQL_SCORED = with_tables(
+    "rules AS (SELECT unnest([400, 2500]) AS mc)",
+    """rec0 AS (SELECT DISTINCT source, CAST(regexp_extract(source, '\\d+') AS INTEGER) AS n, mc FROM documents, rules)""",
+    """rec1 AS (SELECT *, CASE n % 6 WHEN 4 THEN 'UNSUPPORTED' WHEN 5 THEN 'EMPTY_RESULT' ELSE 'SUCCESS' END AS ex FROM rec0)""",
+    """rec AS (SELECT *, source || ':' || mc AS record_id, CASE WHEN n % 7 = 3 THEN 'SYNTAX_ERROR' WHEN n = 1 AND mc > 1000 THEN 'EMPTY_RESULT' ELSE ex END AS ob,
+   CASE WHEN n % 4 < 3 THEN n % 4 END AS tier, 'c' || (n % 3) AS category, 'len' || mc AS condition FROM rec1)""",
+    """cnt AS (SELECT source || ':' || mc AS record_id, COUNT(*) FILTER (quality = 1) AS g, COUNT(*) FILTER (length(text) >= mc) AS p,
+   COUNT(*) FILTER (quality = 1 AND length(text) >= mc) AS tp, COUNT(*) AS b, COUNT(*) FILTER (quality IS NULL) AS ob_n
+   FROM documents CROSS JOIN rules LEFT JOIN labels USING (doc_id) GROUP BY 1)""",
+    """sc AS (SELECT rec.*, g, p, tp, b, ob_n, ex = ob AS ok, ex = 'SUCCESS' AND ob = 'SUCCESS' AS app,
+   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(tp / p, 6) END AS pr,
+   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(tp / g, 6) END AS re,
+   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(2 * tp / (g + p), 6) END AS f1,
+   ob = 'EMPTY_RESULT' AS ra, ob = 'EMPTY_RESULT' AND n % 2 = 1 AS rs FROM rec JOIN cnt USING (record_id))""",
+)
+
+
+def _text(df: DataFrame, *keys: str) -> DataFrame:
+    """Measures as six-place texts, null as a dash."""
+    kinds = dict(df.dtypes)
+
+    def shown(name: str):
+        value = F.col(name)
+        if kinds[name].startswith("decimal"):
+            value = value.cast("decimal(18,6)")
+        return F.coalesce(value.cast("string"), F.lit("-")).alias(name)
+
+    return df.select(*[F.col(c) if c in keys else shown(c) for c in df.columns])
+
+
+def _six(expression: str) -> str:
+    return f"coalesce(printf('%.6f', CAST({expression} AS DOUBLE)), '-')"
+
+
+_SQL_RATIO = "CASE WHEN ({d}) = 0 THEN NULL ELSE round_even(CAST({n} AS DOUBLE) / ({d}), 6) END"
+
+
+def _sql_ratio(numerator: str, denominator: str) -> str:
+    return _six(_SQL_RATIO.format(n=numerator, d=denominator))
+
+
+_SQL_MEASURES = {
+    "applicable_count": "CAST(COUNT(*) FILTER (app) AS VARCHAR)",
+    "exact_numerator": "CAST(COUNT(*) FILTER (app AND tp = g AND tp = p) AS VARCHAR)",
+    "macro_exact": _sql_ratio("COUNT(*) FILTER (app AND tp = g AND tp = p)", "COUNT(*) FILTER (app)"),
+    "precision_numerator": _six("SUM(pr) FILTER (app)"), "macro_precision": _six("round_even(AVG(pr) FILTER (app), 6)"),
+    "recall_numerator": _six("SUM(re) FILTER (app)"), "macro_recall": _six("round_even(AVG(re) FILTER (app), 6)"),
+    "f1_numerator": _six("SUM(f1) FILTER (app)"), "macro_f1": _six("round_even(AVG(f1) FILTER (app), 6)"),
+}
+_SQL_MICRO = {
+    "true_positive": "CAST(coalesce(SUM(tp) FILTER (app), 0)::BIGINT AS VARCHAR)",
+    "predicted_total": "CAST(coalesce(SUM(p) FILTER (app), 0)::BIGINT AS VARCHAR)",
+    "gold_total": "CAST(coalesce(SUM(g) FILTER (app), 0)::BIGINT AS VARCHAR)",
+    "micro_precision": _sql_ratio("SUM(tp) FILTER (app)", "SUM(p) FILTER (app)"),
+    "micro_recall": _sql_ratio("SUM(tp) FILTER (app)", "SUM(g) FILTER (app)"),
+    "micro_f1": _sql_ratio("2 * SUM(tp) FILTER (app)", "SUM(p + g) FILTER (app)"),
+}
+_SQL_STATUS = {s.lower(): f"CAST(COUNT(*) FILTER (ob = '{s}') AS VARCHAR)" for s in evaluate.STATUSES}
+_SQL_RATES = {
+    "status_accuracy": _sql_ratio("COUNT(*) FILTER (ok)", "COUNT(*)"),
+    "syntax_success_rate": _sql_ratio("COUNT(*) FILTER (ob <> 'SYNTAX_ERROR')", "COUNT(*)"),
+    "execution_success_rate": _sql_ratio("COUNT(*) FILTER (ob IN ('SUCCESS', 'EMPTY_RESULT'))", "COUNT(*)"),
+    "recovery_attempt_rate": _sql_ratio("COUNT(*) FILTER (ra)", "COUNT(*)"),
+    "recovery_success_rate": _sql_ratio("COUNT(*) FILTER (rs)", "COUNT(*) FILTER (ra)"),
+    "strict_empty_rate": _sql_ratio("COUNT(*) FILTER (ob = 'EMPTY_RESULT')", "COUNT(*)"),
+    "unsupported_rejection_rate": _sql_ratio("COUNT(*) FILTER (ex = 'UNSUPPORTED' AND ob = 'UNSUPPORTED')", "COUNT(*) FILTER (ex = 'UNSUPPORTED')"),
+}
+_SQL_OPTIONAL = {"optional_binding_rate": _sql_ratio("SUM(ob_n)", "SUM(b)")}
+
+
+def _select(measures: dict[str, str], *, keys: str = "", group: str = "") -> str:
+    return f"SELECT {keys}" + ", ".join(f"{sql} AS {name}" for name, sql in measures.items()) + f" FROM sc {group}"
+
+
+@register(
+    "d09_request_scores",
+    _SQL_SCORED + f"""SELECT record_id, CAST(g AS BIGINT) AS n_gold, CAST(p AS BIGINT) AS n_predicted, CAST(tp AS BIGINT) AS n_common, ok AS status_correct, app AS applicable,
+ CASE WHEN app THEN CAST(tp = g AND tp = p AS VARCHAR) ELSE '-' END AS exact,
+ CASE WHEN app THEN {_six('pr')} ELSE '-' END AS precision, CASE WHEN app THEN {_six('re')} ELSE '-' END AS recall, CASE WHEN app THEN {_six('f1')} ELSE '-' END AS f1 FROM sc""",
+)
+def d09(t: Tables) -> DataFrame:
+    keys = ("record_id", "n_gold", "n_predicted", "n_common", "status_correct", "applicable")
+    return _text(_scored(t).select(*keys, "exact", "precision", "recall", "f1"), *keys)
+
+
+@register("d10_macro_metrics", _SQL_SCORED + _select(_SQL_MEASURES))
+def d10(t: Tables) -> DataFrame:
+    return _text(_scored(t).agg(*evaluate.macro_columns()))
+
+
+@register("d11_micro_metrics", _SQL_SCORED + _select(_SQL_MICRO))
+def d11(t: Tables) -> DataFrame:
+    return _text(_scored(t).agg(*evaluate.micro_columns()))
+
+
+@register("d12_status_counts", _SQL_SCORED + _select(_SQL_STATUS, keys="condition, ", group="GROUP BY condition"))
+def d12(t: Tables) -> DataFrame:
+    return _text(_scored(t).groupBy("condition").agg(*evaluate.status_columns()), "condition")
+
+
+@register("d13_operational_rates", _SQL_SCORED + _select(_SQL_RATES, keys="category, ", group="GROUP BY category"))
+def d13(t: Tables) -> DataFrame:
+    return _text(_scored(t).groupBy("category").agg(*evaluate.rate_columns()), "category")
+
+
+@register(
+    "d14_optional_binding_rate",
+    "SELECT printf('%.6f', round_even(COUNT(*) FILTER (p_size <= 25) / COUNT(*), 6)) AS optional_binding_rate FROM part",
+)
+def d14(t: Tables) -> DataFrame:
+    """Notes whose optional label is unbound, over all bindings."""
+    base = graph.bgp(part_triples(t), [("?note", TITLE, "?title"), ("?note", NUMBER, "?number")])
+    found = graph.optional(base, part_triples(t), [("?note", RDFS_LABEL, "?label")])
+    counts = evaluate.optional_binding_counts(found, "note", ["title", "number", "label"])
+    return counts.agg(evaluate.optional_rate_column()).select(F.col("optional_binding_rate").cast("string"))
+
+
+_SQL_FULL = {"query_count": "COUNT(*)", **_SQL_STATUS, **_SQL_MEASURES, **_SQL_MICRO, **_SQL_RATES, **_SQL_OPTIONAL}
+
+
+@register(
+    "d15_sliced_report",
+    _SQL_SCORED + " UNION ALL ".join(
+        [_select(_SQL_FULL, keys="'overall' AS slice, '-' AS member, ")]
+        + [
+            _select(_SQL_FULL, keys=f"'{d}' AS slice, CAST({d} AS VARCHAR) AS member, ", group=f"WHERE {d} IS NOT NULL GROUP BY {d}")
+            for d in ("condition", "tier", "category")
+        ]
+    ),
+)
+def d15(t: Tables) -> DataFrame:
+    report = evaluate.sliced_report(_scored(t), ["condition", "tier", "category"])
+    return _text(report, "query_count", "slice")
+
+
+def _golden(t: Tables) -> DataFrame:
+    """Per order, what was expected of it and what its lines show."""
+    part = t.part.select("p_partkey", "p_type", "p_brand")
+    lines = t.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    kept = F.col("l_returnflag") != "R"
+    actual = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.collect_set(F.when(kept, F.col("p_type"))).alias("concepts"),
+        F.collect_set(F.when(kept, F.col("p_brand"))).alias("brands"),
+        F.max("l_linestatus").alias("decision"),
+    )
+    expected = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.collect_set("p_type").alias("concepts"), F.collect_set(F.when(F.col("l_discount") > 0.05, F.col("p_brand"))).alias("metrics")
+    )
+    status = t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("decision"))
+    return evaluate.compare_golden(expected.join(status, "case_id"), actual, ["concepts"], ["decision"], [("metrics", "brands")])
+
+
+_SQL_GOLDEN = """ln AS (SELECT l_orderkey AS o, p_type, p_brand, l_returnflag <> 'R' AS kept, l_discount > 0.05 AS disc, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey),
+ g AS (SELECT o AS case_id, COUNT(DISTINCT p_type) = COUNT(DISTINCT CASE WHEN kept THEN p_type END) AS concepts, max(l_linestatus) = any_value(o_orderstatus) AS decision,
+   NOT bool_or(disc AND NOT EXISTS (SELECT 1 FROM ln k WHERE k.o = ln.o AND k.kept AND k.p_brand = ln.p_brand)) AS has_metrics
+   FROM ln JOIN orders ON o_orderkey = o GROUP BY o)"""
+
+
+@register("n06_golden_comparison", with_tables(_SQL_GOLDEN) + "SELECT case_id, concepts, decision, has_metrics FROM g")
+def n06(t: Tables) -> DataFrame:
+    return _golden(t)
+
+
+_DIMENSIONS = ("concepts", "decision", "has_metrics")
+
+
+@register(
+    "d16_dimension_report",
+    with_tables(_SQL_GOLDEN) + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, COUNT(*) AS total, COUNT(*) FILTER ({d}) AS passed, COUNT(*) FILTER ({d}) / COUNT(*) AS accuracy FROM g" for d in _DIMENSIONS
+    ),
+)
+def d16(t: Tables) -> DataFrame:
+    return evaluate.dimension_report(_golden(t), _DIMENSIONS)
+
+
+@register(
+    "d16_dimension_failures",
+    with_tables(_SQL_GOLDEN) + " UNION ALL ".join(f"SELECT '{d}' AS dimension, case_id FROM g WHERE NOT {d}" for d in _DIMENSIONS),
+)
+def d16_failures(t: Tables) -> DataFrame:
+    return evaluate.dimension_failures(_golden(t), "case_id", _DIMENSIONS)
+
+
+def _corpus(t: Tables, lines: DataFrame, status) -> DataFrame:
+    part = t.part.select("p_partkey", "p_type")
+    gold = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_type").alias("gold"))
+    orders = t.orders.select("o_orderkey", status.alias("status"))
+    return gold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("id"), "gold", "status")
+
+
+@register(
+    "f04_corpus_diff",
+    """WITH ln AS (SELECT l_orderkey AS id, p_type, l_returnflag <> 'R' AS old, l_discount < 0.08 AS cur FROM lineitem JOIN part ON l_partkey = p_partkey),
+ s AS (SELECT id, p_type, bool_or(old) AS old, bool_or(cur) AS cur FROM ln GROUP BY ALL),
+ d AS (SELECT id, bool_or(old) AS has_old, bool_or(cur) AS has_new, string_agg(p_type, ',' ORDER BY p_type) FILTER (cur AND NOT old) AS added,
+   string_agg(p_type, ',' ORDER BY p_type) FILTER (old AND NOT cur) AS removed FROM s GROUP BY id HAVING bool_or(old) OR bool_or(cur))
+SELECT id, coalesce(added, '') AS added, coalesce(removed, '') AS removed, CASE WHEN NOT has_old THEN 'RECORD_ADDED' WHEN NOT has_new THEN 'RECORD_REMOVED'
+ WHEN o_orderpriority = '1-URGENT' AND added IS NOT NULL THEN 'PREREQUISITE_CLOSURE_EXPANSION' WHEN o_orderpriority = '1-URGENT' THEN 'PREREQUISITE_CLOSURE_NORMALIZATION'
+ WHEN o_orderstatus = 'P' THEN 'STRICT_CONSTRAINT_STATUS_CORRECTION' ELSE 'SCHEMA_NORMALIZATION' END AS reason
+FROM d JOIN orders ON o_orderkey = id""",
+)
+def f04(t: Tables) -> DataFrame:
+    before = _corpus(t, t.lineitem.where("l_returnflag <> 'R'"), F.lit("SUCCESS"))
+    after = _corpus(t, t.lineitem.where("l_discount < 0.08"), F.when(F.col("o_orderstatus") == "P", "EMPTY_RESULT").otherwise("SUCCESS"))
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    found = evaluate.corpus_diff(before, after, urgent)
+    return found.select(
+        "id", F.array_join(F.array_sort("added"), ",").alias("added"), F.array_join(F.array_sort("removed"), ",").alias("removed"), "reason"
+    )
+
+
+@register(
+    "f05_result_comparison",
+    """WITH a AS (SELECT p_partkey, p_name, p_size FROM part), b AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#3' THEN 'new' ELSE p_name END AS p_name, p_size FROM part WHERE p_size <> 9)
+SELECT 'recorded' AS side, CAST(1 AS BIGINT) AS copies, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'current', 1, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+)
+def f05(t: Tables) -> DataFrame:
+    recorded = t.part.select("p_partkey", "p_name", "p_size", F.lit("3.12.3").alias("environment"))
+    renamed = F.when(F.col("p_brand") == "Brand#3", "new").otherwise(F.col("p_name"))
+    current = t.part.where("p_size <> 9").select("p_partkey", renamed.alias("p_name"), "p_size", F.lit("3.13.0").alias("environment"))
+    return evaluate.compare_runs(recorded, current, ["environment"])
+
+
+@register(
+    "n04_result_id_integrity",
+    """WITH res AS (SELECT event_type || ':u' || user_id || ':' || props AS id FROM events WHERE value < 20),
+ ref AS (SELECT event_type || ':u' || user_id || ':' || props AS id, CASE WHEN user_id = 7 THEN 'click' ELSE event_type END AS c FROM events WHERE value > 15),
+ r AS (SELECT id, COUNT(*) AS n FROM res GROUP BY 1), f AS (SELECT id, COUNT(*) AS m, min(c) AS lo, max(c) AS hi FROM ref GROUP BY 1),
+ j AS (SELECT coalesce(r.id, f.id) AS result_id, n, m, lo, hi FROM r FULL JOIN f ON r.id = f.id)
+SELECT result_id, 'DUPLICATE_RESULT' AS violation FROM j WHERE n > 1 UNION ALL SELECT result_id, 'DUPLICATE_REFERENCE' FROM j WHERE m > 1
+UNION ALL SELECT result_id, 'UNKNOWN_REFERENCE' FROM j WHERE n IS NULL UNION ALL SELECT result_id, 'UNREFERENCED_RESULT' FROM j WHERE m IS NULL
+UNION ALL SELECT result_id, 'FOREIGN_CORPUS' FROM j WHERE lo <> hi OR NOT starts_with(result_id, lo || ':')
+UNION ALL SELECT result_id, 'NOT_COMPOSITE' FROM j WHERE len(string_split(result_id, ':')) <> 3""",
+)
+def n04(t: Tables) -> DataFrame:
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    results = t.events.where("value < 20").select(F.col("event_type").alias("corpus_id"), user.alias("condition"), F.col("props").alias("query_id"))
+    owner = F.when(F.col("user_id") == 7, "click").otherwise(F.col("event_type"))
+    references = t.events.where("value > 15").select(owner.alias("corpus_id"), F.concat_ws(":", "event_type", user, "props").alias("result_id"))
+    return evaluate.id_violations(results, references)
+
+
+@register(
+    "n05_corpus_validation",
+    with_tables(SQL_REQUESTS, _SQL_DIAGNOSIS) + """, x AS (SELECT doc_id AS id, st AS corpus_id, pri, failure, intent,
+   CASE WHEN st = 'P' AND pri = '1-URGENT' THEN 'UNSUPPORTED' WHEN st = 'F' THEN 'EMPTY_RESULT' WHEN st = 'P' AND pri = '2-HIGH' THEN 'UNSUPPORTED' ELSE 'SUCCESS' END AS es FROM intents),
+ wanted AS (SELECT o_orderkey AS id, o_orderstatus AS corpus_id FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED')
+SELECT corpus_id, id, 'UNEXPECTED_ID' AS violation FROM x WHERE pri = '4-NOT SPECIFIED'
+UNION ALL SELECT corpus_id, id, 'MISSING_ID' FROM wanted WHERE id NOT IN (SELECT id FROM x)
+UNION ALL SELECT corpus_id, id, 'NOT_GROUNDED' FROM x WHERE es IN ('SUCCESS', 'EMPTY_RESULT') AND (failure <> 'NONE' OR intent = 'UNSUPPORTED')
+UNION ALL SELECT corpus_id, id, 'UNSUPPORTED_CONTRACT' FROM x WHERE es = 'UNSUPPORTED' AND (intent <> 'UNSUPPORTED' OR failure <> 'UNSUPPORTED_INTENT')
+UNION ALL SELECT corpus_id, id, 'CORPUS_MISMATCH' FROM x WHERE pri = '3-MEDIUM' AND corpus_id = 'F'""",
+)
+def n05(t: Tables) -> DataFrame:
+    st, pri = F.col("o_orderstatus"), F.col("o_orderpriority")
+    declared = (
+        F.when((st == "P") & pri.isin("1-URGENT", "2-HIGH"), "UNSUPPORTED").when(st == "F", "EMPTY_RESULT").otherwise("SUCCESS")
+    )
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("id"), st.alias("corpus_id"),
+        F.when((pri == "3-MEDIUM") & (st == "F"), "other").otherwise(st).alias("record_corpus"),
+        declared.alias("expected_status"), F.lit("UNSUPPORTED_INTENT").alias("reflection_reason"),
+    )
+    found = diagnosis(t).select(F.col("doc_id").alias("id"), "failure", "intent")
+    expected = t.orders.where("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_orderstatus").alias("corpus_id"), F.col("o_orderkey").alias("id"))
+    return evaluate.corpus_violations(orders.join(found, "id"), expected)

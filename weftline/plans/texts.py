@@ -35,14 +35,17 @@ _TERM_ROWS = [
     ("t:Entry", "le", 100),
     ("t:Place", "dans les", 0), ("t:Place", "para", 2), ("t:Place", "paras", 3), ("t:Place", "tion of the", 4), ("t:Place", "tion of thes", 5),
 ]
-_SQL_TERMS = "terms(concept_id, term, ord) AS (VALUES " + ", ".join(f"('{c}', '{w}', {o})" for c, w, o in _TERM_ROWS) + ")"
 
 
 def _sql_grounding(table: str, key: str) -> str:
-    return with_tables(
-        _SQL_TERMS, f"norm AS (SELECT {key}, {_SQL_TERM.format(c='text')} AS t FROM {table})"
-    ) + f"""SELECT {key}, concept_id, arg_min(term, ord) AS term FROM norm JOIN terms
-ON contains(t, term) AND regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || term || '([^\\p{{L}}\\p{{N}}_]|$)') GROUP BY ALL"""
+    """One branch per term, so that its pattern is compiled once."""
+    hits = " UNION ALL ".join(
+        f"""SELECT {key}, '{concept}' AS concept_id, '{term}' AS term, {place} AS ord FROM norm
+  WHERE contains(t, '{term}') AND regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){term}([^\\p{{L}}\\p{{N}}_]|$)')"""
+        for concept, term, place in _TERM_ROWS
+    )
+    return f"""WITH norm AS MATERIALIZED (SELECT {key}, {_SQL_TERM.format(c='text')} AS t FROM {table}), hits AS ({hits})
+SELECT {key}, concept_id, arg_min(term, ord) AS term FROM hits GROUP BY ALL"""
 
 
 @register("k01_term_grounding", _sql_grounding("documents", "doc_id"))
