@@ -173,6 +173,29 @@ def _labelled(code: str, name: str, row_number: Column, field: str) -> list[Colu
     ]
 
 
+def row_level_issues(
+    rows: DataFrame,
+    contract: TableContract,
+    mappings: DataFrame,
+    product_map: DataFrame,
+    as_of: date,
+    countries: Sequence[str] = COUNTRIES,
+) -> DataFrame:
+    """Issues that each raw row shows on its own; works on streaming rows as well."""
+    tagged = attach_mapping(_with_contract_columns(rows, contract), mappings, product_map, countries)
+    return tagged.select(
+        F.lit(contract.name).alias("file"),
+        F.col("row_number").cast("bigint").alias("row_number"),
+        F.inline(row_issues(contract, as_of, "product" in rows.columns)),
+    ).select("code", "file", "row_number", "field", "message")
+
+
+def _with_contract_columns(rows: DataFrame, contract: TableContract) -> DataFrame:
+    """The rows with every checked column; an absent one is null and fails its checks."""
+    absent = [c for c in contract.columns if c not in rows.columns and c != "product"]
+    return rows.withColumns({c: F.lit(None).cast("string") for c in absent})
+
+
 def table_issues(
     rows: DataFrame,
     contract: TableContract,
@@ -182,19 +205,8 @@ def table_issues(
     countries: Sequence[str] = COUNTRIES,
 ) -> DataFrame:
     """Issues of one raw table (all texts, with row_number) in one pass, plus duplicates."""
-    present = rows
-    for column in contract.columns:
-        if column not in rows.columns and column != "product":
-            present = present.withColumn(column, F.lit(None).cast("string"))
-    tagged = attach_mapping(present, mappings, product_map, countries)
-    found = (
-        tagged.select(
-            F.lit(contract.name).alias("file"),
-            "row_number",
-            F.inline(row_issues(contract, as_of, "product" in rows.columns)),
-        )
-        .select("code", "file", "row_number", "field", "message")
-    )
+    found = row_level_issues(rows, contract, mappings, product_map, as_of, countries)
+    present = _with_contract_columns(rows, contract)
     duplicates = duplicate_rows(present, contract.key).select(
         *_labelled("DUPLICATE_ID", contract.name, F.col("row_number"), contract.key)
     )
