@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters str.split() treats as blank beyond Java's (?U)\s.
-_BLANK = r"[\s\x1c-\x1f]"
+# Every Unicode blank, and the marks that separate request tokens.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+TOKEN_MARKS = ",!?;:()[]{}\"'"
 
 # Where a text line ends.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -38,8 +42,11 @@ def fold_case(text: Column) -> Column:
 
 def normalize_term(text: Column) -> Column:
     """Case-folded text with - _ / as blanks and every run of blanks as one."""
-    spaced = F.translate(fold_case(text), "-_/", "   ")
-    return F.trim(F.regexp_replace(spaced, f"(?U){_BLANK}+", " "))
+    return F.trim(F.regexp_replace(_blanked(fold_case(text), BLANKS + "-_/"), " {2,}", " "))
+
+
+def _blanked(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, " " * len(characters))
 
 
 def plural_variants(term: Column) -> Column:
@@ -57,8 +64,7 @@ def plural_variants(term: Column) -> Column:
 
 def boundary_tokens(text: Column) -> Column:
     """Case-folded tokens; listed punctuation separates, a dot stays only before a digit."""
-    spaced = F.regexp_replace(fold_case(text), f"(?U){_BLANK}|[,!?;:()\\[\\]{{}}\"']", " ")
-    spaced = F.regexp_replace(spaced, r"(?U)\.(?!\d)", " ")
+    spaced = F.regexp_replace(_blanked(fold_case(text), BLANKS + TOKEN_MARKS), r"(?U)\.(?!\d)", " ")
     return F.array_remove(F.split(spaced, " +"), "")
 
 
@@ -127,22 +133,26 @@ def row_digest(columns: Sequence[str]) -> Column:
 
 def iso_date(text: Column) -> Column:
     """A valid ISO 8601 calendar date (dashed or basic) or week date, else null."""
-    dashed = F.regexp_replace(text, r"\A(\d{4})(\d{2})(\d{2})\z", "$1-$2-$3")
-    calendar = F.when(
-        F.rlike(dashed, F.lit(r"\A\d{4}-\d{2}-\d{2}\z")) & ~F.startswith(dashed, F.lit("0000")),
-        dashed.try_cast("date"),
-    )
-    week_form = r"\A(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)\z"
+    year_known = ~F.startswith(text, F.lit("0000"))
+    basic = F.regexp_replace(text, r"\A(\d{4})(\d{2})(\d{2})\z", "$1-$2-$3")
+    return F.when(
+        F.rlike(text, F.lit(r"\A\d{4}-\d{2}-\d{2}\z")), F.when(year_known, text.try_cast("date"))
+    ).when(
+        F.rlike(text, F.lit(r"\A\d{8}\z")), F.when(year_known, basic.try_cast("date"))
+    ).when(F.rlike(text, F.lit(_WEEK_DATE)) & year_known, _week_date(text))
+
 
+# Fixed value: year, week and weekday, dashed or basic.
+_WEEK_DATE = r"\A(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)\z"
+
+
+def _week_date(text: Column) -> Column:
     def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, week_form, group), F.lit("")).try_cast("int")
+        return F.nullif(F.regexp_extract(text, _WEEK_DATE, group), F.lit("")).try_cast("int")
 
     year, week = part(1), F.coalesce(part(2), part(4))
     weekday = F.coalesce(part(3), part(5), F.lit(1))
     first_monday = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
     monday = F.date_add(first_monday, (week - 1) * 7)
     in_year = (week >= 1) & (F.year(F.date_add(monday, 3)) == year)
-    by_week = F.when(
-        F.rlike(text, F.lit(week_form)) & (year >= 1), F.when(in_year, F.date_add(monday, weekday - 1))
-    )
-    return F.coalesce(calendar, by_week)
+    return F.when(in_year, F.date_add(monday, weekday - 1))

@@ -13,6 +13,10 @@ from weftline.functions.text import boundary_tokens, fold_case, normalize_term,
 from weftline.session import literal_rows, small_side
 
 _WORD = r"[\p{L}\p{N}_]+"
+_NO_WORD = r"[^\p{L}\p{N}_]+"
+
+# Up to so many distinct first words, runs that start with none of them are dropped in the row.
+FIRST_WORDS = 20_000
 
 
 def vocabulary(concepts: DataFrame, local_values: DataFrame | None = None) -> DataFrame:
@@ -40,8 +44,8 @@ def vocabulary(concepts: DataFrame, local_values: DataFrame | None = None) -> Da
     return terms.where("term <> ''").groupBy("concept_id", "term").agg(F.min("ordinal").alias("ordinal"))
 
 
-def _phrases(words: int) -> Column:
-    """Every run of so many words as (before, phrase, after, at_start, at_end)."""
+def _runs(words: int, starts: Column) -> Column:
+    """Runs of so many words from the given places, as (before, phrase, after, at_start, at_end)."""
 
     def at(i: Column) -> Column:
         pieces = [F.get("_words", i)]
@@ -55,8 +59,7 @@ def _phrases(words: int) -> Column:
             (i + words == F.size("_words")).alias("at_end"),
         )
 
-    last = F.size("_words") - words
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array())
+    return F.transform(F.filter(starts, lambda i: i + words <= F.size("_words")), at)
 
 
 def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,21 +75,32 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
         F.regexp_extract("term", r"\A([^\p{L}\p{N}_]*)", 1).alias("_prefix"),
         F.regexp_extract("term", r"([^\p{L}\p{N}_]*)\z", 1).alias("_suffix"),
     )
-    sized = split.withColumn("_size", F.size(F.regexp_extract_all("phrase", F.lit(f"({_WORD})"))))
-    sizes = sorted(row["_size"] for row in sized.select("_size").distinct().collect())
+    shape = split.select(
+        F.size(F.regexp_extract_all("phrase", F.lit(f"({_WORD})"))).alias("n"),
+        F.regexp_extract("phrase", rf"\A({_WORD})", 1).alias("first"),
+    )
+    sizes = sorted(row["n"] for row in shape.select("n").distinct().collect())
     if 0 in sizes:
         raise ValueError("a term needs at least one word")
     if not sizes:
         return texts.select(key, F.lit("").alias("concept_id"), F.lit("").alias("term")).where(F.lit(False))
+    first = [row["first"] for row in shape.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
     normal = normalize_term(F.col(text))
     cut = texts.select(
         key,
-        F.regexp_extract_all(normal, F.lit(f"({_WORD})")).alias("_words"),
-        F.split(normal, _WORD, -1).alias("_gaps"),
+        F.array_remove(F.split(normal, _NO_WORD), "").alias("_words"),
+        F.split(normal, _WORD).alias("_gaps"),
+    )
+    starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
-    runs = reduce(lambda a, b: F.concat(a, b), [_phrases(n) for n in sizes])
-    found = cut.select(key, F.inline(runs))
-    matched = found.join(small_side(sized.drop("_size")), "phrase")
+    if len(first) <= FIRST_WORDS:
+        starts = F.filter(starts, lambda i: F.get("_words", i).isin(*first))
+    # The places are kept in a frame of their own: they are used once per size.
+    placed = cut.select(key, "_words", "_gaps", F.explode(F.array(starts)).alias("_starts"))
+    runs = reduce(lambda a, b: F.concat(a, b), [_runs(n, F.col("_starts")) for n in sizes])
+    found = placed.select(key, F.inline(runs))
+    matched = found.join(small_side(split), "phrase")
     prefix_ok = (F.col("_prefix") == "") | (
         F.endswith("before", F.col("_prefix"))
         & (F.col("at_start") | (F.length("before") > F.length("_prefix")))

@@ -58,21 +58,31 @@ def status_issues(contract: TableContract) -> list[Column]:
     return [_issue("INVALID_STATUS", column, ~F.coalesce(F.col(column).isin(*domain), F.lit(False)))]
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once per row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def date_issue(column: str, as_of: date) -> Column:
-    day = iso_date(F.coalesce(F.col(column), F.lit("")))
-    return F.coalesce(
-        _issue("INVALID_DATE", column, day.isNull()), _issue("FUTURE_DATE", column, day > F.lit(as_of))
-    )
+    def judge(day: Column) -> Column:
+        return F.coalesce(
+            _issue("INVALID_DATE", column, day.isNull()), _issue("FUTURE_DATE", column, day > F.lit(as_of))
+        )
+
+    return _once(iso_date(F.coalesce(F.col(column), F.lit(""))), judge)
 
 
 def number_issue(column: str) -> Column:
     """Not a number, not finite or negative: the first that holds."""
-    number = F.trim(F.col(column)).try_cast("double")
-    return F.coalesce(
-        _issue("INVALID_NUMBER", column, number.isNull()),
-        _issue("NONFINITE_VALUE", column, F.isnan(number) | (F.abs(number) == float("inf"))),
-        _issue("NEGATIVE_LOSS", column, number < 0),
-    )
+
+    def judge(number: Column) -> Column:
+        return F.coalesce(
+            _issue("INVALID_NUMBER", column, number.isNull()),
+            _issue("NONFINITE_VALUE", column, F.isnan(number) | (F.abs(number) == float("inf"))),
+            _issue("NEGATIVE_LOSS", column, number < 0),
+        )
+
+    return _once(F.trim(F.col(column)).try_cast("double"), judge)
 
 
 def country_issues(has_product: bool) -> list[Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -68,9 +68,9 @@ def note_search(
     """The newest matching notes of every request: (request_id, note, note_number, title, rank).
 
     A request column that is null does not constrain. Requests with the same constraints are
-    searched once. They are split by which slots they fill, at most 64 ways, so that every
-    split is a plain equi join; the package range is a residual condition. The top notes are
-    cut per search, with a partial cut before the shuffle, and only they meet the requests.
+    searched once. They are split by which equal slots they fill, at most 32 ways, so that
+    every split is a plain equi join; the package range is a residual condition. The top notes
+    are cut per search, with a partial cut before the shuffle, and only they meet the requests.
     """
     slots = [c for c in SLOTS if c in requests.columns]
     if not slots:
@@ -78,11 +78,13 @@ def note_search(
     asked = requests.select("request_id", *[F.col(c).alias(f"want_{c}") for c in slots])
     wants = [f"want_{c}" for c in slots]
     searches = asked.select(*wants).distinct()
-    filled = searches.select(*[F.col(c).isNotNull().alias(c) for c in wants]).distinct()
-    masks = [[c for c in slots if row[f"want_{c}"]] for row in filled.collect()]
+    equal = [c for c in slots if c in EQUALS]
+    filled = searches.select(*[F.col(f"want_{c}").isNotNull().alias(c) for c in equal]).distinct()
+    masks = [[c for c in equal if row[c]] for row in filled.collect()]
     if ancestors is None and graph.parents is not None and any("component_code" in m for m in masks):
         ancestors = component_ancestors(graph.parents)
-    parts = [_search_mask(searches, slots, mask, graph, ancestors, top) for mask in masks]
+    # One split needs no test of which slots are filled.
+    parts = [_search_mask(searches, slots, mask, len(masks) > 1, graph, ancestors, top) for mask in masks]
     if not parts:
         return _no_matches(asked, graph)
     found = reduce(DataFrame.unionByName, parts)
@@ -99,10 +101,12 @@ def _no_matches(asked: DataFrame, graph: NoteGraph) -> DataFrame:
     )
 
 
-def _offered_notes(mask: Sequence[str], graph: NoteGraph, ancestors: DataFrame | None) -> DataFrame:
+def _offered_notes(
+    mask: Sequence[str], bounded: bool, graph: NoteGraph, ancestors: DataFrame | None
+) -> DataFrame:
     """Notes with a column per filled slot; number and title are required."""
     extra = [c for c in ("priority",) if c in mask]
-    bounds = ["min_sp", "max_sp"] if "support_package" in mask else []
+    bounds = ["min_sp", "max_sp"] if bounded else []
     offered = graph.notes.where("note_number IS NOT NULL AND title IS NOT NULL").select(
         "note", "note_number", "title", *extra, *bounds
     )
@@ -111,21 +115,24 @@ def _offered_notes(mask: Sequence[str], graph: NoteGraph, ancestors: DataFrame |
     if "product_version" in mask:
         offered = offered.join(graph.versions.select("note", "product_version").distinct(), "note")
     if "component_code" in mask:
-        affected = graph.components.select("note", "component_code").distinct()
-        if ancestors is not None:
-            affected = (
-                affected.join(small_side(ancestors), "component_code", "left")
-                .select("note", F.coalesce("ancestor", "component_code").alias("component_code"))
-                .distinct()
-            )
-        offered = offered.join(affected, "note")
+        offered = offered.join(covered_components(graph, ancestors), "note")
     return offered
 
 
+def covered_components(graph: NoteGraph, ancestors: DataFrame | None) -> DataFrame:
+    """(note, component_code): the components a note affects and everything above them."""
+    affected = graph.components.select("note", "component_code")
+    if ancestors is None:
+        return affected.distinct()
+    raised = affected.join(small_side(ancestors), "component_code", "left")
+    return raised.select("note", F.coalesce("ancestor", "component_code").alias("component_code")).distinct()
+
+
 def _search_mask(
     searches: DataFrame,
     slots: Sequence[str],
     mask: Sequence[str],
+    several: bool,
     graph: NoteGraph,
     ancestors: DataFrame | None,
     top: int,
@@ -133,14 +140,16 @@ def _search_mask(
     if not set(mask) & set(ANCHORS):
         raise ValueError(f"a search needs one of {ANCHORS}, got {list(mask)}")
     wanted = searches
-    for slot in slots:
+    for slot in [c for c in slots if c in EQUALS and several]:
         value = F.col(f"want_{slot}")
         wanted = wanted.where(value.isNotNull() if slot in mask else value.isNull())
-    offered = _offered_notes(mask, graph, ancestors)
+    bounded = "support_package" in slots
+    offered = _offered_notes(mask, bounded, graph, ancestors)
     equal = [wanted[f"want_{c}"] == offered[c] for c in EQUALS if c in mask]
     matched = wanted.join(offered, reduce(lambda a, b: a & b, equal))
-    if "support_package" in mask:
-        matched = matched.where(F.col("want_support_package").between(F.col("min_sp"), F.col("max_sp")))
+    if bounded:
+        package = F.col("want_support_package")
+        matched = matched.where(package.isNull() | package.between(F.col("min_sp"), F.col("max_sp")))
     wants = [f"want_{c}" for c in slots]
     newest = Window.partitionBy(*wants).orderBy(F.col("note_number").desc(), F.col("note"))
     ranked = matched.select(*wants, "note", "note_number", "title").withColumn(
@@ -206,8 +215,12 @@ def relax_search(
     request's result never ends another's search. attempts holds one row per request and step
     run, with the changed slots and the number of bindings.
     """
-    ancestors = cut_lineage(component_ancestors(graph.parents)) if graph.parents is not None else None
-    strict = cut_lineage(note_search(requests, graph, top, ancestors))
+    parents = graph.parents
+    if graph.components is not None and "component_code" in requests.columns:
+        # All three searches read the same covered components: write them once.
+        above = component_ancestors(parents) if parents is not None else None
+        graph = replace(graph, components=cut_lineage(covered_components(graph, above)), parents=None)
+    strict = cut_lineage(note_search(requests, graph, top))
     attempts = [_attempts(requests, strict, 0, "EMPTY_STRICT_RESULT", "")]
     pending = requests.join(strict.select("request_id").distinct(), "request_id", "left_anti")
     pending = cut_lineage(pending)
@@ -217,7 +230,7 @@ def relax_search(
         bounded = pending.where("support_package IS NOT NULL").withColumn(
             "support_package", F.lit(None).cast(requests.schema["support_package"].dataType)
         )
-        found = cut_lineage(note_search(bounded, graph, top, ancestors))
+        found = cut_lineage(note_search(bounded, graph, top))
         step += 1
         attempts.append(_attempts(bounded, found, step, DROP_BOUNDS, "support_package"))
         relaxed.append(_tagged(found, step, DROP_BOUNDS))
@@ -225,8 +238,8 @@ def relax_search(
             "support_package", F.lit(None).cast(requests.schema["support_package"].dataType)
         ).join(found.select("request_id").distinct(), "request_id", "left_anti")
     if "component_code" in requests.columns and budget > step:
-        wider = cut_lineage(widen(pending, None if by_code else graph.parents))
-        found = cut_lineage(note_search(wider, graph, top, ancestors))
+        wider = cut_lineage(widen(pending, None if by_code else parents))
+        found = cut_lineage(note_search(wider, graph, top))
         step += 1
         attempts.append(_attempts(wider, found, step, WIDEN_COMPONENT, "component"))
         relaxed.append(_tagged(found, step, WIDEN_COMPONENT))

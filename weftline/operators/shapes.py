@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import literal_rows, small_side
+from weftline.session import cut_lineage, literal_rows, small_side
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -36,40 +36,41 @@ def _closed(triples: DataFrame, predicate: str) -> DataFrame:
 def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFrame:
     """The triples plus everything subproperty, domain, range and subclass axioms imply.
 
-    Axioms are closed first, they are few; one pass over the data per rule then suffices in
-    the order subproperty, domain and range, subclass. Axioms come from the ontology where
-    given, else from the triples themselves.
+    All chaining happens among the few axioms: each property is given its super-properties and
+    every class its ends imply. The data then needs one pass per rule, joined to small sides,
+    and one distinct. Axioms come from the ontology where given, else from the triples.
     """
     axioms = ontology if ontology is not None else triples
-    super_property = small_side(_closed(axioms, SUBPROPERTY))
-    super_class = small_side(_closed(axioms, SUBCLASS))
+    super_property = cut_lineage(_closed(axioms, SUBPROPERTY))
+    super_class = cut_lineage(_closed(axioms, SUBCLASS))
     ends = axioms.where(F.col("p").isin(DOMAIN, RANGE)).select(
         F.col("s").alias("_property"), F.col("p").alias("_end"), F.col("o").alias("_class")
-    ).distinct()
-    implied = (
-        triples.join(super_property, triples["p"] == super_property["src"])
-        .withColumn("p", F.col("dst"))
-        .select(*TRIPLE_COLUMNS)
-    )
-    stated = triples.select(*TRIPLE_COLUMNS).unionByName(implied)
-    typed_node = F.when(F.col("_end") == DOMAIN, F.col("s")).otherwise(F.col("o"))
-    named = (F.col("_end") == DOMAIN) | (F.col("o_kind") != "literal")
-    by_end = (
-        stated.join(small_side(ends), F.col("p") == F.col("_property"))
-        .where(named)
-        .select("graph", typed_node.alias("s"), F.col("_class").alias("class"))
-    )
-    types = stated.where(F.col("p") == RDF_TYPE).select("graph", "s", F.col("o").alias("class"))
-    types = types.unionByName(by_end).distinct()
-    above = types.join(super_class, types["class"] == super_class["src"]).select(
+    )
+    inherited = super_property.join(ends, F.col("dst") == F.col("_property")).select(
+        F.col("src").alias("_property"), "_end", "_class"
+    )
+    ends = ends.unionByName(inherited)
+    widened = ends.join(super_class, F.col("_class") == F.col("src")).select(
+        "_property", "_end", F.col("dst").alias("_class")
+    )
+    ends = small_side(cut_lineage(ends.unionByName(widened).distinct()))
+    stated = triples.select(*TRIPLE_COLUMNS)
+    implied = stated.join(small_side(super_property), F.col("p") == F.col("src")).select(
+        *[F.col("dst").alias("p") if c == "p" else F.col(c) for c in TRIPLE_COLUMNS]
+    )
+    of_subject = F.col("_end") == DOMAIN
+    by_end = stated.join(ends, F.col("p") == F.col("_property")).where(
+        of_subject | (F.col("o_kind") != "literal")
+    ).select("graph", F.when(of_subject, F.col("s")).otherwise(F.col("o")).alias("s"), F.col("_class").alias("class"))
+    by_class = stated.where(F.col("p") == RDF_TYPE).join(small_side(super_class), F.col("o") == F.col("src")).select(
         "graph", "s", F.col("dst").alias("class")
     )
     none = F.lit(None).cast("string")
-    typed = types.unionByName(above).select(
+    typed = by_end.unionByName(by_class).select(
         "graph", "s", F.lit(RDF_TYPE).alias("p"), F.col("class").alias("o"),
         F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang"),
     )
-    return stated.unionByName(typed).distinct()
+    return stated.unionByName(implied).unionByName(typed).distinct()
 
 
 def shape_table(spark, rows: Sequence[tuple]) -> DataFrame:
