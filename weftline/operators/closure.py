@@ -192,7 +192,7 @@ def cycle_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     ends = distinct.join(
         component.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src"
     ).join(component.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst")
-    on_cycle = ends.where("_a = _b").select("src", "dst").unionByName(distinct.where("src = dst"))
+    on_cycle = ends.where("_a = _b AND src <> dst").select("src", "dst").unionByName(distinct.where("src = dst"))
     reached = closure(edges, seeds, None).pairs.select("seed", F.col("node").alias("src"))
     start = seeds.select("seed", F.col("seed").alias("src")).distinct()
     return reached.unionByName(start).join(on_cycle, "src").select("seed", "src", "dst")

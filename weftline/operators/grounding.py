@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
-from weftline.session import literal_rows, small_side
+from weftline.session import cut_lineage, literal_rows, small_side
 
 _WORD = r"[\p{L}\p{N}_]+"
 _NO_WORD = r"[^\p{L}\p{N}_]+"
@@ -182,10 +182,11 @@ def request_tokens(texts: DataFrame, entries: DataFrame, key: str = "doc_id", te
         after1.alias("a1"), after2.alias("a2"), F.sequence(F.lit(1), F.greatest(size, F.lit(1))).alias("pos"),
     )
     tokens = listed.select(key, F.inline(zipped)).where("token IS NOT NULL")
-    surfaces = _by_surface(entries)
+    # The lexicon is read four times: write it once, and check its size once.
+    surfaces = small_side(cut_lineage(_by_surface(entries)))
 
     def lookup(prefix: str) -> DataFrame:
-        return small_side(surfaces.select(*[F.col(c).alias(f"{prefix}_{c}") for c in surfaces.columns]))
+        return surfaces.select(*[F.col(c).alias(f"{prefix}_{c}") for c in surfaces.columns])
 
     own, following = lookup("t"), lookup("n")
     ahead, behind = lookup("l"), lookup("k")

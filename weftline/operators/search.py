@@ -215,6 +215,7 @@ def relax_search(
     request's result never ends another's search. attempts holds one row per request and step
     run, with the changed slots and the number of bindings.
     """
+    requests = cut_lineage(requests)
     parents = graph.parents
     if graph.components is not None and "component_code" in requests.columns:
         # All three searches read the same covered components: write them once.
