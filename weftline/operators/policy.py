@@ -79,8 +79,7 @@ def decide(
     aggregate, so requests never meet each other.
     """
     known = small_side(products.select(F.col("id").alias("_product"), "classification", "quality_status"))
-    roles = F.broadcast(roles)
-    judged = requests.join(roles, "role", "left")
+    judged = requests.join(small_side(roles), "role", "left")
     per_product = (
         judged.select("request_id", "max_classification", F.explode("products").alias("_product"))
         .join(known, "_product", "left")

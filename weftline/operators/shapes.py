@@ -1,4 +1,8 @@
-"""RDFS entailment and shape validation as joins over a triples table."""
+"""RDFS entailment and shape validation as joins over a triples table.
+
+A shape table made by shape_table is part of the plan, so Spark knows its size and broadcasts it
+by itself; one too large for that is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -114,7 +118,7 @@ def focus_nodes(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     types = triples.where(F.col("p") == RDF_TYPE).select(
         F.col("s").alias("focus"), F.col("o").alias("target_class")
     ).distinct()
-    return types.join(F.broadcast(shapes), "target_class")
+    return types.join(shapes, "target_class")
 
 
 def _violation(frame: DataFrame, value: Column) -> DataFrame:
@@ -124,7 +128,7 @@ def _violation(frame: DataFrame, value: Column) -> DataFrame:
 def count_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """minCount and maxCount: value counts are aggregated before they meet the focus nodes."""
     counted = shapes.where(F.col("constraint").isin("minCount", "maxCount"))
-    paths = F.broadcast(counted.select("path").distinct())
+    paths = counted.select("path").distinct()
     counts = (
         triples.join(paths, triples["p"] == paths["path"], "left_semi")
         .groupBy(F.col("s").alias("focus"), F.col("p").alias("path"))
@@ -139,7 +143,7 @@ def count_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 def value_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """datatype, languageIn, in and minInclusive, each value against its constraints."""
     checked = shapes.where(F.col("constraint").isin("datatype", "languageIn", "in", "minInclusive"))
-    paths = F.broadcast(checked.select(F.col("path").alias("_path")).distinct())
+    paths = checked.select(F.col("path").alias("_path")).distinct()
     values = triples.join(paths, triples["p"] == paths["_path"], "left_semi").select(
         F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "datatype", "lang"
     )
@@ -170,7 +174,7 @@ def value_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
 def class_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """class: objects that are not instances of the demanded class."""
     checked = shapes.where(F.col("constraint") == "class").withColumnRenamed("value", "_class")
-    paths = F.broadcast(checked.select(F.col("path").alias("_path")).distinct())
+    paths = checked.select(F.col("path").alias("_path")).distinct()
     values = triples.join(paths, triples["p"] == paths["_path"], "left_semi").select(
         F.col("s").alias("focus"), F.col("p").alias("path"), "o"
     )

@@ -35,11 +35,11 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
     Part files are numbered through in path order. Only one small row per file block is
     shuffled for the offsets; rows themselves keep their place: the number of a row is the
-    rows before its block plus its place in the block. Records must not span lines, and an
-    empty field stays an empty text so that the identifier checks can see it.
+    rows before its block plus its place in the block. Records must not span lines. An empty
+    or absent field is an empty text, so that the checks see it.
     """
     raw = (
-        spark.read.options(header=True, inferSchema=False, nullValue="\x00", emptyValue="")
+        spark.read.options(header=True, inferSchema=False)
         .csv(path)
         .withColumn("_file", F.col("_metadata.file_path"))
         .withColumn("_start", F.col("_metadata.file_block_start"))
@@ -62,7 +62,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     )
     data = [c for c in raw.columns if c not in ("_file", "_start", "_at")]
     number = F.col("_at") - F.col("_first") + F.col("_offset") + 2
-    return raw.join(offsets, ["_file", "_start"]).select(number.alias("row_number"), *data)
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in data]
+    return raw.join(offsets, ["_file", "_start"]).select(number.alias("row_number"), *texts)
 
 
 def write_sorted(

@@ -140,7 +140,7 @@ def complete_labels(triples: DataFrame, sources: Mapping[str, str], lang: str =
     spark = triples.sparkSession
     rules = literal_rows(spark, list(sources.items()), "class string, source string")
     typed = triples.where(F.col("p") == RDF_TYPE).select("graph", "s", F.col("o").alias("class"))
-    wanted = typed.join(F.broadcast(rules), "class")
+    wanted = typed.join(rules, "class")
     unlabelled = wanted.join(
         triples.where(F.col("p") == RDFS_LABEL).select("s").distinct(), "s", "left_anti"
     )
