@@ -50,6 +50,14 @@ def _scored(t: Tables) -> DataFrame:
     return evaluate.score(evaluate.count_items(records, gold, predicted)).join(optional, "record_id")
 
 
+def half(top: str, bottom: str) -> str:
+    """Whole-number quotient rounded half-even, free of floating-point error."""
+    return (
+        f"CAST((({top}) // ({bottom})) + CASE WHEN 2 * (({top}) % ({bottom})) > ({bottom}) OR (2 * (({top}) % ({bottom})) = ({bottom})"
+        f" AND (({top}) // ({bottom})) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT)"
+    )
+
+
 _SQL_SCORED = with_tables(
     "rules AS (SELECT unnest([400, 2500]) AS mc)",
     """rec0 AS (SELECT DISTINCT source, CAST(regexp_extract(source, '\\d+') AS INTEGER) AS n, mc FROM documents, rules)""",
@@ -59,10 +67,10 @@ _SQL_SCORED = with_tables(
     """cnt AS (SELECT source || ':' || mc AS record_id, COUNT(*) FILTER (quality = 1) AS g, COUNT(*) FILTER (length(text) >= mc) AS p,
    COUNT(*) FILTER (quality = 1 AND length(text) >= mc) AS tp, COUNT(*) AS b, COUNT(*) FILTER (quality IS NULL) AS ob_n
    FROM documents CROSS JOIN rules LEFT JOIN labels USING (doc_id) GROUP BY 1)""",
-    """sc AS (SELECT rec.*, g, p, tp, b, ob_n, ex = ob AS ok, ex = 'SUCCESS' AND ob = 'SUCCESS' AS app,
-   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(tp / p, 6) END AS pr,
-   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(tp / g, 6) END AS re,
-   CASE WHEN g = 0 AND p = 0 THEN 1 WHEN g = 0 OR p = 0 THEN 0 ELSE round_even(2 * tp / (g + p), 6) END AS f1,
+    f"""sc AS (SELECT rec.*, g, p, tp, b, ob_n, ex = ob AS ok, ex = 'SUCCESS' AND ob = 'SUCCESS' AS app,
+   CASE WHEN g = 0 AND p = 0 THEN 1000000 WHEN g = 0 OR p = 0 THEN 0 ELSE {half('tp * 1000000', 'p')} END AS pr,
+   CASE WHEN g = 0 AND p = 0 THEN 1000000 WHEN g = 0 OR p = 0 THEN 0 ELSE {half('tp * 1000000', 'g')} END AS re,
+   CASE WHEN g = 0 AND p = 0 THEN 1000000 WHEN g = 0 OR p = 0 THEN 0 ELSE {half('2 * tp * 1000000', '(g + p)')} END AS f1,
    ob = 'EMPTY_RESULT' AS ra, ob = 'EMPTY_RESULT' AND n % 2 = 1 AS rs FROM rec JOIN cnt USING (record_id))""",
 )
 
@@ -80,24 +88,28 @@ def _text(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else shown(c) for c in df.columns])
 
 
-def _six(expression: str) -> str:
-    return f"coalesce(printf('%.6f', CAST({expression} AS DOUBLE)), '-')"
+def _six(micros: str) -> str:
+    """Millionths as a six-place text, null as a dash."""
+    return f"coalesce(printf('%.6f', CAST({micros} AS DOUBLE) / 1000000), '-')"
 
 
-_SQL_RATIO = "CASE WHEN ({d}) = 0 THEN NULL ELSE round_even(CAST({n} AS DOUBLE) / ({d}), 6) END"
+def _sql_ratio(numerator: str, denominator: str) -> str:
+    top, bottom = f"CAST({numerator} AS HUGEINT) * 1000000", f"CAST({denominator} AS HUGEINT)"
+    return _six(f"CASE WHEN ({denominator}) = 0 THEN NULL ELSE {half(top, bottom)} END")
 
 
-def _sql_ratio(numerator: str, denominator: str) -> str:
-    return _six(_SQL_RATIO.format(n=numerator, d=denominator))
+def _sql_mean(name: str) -> str:
+    top, bottom = f"CAST(SUM({name}) FILTER (app) AS HUGEINT)", "CAST(COUNT(*) FILTER (app) AS HUGEINT)"
+    return _six(f"CASE WHEN {bottom} = 0 THEN NULL ELSE {half(top, bottom)} END")
 
 
 _SQL_MEASURES = {
     "applicable_count": "CAST(COUNT(*) FILTER (app) AS VARCHAR)",
     "exact_numerator": "CAST(COUNT(*) FILTER (app AND tp = g AND tp = p) AS VARCHAR)",
     "macro_exact": _sql_ratio("COUNT(*) FILTER (app AND tp = g AND tp = p)", "COUNT(*) FILTER (app)"),
-    "precision_numerator": _six("SUM(pr) FILTER (app)"), "macro_precision": _six("round_even(AVG(pr) FILTER (app), 6)"),
-    "recall_numerator": _six("SUM(re) FILTER (app)"), "macro_recall": _six("round_even(AVG(re) FILTER (app), 6)"),
-    "f1_numerator": _six("SUM(f1) FILTER (app)"), "macro_f1": _six("round_even(AVG(f1) FILTER (app), 6)"),
+    "precision_numerator": _six("SUM(pr) FILTER (app)"), "macro_precision": _sql_mean("pr"),
+    "recall_numerator": _six("SUM(re) FILTER (app)"), "macro_recall": _sql_mean("re"),
+    "f1_numerator": _six("SUM(f1) FILTER (app)"), "macro_f1": _sql_mean("f1"),
 }
 _SQL_MICRO = {
     "true_positive": "CAST(coalesce(SUM(tp) FILTER (app), 0)::BIGINT AS VARCHAR)",

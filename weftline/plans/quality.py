@@ -56,7 +56,7 @@ def raw_orders(t: Tables) -> DataFrame:
 
 
 def raw_postings(t: Tables) -> DataFrame:
-    """Lines as texts. Their identifiers repeat; part and supplier make each row's number."""
+    """Lines as texts. Their identifiers repeat; the price in cents completes each row's number."""
     orders = t.orders.select("o_orderkey", "o_custkey")
     flag = F.col("l_returnflag")
     return (
@@ -78,14 +78,15 @@ def raw_postings(t: Tables) -> DataFrame:
 
 def line_number() -> Column:
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return (key * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+    return key * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
 
 
-_SQL_RAW = """c AS (SELECT c_custkey, c_mktsegment, ['FR', 'GB', 'DE', 'XX', NULL][n_regionkey + 1] AS country
+_SQL_NUMBER = "(l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
+_SQL_RAW = f"""c AS (SELECT c_custkey, c_mktsegment, ['FR', 'GB', 'DE', 'XX', NULL][n_regionkey + 1] AS country
    FROM customer JOIN nation ON c_nationkey = n_nationkey),
  raw AS (SELECT o_orderkey + 2 AS row_number, o_orderkey, o_orderpriority AS pri, o_orderstatus AS st, o_orderdate, o_totalprice,
    country, c_mktsegment AS product FROM orders JOIN c ON o_custkey = c_custkey),
- rawp AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS row_number,
+ rawp AS (SELECT {_SQL_NUMBER} AS row_number,
    l_orderkey * 10 + l_linenumber AS key, l_returnflag, l_shipdate, l_extendedprice, country, c_mktsegment AS product
    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey)"""
 _OK_PRODUCT = """((country = 'FR' AND product IN ('AUTOMOBILE', 'BUILDING')) OR (country = 'DE' AND product IN ('FURNITURE', 'MACHINERY')))"""
@@ -139,7 +140,7 @@ def h02(t: Tables) -> DataFrame:
 
 @register(
     "h03_duplicate_identifier",
-    """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS key, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS row_number FROM lineitem)
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS key, {_SQL_NUMBER} AS row_number FROM lineitem)
 SELECT CAST(key AS VARCHAR) AS journal_entry_id, row_number FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_number) AS rn FROM r) WHERE rn > 1""",
 )
