@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import hosts, licenses, simhash, sql
+from weftline.llm import balance, hosts, languages, licenses, simhash, sql, subword
 from weftline.llm.registry import QUERIES, SQL, Query, register, table
 
 
@@ -41,6 +41,24 @@ def license_statements(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op6_subword_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return subword.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op9_language_filters")
+def document_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.identify(table(spark, folder, "documents"))
+
+
+@register("op10_entropy_balance")
+def balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = balance.mix(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
