@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import balance, hosts, languages, licenses, simhash, sql, subword
+from weftline.llm import balance, bpe, hosts, keyscan, languages, licenses, simhash, sketch, sql, subword, warc
 from weftline.llm.registry import QUERIES, SQL, Query, register, table
 
 
@@ -17,6 +18,14 @@ def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op2_byte_bpe")
+def encoded(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    made = bpe.coded(docs, F.col("text"), path, public_tokenizers.PATTERN, with_ids=False)
+    return docs.select("doc_id", made.alias("c")).select("doc_id", "c.*")
+
+
 @register("op3_host_quality_rules", sql.HOST_RULES)
 def host_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = hosts.judge(table(spark, folder, "documents"))
@@ -41,11 +50,35 @@ def license_statements(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op5_capture_index", sql.CAPTURES)
+def captured(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 @register("op6_subword_quality")
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return subword.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register("op7_lookup_sketch")
+def document_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.versions(table(spark, folder, "documents"))
+
+
+@register("op8_structural_secrets")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", keyscan.spans(F.col("text")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    ), ",")
+    return docs.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
 @register("op9_language_filters")
 def document_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.identify(table(spark, folder, "documents"))

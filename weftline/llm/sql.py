@@ -48,6 +48,21 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+CAPTURES = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 5 * (k // 4) + 1, 5))::INT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def licenses() -> str:
     """Every line against every template, without any filter; phrases by their places among the words."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
