@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.frames import numbered, unused
 from weftline.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -168,3 +169,13 @@ def mix(
     return rated.join(named, rated["source"].eqNullSafe(named["named"])).select(
         *keys, "size", "source_size", "target", "copies"
     )
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    rows, names = numbered(docs)
+    row, copies = names["row"], unused(rows, "copies")
+    taken = mix(rows, text, source, (row,), weights).where("copies > 0").select(row, F.col("copies").alias(copies))
+    return rows.join(taken, row).select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(unused(rows, "copy"))
+    ).select(*docs.columns)

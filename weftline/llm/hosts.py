@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.frames import numbered, unused
 from weftline.session import cut_lineage
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -76,11 +77,9 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def rule_failure() -> Column:
+def rule_failure(n_words: Column, n_repeat_words: Column) -> Column:
     """A document fails if it is short or if more than half of its words repeat."""
-    return (F.col("n_words") < LEAST_WORDS) | (
-        100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")
-    )
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words)
 
 
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -111,6 +110,23 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     ).withColumn("host_ok", F.col("host_rate") <= limit)
 
 
+def kept(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that pass the rules and whose host does, with their columns as they are.
+
+    Rows with null keys or repeated rows are judged each; null and empty texts go; rows without a host
+    are a host of their own. Texts are measured once and written with the outcome.
+    """
+    failed = let(
+        words_of(F.coalesce(F.col(text), F.lit(""))),
+        lambda w: rule_failure(F.size(w), F.when(F.size(w) < LEAST_WORDS, F.lit(0).cast("long")).otherwise(repeated_words(w))),
+    )
+    rows, names = numbered(docs, failed=failed)
+    seen = rows.select(F.col(host).alias("host"), F.col(names["failed"]).alias("base_failed"))
+    bad = host_verdicts(seen, limit).where(~F.col("host_ok")).select(F.col("host").alias(unused(rows, "named")))
+    passed = rows.where(~F.col(names["failed"]))
+    return passed.join(bad, F.col(host).eqNullSafe(F.col(bad.columns[0])), "left_anti").drop(*names.values())
+
+
 def judge(
     docs: DataFrame, text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",),
     limit: float = HOST_LIMIT,
@@ -122,7 +138,7 @@ def judge(
     Repeated rows are judged and counted each; an empty table gives no row; other columns are ignored.
     """
     measured = docs.select(*keys, F.col(host).alias("host"), *(c.alias(n) for n, c in measures(F.col(text)).items()))
-    judged = cut_lineage(measured.withColumn("base_failed", rule_failure()))
+    judged = cut_lineage(measured.withColumn("base_failed", rule_failure(F.col("n_words"), F.col("n_repeat_words"))))
     verdicts = host_verdicts(judged, limit).select(F.col("host").alias("named"), "host_rate", "host_ok")
     return (
         judged.join(verdicts, judged["host"].eqNullSafe(verdicts["named"]), "left")

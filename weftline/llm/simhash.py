@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.frames import numbered
 from weftline.llm.links import components, spanning
 from weftline.session import cut_lineage
 
@@ -235,6 +236,20 @@ def links(prints: DataFrame, radius: int = 4, bands: int = 3, shard_rows: int =
     return _search(rows, radius)
 
 
+def classes(
+    prints: DataFrame, radius: int = 4, bands: int = 3, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """(fp, component) from rows (key, fp): the smallest key among the fingerprints reachable through links."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = components(links(nodes, radius, bands, shard_rows))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    placed = cut_lineage(placed)
+    least = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component")))
+    return cut_lineage(placed.join(least, "root").select("fp", "component"))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, radius: int = 4, bands: int = 3,
     shard_rows: int = SHARD_ROWS,
@@ -246,12 +261,20 @@ def near_duplicates(
     is a component unless all its members have none. An empty table gives no row.
     """
     prints = cut_lineage(docs.select(F.col(key).alias("key"), fingerprint(F.col(text), words).alias("fp")))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(nodes, radius, bands, shard_rows))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    placed = cut_lineage(placed)
-    least = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component")))
-    named = cut_lineage(placed.join(least, "root").select("fp", "component"))
+    named = classes(prints, radius, bands, shard_rows)
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def representatives(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = 7, bands: int = 4,
+) -> DataFrame:
+    """One row of each group of linked documents, with the columns of ``docs``: the one with the smallest key.
+
+    Keys may be null (such a row stays only if its whole group has none) or repeated (one of the rows
+    stays). Texts are written once with their fingerprints, and moved once, to the rows that stay.
+    """
+    rows, names = numbered(docs, fp=fingerprint(F.col(text), words))
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(names["row"]).alias("row"))
+    prints = rows.select(rank.alias("key"), F.col(names["fp"]).alias("fp"))
+    first = classes(prints, radius, bands).select(F.col("component.row").alias(names["row"])).distinct()
+    return rows.join(first, names["row"], "left_semi").select(*docs.columns)
