@@ -142,12 +142,14 @@ def mix(
     Of documents of one source and size those with the smallest key hashes get the extra copy; repeated
     rows are rated each. An empty table gives no row; other columns are ignored.
     """
-    sized = cut_lineage(docs.select(*keys, F.col(source).alias("source"), sizes(F.col(text)).alias("size")))
+    own = [f"key{i}" for i in range(len(keys))]
+    named_keys = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    sized = cut_lineage(docs.select(*named_keys, F.col(source).alias("source"), sizes(F.col(text)).alias("size")))
     counts = cut_lineage(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     aims = cut_lineage(targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most))
     cells = cut_lineage(_cells(counts, tilts(counts, aims, most), most))
     # The extra copies of a cell go to its buckets in turn, and in a bucket to the smallest hashes.
-    order = F.xxhash64(*keys)
+    order = F.xxhash64(*own)
     dealt = cut_lineage(sized.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(BUCKETS)).cast("int")))
     held = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("held"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +161,7 @@ def mix(
         F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), "copies",
         (F.col("extra") - F.col("before")).alias("share"),
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order", *keys))
+    place = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order", *own))
     placed = dealt.withColumn("place", place)
     rated = placed.join(
         cut_lineage(shares),
@@ -167,7 +169,7 @@ def mix(
     ).withColumn("copies", F.col("copies") + (F.col("place") <= F.col("share")).cast("long"))
     named = aims.withColumnRenamed("source", "named")
     return rated.join(named, rated["source"].eqNullSafe(named["named"])).select(
-        *keys, "size", "source_size", "target", "copies"
+        *(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), "size", "source_size", "target", "copies"
     )
 
 

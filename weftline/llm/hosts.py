@@ -86,7 +86,8 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(host, docs, failures, host_rate, host_ok) from rows (host, base_failed), one for each host, null too.
 
     The prior's mean is the corpus' rate, its weight comes from the moments of the hosts' rates around
-    it. Only counts of hosts are gathered; a hot host is summed before the shuffle.
+    it. A host is refused above ``limit``, and above half the way from the corpus' rate to one, so that a
+    poor corpus does not refuse its ordinary hosts. A hot host is summed before the shuffle.
     """
     hosts = judged.groupBy("host").agg(
         F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures")
@@ -105,9 +106,9 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     prior = whole.select(mean.alias("mean"), (1 / correlation - 1).alias("weight"))
     # One row, so the broadcast has a proven bound.
     return hosts.join(F.broadcast(prior)).select(
-        "host", "docs", "failures",
+        "host", "docs", "failures", F.greatest(F.lit(limit), (1 + F.col("mean")) / 2).alias("limit"),
         ((F.col("failures") + F.col("mean") * F.col("weight")) / (F.col("docs") + F.col("weight"))).alias("host_rate"),
-    ).withColumn("host_ok", F.col("host_rate") <= limit)
+    ).withColumn("host_ok", F.col("host_rate") <= F.col("limit")).drop("limit")
 
 
 def kept(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

@@ -40,7 +40,7 @@ WITH d AS (
   SELECT m, 1 / least(greatest(CASE WHEN room > 0 THEN (spread - noise * (k - 1)) / room ELSE {LEAST_SPREAD!r} END,
                                {LEAST_SPREAD!r}), {MOST_SPREAD!r}) - 1 AS weight FROM moments
 ), verdicts AS (
-  SELECT source, (failures + m * weight) / (docs + weight) <= {HOST_LIMIT!r} AS host_ok FROM hosts, prior
+  SELECT source, (failures + m * weight) / (docs + weight) <= greatest({HOST_LIMIT!r}, (1 + m) / 2) AS host_ok FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND host_ok) AS kept

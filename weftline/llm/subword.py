@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 17
 WIDTH = 8
 GRAMS = (3, 4, 5)
-EPOCHS = 8
+EPOCHS = 5
 RATE = 0.5
 #: At most so many labelled documents are learnt from: those whose keys have the smallest hashes.
 LEARNT = 6000
@@ -111,8 +111,8 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
             rate = RATE * (1 - step / steps)
             back = layer.T @ slope
             layer -= rate * np.outer(slope, mean)
-            # The average divides a document's gradient by its words; the steps of its vectors are not so divided.
-            vectors[ids] -= rate * (share * len(ids))[:, None].clip(max=4.0) * back
+            # A vector steps as far as the average would, but for no more than one word of a document.
+            vectors[ids] -= rate * (share * len(ids))[:, None].clip(max=1.0) * back
             step += 1
     return (vectors @ (layer[1] - layer[0])).astype(np.float32)
 
