@@ -142,8 +142,9 @@ def test_note_search_by_any_slots(spark, rows):
     # Note c has no title; a component covers the ones below it.
     assert rows(found, "request_id", "note", "rank") == [(1, "b", 1), (2, "a", 2), (2, "b", 1), (3, "b", 1), (4, "a", 1), (6, "b", 1)]
     assert rows(search.note_search(requests, _note_graph(spark), top=1), "request_id", "note")[1] == (2, "b")
-    with pytest.raises(ValueError, match="needs one of"):
-        search.note_search(requests.select("request_id", "priority").where("request_id = 4"), _note_graph(spark))
+    unanchored = requests.select("request_id", "priority").where("request_id = 4")
+    assert search.note_search(unanchored, _note_graph(spark)).count() == 0
+    assert rows(search.rejected_requests(unanchored)) == [(4, "MISSING_REQUIRED_ENTITY")]
 
 
 @pytest.mark.parametrize("by_code", [False, True])

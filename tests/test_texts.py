@@ -126,7 +126,12 @@ CASES = [
     ("Explain alert NOPE", "UNSUPPORTED", "UNSUPPORTED_INTENT"),
     ("Find notes on S/4HANA 1999 for alert TIME_OUT", "UNSUPPORTED", "UNKNOWN_ENTITY"),
     ("Find notes for alert TIME_OUT at spx", "UNSUPPORTED", "UNKNOWN_ENTITY"),
-    ("", "UNSUPPORTED", "NONE"),
+    ("", "UNSUPPORTED", "MISSING_REQUIRED_ENTITY"),
+    ("what is required", "UNSUPPORTED", "MISSING_REQUIRED_ENTITY"),
+    ("Find notes for S/4HANA 2023", "UNSUPPORTED", "UNKNOWN_TOKEN"),
+    ("find SP05", "UNSUPPORTED", "UNKNOWN_TOKEN"),
+    ("what prerequisites", "UNSUPPORTED", "UNSUPPORTED_INTENT"),
+    ("notes for alert TIME_OUT", "UNSUPPORTED", "UNSUPPORTED_INTENT"),
 ]
 
 
@@ -137,7 +142,7 @@ def test_request_diagnosis(spark, rows):
     )
     texts = spark.createDataFrame([(n, c[0]) for n, c in enumerate(CASES)], "doc_id int, text string")
     tokens = grounding.request_tokens(texts, entries)
-    found = grounding.diagnose(tokens, texts, entries)
+    found = grounding.diagnose(texts, entries)
     assert [r[1:] for r in sorted(rows(found, "doc_id", "intent", "failure"))] == [c[1:] for c in CASES]
     slots = grounding.extract_slots(tokens).where("doc_id = 4")
     assert rows(slots, "family", "value") == [("alert_code", "TIME_OUT"), ("component_code", "MM-PUR-PO"), ("priority", "Very High")]
@@ -145,10 +150,12 @@ def test_request_diagnosis(spark, rows):
 
 def test_metric_intents(spark):
     texts = (
-        "Find French partners with at least 3 qualifying postings and total debit loss above EUR 20,000.", "How many partners have active policies this year?",
+        "Find French partners with at least 3 qualifying postings in the last 12 months and total debit loss above EUR 20,000.",
+        "Find partners with at least 3 qualifying postings and total debit loss above EUR 20,000.",
+        "Find partners with at least 3 qualifying postings in the last 12 months and debts and total debit loss above EUR 20,000.", "How many partners have active policies this year?",
         "Show the cost revenue ratio", "Show the claims ratio and active policies", "at least 3 qualifying claims", "hello",
     )
-    assert values(spark, grounding.metric_intent, *texts) == ["CLAIMS", "ACTIVE", "RATIO", "UNSUPPORTED", "UNSUPPORTED", "UNSUPPORTED"]
+    assert values(spark, grounding.metric_intent, *texts) == ["CLAIMS", "UNSUPPORTED", "UNSUPPORTED", "ACTIVE", "RATIO", "UNSUPPORTED", "UNSUPPORTED", "UNSUPPORTED"]
 
 
 def test_scans(spark, rows):

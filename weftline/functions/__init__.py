@@ -16,10 +16,12 @@ from weftline.functions.text import (
     iso_date,
     local_name,
     looks_like_sql,
+    mask_credentials,
     normalize_term,
     plural_variants,
     redact,
     row_digest,
+    strip,
     text_lines,
 )
 
@@ -34,12 +36,14 @@ __all__ = [
     "iso_date",
     "local_name",
     "looks_like_sql",
+    "mask_credentials",
     "money_threshold",
     "normalize_term",
     "plural_variants",
     "ratio6",
     "redact",
     "row_digest",
+    "strip",
     "support_package",
     "text_lines",
 ]

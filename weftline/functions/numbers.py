@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftline.functions.text import ascii_digits
+
 # Number words and their values.
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7,
@@ -20,17 +22,20 @@ POSTING_TERMS = (
     "qualifying claims", "qualifying financial postings", "qualifying postings", "financial postings",
 )
 
+# How an amount and a count are asked for; every Unicode blank separates.
+MONEY_PATTERN = r"(?:above|over|greater than)[\s\x1c-\x1f\x{85}\p{Z}]+(?:eur[\s\x1c-\x1f\x{85}\p{Z}]*)?([\d,]+)"
+COUNT_PATTERN = r"(?:at least|more than|over)[\s\x1c-\x1f\x{{85}}\p{{Z}}]+(\d+|[a-z]+)[\s\x1c-\x1f\x{{85}}\p{{Z}}]+(?:{})"
+
 
 def money_threshold(text: Column) -> Column:
     """The amount after above / over / greater than, thousands separators removed."""
-    found = F.regexp_extract(text, r"(?:above|over|greater than)\s+(?:eur\s*)?([\d,]+)", 1)
+    found = F.regexp_extract(ascii_digits(text), MONEY_PATTERN, 1)
     return F.replace(found, F.lit(","), F.lit("")).try_cast("bigint")
 
 
 def count_threshold(text: Column, terms: tuple[str, ...] = POSTING_TERMS) -> Column:
     """The count before a posting term, as digits or as a number word up to twenty."""
-    pattern = rf"(?:at least|more than|over)\s+(\d+|[a-z]+)\s+(?:{'|'.join(terms)})"
-    found = F.regexp_extract(text, pattern, 1)
+    found = F.regexp_extract(ascii_digits(text), COUNT_PATTERN.format("|".join(terms)), 1)
     words = F.create_map(*[F.lit(x) for x in chain.from_iterable(NUMBER_WORDS.items())])
     return F.coalesce(found.try_cast("bigint"), F.try_element_at(words, found).cast("bigint"))
 

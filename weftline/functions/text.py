@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,14 +15,17 @@ BLANKS = (
 )
 TOKEN_MARKS = ",!?;:()[]{}\"'"
 
+_DECIMALS = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.decimal(c, None) is not None]
+_DIGITS = "".join(_DECIMALS), "".join(str(unicodedata.decimal(c)) for c in _DECIMALS)
+
 # Where a text line ends.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 # Words and marks that make a text look like SQL. Field values also reject "with".
 SQL_WORDS = (
-    "alter attach begin commit copy create delete drop execute export import insert load "
-    "pragma rollback select truncate union update vacuum"
-).split()
+    "alter", "attach", "begin", "commit", "copy", "create", "delete", "drop", "execute", "export", "import",
+    "insert", "load", "pragma", "rollback", "select", "truncate", "union", "update", "vacuum",
+)
 _SQL_MARKS = r";|--|/\*|\*/"
 _CTE = r"\bwith\s+[A-Za-z_][A-Za-z0-9_]*\s+as\s*\("
 
@@ -79,10 +83,25 @@ def looks_like_sql(text: Column, natural_language: bool = False) -> Column:
     return found | F.rlike(text, F.lit(f"(?iU){_CTE}")) if natural_language else found
 
 
+def strip(text: Column) -> Column:
+    """The text without blanks of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of every script as 0 to 9."""
+    return F.translate(text, *_DIGITS)
+
+
 def redact(text: Column, limit: int = 512) -> Column:
-    """Mask credentials in four ordered steps, then cut to the limit."""
+    """Mask credentials, then cut to the limit."""
     if isinstance(limit, bool) or not isinstance(limit, int) or limit < 0:
         raise ValueError("limit must be a whole number of at least 0")
+    return F.left(mask_credentials(text), F.lit(limit))
+
+
+def mask_credentials(text: Column) -> Column:
+    """Credentials masked in four ordered steps, the text whole."""
     # The mask, the credential names and the schemes.
     mask = "[REDACTED]"
     masked = F.regexp_replace(
@@ -98,10 +117,9 @@ def redact(text: Column, limit: int = 512) -> Column:
         r"(?iU)(\b(?:password|passwd|secret|token|api[_-]?key|credential)\s*[:=]\s*)[^\s,;]+",
         f"$1{mask}",
     )
-    masked = F.regexp_replace(
+    return F.regexp_replace(
         masked, r"(?iU)\b([a-z][a-z0-9+.-]*://)([^\s/@:]*):([^\s/@]+)@", f"$1{mask}@"
     )
-    return F.left(masked, F.lit(limit))
 
 
 def local_name(iri: Column) -> Column:

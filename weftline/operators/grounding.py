@@ -15,10 +15,6 @@ from weftline.session import cut_lineage, literal_rows, small_side
 _WORD = r"[\p{L}\p{N}_]+"
 _NO_WORD = r"[^\p{L}\p{N}_]+"
 
-# Up to so many distinct first words, runs that start with none of them are dropped in the row.
-FIRST_WORDS = 20_000
-
-
 def vocabulary(concepts: DataFrame, local_values: DataFrame | None = None) -> DataFrame:
     """(concept_id, term, ordinal): the terms that name a concept, in the order they are tried.
 
@@ -84,7 +80,6 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
         raise ValueError("a term needs at least one word")
     if not sizes:
         return texts.select(key, F.lit("").alias("concept_id"), F.lit("").alias("term")).where(F.lit(False))
-    first = [row["first"] for row in shape.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
     normal = normalize_term(F.col(text))
     cut = texts.select(
         key,
@@ -94,8 +89,10 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    if len(first) <= FIRST_WORDS:
-        starts = F.filter(starts, lambda i: F.get("_words", i).isin(*first))
+    # Runs that begin with no term's first word are dropped in the row. The plan carries these words, as
+    # it carries any catalogue, so it is the same whatever their number.
+    first = [row["first"] for row in shape.select("first").distinct().collect()]
+    starts = F.filter(starts, lambda i: F.get("_words", i).isin(*first))
     # The places are kept in a frame of their own: they are used once per size.
     placed = cut.select(key, "_words", "_gaps", F.explode(F.array(starts)).alias("_starts"))
     runs = reduce(lambda a, b: F.concat(a, b), [_runs(n, F.col("_starts")) for n in sizes])
@@ -118,12 +115,13 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
 
 # Grammar words of support requests.
 FILLERS = (
-    "addressing addresses alert any an a affect all applied and application are at be before "
-    "component directly database dependencies dependency details distribution does dump errors "
-    "error affecting for find fixes fixing has have in is identify information list logged "
-    "management memory note notes must of or on package prerequisite prerequisites required "
-    "resolve resolves resolving retrieve runtime sales sap support the title under valid what which"
-).split()
+    "addressing", "addresses", "alert", "any", "an", "a", "affect", "all", "applied", "and", "application", "are",
+    "at", "be", "before", "component", "directly", "database", "dependencies", "dependency", "details",
+    "distribution", "does", "dump", "errors", "error", "affecting", "for", "find", "fixes", "fixing", "has", "have",
+    "in", "is", "identify", "information", "list", "logged", "management", "memory", "note", "notes", "must", "of",
+    "or", "on", "package", "prerequisite", "prerequisites", "required", "resolve", "resolves", "resolving",
+    "retrieve", "runtime", "sales", "sap", "support", "the", "title", "under", "valid", "what", "which",
+)
 LOOKUP_VERBS = ("find", "get", "identify", "retrieve", "what", "which")
 QUESTION_WORDS = ("find", "get", "identify", "what", "which", "list", "does")
 PREREQUISITE_MARKERS = ("dependency", "dependencies", "prerequisite", "prerequisites")
@@ -164,11 +162,14 @@ def _by_surface(entries: DataFrame) -> DataFrame:
     )
 
 
-def request_tokens(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def request_tokens(
+    texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", keep_empty: bool = False
+) -> DataFrame:
     """Tokens with their neighbours and lexicon entries, one row per token.
 
     Neighbours come from shifted arrays within the row. The lexicon is joined on the token,
-    the next token and both two-token labels.
+    the next token and both two-token labels. A text without tokens has no row, or one
+    without a token if asked for.
     """
     none = F.array(F.lit(None).cast("string"))
     listed = texts.select(key, boundary_tokens(F.col(text)).alias("_t"))
@@ -181,7 +182,8 @@ def request_tokens(texts: DataFrame, entries: DataFrame, key: str = "doc_id", te
         F.col("_t").alias("token"), before1.alias("b1"), before2.alias("b2"),
         after1.alias("a1"), after2.alias("a2"), F.sequence(F.lit(1), F.greatest(size, F.lit(1))).alias("pos"),
     )
-    tokens = listed.select(key, F.inline(zipped)).where("token IS NOT NULL")
+    tokens = listed.select(key, F.inline_outer(zipped)) if keep_empty else listed.select(key, F.inline(zipped))
+    tokens = tokens if keep_empty else tokens.where("token IS NOT NULL")
     # The lexicon is read four times: write it once, and check its size once.
     surfaces = small_side(cut_lineage(_by_surface(entries)))
 
@@ -213,10 +215,10 @@ def _priority(first: Column, second: Column) -> Column:
     return F.when(F.col("token") == "priority", value)
 
 
-def token_slots() -> Column:
-    """The slot values a token opens, as an array of (family, value)."""
+def _slot_values() -> dict[str, Column]:
+    """The slot value a token opens in each family, else null."""
     token = F.col("token")
-    values = {
+    return {
         "component_code": F.col("t_component_code"),
         "alert_code": F.col("t_alert_code"),
         "software_component": F.col("t_software_component"),
@@ -225,10 +227,14 @@ def token_slots() -> Column:
         "note_number": F.when(_is_note(token), token),
         "priority": _priority(F.col("a1"), F.col("a2")),
     }
+
+
+def token_slots() -> Column:
+    """The slot values a token opens, as an array of (family, value)."""
     return F.array_compact(
         F.array(*[
             F.when(v.isNotNull(), F.struct(F.lit(f).alias("family"), v.alias("value")))
-            for f, v in values.items()
+            for f, v in _slot_values().items()
         ])
     )
 
@@ -285,55 +291,91 @@ def _token_flags() -> dict[str, Column]:
     }
 
 
-def diagnose(tokens: DataFrame, texts: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per text: token flags, slot counts, the first failure that applies and the intent."""
+def diagnose(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per text: token flags, slot counts, the first failure that applies and the intent.
+
+    Tokens are computed once; one aggregate per text gives both flags and slots, whose
+    distinct values are bounded by the text.
+    """
+    tokens = request_tokens(texts, entries, key, text, keep_empty=True)
     cues = entries.where(F.col("family") == "product_cue").select(
         fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
     ).distinct()
     marked = tokens.join(small_side(cues), "b1", "left").withColumn(
         "_after_cue", F.coalesce("_cue", F.lit(False))
     )
-    flags = _token_flags()
-    per_text = marked.groupBy(key).agg(
-        F.count(F.lit(1)).alias("tokens"), *[F.bool_or(c).alias(n) for n, c in flags.items()]
-    )
-    counts = extract_slots(tokens, key).groupBy(key).agg(
-        *[F.count_if(F.col("family") == f).alias(f) for f in FAMILIES]
-    )
-    joined = texts.select(key).join(per_text, key, "left").join(counts, key, "left")
-    filled = joined.select(
-        key,
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("tokens", *FAMILIES)],
-        *[F.coalesce(c, F.lit(False)).alias(c) for c in flags],
+    filled = marked.groupBy(key).agg(
+        F.count("token").alias("tokens"),
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in _token_flags().items()],
+        *[F.size(F.collect_set(v)).alias(f) for f, v in _slot_values().items()],
     )
-    ambiguous = reduce(lambda a, b: a | b, [F.col(f) > 1 for f in FAMILIES])
     failure = (
         F.when(F.col("unsupported_marker"), "UNSUPPORTED_INTENT")
         .when(F.col("unknown_entity"), "UNKNOWN_ENTITY")
         .when(F.col("unknown_token"), "UNKNOWN_TOKEN")
-        .when(ambiguous, "AMBIGUOUS_INPUT")
-        .otherwise("NONE")
+        .when(reduce(lambda a, b: a | b, [F.col(f) > 1 for f in FAMILIES]), "AMBIGUOUS_INPUT")
+        .otherwise(slot_failure())
     )
-    return filled.withColumn("failure", failure).withColumn("intent", request_intent())
+    diagnosed = filled.withColumn("failure", failure)
+    return diagnosed.withColumn(
+        "intent", F.when(F.col("failure") == "NONE", _candidate()).otherwise("UNSUPPORTED")
+    )
+
 
+# The slots each intent allows.
+_SEARCH_SLOTS = ("alert_code", "component_code", "priority")
+ALLOWED_SLOTS = {
+    "PREREQUISITE_CLOSURE": ("note_number",),
+    "NOTE_LOOKUP": ("note_number",),
+    "GENERAL_SEARCH": ("note_number",),
+    "ALERT_RESOLUTION": _SEARCH_SLOTS,
+    "COMPONENT_SEARCH": ("component_code", "priority"),
+    "VERSION_FILTERED_SEARCH": (*_SEARCH_SLOTS, "product_version", "support_package"),
+}
 
-def request_intent() -> Column:
-    """The intent that the filled slots of a diagnosed text select."""
+
+def _candidate() -> Column:
+    """The intent that the filled slots select, else null."""
     return (
-        F.when(F.col("failure") != "NONE", "UNSUPPORTED")
-        .when(F.col("prerequisite"), "PREREQUISITE_CLOSURE")
+        F.when(F.col("prerequisite"), "PREREQUISITE_CLOSURE")
         .when((F.col("product_version") == 1) | (F.col("support_package") == 1), "VERSION_FILTERED_SEARCH")
         .when(F.col("alert_code") == 1, "ALERT_RESOLUTION")
         .when(F.col("component_code") == 1, "COMPONENT_SEARCH")
         .when((F.col("note_number") == 1) & F.col("lookup"), "NOTE_LOOKUP")
         .when((F.col("note_number") == 1) & (F.col("tokens") == 1), "GENERAL_SEARCH")
-        .otherwise("UNSUPPORTED")
+    )
+
+
+def slot_failure() -> Column:
+    """What the slots of a text with known, single values lack for its intent; NONE if nothing.
+
+    Looked at in this order: no intent at all; a version search without an alert or a component;
+    slots the intent does not allow; a note intent without its note; no question word where the
+    intent needs one. The order of slots in the text is not looked at.
+    """
+    candidate = _candidate()
+    extra = reduce(
+        lambda a, b: a | b,
+        [(candidate == name) & (F.col(f) > 0) for name, ok in ALLOWED_SLOTS.items() for f in FAMILIES if f not in ok],
+    )
+    asks = candidate.isin("PREREQUISITE_CLOSURE", "ALERT_RESOLUTION", "COMPONENT_SEARCH", "VERSION_FILTERED_SEARCH")
+    return (
+        F.when(candidate.isNull(), "MISSING_REQUIRED_ENTITY")
+        .when(
+            (candidate == "VERSION_FILTERED_SEARCH") & (F.col("alert_code") == 0) & (F.col("component_code") == 0),
+            "UNKNOWN_TOKEN",
+        )
+        .when(extra, "UNSUPPORTED_INTENT")
+        .when((candidate == "PREREQUISITE_CLOSURE") & (F.col("note_number") == 0), "UNSUPPORTED_INTENT")
+        .when(asks & ~F.col("question"), "UNSUPPORTED_INTENT")
+        .otherwise("NONE")
     )
 
 
 # Phrases that ask for each metric.
 LOSS_PHRASES = ("incurred loss", "debit loss", "financial loss")
 ACTIVE_PHRASES = ("active polic", "active sales", "released sales")
+CLAIMS_WINDOW = "last 12 months"
 RATIO_PHRASES = ("claims ratio", "cost-revenue ratio", "cost revenue ratio")
 
 
@@ -344,17 +386,19 @@ def _mentions(text: Column, phrases: Sequence[str]) -> Column:
 def metric_intent(text: Column) -> Column:
     """CLAIMS, ACTIVE or RATIO where exactly one is asked for, else UNSUPPORTED.
 
-    A claims question needs both a count and a loss threshold.
+    A claims question needs both a count and a loss threshold, joined by the only "and", and
+    its window of twelve months.
     """
     question = F.lower(text)
     has_count = count_threshold(question).isNotNull()
     has_loss = _mentions(question, LOSS_PHRASES) & money_threshold(question).isNotNull()
+    conjunctions = F.size(F.split(question, " and ")) - 1
     active, ratio = _mentions(question, ACTIVE_PHRASES), _mentions(question, RATIO_PHRASES)
     asked = (has_count | has_loss).cast("int") + active.cast("int") + ratio.cast("int")
     return (
         F.when(asked != 1, "UNSUPPORTED")
         .when(active, "ACTIVE")
         .when(ratio, "RATIO")
-        .when(has_count & has_loss, "CLAIMS")
+        .when(has_count & has_loss & F.contains(question, F.lit(CLAIMS_WINDOW)) & (conjunctions == 1), "CLAIMS")
         .otherwise("UNSUPPORTED")
     )

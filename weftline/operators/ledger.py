@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import row_digest
-from weftline.sources.digests import tree_digest
+from weftline.sources.digests import LEVELS, tree_digest
 
 # The hash before the first row.
 GENESIS = "0" * 64
 
 
-def result_digest(result: DataFrame, keys: Sequence[str], levels: int | None = None) -> DataFrame:
+def result_digest(result: DataFrame, keys: Sequence[str], levels: int = LEVELS) -> DataFrame:
     """Row count and digest of a result whose key columns identify its rows.
 
     The key is part of every hashed row, so the digest does not depend on row order and no
@@ -98,7 +98,8 @@ def provenance_lookup(ledger: DataFrame, checkpoints: DataFrame, query_id: str)
     """The record of one id, refused if the chain does not verify or the id is unknown."""
     if not ledger_violations(ledger, checkpoints).isEmpty():
         raise ValueError("ledger integrity is invalid")
-    return trusted_records(ledger, checkpoints).where(F.col("query_id") == query_id)
+    records = ledger.where(F.col("query_id") == query_id)
+    return records.select("chain_id", "query_id", "document", "signature")
 
 
 def trusted_records(ledger: DataFrame, checkpoints: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import fold_case
+from weftline.functions.text import fold_case, strip
 from weftline.session import small_side
 
 
 def _lookup_key(value: Column) -> Column:
-    return fold_case(F.trim(value))
+    return fold_case(strip(value))
 
 
 def normalize_values(

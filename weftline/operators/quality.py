@@ -8,13 +8,17 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import iso_date
+from weftline.functions.text import fold_case, iso_date, strip
 from weftline.schemas import CONTRACTS, COUNTRIES, TableContract
 from weftline.session import literal_rows, small_side
 
 # Identifier texts that count as missing.
 MISSING_IDENTIFIERS = ("", "null", "none")
 
+# How a number may be written.
+_DIGITS = r"\d+(?:_\d+)*"
+NUMBER = rf"(?i)\A[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
+
 # Issue messages.
 MESSAGES = {
     "MISSING_EXPECTED_DATASET": "required table is missing",
@@ -35,7 +39,7 @@ ISSUE_SCHEMA = "code string, file string, row_number bigint, field string, messa
 
 
 def is_missing(value: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin(*MISSING_IDENTIFIERS)
+    return fold_case(strip(F.coalesce(value, F.lit("")))).isin(*MISSING_IDENTIFIERS)
 
 
 def _issue(code: str, field: str, condition: Column) -> Column:
@@ -82,7 +86,8 @@ def number_issue(column: str) -> Column:
             _issue("NEGATIVE_LOSS", column, number < 0),
         )
 
-    return _once(F.trim(F.col(column)).try_cast("double"), judge)
+    written = strip(F.coalesce(F.col(column), F.lit("")))
+    return _once(F.when(F.rlike(written, F.lit(NUMBER)), F.replace(written, F.lit("_"), F.lit("")).try_cast("double")), judge)
 
 
 def country_issues(has_product: bool) -> list[Column]:
@@ -146,7 +151,7 @@ def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> Data
     The first row is found by a partial aggregate, then joined back, so a single identifier
     on a third of the rows is neither sorted nor collected in one task.
     """
-    identified = rows.where(~is_missing(F.col(key))).select(F.trim(F.col(key)).alias(key), order)
+    identified = rows.where(~is_missing(F.col(key))).select(strip(F.col(key)).alias(key), order)
     repeated = (
         identified.groupBy(key)
         .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,7 @@ from weftline.session import cut_lineage, small_side
 TOP_NOTES = 25
 BUDGET = 3
 DROP_BOUNDS, WIDEN_COMPONENT = "RELAX_SUPPORT_PACKAGE", "WIDEN_COMPONENT"
+EMPTY_STRICT, MISSING_ENTITY = "EMPTY_STRICT_RESULT", "MISSING_REQUIRED_ENTITY"
 
 EQUALS = ("note_number", "alert_code", "component_code", "product_version", "priority")
 SLOTS = (*EQUALS, "support_package")
@@ -59,6 +60,17 @@ def range_join(
     return requests.join(notes, list(keys)).where(inside)
 
 
+def is_anchored(requests: DataFrame) -> Column:
+    """Whether a request fills one of the slots a search starts from."""
+    filled = [F.col(c).isNotNull() for c in ANCHORS if c in requests.columns]
+    return reduce(lambda a, b: a | b, filled, F.lit(False))
+
+
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """(request_id, reason) of requests that no search can start from; the others are searched."""
+    return requests.where(~is_anchored(requests)).select("request_id", F.lit(MISSING_ENTITY).alias("reason"))
+
+
 def note_search(
     requests: DataFrame,
     graph: NoteGraph,
@@ -67,15 +79,24 @@ def note_search(
 ) -> DataFrame:
     """The newest matching notes of every request: (request_id, note, note_number, title, rank).
 
-    A request column that is null does not constrain. Requests with the same constraints are
-    searched once. They are split by which equal slots they fill, at most 32 ways, so that
-    every split is a plain equi join; the package range is a residual condition. The top notes
-    are cut per search, with a partial cut before the shuffle, and only they meet the requests.
+    A request column that is null does not constrain; a request without an anchor has no row
+    (rejected_requests names it). Requests with the same constraints are searched once. They are
+    split by which equal slots they fill, at most 32 ways, so that every split is a plain equi
+    join; the package range is a residual condition. The top notes are cut per search, with a
+    partial cut before the shuffle, and only they meet the requests.
     """
+    found = _searched(requests, graph, top, ancestors)
+    return found.where("in_bounds").drop("in_bounds")
+
+
+def _searched(
+    requests: DataFrame, graph: NoteGraph, top: int, ancestors: DataFrame | None, beyond: bool = False
+) -> DataFrame:
+    """The top matches of every request, with in_bounds; matches out of bounds are kept if asked for."""
     slots = [c for c in SLOTS if c in requests.columns]
     if not slots:
         raise ValueError("requests have no slot column")
-    asked = requests.select("request_id", *[F.col(c).alias(f"want_{c}") for c in slots])
+    asked = requests.where(is_anchored(requests)).select("request_id", *[F.col(c).alias(f"want_{c}") for c in slots])
     wants = [f"want_{c}" for c in slots]
     searches = asked.select(*wants).distinct()
     equal = [c for c in slots if c in EQUALS]
@@ -84,20 +105,20 @@ def note_search(
     if ancestors is None and graph.parents is not None and any("component_code" in m for m in masks):
         ancestors = component_ancestors(graph.parents)
     # One split needs no test of which slots are filled.
-    parts = [_search_mask(searches, slots, mask, len(masks) > 1, graph, ancestors, top) for mask in masks]
+    parts = [_search_mask(searches, slots, mask, len(masks) > 1, graph, ancestors, top, beyond) for mask in masks]
     if not parts:
         return _no_matches(asked, graph)
     found = reduce(DataFrame.unionByName, parts)
     # Equal null-safe keys as plain keys: each slot as a value and whether it is filled.
     same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(found[c]) for c in wants])
-    return asked.join(found, same).select("request_id", "note", "note_number", "title", "rank")
+    return asked.join(found, same).select("request_id", "note", "note_number", "title", "rank", "in_bounds")
 
 
 def _no_matches(asked: DataFrame, graph: NoteGraph) -> DataFrame:
     notes = graph.notes.where(F.lit(False))
     return notes.select(
         F.lit(None).cast(asked.schema["request_id"].dataType).alias("request_id"),
-        "note", "note_number", "title", F.lit(0).alias("rank"),
+        "note", "note_number", "title", F.lit(0).alias("rank"), F.lit(True).alias("in_bounds"),
     )
 
 
@@ -136,9 +157,8 @@ def _search_mask(
     graph: NoteGraph,
     ancestors: DataFrame | None,
     top: int,
+    beyond: bool,
 ) -> DataFrame:
-    if not set(mask) & set(ANCHORS):
-        raise ValueError(f"a search needs one of {ANCHORS}, got {list(mask)}")
     wanted = searches
     for slot in [c for c in slots if c in EQUALS and several]:
         value = F.col(f"want_{slot}")
@@ -147,12 +167,16 @@ def _search_mask(
     offered = _offered_notes(mask, bounded, graph, ancestors)
     equal = [wanted[f"want_{c}"] == offered[c] for c in EQUALS if c in mask]
     matched = wanted.join(offered, reduce(lambda a, b: a & b, equal))
+    inside = F.lit(True)
     if bounded:
         package = F.col("want_support_package")
-        matched = matched.where(package.isNull() | package.between(F.col("min_sp"), F.col("max_sp")))
+        inside = F.coalesce(package.isNull() | package.between(F.col("min_sp"), F.col("max_sp")), F.lit(False))
+    matched = matched.withColumn("in_bounds", inside)
+    if not beyond:
+        matched = matched.where("in_bounds")
     wants = [f"want_{c}" for c in slots]
-    newest = Window.partitionBy(*wants).orderBy(F.col("note_number").desc(), F.col("note"))
-    ranked = matched.select(*wants, "note", "note_number", "title").withColumn(
+    newest = Window.partitionBy(*wants, "in_bounds").orderBy(F.col("note_number").desc(), F.col("note"))
+    ranked = matched.select(*wants, "note", "note_number", "title", "in_bounds").withColumn(
         "rank", F.row_number().over(newest)
     )
     return ranked.where(F.col("rank") <= top)
@@ -175,11 +199,12 @@ def prerequisite_search(
 
 @dataclass(frozen=True)
 class Relaxed:
-    """Strict results, relaxed candidates and one ledger row per step tried."""
+    """Strict results, relaxed candidates, one ledger row per step tried, and requests not searched."""
 
     strict: DataFrame
     relaxed: DataFrame
     attempts: DataFrame
+    rejected: DataFrame
 
 
 def parent_by_code(code):
@@ -210,38 +235,44 @@ def relax_search(
 ) -> Relaxed:
     """Strict search; what stays empty drops its package bounds, then widens its component.
 
-    Both steps follow the order given and a request stops at its first non-empty step. The
-    strict status of a relaxed request stays empty: candidates are a separate table, and one
-    request's result never ends another's search. attempts holds one row per request and step
-    run, with the changed slots and the number of bindings.
+    Both steps follow the order given and a request stops at its first non-empty step. One join
+    gives the matches inside and outside the bounds: the strict result is those inside, the
+    first step those of requests without any inside; only the rest goes to the search of the
+    parents. The strict status of a relaxed request stays empty: candidates are a separate
+    table, and one request's result never ends another's search; requests without an anchor
+    are rejected. attempts holds one row per request and step run, with the changed slots and
+    the number of bindings. Building the result runs the searches.
     """
-    requests = cut_lineage(requests)
+    rejected = rejected_requests(requests)
+    requests = cut_lineage(requests.where(is_anchored(requests)))
     parents = graph.parents
     if graph.components is not None and "component_code" in requests.columns:
-        # All three searches read the same covered components: write them once.
+        # Both searches read the same covered components: write them once.
         above = component_ancestors(parents) if parents is not None else None
         graph = replace(graph, components=cut_lineage(covered_components(graph, above)), parents=None)
-    strict = cut_lineage(note_search(requests, graph, top))
-    attempts = [_attempts(requests, strict, 0, "EMPTY_STRICT_RESULT", "")]
-    pending = requests.join(strict.select("request_id").distinct(), "request_id", "left_anti")
-    pending = cut_lineage(pending)
+    bounds = "support_package" in requests.columns
+    drops, step = bounds and budget > 0, 0
+    matched = cut_lineage(_searched(requests, graph, top, None, beyond=drops))
+    strict = matched.where("in_bounds").drop("in_bounds")
+    hits = strict.select("request_id").distinct()
+    attempts = [_attempts(requests, strict, 0, EMPTY_STRICT, "")]
+    pending = requests.join(hits, "request_id", "left_anti")
     relaxed: list[DataFrame] = []
-    step = 0
-    if "support_package" in requests.columns and budget > step:
-        bounded = pending.where("support_package IS NOT NULL").withColumn(
-            "support_package", F.lit(None).cast(requests.schema["support_package"].dataType)
-        )
-        found = cut_lineage(note_search(bounded, graph, top))
+    if drops:
         step += 1
-        attempts.append(_attempts(bounded, found, step, DROP_BOUNDS, "support_package"))
+        found = matched.where("NOT in_bounds").drop("in_bounds").join(hits, "request_id", "left_anti")
+        attempts.append(_attempts(pending.where("support_package IS NOT NULL"), found, step, DROP_BOUNDS, "support_package"))
         relaxed.append(_tagged(found, step, DROP_BOUNDS))
+        pending = requests.join(matched.select("request_id").distinct(), "request_id", "left_anti")
+    if bounds:
         pending = pending.withColumn(
-            "support_package", F.lit(None).cast(requests.schema["support_package"].dataType)
-        ).join(found.select("request_id").distinct(), "request_id", "left_anti")
+            "support_package",
+            F.lit(None).cast(requests.schema["support_package"].dataType) if drops else F.col("support_package"),
+        )
     if "component_code" in requests.columns and budget > step:
+        step += 1
         wider = cut_lineage(widen(pending, None if by_code else parents))
         found = cut_lineage(note_search(wider, graph, top))
-        step += 1
         attempts.append(_attempts(wider, found, step, WIDEN_COMPONENT, "component"))
         relaxed.append(_tagged(found, step, WIDEN_COMPONENT))
     candidates = (
@@ -249,7 +280,7 @@ def relax_search(
         if relaxed
         else _tagged(strict.where(F.lit(False)), 0, "NONE")
     )
-    return Relaxed(strict, candidates, reduce(DataFrame.unionByName, attempts))
+    return Relaxed(strict, candidates, reduce(DataFrame.unionByName, attempts), rejected)
 
 
 def _tagged(found: DataFrame, step: int, reason: str) -> DataFrame:
@@ -261,14 +292,17 @@ def _attempts(asked: DataFrame, found: DataFrame, step: int, reason: str, change
     return asked.select("request_id").join(bindings, "request_id", "left").select(
         "request_id",
         F.lit(step).alias("step"),
-        F.lit(reason).alias("reason"),
+        (F.when(F.col("bindings") > 0, "NONE").otherwise(reason) if reason == EMPTY_STRICT else F.lit(reason)).alias("reason"),
         F.lit(changed).alias("changed"),
         F.coalesce("bindings", F.lit(0).cast("bigint")).alias("bindings"),
     )
 
 
 def relaxation_outcome(requests: DataFrame, result: Relaxed) -> DataFrame:
-    """Per request: strict status, scope of what it got, last step, reason and binding count."""
+    """Per request: strict status, scope of what it got, last step, reason and binding count.
+
+    A request that was not searched is UNSUPPORTED, with the reason.
+    """
     last = result.attempts.groupBy("request_id").agg(
         F.max_by(F.struct("step", "reason", "bindings"), "step").alias("last"),
         F.max(F.when(F.col("step") == 0, F.col("bindings"))).alias("_strict"),
@@ -276,7 +310,7 @@ def relaxation_outcome(requests: DataFrame, result: Relaxed) -> DataFrame:
     joined = requests.select("request_id").join(last, "request_id")
     strict_hit = F.col("_strict") > 0
     scope = F.when(strict_hit, "strict").when(F.col("last.bindings") > 0, "relaxed").otherwise("none")
-    return joined.select(
+    searched = joined.select(
         "request_id",
         F.when(strict_hit, "SUCCESS").otherwise("EMPTY_RESULT").alias("status"),
         scope.alias("scope"),
@@ -284,3 +318,8 @@ def relaxation_outcome(requests: DataFrame, result: Relaxed) -> DataFrame:
         F.when(strict_hit, "NONE").otherwise(F.col("last.reason")).alias("reason"),
         F.col("last.bindings").alias("bindings"),
     )
+    refused = result.rejected.select(
+        "request_id", F.lit("UNSUPPORTED").alias("status"), F.lit("none").alias("scope"), F.lit(0).alias("step"), "reason",
+        F.lit(0).cast("bigint").alias("bindings"),
+    )
+    return searched.unionByName(refused)

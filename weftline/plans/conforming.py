@@ -72,20 +72,24 @@ def a09(t: Tables) -> DataFrame:
     return digests.content_manifest(_contents(t))
 
 
-_SQL_TREE = """, leaves AS (SELECT DISTINCT sha256(line) AS h FROM lines),
- l2 AS (SELECT substr(h, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM leaves GROUP BY 1),
+# Hashes of lines, then of groups by prefix, two hex digits shorter each time.
+SQL_TREE_LEVELS = """
+ l4 AS (SELECT substr(h, 1, 8) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM leaves GROUP BY 1),
+ l3 AS (SELECT substr(k, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l4 GROUP BY 1),
+ l2 AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l3 GROUP BY 1),
  l1 AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l2 GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest FROM l1"""
+SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest"""
+SQL_TREE = ", leaves AS (SELECT DISTINCT sha256(line) AS h FROM lines)," + SQL_TREE_LEVELS + " FROM l1"
 
 
 @register(
     "a09_manifest_digest",
     with_tables(_SQL_MANIFEST)
-    + ", lines AS (SELECT path || chr(0) || sha256 || chr(0) || byte_length AS line FROM manifest)" + _SQL_TREE,
+    + ", lines AS (SELECT path || chr(0) || sha256 || chr(0) || byte_length AS line FROM manifest)" + SQL_TREE,
 )
 def a09_digest(t: Tables) -> DataFrame:
     lines = digests.content_manifest(_contents(t)).select(digests.manifest_line().alias("line"))
-    return digests.tree_digest(lines, "line", levels=2)
+    return digests.tree_digest(lines, "line")
 
 
 @register(
@@ -109,7 +113,7 @@ def a10(t: Tables) -> DataFrame:
 
 
 _SEGMENTS = (
-    ("erp", "products", "AUTOMOBILE", "ProductAutomotive"), ("erp", "products", "Building ", "ProductCommercial"),
+    ("erp", "products", "AUTOMOBILE", "ProductAutomotive"), ("erp", "products", "Building\u00a0\t", "ProductCommercial"),
     ("erp", "products", "FURNITURE", "ProductCommercial"), ("erp", "products", "household", "ProductHousehold"),
     ("erp", "statuses", "P", "REVERSED"), ("erp", "order_statuses", "P", "CANCELLED"),
     ("erp", "order_statuses", "O", "RELEASED"), ("erp", "statuses", "O", "POSTED"), ("erp", "statuses", "F", "CLEARED"),
@@ -417,17 +421,17 @@ def _questions(t: Tables) -> DataFrame:
     """One claims question per order, with its price and priority as thresholds."""
     words = F.element_at(F.array(*[F.lit(w) for w in ("two", "three", "eleven", "twenty", "dozen")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     price = F.format_number(F.floor("o_totalprice"), 0)
-    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("at least "), words, F.lit(" qualifying claims and total loss above eur "), price))
+    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("at least "), words, F.lit(" qualifying claims and total loss above\u00a0eur\t"), price))
     text = text.when(
         F.col("o_orderstatus") == "O",
-        F.concat(F.lit("over "), (F.col("o_custkey") % 30).cast("string"), F.lit(" financial postings, loss greater than "), price, F.lit(" eur")),
+        F.concat(F.lit("over\u2003"), (F.col("o_custkey") % 30).cast("string"), F.lit(" financial postings, loss greater than "), price, F.lit(" eur")),
     ).otherwise(F.concat(F.lit("show all postings near "), price))
     return t.orders.select("o_orderkey", text.alias("question"))
 
 
 _SQL_QUESTION = """q AS (SELECT o_orderkey, CASE o_orderstatus
-  WHEN 'F' THEN 'at least ' || ['two','three','eleven','twenty','dozen'][o_orderkey % 5 + 1] || ' qualifying claims and total loss above eur ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT))
-  WHEN 'O' THEN 'over ' || (o_custkey % 30) || ' financial postings, loss greater than ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ' eur'
+  WHEN 'F' THEN 'at least ' || ['two','three','eleven','twenty','dozen'][o_orderkey % 5 + 1] || ' qualifying claims and total loss above' || chr(160) || 'eur' || chr(9) || format('{:,}', CAST(floor(o_totalprice) AS BIGINT))
+  WHEN 'O' THEN 'over' || chr(8195) || (o_custkey % 30) || ' financial postings, loss greater than ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ' eur'
   ELSE 'show all postings near ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) END AS question,
   o_orderstatus, o_custkey, o_totalprice FROM orders)"""
 
@@ -476,14 +480,17 @@ def g06(t: Tables) -> DataFrame:
 
 @register(
     "g07_redact",
-    """SELECT doc_id, sha256(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    """WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
   '(?i)(authorization\\s*[:=]\\s*(?:bearer|basic)\\s+)[^\\s,;]+', '\\1[REDACTED]', 'g'),
   '(?i)\\bbasic\\s+[^\\s,;]+', 'Basic [REDACTED]', 'g'), '(?i)\\bbearer\\s+[^\\s,;]+', 'Bearer [REDACTED]', 'g'),
   '(?i)(\\b(?:password|passwd|secret|token|api[_-]?key|credential)\\s*[:=]\\s*)[^\\s,;]+', '\\1[REDACTED]', 'g'),
-  '(?i)\\b([a-z][a-z0-9+.-]*://)([^\\s/@:]*):([^\\s/@]+)@', '\\1[REDACTED]@', 'g'), 100000)) AS digest FROM documents""",
+  '(?i)\\b([a-z][a-z0-9+.-]*://)([^\\s/@:]*):([^\\s/@]+)@', '\\1[REDACTED]@', 'g') AS masked FROM documents)
+SELECT doc_id, sha256(masked) AS digest, sha256(left(masked, 512)) AS cut_digest FROM m""",
 )
 def g07(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(fn.redact(F.col("text"), 100_000), 256).alias("digest"))
+    """Whole texts masked, and the diagnostic form cut to 512 characters."""
+    whole, cut = fn.mask_credentials(F.col("text")), fn.redact(F.col("text"))
+    return t.documents.select("doc_id", F.sha2(whole, 256).alias("digest"), F.sha2(cut, 256).alias("cut_digest"))
 
 
 @register("g08_local_name", "SELECT page_id, regexp_extract(url, '([^/#]*)$', 1) AS name FROM pages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import evaluate, graph
 from weftline.plans.graphs import NUMBER, TITLE, part_triples
+from weftline.plans.quality import SQL_NUMBER, line_number
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
 from weftline.plans.texts import _SQL_DIAGNOSIS, SQL_REQUESTS, diagnosis
@@ -310,7 +311,7 @@ def n04(t: Tables) -> DataFrame:
     "n05_corpus_validation",
     with_tables(SQL_REQUESTS, _SQL_DIAGNOSIS) + """, x AS (SELECT doc_id AS id, st AS corpus_id, pri, failure, intent,
    CASE WHEN st = 'P' AND pri = '1-URGENT' THEN 'UNSUPPORTED' WHEN st = 'F' THEN 'EMPTY_RESULT' WHEN st = 'P' AND pri = '2-HIGH' THEN 'UNSUPPORTED' ELSE 'SUCCESS' END AS es FROM intents),
- wanted AS (SELECT o_orderkey AS id, o_orderstatus AS corpus_id FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED')
+ wanted AS (SELECT """ + SQL_NUMBER + """ AS id, o_orderstatus AS corpus_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority <> '4-NOT SPECIFIED')
 SELECT corpus_id, id, 'UNEXPECTED_ID' AS violation FROM x WHERE pri = '4-NOT SPECIFIED'
 UNION ALL SELECT corpus_id, id, 'MISSING_ID' FROM wanted WHERE id NOT IN (SELECT id FROM x)
 UNION ALL SELECT corpus_id, id, 'NOT_GROUNDED' FROM x WHERE es IN ('SUCCESS', 'EMPTY_RESULT') AND (failure <> 'NONE' OR intent = 'UNSUPPORTED')
@@ -322,11 +323,12 @@ def n05(t: Tables) -> DataFrame:
     declared = (
         F.when((st == "P") & pri.isin("1-URGENT", "2-HIGH"), "UNSUPPORTED").when(st == "F", "EMPTY_RESULT").otherwise("SUCCESS")
     )
-    orders = t.orders.select(
-        F.col("o_orderkey").alias("id"), st.alias("corpus_id"),
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    records = lines.select(
+        line_number().alias("id"), st.alias("corpus_id"),
         F.when((pri == "3-MEDIUM") & (st == "F"), "other").otherwise(st).alias("record_corpus"),
         declared.alias("expected_status"), F.lit("UNSUPPORTED_INTENT").alias("reflection_reason"),
     )
     found = diagnosis(t).select(F.col("doc_id").alias("id"), "failure", "intent")
-    expected = t.orders.where("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_orderstatus").alias("corpus_id"), F.col("o_orderkey").alias("id"))
-    return evaluate.corpus_violations(orders.join(found, "id"), expected)
+    expected = lines.where("o_orderpriority <> '4-NOT SPECIFIED'").select(st.alias("corpus_id"), line_number().alias("id"))
+    return evaluate.corpus_violations(records.join(found, "id"), expected)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import ledger, metrics, policy
 from weftline.plans.business import _SQL_JOINED, _joined
+from weftline.plans.conforming import SQL_TREE_LEVELS
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
 from weftline.session import literal_rows
@@ -191,12 +192,11 @@ def l06(t: Tables) -> DataFrame:
     "n01_result_digest",
     _SQL_JOINED + """, res AS (SELECT partner_id, COUNT(DISTINCT journal_entry_id) AS posting_count FROM joined GROUP BY 1),
  leaves AS (SELECT sha256(partner_id || '|' || sha256('{"partner_id":' || partner_id || ',"posting_count":' || posting_count || '}')) AS h FROM res),
- l1 AS (SELECT substr(h, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM leaves GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest, (SELECT COUNT(*) FROM res) AS row_count FROM l1""",
+""" + SQL_TREE_LEVELS + ", (SELECT COUNT(*) FROM res) AS row_count FROM l1",
 )
 def n01(t: Tables) -> DataFrame:
     result = _joined(t).groupBy("partner_id").agg(metrics.posting_count())
-    return ledger.result_digest(result, ["partner_id"], levels=1)
+    return ledger.result_digest(result, ["partner_id"])
 
 
 def order_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import closure as reach
 from weftline.operators import evaluate, filters, graph, search
+from weftline.plans.conforming import SQL_TREE
 from weftline.plans.registry import register
 from weftline.plans.tables import SQL_EDGES, Tables, with_tables
 from weftline.session import scratch_path
@@ -369,10 +370,7 @@ def f02(t: Tables) -> DataFrame:
 @register(
     "f03_graph_digest",
     SQL_GRAPH + f", lines AS (SELECT DISTINCT {_SQL_LINE} AS line FROM (SELECT * FROM part_t UNION ALL SELECT * FROM comp_t UNION ALL SELECT * FROM aff_t))"
-    + """, leaves AS (SELECT DISTINCT sha256(line) AS h FROM lines),
- l2 AS (SELECT substr(h, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM leaves GROUP BY 1),
- l1 AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l2 GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest FROM l1""",
+    + SQL_TREE,
 )
 def f03(t: Tables) -> DataFrame:
-    return digests.tree_digest(note_graph(t).select(triples.ntriples_line().alias("line")), "line", levels=2)
+    return digests.tree_digest(note_graph(t).select(triples.ntriples_line().alias("line")), "line")

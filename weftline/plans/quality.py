@@ -40,7 +40,7 @@ def raw_orders(t: Tables) -> DataFrame:
     """Orders as texts, as a source system might send them."""
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     price, day = F.col("o_totalprice").cast("string"), F.col("o_orderdate")
-    partner = F.when((priority == "5-LOW") & (status == "P"), " NULL ").when((priority == "5-LOW") & (status == "F"), "")
+    partner = F.when((priority == "5-LOW") & (status == "P"), " \tNULL\u00a0").when((priority == "5-LOW") & (status == "F"), "")
     value = F.when(priority == "1-URGENT", "NaN").when(priority == "3-MEDIUM", F.concat(F.lit("-"), price))
     return t.orders.join(_countries(t), F.col("o_custkey") == F.col("c_custkey")).select(
         (F.col("o_orderkey") + 2).alias("row_number"),
@@ -51,7 +51,9 @@ def raw_orders(t: Tables) -> DataFrame:
         F.when(status == "O", "RELEASED").when(status == "F", "CLOSED").otherwise("HELD").alias("order_status"),
         F.when(priority == "2-HIGH", F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("effective_date"),
         F.lit("").alias("expiry_date"),
-        value.when((priority == "4-NOT SPECIFIED") & (status == "P"), "n/a").otherwise(price).alias("net_value_eur"),
+        value.when((priority == "4-NOT SPECIFIED") & (status == "P"), "12d").when(
+            (priority == "4-NOT SPECIFIED") & (status == "F"), "\u00a01_000\t"
+        ).otherwise(price).alias("net_value_eur"),
     )
 
 
@@ -81,12 +83,12 @@ def line_number() -> Column:
     return key * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")
 
 
-_SQL_NUMBER = "(l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
+SQL_NUMBER = "(l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
 _SQL_RAW = f"""c AS (SELECT c_custkey, c_mktsegment, ['FR', 'GB', 'DE', 'XX', NULL][n_regionkey + 1] AS country
    FROM customer JOIN nation ON c_nationkey = n_nationkey),
  raw AS (SELECT o_orderkey + 2 AS row_number, o_orderkey, o_orderpriority AS pri, o_orderstatus AS st, o_orderdate, o_totalprice,
    country, c_mktsegment AS product FROM orders JOIN c ON o_custkey = c_custkey),
- rawp AS (SELECT {_SQL_NUMBER} AS row_number,
+ rawp AS (SELECT {SQL_NUMBER} AS row_number,
    l_orderkey * 10 + l_linenumber AS key, l_returnflag, l_shipdate, l_extendedprice, country, c_mktsegment AS product
    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey)"""
 _OK_PRODUCT = """((country = 'FR' AND product IN ('AUTOMOBILE', 'BUILDING')) OR (country = 'DE' AND product IN ('FURNITURE', 'MACHINERY')))"""
@@ -140,12 +142,13 @@ def h02(t: Tables) -> DataFrame:
 
 @register(
     "h03_duplicate_identifier",
-    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS key, {_SQL_NUMBER} AS row_number FROM lineitem)
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS key, {SQL_NUMBER} AS row_number FROM lineitem)
 SELECT CAST(key AS VARCHAR) AS journal_entry_id, row_number FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_number) AS rn FROM r) WHERE rn > 1""",
 )
 def h03(t: Tables) -> DataFrame:
-    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    blank = F.when(F.col("l_quantity") > 25, "\t\u00a0").otherwise("")
+    key = F.concat((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), blank)
     return quality.duplicate_rows(t.lineitem.select(key.alias("journal_entry_id"), line_number().alias("row_number")), "journal_entry_id")
 
 

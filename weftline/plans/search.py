@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import search
+from weftline.plans.quality import SQL_NUMBER, line_number
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
 
@@ -34,28 +35,32 @@ def part_notes(t: Tables) -> search.NoteGraph:
 
 
 def order_requests(t: Tables) -> DataFrame:
-    """One request per order: the first line's part, sold by the last line's supplier."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    ends = t.lineitem.groupBy("l_orderkey").agg(F.min(line).alias("first"), F.max(line).alias("last"))
-    asked = ends.select(
-        F.col("l_orderkey").alias("request_id"), F.col("first.l_partkey").alias("p_partkey"), F.col("last.l_suppkey").alias("supplier"),
-        F.col("last.l_linenumber").alias("line"),
-    )
-    package = F.when(F.col("line") > 6, None).when(F.col("supplier") % 2 == 0, 15).otherwise(5)
-    return asked.join(t.part.select("p_partkey", "p_type", "p_brand"), "p_partkey").select(
-        "request_id",
-        F.col("p_type").alias("alert_code"),
-        F.col("p_brand").alias("product_version"),
-        F.concat(F.lit("S"), F.col("supplier").cast("string")).alias("component_code"),
-        package.cast("int").alias("support_package"),
+    """One request per order line: its part, sold by the supplier of the order's last line.
+
+    Lines without a discount name no alert and no component, so no search can start from them.
+    """
+    last = t.lineitem.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("supplier"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", line_number().alias("request_id"), (F.col("l_discount") > 0).alias("named"))
+    package = F.when(F.col("l_linenumber") > 6, None).when(F.col("supplier") % 2 == 0, 15).otherwise(5)
+    return (
+        lines.join(last, "l_orderkey")
+        .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
+        .select(
+            "request_id",
+            F.when(F.col("named"), F.col("p_type")).alias("alert_code"),
+            F.col("p_brand").alias("product_version"),
+            F.when(F.col("named"), F.concat(F.lit("S"), F.col("supplier").cast("string"))).alias("component_code"),
+            package.cast("int").alias("support_package"),
+        )
     )
 
 
 _SQL_SEARCH = with_tables(
-    """ends AS (SELECT l_orderkey AS request_id,
-   min({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS a, max({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS b FROM lineitem GROUP BY 1)""",
-    """req AS (SELECT request_id, p_type, p_brand, 'S' || b.s AS comp,
-   CASE WHEN b.n > 6 THEN NULL WHEN b.s % 2 = 0 THEN 15 ELSE 5 END AS pkg FROM ends JOIN part ON p_partkey = a.p)""",
+    """ends AS (SELECT l_orderkey, max({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS b FROM lineitem GROUP BY 1)""",
+    f"""every AS (SELECT {SQL_NUMBER} AS request_id, p_type, p_brand, 'S' || b.s AS comp, l_discount > 0 AS named,
+   CASE WHEN l_linenumber > 6 THEN NULL WHEN b.s % 2 = 0 THEN 15 ELSE 5 END AS pkg
+   FROM lineitem JOIN ends USING (l_orderkey) JOIN part ON p_partkey = l_partkey)""",
+    "req AS (SELECT * FROM every WHERE named)",
     "nc AS (SELECT DISTINCT l_partkey AS note, l_suppkey AS s FROM lineitem)",
     """up AS (SELECT 'S' || s_suppkey AS code, 'S' || s_suppkey AS anc, s_suppkey AS s FROM supplier
    UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, s_suppkey FROM supplier
@@ -75,21 +80,32 @@ _SQL_SEARCH = with_tables(
 
 @register(
     "c07_range_join",
-    _SQL_SEARCH + """SELECT request_id, p_partkey AS note FROM req JOIN part USING (p_type, p_brand)
-WHERE pkg BETWEEN p_size % 10 AND p_size % 10 + 3""",
+    _SQL_SEARCH + """, asked AS (SELECT DISTINCT comp, p_brand, pkg FROM req WHERE pkg IS NOT NULL)
+SELECT comp || '/' || asked.p_brand || '/' || pkg AS request_id, note FROM asked JOIN nc ON 'S' || s = comp
+JOIN part ON p_partkey = note AND part.p_brand = asked.p_brand WHERE pkg BETWEEN p_size % 10 AND p_size % 10 + 3""",
 )
 def c07(t: Tables) -> DataFrame:
+    """Each distinct component, version and package is searched once."""
     low = F.col("p_size") % 10
-    notes = t.part.select(
-        F.col("p_partkey").alias("note"), F.col("p_type").alias("alert_code"), F.col("p_brand").alias("product_version"),
-        low.alias("min_sp"), (low + 3).alias("max_sp"),
-    )
-    joined = search.range_join(
-        order_requests(t), notes, ["alert_code", "product_version"], "support_package", "min_sp", "max_sp"
+    parts = t.part.select(
+        F.col("p_partkey").alias("note"), F.col("p_brand").alias("product_version"), low.alias("min_sp"), (low + 3).alias("max_sp")
     )
+    notes = parts.join(t.note_components(), "note").withColumn("component_code", F.concat(F.lit("S"), F.col("component").cast("string")))
+    keys = ["component_code", "product_version", "support_package"]
+    asked = order_requests(t).where("component_code IS NOT NULL AND support_package IS NOT NULL").select(*keys).distinct()
+    requests = asked.withColumn("request_id", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    joined = search.range_join(requests, notes, keys[:2], "support_package", "min_sp", "max_sp")
     return joined.select("request_id", "note")
 
 
+@register(
+    "j05_rejected_requests",
+    _SQL_SEARCH + "SELECT request_id, 'MISSING_REQUIRED_ENTITY' AS reason FROM every WHERE NOT named",
+)
+def j05_rejected(t: Tables) -> DataFrame:
+    return search.rejected_requests(order_requests(t))
+
+
 @register(
     "j05_note_search",
     _SQL_SEARCH + """SELECT request_id, note, lpad(CAST(note AS VARCHAR), 7, '0') AS note_number, p_name AS title, CAST(rank AS INTEGER) AS rank
@@ -121,7 +137,8 @@ SELECT request_id, CASE WHEN s.n IS NULL THEN 'EMPTY_RESULT' ELSE 'SUCCESS' END
  CAST(CASE WHEN s.n IS NOT NULL THEN 0 WHEN d.n IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS step,
  CASE WHEN s.n IS NOT NULL THEN 'NONE' WHEN d.n IS NOT NULL THEN 'RELAX_SUPPORT_PACKAGE' ELSE 'WIDEN_COMPONENT' END AS reason,
  coalesce(s.n, d.n, w.n, 0) AS bindings
-FROM req LEFT JOIN s USING (request_id) LEFT JOIN d USING (request_id) LEFT JOIN w USING (request_id)""",
+FROM req LEFT JOIN s USING (request_id) LEFT JOIN d USING (request_id) LEFT JOIN w USING (request_id)
+UNION ALL SELECT request_id, 'UNSUPPORTED', 'none', 0, 'MISSING_REQUIRED_ENTITY', 0 FROM every WHERE NOT named""",
 )
 def j06(t: Tables) -> DataFrame:
     requests = order_requests(t)
@@ -139,12 +156,12 @@ def j06_candidates(t: Tables) -> DataFrame:
 
 @register(
     "j07_attempt_ledger",
-    _SQL_SEARCH + """SELECT request_id, CAST(0 AS INTEGER) AS step, 'EMPTY_STRICT_RESULT' AS reason, '' AS changed,
-  (SELECT least(count(*), 25) FROM strict s WHERE s.request_id = req.request_id) AS bindings FROM req
-UNION ALL SELECT request_id, 1, 'RELAX_SUPPORT_PACKAGE', 'support_package',
-  (SELECT least(count(*), 25) FROM dropped d WHERE d.request_id = e1.request_id) FROM e1 WHERE pkg IS NOT NULL
-UNION ALL SELECT request_id, 2, 'WIDEN_COMPONENT', 'component',
-  (SELECT least(count(*), 25) FROM widened w WHERE w.request_id = e2.request_id) FROM e2""",
+    _SQL_SEARCH + """, n AS (SELECT request_id, least(count(*), 25) AS n FROM strict GROUP BY 1),
+ d AS (SELECT request_id, least(count(*), 25) AS n FROM dropped GROUP BY 1), w AS (SELECT request_id, least(count(*), 25) AS n FROM widened GROUP BY 1)
+SELECT request_id, CAST(0 AS INTEGER) AS step, CASE WHEN n > 0 THEN 'NONE' ELSE 'EMPTY_STRICT_RESULT' END AS reason, '' AS changed,
+  coalesce(n, 0) AS bindings FROM req LEFT JOIN n USING (request_id)
+UNION ALL SELECT request_id, 1, 'RELAX_SUPPORT_PACKAGE', 'support_package', coalesce(n, 0) FROM e1 LEFT JOIN d USING (request_id) WHERE pkg IS NOT NULL
+UNION ALL SELECT request_id, 2, 'WIDEN_COMPONENT', 'component', coalesce(n, 0) FROM e2 LEFT JOIN w USING (request_id)""",
 )
 def j07(t: Tables) -> DataFrame:
     return search.relax_search(order_requests(t), part_notes(t)).attempts

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import grounding, scans
 from weftline.plans.conforming import _SQL_TERM
+from weftline.plans.quality import SQL_NUMBER, line_number
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
 from weftline.session import literal_rows
@@ -81,16 +82,14 @@ def _lexicon(t: Tables) -> DataFrame:
 
 
 def request_texts(t: Tables) -> DataFrame:
-    """One request text per order, worded by its status and priority."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    ends = t.lineitem.groupBy("l_orderkey").agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    """One request text per order line, worded by the order's status and priority."""
     part = t.part.select("p_partkey", F.concat(F.lit("ALERT_"), "p_type").alias("p_type"), "p_name")
     rows = (
-        ends.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("a.l_partkey") == F.col("p_partkey"))
+        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            "o_orderkey", "p_type", "p_name", F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pri"),
-            F.col("b.l_linenumber").alias("line"), F.col("b.l_suppkey").cast("string").alias("supp"),
+            line_number().alias("doc_id"), "p_type", "p_name", F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pri"),
+            F.col("l_linenumber").alias("line"), F.col("l_suppkey").cast("string").alias("supp"),
             F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("note"),
         )
     )
@@ -105,6 +104,10 @@ def request_texts(t: Tables) -> DataFrame:
             say("Find notes for alert ", F.col("p_type"), " in component s-", F.col("supp"), " on S/4HANA ", (F.col("line") + 2018).cast("string"),
                 " SP0", F.col("line").cast("string"), ", priority ", F.lower(F.substring("pri", 3, 20)), "."),
         )
+        .when((st == "F") & (pri == "1-URGENT"), F.lit("Find notes for S/4HANA 2021"))
+        .when((st == "F") & (pri == "2-HIGH"), say("find SP0", F.col("line").cast("string")))
+        .when((st == "F") & (pri == "3-MEDIUM"), F.lit("what prerequisites"))
+        .when((st == "F") & (pri == "5-LOW"), F.lit("what is required"))
         .when(st == "F", say("What are the prerequisite notes required for note ", F.col("note"), "?"))
         .when(pri == "5-LOW", say("Which note resolves the ", F.col("p_name"), "?"))
         .when(pri == "3-MEDIUM", say("Find notes for alert ", F.col("p_type"), " and alert ALERT_PROMO"))
@@ -112,14 +115,12 @@ def request_texts(t: Tables) -> DataFrame:
         .when(pri == "1-URGENT", say("Explain alert ", F.col("p_type")))
         .otherwise(say("Retrieve the title and details for note ", F.col("note")))
     )
-    return rows.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return rows.select("doc_id", text.alias("text"))
 
 
-SQL_REQUESTS = """ends AS (SELECT l_orderkey, min({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS a, max({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}) AS b
-   FROM lineitem GROUP BY 1),
- req AS (SELECT o_orderkey AS doc_id, p_type, o_orderstatus AS st, o_orderpriority AS pri, b.n AS line, b.s AS supp, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS note,
-   b.n IN (3, 5, 7) AS known_version, o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') AS known_priority
-   FROM ends JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = a.p)"""
+SQL_REQUESTS = f"""req AS (SELECT {SQL_NUMBER} AS doc_id, p_type, o_orderstatus AS st, o_orderpriority AS pri, l_linenumber AS line, l_suppkey AS supp,
+   lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS note, l_linenumber IN (3, 5, 7) AS known_version, o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') AS known_priority
+   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"""
 
 
 @register(
@@ -128,16 +129,20 @@ SQL_REQUESTS = """ends AS (SELECT l_orderkey, min({'n': l_linenumber, 'p': l_par
 UNION SELECT doc_id, 'alert_code', 'ALERT_PROMO' FROM req WHERE st = 'P' AND pri = '3-MEDIUM'
 UNION SELECT doc_id, 'component_code', 'S-' || supp FROM req WHERE st = 'O'
 UNION SELECT doc_id, 'product_version', 'V' || (2018 + line) FROM req WHERE st = 'O' AND known_version
-UNION SELECT doc_id, 'support_package', CAST(line AS VARCHAR) FROM req WHERE st = 'O'
+UNION SELECT doc_id, 'product_version', 'V2021' FROM req WHERE st = 'F' AND pri = '1-URGENT'
+UNION SELECT doc_id, 'support_package', CAST(line AS VARCHAR) FROM req WHERE st = 'O' OR (st = 'F' AND pri = '2-HIGH')
 UNION SELECT doc_id, 'priority', CASE pri WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END FROM req WHERE st = 'O' AND known_priority
-UNION SELECT doc_id, 'note_number', note FROM req WHERE st = 'F' OR (st = 'P' AND pri IN ('2-HIGH', '4-NOT SPECIFIED'))""",
+UNION SELECT doc_id, 'note_number', note FROM req WHERE (st = 'F' AND pri = '4-NOT SPECIFIED')
+  OR (st = 'P' AND pri IN ('2-HIGH', '4-NOT SPECIFIED'))""",
 )
 def k02(t: Tables) -> DataFrame:
     tokens = grounding.request_tokens(request_texts(t), _lexicon(t))
     return grounding.extract_slots(tokens).select("doc_id", "family", "value")
 
 
-_SQL_DIAGNOSIS = """diag AS (SELECT *, CASE WHEN st = 'O' AND NOT (known_version AND known_priority) THEN 'UNKNOWN_ENTITY' WHEN st IN ('O', 'F') THEN 'NONE'
+_SQL_DIAGNOSIS = """diag AS (SELECT *, CASE WHEN st = 'O' AND NOT (known_version AND known_priority) THEN 'UNKNOWN_ENTITY' WHEN st = 'O' THEN 'NONE'
+   WHEN st = 'F' THEN CASE pri WHEN '1-URGENT' THEN 'UNKNOWN_TOKEN' WHEN '2-HIGH' THEN 'UNKNOWN_TOKEN' WHEN '3-MEDIUM' THEN 'UNSUPPORTED_INTENT'
+     WHEN '5-LOW' THEN 'MISSING_REQUIRED_ENTITY' ELSE 'NONE' END
    WHEN pri = '5-LOW' THEN 'UNKNOWN_TOKEN' WHEN pri = '3-MEDIUM' AND p_type <> 'PROMO' THEN 'AMBIGUOUS_INPUT'
    WHEN pri = '1-URGENT' THEN 'UNSUPPORTED_INTENT' ELSE 'NONE' END AS failure FROM req),
  intents AS (SELECT *, CASE WHEN failure <> 'NONE' THEN 'UNSUPPORTED' WHEN st = 'O' THEN 'VERSION_FILTERED_SEARCH' WHEN st = 'F' THEN 'PREREQUISITE_CLOSURE'
@@ -145,8 +150,7 @@ _SQL_DIAGNOSIS = """diag AS (SELECT *, CASE WHEN st = 'O' AND NOT (known_version
 
 
 def diagnosis(t: Tables) -> DataFrame:
-    texts, entries = request_texts(t), _lexicon(t)
-    return grounding.diagnose(grounding.request_tokens(texts, entries), texts, entries)
+    return grounding.diagnose(request_texts(t), _lexicon(t))
 
 
 @register("k03_extraction_diagnostics", with_tables(SQL_REQUESTS, _SQL_DIAGNOSIS) + "SELECT doc_id, failure FROM diag")
@@ -161,13 +165,15 @@ def k04(t: Tables) -> DataFrame:
 
 @register(
     "k05_metric_intent",
-    """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'CLAIMS' WHEN 'F' THEN CASE o_orderpriority WHEN '5-LOW' THEN 'UNSUPPORTED' ELSE 'ACTIVE' END
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'UNSUPPORTED' ELSE 'CLAIMS' END WHEN 'F' THEN CASE o_orderpriority WHEN '5-LOW' THEN 'UNSUPPORTED' ELSE 'ACTIVE' END
   ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 'UNSUPPORTED' WHEN '2-HIGH' THEN 'UNSUPPORTED' ELSE 'RATIO' END END AS intent FROM orders""",
 )
 def k05(t: Tables) -> DataFrame:
+    """Claims questions, some without their window or with a second conjunction, and others."""
     st, pri = F.col("o_orderstatus"), F.col("o_orderpriority")
+    window = F.when(pri == "1-URGENT", "").when(pri == "2-HIGH", " in Rome and Bonn in the last 12 months").otherwise(" in the last 12 months")
     claims = F.concat(
-        F.lit("Find customers with at least three qualifying claims in the last 12 months and total incurred loss above EUR "),
+        F.lit("Find customers with at least three qualifying claims"), window, F.lit(" and total incurred loss above EUR "),
         F.format_number(F.floor("o_totalprice"), 0),
     )
     text = (

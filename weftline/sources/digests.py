@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FAN_IN = 256
-FLAT_LIMIT = 100_000
+#: Levels above the leaves. Leaves group by eight hex digits: 256 a group at a trillion lines.
+LEVELS = 4
 
 
 def file_contents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files as (path, content); each file is read whole by one task (Spark allows up to 2 GB)."""
+    """Files as (path, content); each file is read whole by one task.
+
+    Spark refuses files of 2 GB and more here; split those before they are listed.
+    """
     found = spark.read.format("binaryFile").load(paths)
     return found.select("path", "content")
 
@@ -53,19 +56,15 @@ def manifest_changes(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return joined.where(F.col("change").isNotNull())
 
 
-def tree_digest(lines: DataFrame, column: str, levels: int | None = None) -> DataFrame:
-    """One digest of a set of lines, as a hash tree with a bounded fan-in.
+def tree_digest(lines: DataFrame, column: str, levels: int = LEVELS) -> DataFrame:
+    """One digest of a set of lines, as a hash tree.
 
     Lines are hashed, then hashed again in groups that share a hash prefix, two hex digits
-    shorter at each level. Hashes spread evenly, so every group holds about FAN_IN entries
-    whatever the data looks like. The digest depends on the lines and the number of levels.
+    shorter at each level, so no group above the leaves has more than 256 entries, and hashes
+    spread the leaves evenly over 256 ** levels groups. The number of levels is part of the
+    digest's definition and the same for tables of every size.
     """
     leaves = lines.select(F.sha2(F.col(column), 256).alias("h")).distinct()
-    if levels is None:
-        rows = leaves.count()
-        levels = 0
-        while rows > FAN_IN ** (levels + 1):
-            levels += 1
     nodes = leaves.select(F.col("h").alias("k"), "h")
     joined = F.array_join(F.array_sort(F.collect_list(F.struct("k", "h")))["h"], "")
     for level in range(levels, 0, -1):
@@ -76,14 +75,12 @@ def tree_digest(lines: DataFrame, column: str, levels: int | None = None) -> Dat
     return nodes.agg(F.sha2(joined, 256).alias("digest"))
 
 
-def flat_digest(lines: DataFrame, column: str, limit: int = FLAT_LIMIT) -> DataFrame:
+def flat_digest(lines: DataFrame, column: str) -> DataFrame:
     """SHA-256 over the sorted distinct lines, each ended by a newline.
 
-    This is the exact sequential form for small catalogues and fixtures. SHA-256 cannot be
-    split, so a larger set is refused; use tree_digest there.
+    The exact sequential form, for catalogues: SHA-256 cannot be split, so all lines meet in
+    one row. Tables use tree_digest.
     """
     distinct = lines.select(F.col(column).alias("line")).distinct()
-    if distinct.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} lines: use tree_digest")
     joined = F.array_join(F.array_sort(F.collect_list("line")), "\n")
     return distinct.agg(F.sha2(F.concat(joined, F.lit("\n")), 256).alias("digest"))
