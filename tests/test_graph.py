@@ -44,10 +44,10 @@ def test_seventeen_edges_are_cut_at_sixteen(spark, rows):
 
 def test_depth_zero_and_bad_depth(spark, rows):
     edges = edge_frame(spark, [("A", "B")])
-    found = reach.closure(edges, max_depth=0)
+    found = reach.all_pairs(edges, max_depth=0)
     assert rows(found.pairs) == [] and rows(found.truncated) == [("A",)]
     with pytest.raises(ValueError):
-        reach.closure(edges, max_depth=-1)
+        reach.all_pairs(edges, max_depth=-1)
 
 
 def _brute(pairs):

@@ -25,23 +25,24 @@ class Closure:
     truncated: DataFrame
 
 
-def closure(
-    edges: DataFrame, seeds: DataFrame | None = None, max_depth: int | None = MAX_DEPTH
-) -> Closure:
+def all_pairs(edges: DataFrame, max_depth: int | None = MAX_DEPTH) -> Closure:
+    """The closure from every source: as many pairs as the graph has, so for small graphs or short bounds."""
+    return closure(edges, edges.select(F.col("src").alias("seed")), max_depth)
+
+
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = MAX_DEPTH) -> Closure:
     """Nodes reachable from each seed by shortest distance, the seed itself left out.
 
-    edges has src and dst, seeds has seed (all sources by default). One round per hop: the
-    frontier is joined to the edges, reduced to distinct (seed, node) and cleared of pairs
-    already seen. Each round is written to the checkpoint folder, so lineage stays one round
-    long. The pair keys keep a hub node or a busy seed spread over all tasks.
+    edges has src and dst, seeds has seed. One round per hop: the frontier is joined to the
+    edges, reduced to distinct (seed, node) and cleared of pairs already seen. Frontier and
+    edges are both written before they meet, so both sides are bare shuffles on the node and
+    adaptive execution splits a hub. Building the closure runs its rounds.
     """
     if max_depth is not None and (isinstance(max_depth, bool) or max_depth < 0):
         raise ValueError("max_depth must be a whole number of at least 0")
     steps = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
-    if seeds is None:
-        seeds = steps.select(F.col("src").alias("seed"))
     start = seeds.select("seed").distinct()
-    frontier = start.select("seed", F.col("seed").alias("node"))
+    frontier = cut_lineage(start.select("seed", F.col("seed").alias("node")))
     levels: list[DataFrame] = []
     depth = 0
     while True:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
-from weftline.session import cut_lineage, literal_rows, small_side
+from weftline.session import cut_lineage, literal_rows
 
 _WORD = r"[\p{L}\p{N}_]+"
 _NO_WORD = r"[^\p{L}\p{N}_]+"
@@ -97,7 +97,7 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     placed = cut.select(key, "_words", "_gaps", F.explode(F.array(starts)).alias("_starts"))
     runs = reduce(lambda a, b: F.concat(a, b), [_runs(n, F.col("_starts")) for n in sizes])
     found = placed.select(key, F.inline(runs))
-    matched = found.join(small_side(split), "phrase")
+    matched = found.join(split, "phrase")
     prefix_ok = (F.col("_prefix") == "") | (
         F.endswith("before", F.col("_prefix"))
         & (F.col("at_start") | (F.length("before") > F.length("_prefix")))
@@ -184,8 +184,8 @@ def request_tokens(
     )
     tokens = listed.select(key, F.inline_outer(zipped)) if keep_empty else listed.select(key, F.inline(zipped))
     tokens = tokens if keep_empty else tokens.where("token IS NOT NULL")
-    # The lexicon is read four times: write it once, and check its size once.
-    surfaces = small_side(cut_lineage(_by_surface(entries)))
+    # The lexicon is read four times: write it once.
+    surfaces = cut_lineage(_by_surface(entries))
 
     def lookup(prefix: str) -> DataFrame:
         return surfaces.select(*[F.col(c).alias(f"{prefix}_{c}") for c in surfaces.columns])
@@ -301,7 +301,7 @@ def diagnose(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: st
     cues = entries.where(F.col("family") == "product_cue").select(
         fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
     ).distinct()
-    marked = tokens.join(small_side(cues), "b1", "left").withColumn(
+    marked = tokens.join(cues, "b1", "left").withColumn(
         "_after_cue", F.coalesce("_cue", F.lit(False))
     )
     filled = marked.groupBy(key).agg(

@@ -91,6 +91,37 @@ def metric_query(
     )
 
 
+def scoped_metric(
+    partners: DataFrame,
+    orders: DataFrame,
+    postings: DataFrame,
+    scopes: DataFrame,
+    *,
+    as_of: date,
+    min_count: int = 3,
+    min_loss: float = 20_000,
+    statuses: Sequence[str] = QUALIFYING_POSTING,
+) -> DataFrame:
+    """metric_query for every distinct scope (country, product) at once: one aggregate with the scope as key.
+
+    Partners carry the country, orders country and product, postings country and product; each
+    side is reduced to the scopes on its own, and rows meet only within one scope. Only the
+    partner's identifier is returned.
+    """
+    scopes = scopes.select("country", "product").distinct()
+    both = ["country", "product"]
+    recent = apply_rule(postings, "posting_status", statuses).where(last_12_months("posting_date", as_of))
+    partner_side = partners.select("partner_id", "country").join(scopes.select("country").distinct(), "country", "left_semi")
+    order_side = orders.select("sales_order_id", "partner_id", *both).join(scopes, both, "left_semi")
+    posting_side = recent.select("sales_order_id", "journal_entry_id", AMOUNT, *both).join(scopes, both, "left_semi")
+    joined = partner_side.join(order_side, ["partner_id", "country"]).join(posting_side, ["sales_order_id", *both])
+    return (
+        joined.groupBy("country", "product", "partner_id")
+        .agg(posting_count(), total_loss())
+        .where(metric_predicates([("posting_count", ">=", min_count), ("total_debit_loss_eur", ">", min_loss)]))
+    )
+
+
 def metric_predicates(predicates: Sequence[tuple[str, str, float]]) -> Column:
     """Conjunction of metric comparisons, applied after aggregation."""
     kept = F.lit(True)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_case, strip
-from weftline.session import small_side
 
 
 def _lookup_key(value: Column) -> Column:
@@ -66,7 +65,7 @@ def mark_values(
         .when(F.col("_targets") > 1, "AMBIGUOUS_VALUE")
         .when(F.col("_known").isNull(), "UNREGISTERED_TARGET")
     )
-    joined = keyed.join(small_side(entries), ["_platform", "_local"], "left")
+    joined = keyed.join(entries, ["_platform", "_local"], "left")
     return joined.select(
         *df.columns, F.when(reason.isNull(), F.col("_canonical")).alias("canonical_value"),
         reason.alias("reason"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import literal_rows, small_side
+from weftline.session import literal_rows
 
 # Classification ranks and the denial codes in the order they are tried.
 CLASSIFICATION_RANK = {"Public": 0, "Internal": 1, "Confidential": 2, "Restricted": 3}
@@ -78,8 +78,8 @@ def decide(
     and concepts are exploded, looked up in the small catalogue and folded back by a partial
     aggregate, so requests never meet each other.
     """
-    known = small_side(products.select(F.col("id").alias("_product"), "classification", "quality_status"))
-    judged = requests.join(small_side(roles), "role", "left")
+    known = products.select(F.col("id").alias("_product"), "classification", "quality_status")
+    judged = requests.join(roles, "role", "left")
     per_product = (
         judged.select("request_id", "max_classification", F.explode("products").alias("_product"))
         .join(known, "_product", "left")
@@ -95,7 +95,7 @@ def decide(
     # A concept that is PII in some country: match any country where the request names none.
     marked = pii_concepts.select("location", "concept").distinct()
     anywhere = marked.select(F.lit(None).cast("string").alias("location"), "concept").distinct()
-    marked = small_side(marked.unionByName(anywhere).withColumnRenamed("location", "_location"))
+    marked = marked.unionByName(anywhere).withColumnRenamed("location", "_location")
     projected = judged.where("pii_blocked").select(
         "request_id", F.col("country").alias("_country"), F.explode("projected").alias("concept")
     )
@@ -135,14 +135,14 @@ def decide(
     return joined.select("request_id", decision.alias("decision"))
 
 
-def allowed_rows(rows: DataFrame, requests: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Result rows of allowed requests, each limited to its own country.
+def granted_scopes(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(request_id, country, product) of allowed requests; requests has those columns.
 
-    rows has country; requests has request_id and country. Countries are few and rows are
-    many, so requests are first reduced to the distinct allowed ones per country.
+    Results are computed once for each distinct (country, product); requests point to theirs, so
+    neither is multiplied by the other. A denied request has no scope.
     """
-    granted = requests.join(decisions.where(F.col("decision") == "ALLOWED"), "request_id", "left_semi")
-    return granted.select("request_id", "country").distinct().join(rows, "country")
+    allowed = decisions.where(F.col("decision") == "ALLOWED").select("request_id").distinct()
+    return requests.select("request_id", "country", "product").join(allowed, "request_id", "left_semi")
 
 
 def static_lineage(
@@ -160,13 +160,13 @@ def static_lineage(
         F.min("data_products").alias("data_products"),
         F.min("physical_sources").alias("physical_sources"),
     )
-    joined = requests.join(small_side(unique), "country", "left")
+    joined = requests.join(unique, "country", "left")
     one = F.coalesce(F.col("_mappings") == 1, F.lit(False))
     inside = F.size(F.array_except("products", "data_products")) == 0
     status = F.when(~one, "NO_UNIQUE_MAPPING").when(~inside, "PRODUCT_OUTSIDE_MAPPING").otherwise("OK")
     versions = (
         requests.select("request_id", F.explode(F.array_distinct("metric_ids")).alias("metric_id"))
-        .join(small_side(metrics.select(F.col("id").alias("metric_id"), F.col("version").alias("_v"))), "metric_id")
+        .join(metrics.select(F.col("id").alias("metric_id"), F.col("version").alias("_v")), "metric_id")
         .groupBy("request_id")
         .agg(
             F.array_sort(F.collect_list(F.concat(F.lit("metric:"), "metric_id", F.lit("@"), "_v"))).alias("_metrics")
@@ -203,11 +203,11 @@ def request_concepts(
     ).join(
         rules.select(F.col("id").alias("filter_rule"), "applies_to"), "filter_rule", "left"
     )
-    by_metric = metric_mentions.join(small_side(details), "metric_id", "left").select(
+    by_metric = metric_mentions.join(details, "metric_id", "left").select(
         "request_id", F.explode(F.array("metric_id", "_concept", "applies_to")).alias("concept_id")
     )
     reached = mentions.select("request_id", "concept_id").unionByName(by_metric).distinct()
-    return reached.join(small_side(concepts.select(F.col("id").alias("concept_id"))), "concept_id", "left_semi")
+    return reached.join(concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
 
 
 def field_evidence(requests: DataFrame, mapping_fields: DataFrame) -> DataFrame:
@@ -220,6 +220,6 @@ def field_evidence(requests: DataFrame, mapping_fields: DataFrame) -> DataFrame:
     sources = mapping_fields.select(
         "location", "canonical", F.concat_ws(":", "source_table", "physical_name").alias("source")
     )
-    return used.join(small_side(sources), ["location", "canonical"]).select(
+    return used.join(sources, ["location", "canonical"]).select(
         "request_id", F.concat(F.lit("field:"), "canonical").alias("field"), "source"
     ).distinct()

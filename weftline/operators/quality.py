@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_case, iso_date, strip
 from weftline.schemas import CONTRACTS, COUNTRIES, TableContract
-from weftline.session import literal_rows, small_side
+from weftline.session import cut_lineage, literal_rows
 
 # Identifier texts that count as missing.
 MISSING_IDENTIFIERS = ("", "null", "none")
@@ -123,14 +123,14 @@ def attach_mapping(
         .where("_mappings = 1")
         .drop("_mappings")
     )
-    tagged = rows.join(small_side(unique), "country", "left")
+    tagged = rows.join(unique, "country", "left")
     if "product" not in rows.columns:
         return tagged
     known = product_map.select(
         F.col("location").alias("country"), F.col("canonical_value").alias("product")
     ).distinct()
     known = known.withColumn("_product_ok", F.lit(True))
-    return tagged.join(small_side(known), ["country", "product"], "left")
+    return tagged.join(known, ["country", "product"], "left")
 
 
 def row_issues(contract: TableContract, as_of: date, has_product: bool = True) -> Column:
@@ -145,19 +145,31 @@ def row_issues(contract: TableContract, as_of: date, has_product: bool = True) -
     return F.array_compact(F.array(*checks))
 
 
+def _key_counts(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(_key, _first, _rows): each identifier's first row and number of rows; null for missing ones.
+
+    Written, so that joins back to the rows have a bare shuffle on both sides and a key on a
+    third of the rows is split over tasks.
+    """
+    identifier = F.when(~is_missing(F.col(key)), strip(F.col(key)))
+    return cut_lineage(
+        rows.groupBy(identifier.alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    )
+
+
+def _repeated(counts: DataFrame) -> DataFrame:
+    return counts.where("_key IS NOT NULL AND _rows > 1").select("_key", "_first")
+
+
 def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> DataFrame:
     """Second and later rows of an identifier (key, order); the first row passes.
 
-    The first row is found by a partial aggregate, then joined back, so a single identifier
-    on a third of the rows is neither sorted nor collected in one task.
+    First rows are found by a partial aggregate and written, which runs a job; the rest is a join.
     """
+    repeated = _repeated(_key_counts(rows, key, order))
     identified = rows.where(~is_missing(F.col(key))).select(strip(F.col(key)).alias(key), order)
-    repeated = (
-        identified.groupBy(key)
-        .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .where("_rows > 1")
-    )
-    return identified.join(repeated, key).where(F.col(order) > F.col("_first")).select(key, order)
+    joined = identified.join(repeated, F.col(key) == F.col("_key"))
+    return joined.where(F.col(order) > F.col("_first")).select(key, order)
 
 
 def structure_issues(tables: Mapping[str, DataFrame], contracts: Sequence[TableContract] = CONTRACTS):
@@ -172,14 +184,6 @@ def structure_issues(tables: Mapping[str, DataFrame], contracts: Sequence[TableC
     return issues
 
 
-def empty_issue(rows: DataFrame, name: str) -> DataFrame:
-    """One issue row if the table has no rows, else none."""
-    return (
-        rows.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-        .select(*_labelled("EMPTY_EXPECTED_DATASET", name, F.lit(1), "path"))
-    )
-
-
 def _labelled(code: str, name: str, row_number: Column, field: str) -> list[Column]:
     return [
         F.lit(code).alias("code"), F.lit(name).alias("file"),
@@ -219,13 +223,23 @@ def table_issues(
     as_of: date,
     countries: Sequence[str] = COUNTRIES,
 ) -> DataFrame:
-    """Issues of one raw table (all texts, with row_number) in one pass, plus duplicates."""
-    found = row_level_issues(rows, contract, mappings, product_map, as_of, countries)
+    """Issues of one raw table (all texts, with row_number).
+
+    Two reads: one counts the identifiers, which also shows an empty table, and is written; one
+    joins them back and gives every issue of a row at once.
+    """
     present = _with_contract_columns(rows, contract)
-    duplicates = duplicate_rows(present, contract.key).select(
-        *_labelled("DUPLICATE_ID", contract.name, F.col("row_number"), contract.key)
-    )
-    return found.unionByName(duplicates).unionByName(empty_issue(rows, contract.name))
+    counts = _key_counts(present, contract.key, "row_number")
+    own = strip(F.coalesce(F.col(contract.key), F.lit("")))
+    marked = present.join(_repeated(counts), own == F.col("_key"), "left")
+    tagged = attach_mapping(marked, mappings, product_map, countries)
+    repeated = _issue("DUPLICATE_ID", contract.key, F.col("row_number") > F.col("_first"))
+    issues = F.concat(row_issues(contract, as_of, "product" in rows.columns), F.array_compact(F.array(repeated)))
+    found = tagged.select(
+        F.lit(contract.name).alias("file"), F.col("row_number").cast("bigint").alias("row_number"), F.inline(issues)
+    ).select("code", "file", "row_number", "field", "message")
+    none = counts.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return found.unionByName(none.select(*_labelled("EMPTY_EXPECTED_DATASET", contract.name, F.lit(1), "path")))
 
 
 def quality_report(

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from weftline.operators.closure import MAX_DEPTH, Closure, closure
 from weftline.operators.graph import zero_or_more_path
-from weftline.session import cut_lineage, small_side
+from weftline.session import cut_lineage
 
 # Result size, steps and reasons of a relaxation.
 TOP_NOTES = 25
@@ -145,7 +145,7 @@ def covered_components(graph: NoteGraph, ancestors: DataFrame | None) -> DataFra
     affected = graph.components.select("note", "component_code")
     if ancestors is None:
         return affected.distinct()
-    raised = affected.join(small_side(ancestors), "component_code", "left")
+    raised = affected.join(ancestors, "component_code", "left")
     return raised.select("note", F.coalesce("ancestor", "component_code").alias("component_code")).distinct()
 
 
@@ -221,7 +221,7 @@ def widen(requests: DataFrame, parents: DataFrame | None) -> DataFrame:
         above = parents.where("parent_code IS NOT NULL").select(
             "component_code", F.col("parent_code").alias("_parent")
         )
-        wider = requests.join(small_side(above), "component_code")
+        wider = requests.join(above, "component_code")
     wider = wider.where("_parent IS NOT NULL").withColumn("component_code", F.col("_parent"))
     return wider.select(*requests.columns)
 

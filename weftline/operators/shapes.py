@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import cut_lineage, literal_rows, small_side
+from weftline.session import cut_lineage, literal_rows
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -25,6 +25,8 @@ SHAPE_SCHEMA = (
     "value string, allowed array<struct<value:string,datatype:string>>, message string"
 )
 
+_TRIPLES = f"array<struct<{','.join(f'{c}:string' for c in TRIPLE_COLUMNS)}>>"
+
 # Constraint kinds.
 CONSTRAINTS = ("minCount", "maxCount", "datatype", "languageIn", "in", "class", "minInclusive")
 
@@ -33,7 +35,7 @@ def _closed(triples: DataFrame, predicate: str) -> DataFrame:
     """(src, dst) of one axiom predicate, transitively closed."""
     direct = triples.where((F.col("p") == predicate) & (F.col("o_kind") != "literal"))
     links = direct.select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
-    pairs = closure(links, None, None).pairs
+    pairs = closure(links, links.select(F.col("src").alias("seed")), None).pairs
     return pairs.select(F.col("seed").alias("src"), F.col("node").alias("dst"))
 
 
@@ -41,10 +43,13 @@ def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFr
     """The triples plus everything subproperty, domain, range and subclass axioms imply.
 
     All chaining happens among the few axioms: each property is given its super-properties and
-    every class its ends imply. The data then needs one pass per rule, joined to small sides,
-    and one distinct. Axioms come from the ontology where given, else from the triples.
+    every class its ends imply. The data then needs one pass, joined to small sides, and one
+    distinct. Axioms come from the ontology where given, else from the triples.
     """
     axioms = ontology if ontology is not None else triples
+    if ontology is None:
+        # Read once for the axioms and once for the data.
+        triples = axioms = cut_lineage(triples)
     super_property = cut_lineage(_closed(axioms, SUBPROPERTY))
     super_class = cut_lineage(_closed(axioms, SUBCLASS))
     ends = axioms.where(F.col("p").isin(DOMAIN, RANGE)).select(
@@ -57,24 +62,41 @@ def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFr
     widened = ends.join(super_class, F.col("_class") == F.col("src")).select(
         "_property", "_end", F.col("dst").alias("_class")
     )
-    ends = small_side(cut_lineage(ends.unionByName(widened).distinct()))
+    ends = cut_lineage(ends.unionByName(widened).distinct())
     stated = triples.select(*TRIPLE_COLUMNS)
-    implied = stated.join(small_side(super_property), F.col("p") == F.col("src")).select(
-        *[F.col("dst").alias("p") if c == "p" else F.col(c) for c in TRIPLE_COLUMNS]
+    above = super_property.groupBy(F.col("src").alias("p")).agg(F.collect_set("dst").alias("_above"))
+    sides = ends.groupBy(F.col("_property").alias("p")).agg(
+        F.collect_set(F.when(F.col("_end") == DOMAIN, F.col("_class"))).alias("_of_subject"),
+        F.collect_set(F.when(F.col("_end") == RANGE, F.col("_class"))).alias("_of_object"),
     )
-    of_subject = F.col("_end") == DOMAIN
-    by_end = stated.join(ends, F.col("p") == F.col("_property")).where(
-        of_subject | (F.col("o_kind") != "literal")
-    ).select("graph", F.when(of_subject, F.col("s")).otherwise(F.col("o")).alias("s"), F.col("_class").alias("class"))
-    by_class = stated.where(F.col("p") == RDF_TYPE).join(small_side(super_class), F.col("o") == F.col("src")).select(
-        "graph", "s", F.col("dst").alias("class")
+    classes = super_class.groupBy(F.col("src").alias("_typed")).agg(F.collect_set("dst").alias("_classes"))
+    # One row per axiom subject, so the data meets each table once and grows only in the row.
+    met = (
+        stated.join(above, "p", "left").join(sides, "p", "left")
+        .join(classes, (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("_typed")), "left")
     )
+
+    def triple(**changed: Column) -> Column:
+        return F.struct(*[changed.get(c, F.col(c)).alias(c) for c in TRIPLE_COLUMNS])
+
     none = F.lit(None).cast("string")
-    typed = by_end.unionByName(by_class).select(
-        "graph", "s", F.lit(RDF_TYPE).alias("p"), F.col("class").alias("o"),
-        F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("lang"),
+
+    def typed(node: Column) -> dict[str, Column]:
+        return {"s": node, "p": F.lit(RDF_TYPE), "o_kind": F.lit("iri"), "datatype": none, "lang": none}
+
+    def each(values: str, make) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), make)
+
+    implied = F.concat(
+        F.array(triple()),
+        each("_above", lambda p: triple(p=p)),
+        each("_of_subject", lambda c: triple(o=c, **typed(F.col("s")))),
+        F.when(F.col("o_kind") != "literal", each("_of_object", lambda c: triple(o=c, **typed(F.col("o"))))).otherwise(
+            F.array().cast(_TRIPLES)
+        ),
+        each("_classes", lambda c: triple(o=c, **typed(F.col("s")))),
     )
-    return stated.unionByName(implied).unionByName(typed).distinct()
+    return met.select(F.inline(implied)).distinct()
 
 
 def shape_table(spark, rows: Sequence[tuple]) -> DataFrame:
@@ -189,9 +211,10 @@ def validate(triples: DataFrame, shapes: DataFrame, ontology: DataFrame | None =
     """Violations (focus, shape, path, constraint, value, message) of a graph held as a set.
 
     With an ontology, range axioms make objects instances of a class, so "class" holds for
-    ranged predicates; without one only stated types count.
+    ranged predicates; without one only stated types count. The (entailed) graph is computed once
+    and written; every check and type lookup reads that copy.
     """
-    graph = rdfs_entail(triples, ontology) if entail else triples
+    graph = cut_lineage(rdfs_entail(triples, ontology) if entail else triples)
     return reduce(
         DataFrame.unionByName,
         [count_violations(graph, shapes), value_violations(graph, shapes), class_violations(graph, shapes)],
@@ -209,12 +232,25 @@ def conformance(checks: Sequence[tuple[str, DataFrame, bool]]) -> DataFrame:
         )
         for check_id, violations, expected in checks
     ]
-    stacked = reduce(DataFrame.unionByName, rows)
+    return _with_verdict(reduce(DataFrame.unionByName, rows))
+
+
+def _with_verdict(stacked: DataFrame) -> DataFrame:
     agreed = F.col("expected_conforms") == F.col("observed_conforms")
     verdict = F.when(~agreed, "FAIL").when(F.col("expected_conforms"), "PASS").otherwise("EXPECTED_NONCONFORMANT")
     return stacked.withColumn("result", verdict)
 
 
+def conformance_by_shape(violations: DataFrame, expected: DataFrame) -> DataFrame:
+    """conformance for checks that are shapes of one validation: expected has shape and expected_conforms."""
+    counts = violations.groupBy("shape").agg(F.count(F.lit(1)).alias("violations"))
+    stacked = expected.join(counts, "shape", "left").select(
+        F.col("shape").alias("check_id"), "expected_conforms",
+        F.col("violations").isNull().alias("observed_conforms"), F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"),
+    )
+    return _with_verdict(stacked)
+
+
 def dataset_label(triples: DataFrame, predicate: str) -> DataFrame:
     """The distinct dataset identifiers of a graph, sorted and joined by +; an error if none.
 
@@ -232,7 +268,7 @@ def crosswalk(triples: DataFrame, match: str, broader: str, alt_label: str) -> D
     from weftline.operators.graph import edges, zero_or_more_path
 
     matched = edges(triples, match).select(F.col("src").alias("class_iri"), F.col("dst").alias("_concept"))
-    above = small_side(zero_or_more_path(edges(triples, broader))).select(
+    above = zero_or_more_path(edges(triples, broader)).select(
         F.col("src").alias("_concept"), F.col("dst").alias("_above")
     )
     related = matched.join(above, "_concept", "left").select(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import ledger, metrics, policy
+from weftline.plans.business import _QUALIFIED as QUALIFIED
 from weftline.plans.business import _SQL_JOINED, _joined
 from weftline.plans.conforming import SQL_TREE_LEVELS
 from weftline.plans.registry import register
-from weftline.plans.tables import Tables, with_tables
+from weftline.plans.tables import AS_OF, SQL_ORDERS, SQL_PARTNERS, SQL_POSTINGS, Tables, with_tables
 from weftline.session import literal_rows
 
 _CLAIMS = ("BusinessPartners", "SalesOrders", "ACDOCAFinancials")
@@ -95,20 +96,49 @@ def l02(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", policy.over_ceiling(named, F.lit("Internal")).alias("denied"))
 
 
+def _scopes(t: Tables) -> DataFrame:
+    """Allowed requests with the country and segment they ask for."""
+    requests = policy_requests(t)
+    asked = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("request_id"), F.col("c_mktsegment").alias("product")
+    )
+    return policy.granted_scopes(requests.join(asked, "request_id"), _decisions(t, requests))
+
+
+def _scoped_result(t: Tables) -> DataFrame:
+    """The flagship metric of every allowed scope; countries are codes of regions."""
+    code = F.element_at(F.array(*[F.lit(c) for c in ("FR", "GB", "DE", "FR")]), F.col("country") + 1)
+    partners = t.partners().withColumn("country", F.when(F.col("country") < 4, code))
+    scoped = partners.select("partner_id", "country", "product")
+    orders = t.sales_orders().join(scoped, "partner_id")
+    postings = t.postings().join(orders.select("sales_order_id", "country", "product"), "sales_order_id")
+    return metrics.scoped_metric(partners, orders, postings, _scopes(t), as_of=AS_OF)
+
+
+_SQL_SCOPES = with_tables(_SQL_POLICY, SQL_PARTNERS, SQL_ORDERS, SQL_POSTINGS) + f""", scopes AS (
+  SELECT request_id, country, seg AS product FROM dec WHERE decision = 'ALLOWED'),
+ res AS (SELECT ['FR', 'GB', 'DE', 'FR', NULL][p.country + 1] AS country, p.product, partner_id, COUNT(DISTINCT journal_entry_id) AS posting_count,
+    CAST(SUM(amount) AS DOUBLE) AS total_debit_loss_eur FROM partners p JOIN sales_orders USING (partner_id) JOIN postings USING (sales_order_id)
+  WHERE {QUALIFIED} GROUP BY ALL HAVING COUNT(DISTINCT journal_entry_id) >= 3 AND SUM(amount) > 20000)
+"""
+
+
 @register(
     "l03_policy_scoped_read",
-    with_tables(_SQL_POLICY, """totals AS (SELECT ['FR', 'GB', 'DE', 'FR', NULL][n_regionkey + 1] AS country, c_mktsegment, COUNT(*) AS partners
-   FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)""")
-    + "SELECT request_id, country, c_mktsegment, CAST(partners AS BIGINT) AS partners FROM dec JOIN totals USING (country) WHERE decision = 'ALLOWED'",
+    _SQL_SCOPES + """SELECT country, product, partner_id, posting_count, total_debit_loss_eur, n AS requests
+FROM res JOIN (SELECT country, product, COUNT(*) AS n FROM scopes GROUP BY ALL) USING (country, product)""",
 )
 def l03(t: Tables) -> DataFrame:
-    requests = policy_requests(t)
-    code = F.element_at(F.array(*[F.lit(c) for c in ("FR", "GB", "DE", "FR")]), F.col("n_regionkey") + 1)
-    nations = t.nation.select("n_nationkey", F.when(F.col("n_regionkey") < 4, code).alias("country"))
-    totals = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("country", "c_mktsegment").agg(
-        F.count(F.lit(1)).alias("partners")
+    """Every scope's rows once, with how many allowed requests read them."""
+    asked = _scopes(t).groupBy("country", "product").agg(F.count(F.lit(1)).alias("requests"))
+    return _scoped_result(t).join(asked, ["country", "product"]).withColumn(
+        "total_debit_loss_eur", F.col("total_debit_loss_eur").cast("double")
     )
-    return policy.allowed_rows(totals, requests, _decisions(t, requests)).select("request_id", "country", "c_mktsegment", "partners")
+
+
+@register("l03_request_scopes", _SQL_SCOPES + "SELECT request_id, country, product FROM scopes")
+def l03_requests(t: Tables) -> DataFrame:
+    return _scopes(t)
 
 
 _MAPPINGS = [

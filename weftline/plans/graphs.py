@@ -252,12 +252,12 @@ _SQL_REACH = with_tables(SQL_EDGES).replace("WITH ", "WITH RECURSIVE ", 1) + """
 
 @register("j01_bounded_closure", _SQL_REACH + "SELECT seed, node, distance FROM r WHERE distance <= 4")
 def j01(t: Tables) -> DataFrame:
-    return reach.closure(t.prerequisite_edges(), max_depth=4).pairs
+    return reach.all_pairs(t.prerequisite_edges(), max_depth=4).pairs
 
 
 @register("j01_full_closure", _SQL_REACH + "SELECT seed, node, distance FROM r")
 def j01_full(t: Tables) -> DataFrame:
-    return reach.closure(t.prerequisite_edges()).pairs
+    return reach.all_pairs(t.prerequisite_edges()).pairs
 
 
 @register(
@@ -272,6 +272,39 @@ def j02(t: Tables) -> DataFrame:
     return status.withColumn("reason", F.coalesce("reason", F.lit("-")))
 
 
+def part_chain(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Chains of up to twenty parts, and the first and sixth part of each as seeds."""
+    near = t.part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    known = t.part.select(F.col("p_partkey").alias("dst"))
+    links = near.where("dst % 20 <> 0").join(known, "dst", "left_semi").select("src", "dst")
+    return links, t.part.where("p_partkey % 20 IN (0, 5)").select(F.col("p_partkey").alias("seed"))
+
+
+_SQL_CHAIN = """WITH RECURSIVE edges AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+   WHERE b.p_partkey % 20 <> 0),
+ r AS (SELECT p_partkey AS seed, dst AS node, 1 AS distance FROM part JOIN edges ON src = p_partkey WHERE p_partkey % 20 IN (0, 5)
+   UNION ALL SELECT r.seed, e.dst, r.distance + 1 FROM r JOIN edges e ON r.node = e.src)
+"""
+
+
+@register("j01_chain_closure", _SQL_CHAIN + "SELECT seed, node, distance FROM r WHERE distance <= 16")
+def j01_chain(t: Tables) -> DataFrame:
+    """Chains of up to nineteen hops, followed for sixteen."""
+    links, seeds = part_chain(t)
+    return reach.closure(links, seeds).pairs
+
+
+@register(
+    "j02_chain_truncation",
+    _SQL_CHAIN + """SELECT p_partkey AS seed, coalesce(max(distance) > 16, false) AS truncated,
+  CASE WHEN max(distance) > 16 THEN 'EMPTY_RESULT' ELSE 'SUCCESS' END AS status FROM part LEFT JOIN r ON r.seed = p_partkey
+WHERE p_partkey % 20 IN (0, 5) GROUP BY 1""",
+)
+def j02_chain(t: Tables) -> DataFrame:
+    links, seeds = part_chain(t)
+    return reach.traversal_status(seeds, reach.closure(links, seeds)).drop("reason")
+
+
 def ring_edges(t: Tables) -> DataFrame:
     """Lines to the next line number of their order, or back to the order's first line."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber").distinct()

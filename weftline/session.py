@@ -1,4 +1,4 @@
-"""Session helpers: checkpoint folder, lineage cuts and size-checked broadcasts."""
+"""Session helpers: checkpoint folder, lineage cuts and literal tables."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SMALL_SIDE_ROWS = 200_000
 
 
 def local_session(cores: int | str = 8, app: str = "weftline", **conf: str) -> SparkSession:
@@ -62,15 +61,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Mark a join side for broadcast only if a bounded count shows that it is small.
-
-    Beyond the bound the side is returned unmarked and Spark shuffles both sides.
-    """
-    counted = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return F.broadcast(df) if counted <= max_rows else df
-
-
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table written in code. Spark keeps it in the plan and knows its size."""
     names = to_arrow_schema(StructType.fromDDL(schema))

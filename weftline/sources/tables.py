@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
+
+from weftline.session import literal_rows
 
 
 def read_table(
@@ -33,10 +34,10 @@ def cast_to_contract(df: DataFrame, schema: StructType) -> DataFrame:
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Read CSV files as strings with a row number that counts lines from 2, after the header.
 
-    Part files are numbered through in path order. Only one small row per file block is
-    shuffled for the offsets; rows themselves keep their place: the number of a row is the
-    rows before its block plus its place in the block. Records must not span lines. An empty
-    or absent field is an empty text, so that the checks see it.
+    Part files are numbered through in path order. A row's number is the rows before its block
+    plus its place in the block, so rows keep their place and none is shuffled: a first job counts
+    the rows of each block of the listing, and these few counts are broadcast. Records must not
+    span lines. An empty or absent field is an empty text, so that the checks see it.
     """
     raw = (
         spark.read.options(header=True, inferSchema=False)
@@ -48,22 +49,16 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")
     )
-    before_block = Window.partitionBy("_file").orderBy("_start").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    blocks = blocks.withColumn("_in_file", F.coalesce(F.sum("_rows").over(before_block), F.lit(0)))
-    files = blocks.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
-    before_file = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(
-        "_file", F.coalesce(F.sum("_file_rows").over(before_file), F.lit(0)).alias("_earlier")
-    )
-    offsets = blocks.join(files, "_file").select(
-        "_file", "_start", "_first", (F.col("_earlier") + F.col("_in_file")).alias("_offset")
-    )
+    offsets, before = [], 0
+    for block in sorted(blocks.collect()):
+        offsets.append((block["_file"], block["_start"], before - block["_first"] + 2))
+        before += block["_rows"]
+    # As many rows as the listing has blocks.
+    placed = F.broadcast(literal_rows(spark, offsets, "_file string, _start bigint, _offset bigint"))
     data = [c for c in raw.columns if c not in ("_file", "_start", "_at")]
-    number = F.col("_at") - F.col("_first") + F.col("_offset") + 2
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in data]
-    return raw.join(offsets, ["_file", "_start"]).select(number.alias("row_number"), *texts)
+    numbered = raw.join(placed, ["_file", "_start"])
+    return numbered.select((F.col("_at") + F.col("_offset")).alias("row_number"), *texts)
 
 
 def write_sorted(
