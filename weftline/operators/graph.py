@@ -66,7 +66,7 @@ def _scan(triples: DataFrame, pattern: Pattern, tagged: set[str], nodes: set[str
             columns[name] = F.col(position)
             if name in tagged:
                 columns[_tag(name)] = F.concat_ws("|", "o_kind", "datatype", "lang")
-    return kept.select(*[c.alias(n) for n, c in columns.items()]).distinct()
+    return kept.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def _ordered(patterns: Sequence[Pattern], sizes: Mapping[str, int]) -> list[Pattern]:
@@ -96,7 +96,7 @@ def bgp(
 
     Constants are filters on the scan, equal patterns are used once, and patterns that would
     need a cross product are refused. An object variable joins as a whole term, so literals of
-    different type do not meet.
+    different type do not meet. Bindings are made distinct once, at the end.
     """
     ordered = _ordered(patterns, sizes or {})
     nodes = {v for p in ordered for v in map(_variable, p[:2]) if v}
@@ -107,7 +107,7 @@ def bgp(
         right = _scan(triples, pattern, tagged, nodes)
         shared = [c for c in right.columns if c in result.columns]
         result = result.join(right, shared)
-    return result.drop(*[_tag(v) for v in tagged])
+    return result.distinct().drop(*[_tag(v) for v in tagged])
 
 
 def optional(bindings: DataFrame, triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:

@@ -229,8 +229,8 @@ def n01(t: Tables) -> DataFrame:
     return ledger.result_digest(result, ["partner_id"])
 
 
-def order_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A chain of two records per order, honestly hashed, then damaged by status and priority."""
+def _honest_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """First and second records of the chains, one chain per order."""
     def record(name: str, value: str):
         ident = F.concat(F.col("chain_id"), F.lit(f"-{name}"))
         return ident, F.to_json(F.struct(ident.alias("query_id"), F.col(value).alias("value")))
@@ -248,12 +248,20 @@ def order_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     first = entry(base, "open", "o_totalprice", 1, F.lit(ledger.GENESIS))
     second = entry(first, "close", "o_orderstatus", 2, F.col("row_hash"))
+    return first, second
+
+
+_LEDGER = ["chain_id", "query_id", "document", "signature", "sequence", "previous_hash", "row_hash"]
+
+
+def order_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A chain of two records per order, honestly hashed, then damaged by status and priority."""
+    first, second = _honest_ledger(t)
     altered = F.when(F.col("o_orderstatus") == "P", F.concat("document", F.lit(" "))).otherwise(F.col("document"))
     moved = F.when((F.col("pri") == "2-HIGH") & (F.col("o_orderstatus") == "O"), F.lit(3)).otherwise(F.col("sequence")).cast("bigint")
     damaged = second.withColumn("document", altered).withColumn("sequence", moved)
     marks = second.where("NOT (pri = '5-LOW' AND o_orderstatus = 'F')").select("chain_id", F.lit(2).cast("bigint").alias("sequence"), "row_hash")
-    keep = ["chain_id", "query_id", "document", "signature", "sequence", "previous_hash", "row_hash"]
-    return first.select(*keep).unionByName(damaged.select(*keep)), marks
+    return first.select(*_LEDGER).unionByName(damaged.select(*_LEDGER)), marks
 
 
 _SQL_LEDGER = """v AS (SELECT CAST(o_orderkey AS VARCHAR) AS chain_id, CAST(2 AS VARCHAR) AS sequence, 'ROW_HASH' AS violation FROM orders WHERE o_orderstatus = 'P'
@@ -274,3 +282,15 @@ WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT chain_id FROM v)""",
 )
 def n03(t: Tables) -> DataFrame:
     return ledger.trusted_records(*order_ledger(t)).select("chain_id", "query_id")
+
+
+@register(
+    "n03_provenance_lookup",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS chain_id, o_orderkey || '-close' AS query_id, 'signed' AS signature FROM orders WHERE o_orderkey = 7",
+)
+def n03_lookup(t: Tables) -> DataFrame:
+    """One record by its id, after every chain of the ledger has verified."""
+    first, second = _honest_ledger(t)
+    whole = first.select(*_LEDGER).unionByName(second.select(*_LEDGER))
+    marks = second.select("chain_id", F.lit(2).cast("bigint").alias("sequence"), "row_hash")
+    return ledger.provenance_lookup(whole, marks, "7-close").select("chain_id", "query_id", "signature")
