@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import numbered, unused
+from weftline.llm.frames import keyed, unused
 from weftline.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3
 ROUNDS = 60
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 #: Fractions of copies are whole numbers of this part, so that sums don't depend on their order.
 PART = 1_000_000_000
 BUCKETS = 256
@@ -61,7 +61,7 @@ def _rate(most: int) -> Column:
 
 def _exact(value: Column) -> Column:
     """Summed as a decimal: the same result in any order."""
-    return F.sum(value.cast("decimal(30,9)")).cast("double")
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
 
 
 def tilts(counts: DataFrame, aims: DataFrame, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
@@ -175,9 +175,8 @@ def mix(
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
-    rows, names = numbered(docs)
-    row, copies = names["row"], unused(rows, "copies")
-    taken = mix(rows, text, source, (row,), weights).where("copies > 0").select(row, F.col("copies").alias(copies))
-    return rows.join(taken, row).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(unused(rows, "copy"))
-    ).select(*docs.columns)
+    rows, keys = keyed(docs)
+    copies = unused(rows, "copies")
+    taken = mix(rows, text, source, keys, weights).where("copies > 0").select(*keys, F.col("copies").alias(copies))
+    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(unused(rows, "copy"))
+    return rows.join(taken, list(keys)).select(*docs.columns, repeats).select(*docs.columns)

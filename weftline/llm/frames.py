@@ -1,8 +1,9 @@
-"""Rows that can be told apart: tables written once, under row numbers that stay."""
+"""Rows that can be told apart, whatever their columns hold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import scratch_path
@@ -16,14 +17,18 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with a row number ``row`` and further columns, and the names these got.
+def keyed(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """``docs`` with two columns that tell its rows apart in every read, and the names of these.
 
-    Written to the shared folder, so the numbers hold for every later read and a lost executor replays
-    no more than the read. Keys may be null or repeated.
+    Rows read from Parquet files are told apart by their file and their place in it. Other rows are
+    written to the shared folder and numbered there. A frame that repeats rows of the files it reads must be
+    written by its caller first.
     """
-    names = {n: unused(docs, n) for n in ("row", *more)}
-    path = scratch_path(docs.sparkSession, "rows")
-    added = {names["row"]: F.monotonically_increasing_id(), **{names[n]: c for n, c in more.items()}}
-    docs.select("*", *(c.alias(n) for n, c in added.items())).write.parquet(path)
-    return docs.sparkSession.read.parquet(path), names
+    file, row = unused(docs, "file"), unused(docs, "row")
+    try:
+        placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        path = scratch_path(docs.sparkSession, "rows")
+        docs.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row)).write.parquet(path)
+        placed = docs.sparkSession.read.parquet(path)
+    return placed, (file, row)

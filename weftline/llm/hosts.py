@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import numbered, unused
+from weftline.llm.frames import keyed
 from weftline.session import cut_lineage
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -82,50 +82,59 @@ def rule_failure(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words)
 
 
+def beta_prior(docs: float, failures: float, hosts: int, squares: float, sizes: float) -> tuple[float, float]:
+    """Mean and weight (in documents) of the beta prior behind hosts' failure rates, by moments.
+
+    ``squares`` is the sum of failures² / docs over the hosts, ``sizes`` that of docs². The weight is the
+    inverse of the between-host correlation, which is kept within its bounds; without variation among the
+    documents, or with one host, the correlation takes the lower bound.
+    """
+    mean = failures / docs
+    noise = mean * (1 - mean)
+    room = noise * (docs - sizes / docs - (hosts - 1))
+    found = (squares - docs * mean * mean - noise * (hosts - 1)) / room if room > 0 else LEAST_SPREAD
+    return mean, 1 / min(max(found, LEAST_SPREAD), MOST_SPREAD) - 1
+
+
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(host, docs, failures, host_rate, host_ok) from rows (host, base_failed), one for each host, null too.
 
     The prior's mean is the corpus' rate, its weight comes from the moments of the hosts' rates around
     it. A host is refused above ``limit``, and above half the way from the corpus' rate to one, so that a
-    poor corpus does not refuse its ordinary hosts. A hot host is summed before the shuffle.
+    poor corpus does not refuse its ordinary hosts. A hot host is summed before the shuffle. Gathered at
+    the driver: one row of five sums.
     """
-    hosts = judged.groupBy("host").agg(
+    hosts = cut_lineage(judged.groupBy("host").agg(
         F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failures")
-    )
-    rate = F.col("failures") / F.col("docs")
-    whole = hosts.agg(
-        F.sum("docs").alias("n"), F.sum("failures").alias("f"), F.count("*").alias("k"),
-        F.sum(F.col("docs") * rate * rate).alias("squares"), F.sum(F.col("docs") * F.col("docs").cast("double")).alias("sizes"),
-    )
-    mean = F.col("f") / F.col("n")
-    noise = mean * (1 - mean)
-    spread = F.col("squares") - F.col("n") * mean * mean
-    room = noise * (F.col("n") - F.col("sizes") / F.col("n") - (F.col("k") - 1))
-    found = F.when(room > 0, (spread - noise * (F.col("k") - 1)) / room).otherwise(F.lit(LEAST_SPREAD))
-    correlation = F.least(F.greatest(found, F.lit(LEAST_SPREAD)), F.lit(MOST_SPREAD))
-    prior = whole.select(mean.alias("mean"), (1 / correlation - 1).alias("weight"))
-    # One row, so the broadcast has a proven bound.
-    return hosts.join(F.broadcast(prior)).select(
-        "host", "docs", "failures", F.greatest(F.lit(limit), (1 + F.col("mean")) / 2).alias("limit"),
-        ((F.col("failures") + F.col("mean") * F.col("weight")) / (F.col("docs") + F.col("weight"))).alias("host_rate"),
-    ).withColumn("host_ok", F.col("host_rate") <= F.col("limit")).drop("limit")
+    ))
+    docs, failures = F.col("docs").cast("double"), F.col("failures").cast("double")
+    sums = hosts.agg(
+        F.sum(docs), F.sum(failures), F.count("*"), F.sum(failures * failures / docs), F.sum(docs * docs)
+    ).first()
+    mean, weight = beta_prior(*sums) if sums[2] else (0.0, 0.0)
+    rate = (failures + mean * weight) / (docs + weight)
+    return hosts.withColumn("host_rate", rate).withColumn("host_ok", F.col("host_rate") <= max(limit, (1 + mean) / 2))
 
 
 def kept(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass the rules and whose host does, with their columns as they are.
 
     Rows with null keys or repeated rows are judged each; null and empty texts go; rows without a host
-    are a host of their own. Texts are measured once and written with the outcome.
+    are a host of their own. Texts are measured once, and move once, to the row keys that stay: an even
+    shuffle, whatever the hosts.
     """
+    rows, keys = keyed(docs)
     failed = let(
         words_of(F.coalesce(F.col(text), F.lit(""))),
         lambda w: rule_failure(F.size(w), F.when(F.size(w) < LEAST_WORDS, F.lit(0).cast("long")).otherwise(repeated_words(w))),
     )
-    rows, names = numbered(docs, failed=failed)
-    seen = rows.select(F.col(host).alias("host"), F.col(names["failed"]).alias("base_failed"))
-    bad = host_verdicts(seen, limit).where(~F.col("host_ok")).select(F.col("host").alias(unused(rows, "named")))
-    passed = rows.where(~F.col(names["failed"]))
-    return passed.join(bad, F.col(host).eqNullSafe(F.col(bad.columns[0])), "left_anti").drop(*names.values())
+    one, two = keys
+    judged = cut_lineage(rows.select(
+        F.col(one).alias("one"), F.col(two).alias("two"), F.col(host).alias("host"), failed.alias("base_failed")
+    ))
+    bad = cut_lineage(host_verdicts(judged, limit).where(~F.col("host_ok")).select(F.col("host").alias("named")))
+    good = judged.where(~F.col("base_failed")).join(bad, F.col("host").eqNullSafe(F.col("named")), "left_anti")
+    return rows.join(good.select(F.col("one").alias(one), F.col("two").alias(two)), list(keys), "left_semi").select(*docs.columns)
 
 
 def judge(
@@ -140,7 +149,8 @@ def judge(
     """
     measured = docs.select(*keys, F.col(host).alias("host"), *(c.alias(n) for n, c in measures(F.col(text)).items()))
     judged = cut_lineage(measured.withColumn("base_failed", rule_failure(F.col("n_words"), F.col("n_repeat_words"))))
-    verdicts = host_verdicts(judged, limit).select(F.col("host").alias("named"), "host_rate", "host_ok")
+    # Written first, so that both join sides are bare shuffles and a hot host's rows can be split.
+    verdicts = cut_lineage(host_verdicts(judged, limit).select(F.col("host").alias("named"), "host_rate", "host_ok"))
     return (
         judged.join(verdicts, judged["host"].eqNullSafe(verdicts["named"]), "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))

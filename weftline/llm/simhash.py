@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import numbered
+from weftline.llm.frames import keyed
 from weftline.llm.links import components, spanning
 from weftline.session import cut_lineage
 
@@ -30,8 +30,8 @@ BITS = 64
 SEED = 42
 GROUP_BITS = 2
 SHARD_ROWS = 4096
-PAIRS_AT_ONCE = 1 << 21
-LINKS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 18
+LINKS_AT_ONCE = 1 << 17
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -271,10 +271,11 @@ def representatives(
     """One row of each group of linked documents, with the columns of ``docs``: the one with the smallest key.
 
     Keys may be null (such a row stays only if its whole group has none) or repeated (one of the rows
-    stays). Texts are written once with their fingerprints, and moved once, to the rows that stay.
+    stays). Texts are read once for the fingerprints, and move once, to the rows that stay.
     """
-    rows, names = numbered(docs, fp=fingerprint(F.col(text), words))
-    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(names["row"]).alias("row"))
-    prints = rows.select(rank.alias("key"), F.col(names["fp"]).alias("fp"))
-    first = classes(prints, radius, bands).select(F.col("component.row").alias(names["row"])).distinct()
-    return rows.join(first, names["row"], "left_semi").select(*docs.columns)
+    rows, (one, two) = keyed(docs)
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(one).alias("one"), F.col(two).alias("two"))
+    prints = cut_lineage(rows.select(rank.alias("key"), fingerprint(F.col(text), words).alias("fp")))
+    found = classes(prints, radius, bands)
+    first = found.select(F.col("component.one").alias(one), F.col("component.two").alias(two)).distinct()
+    return rows.join(first, [one, two], "left_semi").select(*docs.columns)

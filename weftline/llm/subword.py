@@ -170,9 +170,9 @@ def classify(
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     known = known.where(F.crc32(F.col("key").cast("string").cast("binary")) % folds != held_fold).distinct()
-    # The bound holds for the labels, so the texts of no more keys than that are gathered.
+    # At most so many labels, so the broadcast is bounded and texts stay where they are until they are chosen.
     known = known.orderBy(F.xxhash64("key"), "key", "label").limit(most)
-    weights = fit(rows.join(known, "key"), most)
+    weights = fit(rows.join(F.broadcast(known), "key"), most)
     scored = docs.select(
         F.col(key).alias(key), F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"),
         score(weights, docs, F.col(text)).alias("score"),
