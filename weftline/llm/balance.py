@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import keyed, unused
+from weftline.llm.frames import in_few_files, keyed, unused
 from weftline.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,10 +78,11 @@ def tilts(counts: DataFrame, aims: DataFrame, most: int = MOST, rounds: int = RO
             F.lit(1.0).alias("miss"),
         )
     )
+    many = state.count()
     for _ in range(rounds):
         if not state.where(~F.col("full") & (F.col("miss") > TOLERANCE)).limit(1).count():
             break
-        state = cut_lineage(_step(counts, state, most))
+        state = cut_lineage(in_few_files(_step(counts, state, most), many))
     return state.select("source", "scale", "full", "tilt")
 
 

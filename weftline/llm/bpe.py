@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: First of the 256 letters that stand for bytes.
 LETTERS = 0x100
-KEPT = 150_000
+KEPT = 100_000
 _BYTE_TO_LETTER = {b: chr(LETTERS + b) for b in range(256)}
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import scratch_path
 
+ROWS_IN_FILE = 200_000
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column has it in any case."""
@@ -17,6 +19,11 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """A small frame of a known size in as many partitions as its rows fill, before it is written over and over."""
+    return df.coalesce(1 + rows // ROWS_IN_FILE)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """``docs`` with two columns that tell its rows apart in every read, and the names of these.
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.frames import in_few_files
 from weftline.session import cut_lineage
 
 
@@ -37,18 +38,18 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.min("b")).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # Written first, so that both join sides are bare shuffles and a hub's rows can be split.
-    joined = both.where("v > u").join(cut_lineage(least), "u")
+    joined = both.where("v > u").join(cut_lineage(in_few_files(least, 2 * rows)), "u")
     return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = cut_lineage(links.groupBy("a").agg(F.min("b").alias("m")))
+    least = cut_lineage(in_few_files(links.groupBy("a").agg(F.min("b").alias("m")), rows))
     moved = links.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -62,8 +63,10 @@ def components(links: DataFrame) -> DataFrame:
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = cut_lineage(ordered)
     state = _state(current)
-    while state[0]:
-        current = cut_lineage(_small_star(cut_lineage(_large_star(current))))
+    while rows := state[0]:
+        larger = cut_lineage(in_few_files(_large_star(current, rows), rows))
+        # At most one more link for each node that is an end.
+        current = cut_lineage(in_few_files(_small_star(larger, 2 * rows), 2 * rows))
         after = _state(current)
         if after == state:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.frames import keyed
+from weftline.llm.frames import in_few_files, keyed
 from weftline.llm.links import components, spanning
 from weftline.session import cut_lineage
 
@@ -241,13 +241,14 @@ def classes(
 ) -> DataFrame:
     """(fp, component) from rows (key, fp): the smallest key among the fingerprints reachable through links."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    many = nodes.count()
     roots = components(links(nodes, radius, bands, shard_rows))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    placed = cut_lineage(placed)
-    least = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component")))
-    return cut_lineage(placed.join(least, "root").select("fp", "component"))
+    placed = cut_lineage(in_few_files(placed, many))
+    least = cut_lineage(in_few_files(placed.groupBy("root").agg(F.min("least").alias("component")), many))
+    return cut_lineage(in_few_files(placed.join(least, "root").select("fp", "component"), many))
 
 
 def near_duplicates(

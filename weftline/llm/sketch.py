@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 HASHES = 3
 CELLS = 15
-#: A paragraph of more words than this is cut after words whose hash is a multiple of CUT, so that an edit changes few pieces.
-LONG = 48
+#: A paragraph of more characters than this is cut after words whose hash is a multiple of CUT, so that an edit changes few pieces.
+LONG = 400
 CUT = 24
 BINS = 256
 _CHECK = (1 << 32) - 1
 _ALL = (1 << 64) - 1
-_WORD = re.compile(r"\S+\s*")
+_WORD = re.compile(rb"(\S+)\s*")
 
 Cells = list[list[int]]
 
@@ -36,18 +36,17 @@ def pieces(text: str) -> Iterator[bytes]:
     for line in text.split("\n"):
         if not line.strip():
             continue
-        words = _WORD.findall(line) if len(line) > LONG else [line]
-        if len(words) <= LONG:
-            yield line.strip().encode("utf-8", "surrogatepass")
+        whole = line.strip().encode("utf-8", "surrogatepass")
+        if len(line) <= LONG:
+            yield whole
             continue
-        held: list[str] = []
-        for word in words:
-            held.append(word)
-            if xxhash.xxh64_intdigest(word.strip().encode("utf-8", "surrogatepass"), 1) % CUT == 0:
-                yield "".join(held).strip().encode("utf-8", "surrogatepass")
-                held = []
-        if held:
-            yield "".join(held).strip().encode("utf-8", "surrogatepass")
+        begin = 0
+        for word in _WORD.finditer(whole):
+            if xxhash.xxh32_intdigest(word[1]) % CUT == 0:
+                yield whole[begin : word.end(1)]
+                begin = word.end()
+        if begin < len(whole):
+            yield whole[begin:]
 
 
 def digests(text: str) -> list[int]:
@@ -68,10 +67,8 @@ def _check(digest: int) -> int:
 def _places(digest: int, cells: int) -> tuple[int, ...]:
     """One cell in each part of the sketch."""
     part = cells // HASHES
-    return tuple(
-        k * part + ((digest ^ digest >> 33) * (0xFF51AFD7ED558CCD + 2 * k) & _ALL) % 0x1FFFFFFFFFFFFFFF % part
-        for k in range(HASHES)
-    )
+    mixed = (digest ^ digest >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    return (mixed & 0x1FFFFF) % part, part + (mixed >> 21 & 0x1FFFFF) % part, 2 * part + (mixed >> 42) % part
 
 
 def sketch(of: list[int], cells: int = CELLS) -> Cells:
@@ -105,24 +102,38 @@ def peel(left: Cells, right: Cells) -> tuple[set[int], set[int]] | None:
     return None if any(c != [0, 0, 0] for c in rest) else (only[1], only[-1])
 
 
-def difference(left: list[int], right: list[int], cells: int = CELLS) -> tuple[set[int], set[int]]:
-    """Digests on one side only, from sketches of ``cells`` cells or, where these fail, of larger ones."""
-    found = peel(sketch(left, cells), sketch(right, cells))
-    # Enough for sides that share nothing, then twice as many each time.
-    cells = HASHES * max(2 * cells // HASHES, (len(left) + len(right)) * 2 // HASHES + 2)
+class Sketched:
+    """A text, its digests, and its sketches of the sizes asked for so far."""
+
+    def __init__(self, text: str):
+        self.text, self.digests = text, digests(text)
+        self.made: dict[int, Cells] = {}
+
+    def cells(self, size: int = CELLS) -> Cells:
+        if size not in self.made:
+            self.made[size] = sketch(self.digests, size)
+        return self.made[size]
+
+
+def difference(left: Sketched, right: Sketched) -> tuple[set[int], set[int]]:
+    """Digests on one side only, from the fingerprints or, where peeling these fails, from larger sketches.
+
+    The next size is enough for sides that share nothing; if it fails, too, twice as many cells follow.
+    """
+    found = peel(left.cells(), right.cells())
+    size = HASHES << max(3, (len(left.digests) + len(right.digests)).bit_length() - 1)
     while found is None:
-        found = peel(sketch(left, cells), sketch(right, cells))
-        cells *= 2
+        found = peel(left.cells(size), right.cells(size))
+        size *= 2
     return found
 
 
-def likeness(left: list[int], right: list[int], left_cells: Cells, right_cells: Cells) -> float:
+def likeness(left: Sketched, right: Sketched) -> float:
     """Share of digests on both sides; 1 for two texts without any."""
-    total = len(left) + len(right)
+    total = len(left.digests) + len(right.digests)
     if not total:
         return 1.0
-    found = peel(left_cells, right_cells) or difference(left, right, 2 * len(left_cells))
-    return 1 - (len(found[0]) + len(found[1])) / total
+    return 1 - sum(map(len, difference(left, right))) / total
 
 
 def packed(cells: Cells) -> str:
@@ -163,23 +174,15 @@ _RESULT = (
 )
 
 
-def _row(key: int | None, own: tuple, following: tuple) -> tuple:
-    text, held, cells, name = own
-    changed = edited(text, following[0])
-    new = digests(changed)
-    new_cells = sketch(new)
+def _row(key: int | None, own: Sketched, following: Sketched) -> tuple:
+    changed = edited(own.text, following.text)
+    new = Sketched(changed)
     return (
-        key, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), name, packed(new_cells),
-        likeness(held, new, cells, new_cells), likeness(held, following[1], cells, following[2]),
+        key, len(own.text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
+        packed(own.cells()), packed(new.cells()), likeness(own, new), likeness(own, following),
     )
 
 
-def _known(text: str | None) -> tuple:
-    held = digests(text or "")
-    cells = sketch(held)
-    return text or "", held, cells, packed(cells)
-
-
 def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int = BINS) -> DataFrame:
     """Fingerprints of each row of ``docs`` and of its edited text, and their likeness.
 
@@ -211,7 +214,7 @@ def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int
                 at, lent, number = at.as_py(), lent.as_py(), number.as_py()
                 if lent and (waiting is None or at != bin_):
                     continue
-                known = _known(body.as_py())
+                known = Sketched(body.as_py() or "")
                 if waiting is not None:
                     out.append(_row(waiting[0], waiting[1], known))
                 waiting, bin_ = (None, at) if lent else ((number, known), at)
