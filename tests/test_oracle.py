@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry
 from check_oracle import compare, connect
 
+from weftline import plans
+
 FOLDER = "/root/testdata/sf0.001"
 # Too small here: the smallest tables hold no row of these kinds.
 MAY_BE_EMPTY = {"b12_pii_columns", "c09_not_found", "c13_certified_products", "j11_max_count", "h10_curated_rows", "k06_secret_scan"}
@@ -20,14 +22,15 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_matches_sql(spark, con, name):
-    ok, detail = compare(spark, con, name, FOLDER, entry.queries()[name], entry.oracle_sql().get(name))
+    ok, detail = compare(spark, con, name, FOLDER, plans.queries()[name], plans.oracle_sql().get(name))
     assert ok or (name in MAY_BE_EMPTY and detail.endswith("EMPTY")), detail
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(plans.queries()) == set(plans.oracle_sql())
+    assert set(plans.queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
