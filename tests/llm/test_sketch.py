@@ -5,19 +5,25 @@ from weftline.llm import sketch
 from weftline.session import literal_rows
 
 
+def holding(of):
+    made = sketch.Sketched("")
+    made.digests = of
+    return made
+
+
 def test_difference_is_exact():
     rng = random.Random(2)
     for size in (0, 1, 3, 20, 200, 2000):
         shared = [rng.getrandbits(64) for _ in range(size)]
         left = shared + [rng.getrandbits(64) for _ in range(rng.randrange(size + 2))]
         right = shared + [rng.getrandbits(64) for _ in range(rng.randrange(size + 2))]
-        assert sketch.difference(left, right) == (set(left) - set(right), set(right) - set(left))
+        assert sketch.difference(holding(left), holding(right)) == (set(left) - set(right), set(right) - set(left))
 
 
 def test_peeling_can_stop_and_goes_on_larger():
     left, right = list(range(1, 80)), list(range(1000, 1080))
     assert sketch.peel(sketch.sketch(left), sketch.sketch(right)) is None
-    assert sketch.difference(left, right) == (set(left), set(right))
+    assert sketch.difference(holding(left), holding(right)) == (set(left), set(right))
 
 
 def test_pieces():
