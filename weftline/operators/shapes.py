@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import cut_lineage, literal_rows
+from weftline.session import cut_lineage, literal_rows, measured_side
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -72,8 +72,8 @@ def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFr
     classes = super_class.groupBy(F.col("src").alias("_typed")).agg(F.collect_set("dst").alias("_classes"))
     # One row per axiom subject, so the data meets each table once and grows only in the row.
     met = (
-        stated.join(above, "p", "left").join(sides, "p", "left")
-        .join(classes, (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("_typed")), "left")
+        stated.join(measured_side(above), "p", "left").join(measured_side(sides), "p", "left")
+        .join(measured_side(classes), (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("_typed")), "left")
     )
 
     def triple(**changed: Column) -> Column:

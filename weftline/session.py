@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Up to so many bytes a measured join side is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def local_session(cores: int | str = 8, app: str = "weftline", **conf: str) -> SparkSession:
@@ -24,6 +26,7 @@ def local_session(cores: int | str = 8, app: str = "weftline", **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
@@ -61,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured_side(df: DataFrame) -> DataFrame:
+    """A join side, written and measured in bytes: marked for broadcast up to BROADCAST_BYTES, else left to Spark."""
+    written = cut_lineage(df)
+    size = written.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(written) if size <= BROADCAST_BYTES else written
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table written in code. Spark keeps it in the plan and knows its size."""
     names = to_arrow_schema(StructType.fromDDL(schema))
