@@ -46,9 +46,9 @@ def test_index_of_many_blocks_and_files(spark):
     assert captures.select("file").distinct().count() > 6
     index = warc.write_index(captures, folder, block_lines=7)
     assert sum(r["lines"] for r in index.collect()) == 500
-    found = warc.lookup(captures.select("key", "row"), index, folder)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, captures.select("row", "file", "offset", "length").collect()))
-    missing = literal_rows(spark, [("", -1), ("com,example,h3)/zzz", 5), ("zzz", 1)], "key string, row long")
+    found = warc.lookup(captures.select("key", "part", "row"), index, folder)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, captures.select("part", "row", "file", "offset", "length").collect()))
+    missing = literal_rows(spark, [("", 0, -1), ("com,example,h3)/zzz", 0, 5), ("zzz", 0, 1)], "key string, part long, row long")
     assert warc.lookup(missing, index, folder).count() == 0
 
 

@@ -24,14 +24,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import cut_lineage, scratch_path
+from weftline.llm.frames import keyed
+from weftline.session import cut_lineage, measured_side, scratch_path
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 3000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7F]")
-_CAPTURE = "row long, page_id long, key string, file string, offset long, length long"
+_CAPTURE = "part long, row long, page_id long, key string, file string, offset long, length long"
+
+_INDEX = "file string, first_key string, first_part long, first_row long, lines long"
+_FOUND = "part long, row long, file string, offset long, length long"
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -126,38 +130,43 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _staged(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """Pages under row numbers that stay: written to the shared folder first."""
-    path = scratch_path(pages.sparkSession, "pages")
+def _named(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """(part, row, page_id, url, payload): pages under the two numbers that tell their rows apart."""
+    rows, (part, row) = keyed(pages)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"),
-        F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"),
-    ).write.parquet(path)
-    return pages.sparkSession.read.parquet(path)
+    return rows.select(
+        F.col(part).alias("part"), F.col(row).alias("row"), F.col(page_id).cast("long").alias("page_id"),
+        F.col(url).alias("url"), payload.alias("payload"),
+    )
+
 
+def _revisits(named: DataFrame, least_bytes: int) -> DataFrame:
+    """(part, row, refers_to) of rows whose payload another row has under a smaller page id.
 
-def _revisits(staged: DataFrame, least_bytes: int) -> DataFrame:
-    """(row, refers_to) of rows whose payload another row has under a smaller page id."""
-    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    small = staged.where(F.length("payload") >= least_bytes).select("sha1", "row", rank.alias("rank"))
+    Payloads are hashed once; digests, not pages, are counted and joined.
+    """
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "part", "row")
+    hashed = named.where(F.length("payload") >= least_bytes).select(F.sha1("payload").alias("sha1"), rank.alias("rank"))
+    small = cut_lineage(hashed)
     first = cut_lineage(small.groupBy("sha1").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    met = small.join(first, "sha1").where("row <> first.row")
-    return cut_lineage(met.select("row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit")))
+    met = small.join(first, "sha1").where("rank.part <> first.part OR rank.row <> first.row")
+    return met.select("rank.part", "rank.row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
 
 
 def write_archives(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
     least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Writes a record for each row of ``pages`` and gives the captures (row, page_id, key, file, offset, length).
+    """Writes a record for each row of ``pages`` and gives the captures
+    (part, row, page_id, key, file, offset, length).
 
     Only files of finished tasks are named in the captures. Of equal payloads of at least
     ``least_bytes``, the smallest page id (null last, then the first row) is the response. Null pages are
     empty payloads.
     """
-    staged = _staged(pages, page_id, url, html)
-    marked = staged.drop("sha1").join(_revisits(staged, least_bytes), "row", "left")
+    named = _named(pages, page_id, url, html)
+    # Few revisits are broadcast by their measured bytes; with many, pages and revisits meet by row.
+    marked = named.join(measured_side(_revisits(named, least_bytes)), ["part", "row"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
@@ -169,7 +178,7 @@ def write_archives(
                         archive.stream.close()
                     archive = _Member(folder, "warc.gz")
                 made = record(r["page_id"], r["url"], r["payload"], r["refers_to"], bool(r["revisit"]))
-                out.append((r["row"], r["page_id"], url_key(r["url"]), archive.name, *archive.add(_gzip(made))))
+                out.append((r["part"], r["row"], r["page_id"], url_key(r["url"]), archive.name, *archive.add(_gzip(made))))
             yield _batch(out, _CAPTURE)
         if archive is not None:
             archive.stream.close()
@@ -187,22 +196,21 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes sorted index files with their directories and gives (file, first_key, first_row, lines) of each."""
+    """Writes sorted index files with their directories and gives (file, first_key, first_part, first_row, lines) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, directory, lines, total, first = None, [], [], 0, None
 
         def flush() -> None:
-            key, row = lines[0][:2]
-            packed = zlib.compress("".join(f"{k} {r} {rest}\n" for k, r, rest in lines).encode())
-            directory.append((key, row, *index.add(packed)))
+            packed = zlib.compress("".join(f"{k} {p} {r} {rest}\n" for k, p, r, rest in lines).encode())
+            directory.append((*lines[0][:3], *index.add(packed)))
             lines.clear()
 
         for batch in batches:
             for c in batch.to_pylist():
                 if index is None:
-                    index, first = _Member(folder, "cdx"), (c["key"], c["row"])
-                lines.append((c["key"], c["row"], json.dumps({n: c[n] for n in ("file", "offset", "length")})))
+                    index, first = _Member(folder, "cdx"), (c["key"], c["part"], c["row"])
+                lines.append((c["key"], c["part"], c["row"], json.dumps({n: c[n] for n in ("file", "offset", "length")})))
                 total += 1
                 if len(lines) == block_lines:
                     flush()
@@ -213,10 +221,10 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             system, path = place(folder)
             with system.open_output_stream(f"{path}/{index.name}.dir", compression=None) as out:
                 out.write(json.dumps(directory).encode())
-            yield _batch([(index.name, *first, total)], "file string, first_key string, first_row long, lines long")
+            yield _batch([(index.name, *first, total)], _INDEX)
 
-    ordered = captures.repartitionByRange("key", "row").sortWithinPartitions("key", "row")
-    return cut_lineage(ordered.mapInArrow(run, "file string, first_key string, first_row long, lines long"))
+    ordered = captures.repartitionByRange("key", "part", "row").sortWithinPartitions("key", "part", "row")
+    return cut_lineage(ordered.mapInArrow(run, _INDEX))
 
 
 class _Shard:
@@ -226,36 +234,36 @@ class _Shard:
         system, path = place(folder)
         with system.open_input_file(f"{path}/{name}.dir") as held:
             self.directory = [tuple(x) for x in json.loads(held.read())]
-        self.firsts = [x[:2] for x in self.directory]
+        self.firsts = [x[:3] for x in self.directory]
         self.file = system.open_input_file(f"{path}/{name}")
         self.at, self.keys, self.lines = -1, [], []
 
-    def find(self, key: str, row: int) -> dict | None:
-        at = bisect.bisect_right(self.firsts, (key, row)) - 1
+    def find(self, wanted: tuple[str, int, int]) -> dict | None:
+        at = bisect.bisect_right(self.firsts, wanted) - 1
         if at < 0:
             return None
         if at != self.at:
-            _, _, offset, length = self.directory[at]
+            offset, length = self.directory[at][3:]
             text = zlib.decompress(self.file.read_at(length, offset)).decode()
-            self.lines = [line.split(" ", 2) for line in text.split("\n")[:-1]]
-            self.keys = [(k, int(r)) for k, r, _ in self.lines]
+            self.lines = [line.split(" ", 3) for line in text.split("\n")[:-1]]
+            self.keys = [(k, int(p), int(r)) for k, p, r, _ in self.lines]
             self.at = at
-        found = bisect.bisect_left(self.keys, (key, row))
-        hit = found < len(self.keys) and self.keys[found] == (key, row)
-        return json.loads(self.lines[found][2]) if hit else None
+        found = bisect.bisect_left(self.keys, wanted)
+        hit = found < len(self.keys) and self.keys[found] == wanted
+        return json.loads(self.lines[found][3]) if hit else None
 
 
 def lookup(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
-    """(row, file, offset, length) of wanted captures (key, row); those that are not in the index are left out.
+    """(part, row, file, offset, length) of wanted captures (key, part, row); those not in the index are left out.
 
     Gathered at the driver: the first key of each index file, of which there are as many as partitions.
     """
-    top = sorted((r["first_key"], r["first_row"], r["file"]) for r in index.collect())
-    firsts, names = [t[:2] for t in top], [t[2] for t in top]
+    top = sorted((r["first_key"], r["first_part"], r["first_row"], r["file"]) for r in index.collect())
+    firsts, names = [t[:3] for t in top], [t[3] for t in top]
 
     @F.pandas_udf("int")
-    def shard(keys: pd.Series, rows: pd.Series) -> pd.Series:
-        found = [bisect.bisect_right(firsts, pair) - 1 for pair in zip(keys, rows, strict=True)]
+    def shard(keys: pd.Series, parts: pd.Series, rows: pd.Series) -> pd.Series:
+        found = [bisect.bisect_right(firsts, wanted) - 1 for wanted in zip(keys, parts, rows, strict=True)]
         return pd.Series(found, dtype="int32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +273,18 @@ def lookup(wanted: DataFrame, index: DataFrame, folder: str) -> DataFrame:
             for r in batch.to_pylist():
                 if r["shard"] != at:
                     at, held = r["shard"], _Shard(folder, names[r["shard"]])
-                if (hit := held.find(r["key"], r["row"])) is not None:
-                    out.append((r["row"], hit["file"], hit["offset"], hit["length"]))
-            yield _batch(out, "row long, file string, offset long, length long")
+                if (hit := held.find((r["key"], r["part"], r["row"]))) is not None:
+                    out.append((r["part"], r["row"], hit["file"], hit["offset"], hit["length"]))
+            yield _batch(out, _FOUND)
+
+    placed = wanted.select("key", "part", "row", shard("key", "part", "row").alias("shard")).where("shard >= 0")
+    dealt = placed.repartition(_tasks(wanted), "shard").sortWithinPartitions("shard", "key", "part", "row")
+    return dealt.mapInArrow(run, _FOUND)
+
 
-    placed = wanted.select("key", "row", shard("key", "row").alias("shard")).where("shard >= 0")
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "key", "row")
-    return dealt.mapInArrow(run, "row long, file string, offset long, length long")
+def _tasks(df: DataFrame) -> int:
+    """The session's shuffle partitions, named, since few bytes here stand for long reads elsewhere."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read_records(captures: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -294,7 +307,7 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = False) -> Da
                 out.append(found if payloads else found[:5])
             yield _batch(out, schema)
 
-    dealt = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    dealt = captures.select("file", "offset", "length").repartition(_tasks(captures), "file").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
@@ -307,4 +320,4 @@ def archived(pages: DataFrame, folder: str | None = None, least_bytes: int = 0,
     folder = folder or scratch_path(pages.sparkSession, "archive")
     captures = write_archives(pages, folder, least_bytes=least_bytes)
     index = write_index(captures, folder)
-    return read_records(lookup(captures.select("key", "row"), index, folder), folder, payloads)
+    return read_records(lookup(captures.select("key", "part", "row"), index, folder), folder, payloads)
