@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -23,7 +24,8 @@ CELLS = 15
 #: A paragraph of more characters than this is cut after words whose hash is a multiple of CUT, so that an edit changes few pieces.
 LONG = 400
 CUT = 24
-BINS = 256
+#: Bins for each of the session's shuffle partitions, which are set for the size of the data.
+BINS = 4
 _CHECK = (1 << 32) - 1
 _ALL = (1 << 64) - 1
 _WORD = re.compile(rb"(\S+)\s*")
@@ -164,7 +166,12 @@ def _bin(key, bounds: list[int]):
     """Bins count down from the largest keys; rows without a key come last."""
     if not bounds:
         return F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0))
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > key))
+    # Two steps, so that a row is compared with few bounds: every stride-th one, then those of one stride.
+    stride = math.isqrt(len(bounds)) + 1
+    coarse, fine = (F.array(*map(F.lit, some)) for some in (bounds[::stride], bounds))
+    passed = F.size(F.filter(coarse, lambda b: b > key))
+    within = F.size(F.filter(F.slice(fine, (F.greatest(passed, F.lit(1)) - 1) * stride + 1, F.lit(stride)), lambda b: b > key))
+    above = F.when(passed == 0, F.lit(0)).otherwise((passed - 1) * stride + within)
     return F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(above)
 
 
@@ -183,7 +190,7 @@ def _row(key: int | None, own: Sketched, following: Sketched) -> tuple:
     )
 
 
-def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int = BINS) -> DataFrame:
+def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int | None = None) -> DataFrame:
     """Fingerprints of each row of ``docs`` and of its edited text, and their likeness.
 
     The next document has the next smaller key, after the smallest the largest; rows without a key come
@@ -192,6 +199,7 @@ def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int
     bins of keys; the first document of a bin goes to the bin before it, too.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    bins = bins or BINS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds, first = _bins(docs, "key", bins)
     order = sorted(first)
     before = [(first[bin_], order[i - 1]) for i, bin_ in enumerate(order)]
