@@ -57,6 +57,51 @@ def test_not_confirmed(text):
     assert not [s for s in keyscan.spans_of(f"x {text} y") if s[0] not in ("assign", "access", "hex")]
 
 
+PEM = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)[:64]}\n{b64(PKCS8)[64:]}\n-----END PRIVATE KEY-----\n"
+PBES2 = tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48")) + tlv(0x30, tlv(6, b"\x60\x86"))))
+ENCRYPTED = tlv(0x30, PBES2 + tlv(4, rng.randbytes(160)))
+DIGEST_INFO = tlv(0x30, tlv(0x30, tlv(6, b"\x60\x86\x48\x01\x65\x03\x04\x02\x01") + tlv(5, b"")) + tlv(4, rng.randbytes(32)))
+SEALED = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n{b64(rng.randbytes(96))}\n-----END RSA PRIVATE KEY-----"
+
+
+def wrapped(run, width=64, by="\n"):
+    return by.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize(("before", "key", "after", "kind"), [
+    ("tls.key: ", b64(PEM.encode()), "\n", "pem"), ("x ", PEM.encode().hex(), " y", "pem"), ("x ", OPENSSH.hex(), " y", "openssh"),
+    ("x ", b64(b64(PEM.encode()).encode()), " y", "pem"), ("path/", b64(PEM.encode()), " y", "pem"),
+    ("key/", b64(PKCS8), " y", "der"), ("key-", b64(SEC1), "", "der"), ("a_", b64(OPENSSH), "\n", "openssh"),
+    ("-----BEGIN PRIVATE KEY-----", b64(PKCS8), "", "der"), ("-----BEGIN PRIVATE KEY-----\n", wrapped(b64(PKCS8)), "\nthe end", "der"),
+    ("data:\n  ", wrapped(b64(PKCS1), by="\n  "), "\nend of it", "der"), ("x ", wrapped(b64(PKCS1), by="\r\n"), "", "der"),
+    ('"', wrapped(b64(SEC1), 40, "\\n"), '"', "der"), ("x\n", wrapped(PKCS8.hex().upper()), "\nend", "der"),
+    ("x\n", wrapped(b64(OPENSSH)), "\n\nend of it", "openssh"), ("x\n", wrapped(b64(PEM.encode()), 76), "\n", "pem"),
+    ("x ", b64(ENCRYPTED), " y", "der"), ("x ", SEALED, " y", "pem"), ("x ", SEALED.replace("\n", "\\n"), " y", "pem"),
+    ("x ", f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{wrapped(b64(ENCRYPTED))}\n-----END ENCRYPTED PRIVATE KEY-----", " y", "pem"),
+])
+def test_other_encodings(before, key, after, kind):
+    text = before + key + after
+    found = [s for s in keyscan.spans_of(text) if s[0] not in ("assign", "access", "hex")]
+    assert found == [(kind, len(before), len(before) + len(key))]
+
+
+@pytest.mark.parametrize("many", [1, 2, 3])
+def test_frame_inside_an_encoded_file(many):
+    run = b64(b"a" * many + b": \xff\n" + PEM.encode() + b"more: text\n" * 9)
+    found = [s for s in keyscan.spans_of(f"x {run} y") if s[0] == "pem"]
+    assert len(found) == 1 and 2 <= found[0][1] and found[0][2] < 2 + len(run)
+    assert b64(PKCS8)[8:40] not in base64.b64decode(run[: found[0][1] - 2 & ~3]).decode("latin-1")
+
+
+@pytest.mark.parametrize("text", [
+    b64(DIGEST_INFO), f"a/{b64(PKCS8[:-3])}", f"a/{b64(PKCS8 + b'x')}", wrapped(b64(PKCS8 + b"x")), b64(b"-----BEGIN CERTIFICATE-----\n" + b"A" * 60),
+    b64(b"-----BEGIN PRIVATE KEY-----\nnothing here\n-----END PRIVATE KEY-----"), wrapped(b64(rng.randbytes(2000))), "a-b_c/" * 40,
+    SEALED.replace("DEK-Info", "Comment"), "one-word-after-another\nline/after/line\n" * 20, (b"\x30\x82" + rng.randbytes(60)).hex()[:-1].upper(),
+])
+def test_other_encodings_not_confirmed(text):
+    assert not [s for s in keyscan.spans_of(f"x {text} y") if s[0] not in ("assign", "access", "hex")]
+
+
 def plain(text):
     """The base rule as it is worded: leftmost matches, then the short ones go."""
     letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)

@@ -2,7 +2,8 @@
 
 Base spans are plain matches. Further spans are reported only after decoding: base64 or hex that holds a
 private key in nested type-length-value form, key files with length-prefixed fields, framed keys, and
-signed tokens whose header names an algorithm.
+signed tokens whose header names an algorithm. Encodings may be wrapped over lines and stand behind '-', '_'
+or '/'; text that they decode to is looked through in the same way.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import binascii
 import json
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,12 +29,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "openssh", "pem")
-_ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+_ENCODED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_HEX_RUN = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{16,}}(?:{_BREAK}[0-9A-Fa-f]+(?![0-9A-Za-z]))*(?![0-9A-Fa-f])")
+_GAP = re.compile(_BREAK)
+_LEAST_ENCODED, _LEAST_HEX = 32, 48
+_GLUE = re.compile(r"[-_/]+")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_FRAME = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
+_FRAME = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?:\s|\\[rn])*[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*(?:\r?\n|(?:\\r)?\\n))*)"
+    r"([A-Za-z0-9+/=\s\\]*?)-----END \1-----"
+)
+# The three forms of '-----BEGIN ' in base64, by the place of its first letter among four.
+_FRAMES_INSIDE = re.compile(r"LS0tLS1CRUdJTi|0tLS0tQkVHSU4g|tLS0tLUJFR0lOI")
+_PLACE = {"L": 0, "0": 2, "t": 3}
+_HEX_FRAME = b"-----BEGIN ".hex()
+# PKCS#5 and PKCS#12 password-based encryption.
+_ENCRYPTIONS = (b"\x06\x09\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x06\x0a\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 _OPENSSH = b"openssh-key-v1\0"
+_OPENSSH_64 = "b3BlbnNzaC1rZXktdjEA"
 _DEPTH = 8
+#: Encodings inside encodings are followed so deep.
+_LAYERS = 4
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -92,17 +110,56 @@ def is_private_der(data: bytes) -> bool:
     return shaped and nested(data)
 
 
-def is_openssh(data: bytes) -> bool:
-    """The file mark, then cipher, key derivation and its options, each with its length, and a count of keys."""
-    if not data.startswith(_OPENSSH):
+def is_encrypted_der(data: bytes) -> bool:
+    """A sequence of a password-based encryption algorithm and an octet string."""
+    outer = elements(data) if data[:1] == b"\x30" else None
+    inner = elements(outer[0][1]) if outer and len(outer) == 1 else None
+    if not inner or [tag for tag, _ in inner] != [0x30, 0x04]:
         return False
+    return inner[0][1].startswith(_ENCRYPTIONS) and nested(data)
+
+
+def is_key_der(data: bytes) -> bool:
+    return is_private_der(data) or is_encrypted_der(data)
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of a sequence by its own length; None if the bytes start no sequence."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    many = head[1] & 0x7F
+    if head[1] < 0x80:
+        return 2 + many
+    return 2 + many + int.from_bytes(head[2 : 2 + many]) if 1 <= many <= 4 and len(head) >= 2 + many else None
+
+
+def _openssh_size(data: bytes) -> int | None:
+    """Bytes of a key file by its own lengths; None if it is no such file, all bytes if a later length does not hold."""
+    if not data.startswith(_OPENSSH):
+        return None
     at = len(_OPENSSH)
     for _ in range(3):
         if at + 4 > len(data):
-            return False
+            return None
         (size,) = struct.unpack_from(">I", data, at)
         at += 4 + size
-    return at + 4 <= len(data) and 1 <= struct.unpack_from(">I", data, at)[0] <= 64
+    if at + 4 > len(data):
+        return None
+    (keys,) = struct.unpack_from(">I", data, at)
+    if not 1 <= keys <= 64:
+        return None
+    at += 4
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return len(data)
+        (size,) = struct.unpack_from(">I", data, at)
+        at += 4 + size
+    return min(at, len(data))
+
+
+def is_openssh(data: bytes) -> bool:
+    """The file mark, then cipher, key derivation and its options, each with its length, and a count of keys."""
+    return _openssh_size(data) is not None
 
 
 def is_signed_token(run: str) -> bool:
@@ -115,23 +172,119 @@ def is_signed_token(run: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
+def _is_framed_key(headers: str, body: bytes) -> bool:
+    """What a frame holds: a key, or by its headers a ciphertext of whole blocks."""
+    if is_key_der(body) or is_openssh(body):
+        return True
+    sealed = re.search(r"Proc-Type:\s*4,\s*ENCRYPTED", headers) and "DEK-Info:" in headers
+    return bool(sealed) and len(body) >= 16 and len(body) % 8 == 0
+
+
+def _start(run: str) -> bytes:
+    """Bytes of base64 up to the last whole one."""
+    return decoded(run[: len(run) - (len(run) % 4 == 1)]) or b""
+
+
+def _read(data: bytes, layers: int) -> list[tuple[str, int, int]]:
+    """Spans confirmed in decoded bytes; a rest of blanks belongs to the span before it."""
+    found = list(confirmed(data.decode("latin-1"), layers - 1)) if layers else []
+    return [(kind, at, end if data[end:].strip() else len(data)) for kind, at, end in found]
+
+
+def _in_base64(run: str, lines: list[int], layers: int) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64 without breaks or padding, at its start or that of a line or behind '-', '_' or '/'."""
+    ends = {*lines, len(run)}
+    for at in sorted({*lines, *(m.end() for m in _GLUE.finditer(run))}):
+        if run.startswith("M", at):
+            size = der_size(decoded(run[at : at + 8]) or b"")
+            end = at - (-4 * size // 3) if size else len(run) + 1
+            if end - at < _LEAST_ENCODED or not (end in ends or end < len(run) and run[end] in "-_/"):
+                continue
+            body = decoded(run[at:end])
+            if body and len(body) == size and is_key_der(body):
+                yield "der", at, end
+        elif run.startswith(_OPENSSH_64, at):
+            body = _start(run[at:])
+            if size := _openssh_size(body):
+                yield "openssh", at, len(run) if size == len(body) else at - (-4 * size // 3)
+    # The decoding of the whole run if it is text, and from the first frame of each of the four alignments on.
+    first: dict[int, int] = {}
+    for m in _FRAMES_INSIDE.finditer(run):
+        at = m.start() - _PLACE[m[0][0]]
+        first.setdefault(at % 4, at)
+    whole = _start(run) if layers else b""
+    if 0 not in first and whole and whole.isascii():
+        first[0] = 0
+    for at in first.values():
+        body = _start("A" * max(0, -at) + run[max(0, at) :])
+        for kind, low, high in _read(body, layers):
+            end = len(run) if high == len(body) else at - (-4 * high // 3)
+            yield kind, max(0, at + 4 * low // 3), end
+
+
+def _in_hex(run: str, lines: list[int], layers: int) -> Iterator[tuple[str, int, int]]:
+    """Keys in hex digits without breaks, at their start or that of a line."""
+    ends = {*lines, len(run)}
+    small = run.lower()
+    mark = _OPENSSH.hex()
+    for at in lines:
+        if small.startswith("30", at):
+            head = small[at : at + 12]
+            size = der_size(bytes.fromhex(head[: len(head) // 2 * 2]))
+            end = at + 2 * (size or 0)
+            if end - at >= _LEAST_HEX and end in ends and is_key_der(bytes.fromhex(run[at:end])):
+                yield "der", at, end
+        elif small.startswith(mark, at):
+            body = bytes.fromhex(run[at : len(run) - (len(run) - at) % 2])
+            if size := _openssh_size(body):
+                yield "openssh", at, len(run) if size == len(body) else at + 2 * size
+    at = small.find(_HEX_FRAME)
+    if at < 0:
+        whole = bytes.fromhex(run[: len(run) - len(run) % 2]) if layers else b""
+        at = 0 if whole.isascii() else -1
+    if at >= 0:
+        body = bytes.fromhex(run[at : len(run) - (len(run) - at) % 2])
+        for kind, low, high in _read(body, layers):
+            yield kind, at + 2 * low, len(run) if high == len(body) else at + 2 * high
+
+
+def _unwrapped(m: re.Match) -> tuple[str, list[int], list[int]]:
+    """A match without breaks and padding, where its lines start in it, and where they start in the text."""
+    inside, outside, parts, at = [], [], [], 0
+    low = m.start()
+    for gap in [*_GAP.finditer(m[0]), None]:
+        part = m[0][low - m.start() : gap.start() if gap else len(m[0].rstrip("="))]
+        inside.append(at)
+        outside.append(low)
+        parts.append(part)
+        at += len(part)
+        low = m.start() + gap.end() if gap else low
+    return "".join(parts), inside, outside
+
+
+def confirmed(text: str, layers: int = _LAYERS) -> Iterator[tuple[str, int, int]]:
     """Spans of candidates whose decoded structure holds."""
+    framed = []
     for m in _FRAME.finditer(text):
-        body = decoded("".join(m[2].replace("\\n", "").split()))
-        if body and (is_private_der(body) or is_openssh(body)):
+        body = decoded("".join(re.sub(r"\\[rn]", "", m[3]).split()))
+        if body and _is_framed_key(m[2], body):
+            framed.append(m.span())
             yield "pem", *m.span()
-    for m in _ENCODED.finditer(text):
-        # Encodings of the two key forms start with these letters.
-        if m[0][0] == "M" or m[0].startswith("b3Blbn"):
-            body = decoded(m[0])
-            if body and is_private_der(body):
-                yield "der", *m.span()
-            elif body and is_openssh(body):
-                yield "openssh", *m.span()
-    for m in _HEX_RUN.finditer(text):
-        if m[0][:2] == "30" and is_private_der(bytes.fromhex(m[0])):
-            yield "der", *m.span()
+    for pattern, least, keys in ((_ENCODED, _LEAST_ENCODED, _in_base64), (_HEX_RUN, _LEAST_HEX, _in_hex)):
+        for m in pattern.finditer(text):
+            if m.end() - m.start() < least:
+                continue
+            run, inside, outside = _unwrapped(m)
+            if len(run) < least:
+                continue
+            for kind, low, high in keys(run, inside, layers):
+                line = bisect_right(inside, low) - 1
+                start = outside[line] + low - inside[line]
+                line = bisect_right(inside, high - 1) - 1
+                end = m.end() if high == len(run) else outside[line] + high - inside[line]
+                # What a frame holds in parts is reported with it.
+                if (start, end) == m.span() and len(inside) == 1 or not any(a <= start and end <= b for a, b in framed):
+                    yield kind, start, end
     for m in _SIGNED.finditer(text):
         if m[0].startswith("e") and is_signed_token(m[0]):
             yield "jwt", *m.span()
