@@ -37,6 +37,27 @@ def test_pieces():
     assert sketch.digests("a\nb") == sketch.digests("a\nb")
 
 
+def test_short_texts_and_single_lines_keep_two_thirds():
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(alphabet, k=rng.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (2, 3, 5, 8, 12, 20, 30, 50, 70, 100, 200, 400) for _ in range(25)]
+    texts += ["\n".join(" ".join(word() for _ in range(n)) for _ in range(3)) for n in (2, 5, 30, 65) for _ in range(25)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (20, 60, 300) for _ in range(25)]
+    texts += ["".join(rng.choices(alphabet, k=n)) for n in (9, 40, 300) for _ in range(25)]
+    rng.shuffle(texts)
+    for own, following in zip(texts, texts[1:] + texts[:1], strict=True):
+        a, b, c = map(sketch.Sketched, (own, sketch.edited(own, following), following))
+        assert sketch.likeness(a, b) > sketch.likeness(a, c), own
+
+
+def test_a_word_more_at_the_start_changes_few_pieces():
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    whole, changed = (set(sketch.pieces(" ".join(w))) for w in (words, ["new", *words]))
+    assert len(whole & changed) > 0.6 * len(whole)
+
+
 def plain(rows):
     """Likeness from the digests themselves."""
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))

@@ -21,34 +21,57 @@ from pyspark.sql import functions as F
 
 HASHES = 3
 CELLS = 15
-#: A paragraph of more characters than this is cut after words whose hash is a multiple of CUT, so that an edit changes few pieces.
-LONG = 400
+#: Paragraphs are cut after units (words, or letters of scripts without blanks) whose hash is a multiple of the number that
+#: holds up to so many units of the text, and of CUT from there on, so that short texts have enough pieces and an edit changes few.
+CUTS = ((32, 4), (256, 12))
 CUT = 24
+#: The text is also cut after so many units, and a text of fewer than SHORT characters is taken letter by letter. One that an
+#: edit of its last third can make so short is taken both ways. A unit has at most two thirds of SHORT bytes, so the first
+#: one is whole where two thirds of a longer text are kept.
+FIRST = (1, 2, 4, 8, 16)
+SHORT = 48
 #: Bins for each of the session's shuffle partitions, which are set for the size of the data.
 BINS = 4
 _CHECK = (1 << 32) - 1
 _ALL = (1 << 64) - 1
-_WORD = re.compile(rb"(\S+)\s*")
+_UNIT = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}|[^\s\xe0-\xf7]{1,32}|\S)\s*")
+_LETTER = re.compile(rb"(?:[\xc0-\xff][\x80-\xbf]*|\S)\s*")
 
 Cells = list[list[int]]
 
 
+def _ends(units: list[bytes], passed: int) -> list[int]:
+    """After how many units of a line it is cut; ``passed`` units of the text come before it."""
+    hashes = map(xxhash.xxh32_intdigest, units)
+    if passed >= CUTS[-1][0]:
+        return [i for i, h in enumerate(hashes, 1) if h % CUT == 0]
+    out = []
+    for i, h in enumerate(hashes, 1):
+        at = passed + i
+        if at in FIRST or h % next((cut for most, cut in CUTS if at <= most), CUT) == 0:
+            out.append(i)
+    return out
+
+
+def _cut(lines: list[bytes], unit: re.Pattern) -> Iterator[bytes]:
+    passed = 0
+    for line in lines:
+        units, begin = unit.findall(line), 0
+        for end in _ends(units, passed):
+            yield b"".join(units[begin:end]).rstrip()
+            begin = end
+        if begin < len(units):
+            yield b"".join(units[begin:])
+        passed += len(units)
+
+
 def pieces(text: str) -> Iterator[bytes]:
-    """Paragraphs (lines) with something in them, long ones cut by their content."""
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        whole = line.strip().encode("utf-8", "surrogatepass")
-        if len(line) <= LONG:
-            yield whole
-            continue
-        begin = 0
-        for word in _WORD.finditer(whole):
-            if xxhash.xxh32_intdigest(word[1]) % CUT == 0:
-                yield whole[begin : word.end(1)]
-                begin = word.end()
-        if begin < len(whole):
-            yield whole[begin:]
+    """Paragraphs (lines) with something in them, cut by their content."""
+    lines = [line.encode("utf-8", "surrogatepass") for line in map(str.strip, text.split("\n")) if line]
+    if 2 * len(text) < 3 * SHORT:
+        yield from _cut(lines, _LETTER)
+    if len(text) >= SHORT:
+        yield from _cut(lines, _UNIT)
 
 
 def digests(text: str) -> list[int]:
