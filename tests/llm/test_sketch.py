@@ -26,6 +26,23 @@ def test_peeling_can_stop_and_goes_on_larger():
     assert sketch.difference(holding(left), holding(right)) == (set(left), set(right))
 
 
+def test_large_sketches_spread_over_all_cells():
+    rng = random.Random(3)
+    for part in (1 << 12, 1 << 16, (1 << 16) + 1, 1 << 20, 1 << 23, 1 << 26):
+        places = [sketch._places(rng.getrandbits(64), 3 * part) for _ in range(4000)]
+        for k in range(3):
+            inside = [p[k] - k * part for p in places]
+            assert 0 <= min(inside) and max(inside) < part
+            counts = [sum(x * 8 // part == eighth for x in inside) for eighth in range(8)]
+            assert min(counts) > 400 and max(counts) < 600
+
+
+def test_difference_of_many_digests():
+    rng = random.Random(5)
+    left, right = ([rng.getrandbits(64) for _ in range(60_000)] for _ in range(2))
+    assert sketch.difference(holding(left), holding(right)) == (set(left), set(right))
+
+
 def test_pieces():
     assert list(sketch.pieces("a\n\n \nb ")) == [b"a", b"b"]
     rng = random.Random(4)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 HASHES = 3
 CELLS = 15
+LARGE = 1 << 16
 #: Paragraphs are cut after units (words, or letters of scripts without blanks) whose hash is a multiple of the number that
 #: holds up to so many units of the text, and of CUT from there on, so that short texts have enough pieces and an edit changes few.
 CUTS = ((32, 4), (256, 12))
@@ -90,9 +91,13 @@ def _check(digest: int) -> int:
 
 
 def _places(digest: int, cells: int) -> tuple[int, ...]:
-    """One cell in each part of the sketch."""
+    """One cell in each part of the sketch. Parts of more cells than 21 bits spread over take a 64-bit mix each."""
     part = cells // HASHES
     mixed = (digest ^ digest >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    if part > LARGE:
+        second = (mixed ^ mixed >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+        third = (second ^ second >> 29) * 0x9E3779B97F4A7C15 & _ALL
+        return tuple(k * part + (m ^ m >> 32) % part for k, m in enumerate((mixed, second, third)))
     return (mixed & 0x1FFFFF) % part, part + (mixed >> 21 & 0x1FFFFF) % part, 2 * part + (mixed >> 42) % part
 
 
