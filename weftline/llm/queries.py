@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import balance, bpe, hosts, keyscan, languages, licenses, simhash, sketch, sql, subword, warc
+from weftline.llm import (
+    balance, bpe, hosts, keyscan, languages, licenses, middle, pagetext, resample, simhash, sketch, sql, subword, warc,
+)
 from weftline.llm.registry import QUERIES, SQL, Query, register, table
 
 
@@ -93,6 +95,23 @@ def balanced_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op11_prefix_crc_resampling", sql.resampled())
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_host_path_text", sql.PAGE_TEXTS)
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    found = pagetext.extracted(table(spark, folder, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@register("op13_swar_infilling", sql.INFILLED)
+def infilled(spark: SparkSession, folder: str) -> DataFrame:
+    return middle.infilled(table(spark, folder, "documents"), with_output=False)
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

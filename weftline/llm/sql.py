@@ -63,6 +63,83 @@ FROM f
 """
 
 
+#: Pages whose article stands in an article element, as in the given tables.
+PAGE_TEXTS = """
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x:
+         trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+           x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS blocks
+  FROM a
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
+INFILLED = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents
+), x AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+         ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS e FROM d
+), f AS (
+  SELECT *, least(a, b) AS lo, greatest(a, b) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+              WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM x
+), p AS (
+  SELECT *, left(t, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1) AS suf FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def resampled(buckets: int = 10_000, seed: int = 2024, least_words: int = 20, percent: int = 10) -> str:
+    """CRC-32 byte by byte over each different word."""
+    words = """SELECT {key}, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM {table}"""
+    return f"""
+WITH tab AS (
+  SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+         CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS tab FROM range(256) AS r(v)
+), dw AS ({words.format(key='doc_id', table='documents')}
+), bw AS ({words.format(key='item_id', table='benchmark')}
+), spelled AS (
+  SELECT w, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT) AS bytes
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw)
+), hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+         xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) % {buckets} AS bucket FROM spelled, tab
+), dc AS (
+  SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY bucket
+), bc AS (
+  SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (w) GROUP BY bucket
+), gain AS (
+  SELECT b AS bucket, floor(1000 * ln((coalesce(bc.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {buckets})
+         / ((coalesce(dc.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + {buckets}))))::BIGINT AS g
+  FROM range({buckets}) AS r(b) LEFT JOIN dc ON dc.bucket = b LEFT JOIN bc ON bc.bucket = b
+), weighed AS (
+  SELECT doc_id, count(*) AS n, sum(g) AS weight FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0)
+         + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT)::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY score DESC, doc_id) AS r,
+         count(*) OVER (PARTITION BY n_features >= {least_words}) AS all_of FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= {least_words} AND r <= {percent} * all_of // 100 THEN r END::BIGINT AS rank FROM ranked
+"""
+
+
 def licenses() -> str:
     """Every line against every template, without any filter; phrases by their places among the words."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
