@@ -85,6 +85,24 @@ def test_first_duplicate_passes(spark, mappings, products, rows):
     assert found == [("DUPLICATE_ID", 3, "sales_order_id"), ("DUPLICATE_ID", 5, "sales_order_id")]
 
 
+def test_duplicates_of_hot_and_colliding_keys(spark, rows):
+    """A key on a third of all rows, blanks around keys, missing ones; and keys seen once are not shuffled."""
+    given = [(i, "hot") for i in range(400)] + [(1000 + i, f" k{i % 500}\u00a0") for i in range(700)] + [(5000 + i, [None, "", "NULL", " none "][i % 4]) for i in range(40)]
+    frame = spark.createDataFrame(given, "row_number long, id string").repartition(5)
+    found = quality.duplicate_rows(frame, "id")
+    expected = [("hot", i) for i in range(1, 400)] + [(f"k{i}", 1500 + i) for i in range(200)]
+    assert rows(found, "id", "row_number") == sorted(expected, key=repr)
+    assert quality.duplicate_rows(frame.limit(0), "id").count() == 0
+    once = spark.createDataFrame([(i, f"only{i}") for i in range(300)], "row_number long, id string")
+    assert quality.duplicate_rows(once, "id").count() == 0
+
+
+def test_identifiers_that_share_a_digest(spark, rows, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.length(c[0]).cast("long"))
+    frame = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "efg")], "row_number long, id string")
+    assert rows(quality.duplicate_rows(frame, "id"), "id", "row_number") == [("ab", 3)]
+
+
 def test_structure(spark, mappings, products, rows):
     given = {
         "business_partners": table(spark, PARTNERS).where("false"), "sales_orders": table(spark, ORDERS, GOOD["sales_orders"]).drop("order_status"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import functions as fn
 from weftline.operators import grounding, scans
+from weftline.operators.lexicon import compile_entries
 
 
 def values(spark, column, *texts):
@@ -148,6 +149,38 @@ def test_request_diagnosis(spark, rows):
     assert rows(slots, "family", "value") == [("alert_code", "TIME_OUT"), ("component_code", "MM-PUR-PO"), ("priority", "Very High")]
 
 
+def test_compiled_lexicon_finds_what_joins_find(spark):
+    """Random token runs: the lexicon probed in the row and the joined one agree on slots and on every flag."""
+    rng = random.Random(4)
+    entries = grounding.lexicon(
+        spark, alerts=["TIME_OUT", "note", "sp07", "Straße"], components=["MM-PUR-PO", "TIME_OUT", "1234567"], software=["BASIS"],
+        versions=[("S/4HANA 2023", "S4_2023"), ("S/4HANA 2021", "S4_2021"), ("NetWeaver 7.50", "NW750"), ("alert 7.50", "ODD"), ("BASIS 2023", "S4_2023")],
+        cues=("s/4hana", "NetWeaver"),
+    )
+    said = ("time_out mm-pur-po basis s/4hana netweaver 2023 2021 7.50 s4_2023 nw750 sp05 sp5 sp123 sp07 spam 1234567 7654321 123456 priority very high low"
+            " medium alert component note notes find what which list prerequisites explain unknown the for strasse STRASSE , .").split()
+    texts = [(n, " ".join(rng.choice(said) for _ in range(rng.choice([0, 1, 2, 3, 5, 9])))) for n in range(600)] + [(900, None), (901, ""), (902, " ?! ")]
+    frame = spark.createDataFrame(texts, "doc_id int, text string")
+    near, far = (grounding.entity_slots(frame, entries, most_bytes=b) for b in (1 << 20, 0))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    near, far = (grounding.diagnose(frame, entries, most_bytes=b) for b in (1 << 20, 0))
+    columns = sorted(far.columns)
+    assert columns == sorted(near.columns)
+    assert sorted(map(repr, near.select(columns).collect())) == sorted(map(repr, far.select(columns).collect()))
+    assert "Join" not in near._jdf.queryExecution().toString()
+
+
+def test_large_lexicon_is_placed(spark):
+    entries = spark.range(20_000).selectExpr("concat('word', id) AS surface", "int(id % 8) AS mark", "array(named_struct('family', 'f', 'value', string(id))) AS slots")
+    words = compile_entries(entries, {"word7": 16, "other": 32}, most_bytes=1 << 22)
+    probe = spark.range(0, 40_000).selectExpr("concat('word', id) AS w", "id")
+    found = probe.select("id", words.mark(F.col("w")).alias("m"), words.values(F.col("w"))[0]["value"].alias("v")).collect()
+    for r in found:
+        assert r["m"] == ((r["id"] % 8) | (16 if r["id"] == 7 else 0) if r["id"] < 20_000 else 0)
+        assert r["v"] == (str(r["id"]) if r["id"] < 20_000 else None)
+    assert compile_entries(entries, {}, most_bytes=1000) is None
+
+
 def test_metric_intents(spark):
     texts = (
         "Find French partners with at least 3 qualifying postings in the last 12 months and total debit loss above EUR 20,000.",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
+from weftline.operators.lexicon import COMPILED_BYTES, Compiled, compile_entries, has
 from weftline.session import cut_lineage, literal_rows
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -193,8 +194,8 @@ def request_tokens(
     own, following = lookup("t"), lookup("n")
     ahead, behind = lookup("l"), lookup("k")
     return (
-        tokens.withColumn("_ahead", F.concat_ws(" ", "token", "a1"))
-        .withColumn("_behind", F.concat_ws(" ", "b1", "token"))
+        tokens.withColumn("_ahead", F.concat("token", F.lit(" "), "a1"))
+        .withColumn("_behind", F.concat("b1", F.lit(" "), "token"))
         .join(own, F.col("token") == F.col("t_surface"), "left")
         .join(following, F.col("a1") == F.col("n_surface"), "left")
         .join(ahead.select("l_surface", "l_product_label"), F.col("_ahead") == F.col("l_surface"), "left")
@@ -207,108 +208,230 @@ def _is_note(token: Column) -> Column:
 
 
 def _priority(first: Column, second: Column) -> Column:
+    """The priority that the tokens after the word priority name, else null."""
     value = F.lit(None).cast("string")
     for surface, canonical in PRIORITIES.items():
         words = surface.split()
         same = (first == words[0]) & (second == words[1]) if len(words) == 2 else first == words[0]
         value = F.when(same, canonical).otherwise(value)
-    return F.when(F.col("token") == "priority", value)
+    return value
 
 
-def _slot_values() -> dict[str, Column]:
-    """The slot value a token opens in each family, else null."""
+def _slot(family: str, value: Column) -> Column:
+    return F.struct(F.lit(family).alias("family"), value.alias("value"))
+
+
+def extract_slots(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, family, value, first_pos): distinct slot values per text, from joined tokens.
+
+    Tokens that open no slot go before any slot is built.
+    """
     token = F.col("token")
-    return {
+    package, note = support_package(token), _is_note(token)
+    values = {
         "component_code": F.col("t_component_code"),
         "alert_code": F.col("t_alert_code"),
         "software_component": F.col("t_software_component"),
         "product_version": F.coalesce("t_product_version", "l_product_label"),
-        "support_package": support_package(token).cast("string"),
-        "note_number": F.when(_is_note(token), token),
-        "priority": _priority(F.col("a1"), F.col("a2")),
+        "support_package": F.col("_package").cast("string"),
+        "note_number": F.when(F.col("_note"), token),
+        "priority": F.when(token == "priority", _priority(F.col("a1"), F.col("a2"))),
     }
+    found = tokens.where(
+        reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("t_surface", "l_product_label")])
+        | (token == "priority") | F.startswith(token, F.lit("sp")) | note
+    ).withColumns({"_package": package, "_note": note})
+    slots = F.array_compact(F.array(*[F.when(v.isNotNull(), _slot(f, v)) for f, v in values.items()]))
+    opened = found.select(key, "pos", F.inline(slots))
+    return opened.groupBy(key, "family", "value").agg(F.min("pos").alias("first_pos"))
 
 
-def token_slots() -> Column:
-    """The slot values a token opens, as an array of (family, value)."""
-    return F.array_compact(
-        F.array(*[
-            F.when(v.isNotNull(), F.struct(F.lit(f).alias("family"), v.alias("value")))
-            for f, v in _slot_values().items()
-        ])
-    )
+# Bits of a token's mark in a compiled lexicon.
+(
+    _ALERT, _COMPONENT, _SOFTWARE, _VERSION, _CUE, _OPENS_LABEL, _FILLER, _LOOKUP, _QUESTION, _PREREQUISITE, _UNSUPPORTED,
+    _SAYS_PRIORITY, _SAYS_ALERT, _SAYS_COMPONENT, _SAYS_NOTE, _SAYS_VERY, _SP_WORD, _PACKAGE, _NOTE,
+) = (1 << k for k in range(19))
+_FAMILY_BITS = {
+    "alert_code": _ALERT, "component_code": _COMPONENT, "software_component": _SOFTWARE, "product_version": _VERSION, "product_cue": _CUE,
+}
 
 
-def extract_slots(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, family, value, first_pos): distinct slot values per text."""
-    opened = tokens.select(key, "pos", F.inline(token_slots()))
-    return opened.groupBy(key, "family", "value").agg(F.min("pos").alias("first_pos"))
+def _grammar_marks() -> dict[str, int]:
+    marks: dict[str, int] = {}
+    said = {"priority": _SAYS_PRIORITY, "alert": _SAYS_ALERT, "component": _SAYS_COMPONENT, "note": _SAYS_NOTE, "very": _SAYS_VERY}
+    groups = [(FILLERS, _FILLER), (LOOKUP_VERBS, _LOOKUP), (QUESTION_WORDS, _QUESTION), (PREREQUISITE_MARKERS, _PREREQUISITE),
+              (UNSUPPORTED_MARKERS, _UNSUPPORTED), *(((w,), bit) for w, bit in said.items())]
+    for words, bit in groups:
+        for word in words:
+            marks[word] = marks.get(word, 0) | bit
+    return marks
+
+
+def compiled_lexicon(entries: DataFrame, most_bytes: int = COMPILED_BYTES) -> Compiled | None:
+    """Lexicon and grammar words with their marks and slot values; a two-word label is an entry of its own."""
+    surfaces = _by_surface(entries)
+    slots = F.array_compact(F.array(*[
+        F.when(F.col(f).isNotNull(), _slot("product_version" if f == "product_label" else f, F.col(f)))
+        for f in (*_FAMILY_BITS, "product_label") if f != "product_cue"
+    ]))
+    mark = reduce(lambda a, b: a + b, [F.when(F.col(f).isNotNull(), bit).otherwise(0) for f, bit in _FAMILY_BITS.items()])
+    own = surfaces.select("surface", mark.alias("mark"), slots.alias("slots"))
+    opened = surfaces.where("product_label IS NOT NULL").select(F.split_part("surface", F.lit(" "), F.lit(1)).alias("surface")).distinct()
+    nothing = F.array().cast("array<struct<family:string,value:string>>")
+    rows = own.unionByName(opened.select("surface", F.lit(_OPENS_LABEL).alias("mark"), nothing.alias("slots")))
+    merged = rows.groupBy("surface").agg(F.bit_or("mark").alias("mark"), F.flatten(F.collect_list("slots")).alias("slots"))
+    return compile_entries(cut_lineage(merged), _grammar_marks(), most_bytes)
+
+
+def marked_tokens(texts: DataFrame, words: Compiled, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, _t, _m): each text's tokens and their marks, in two arrays."""
+
+    def mark(token: Column) -> Column:
+        package = F.when(support_package(token).isNotNull(), _SP_WORD | _PACKAGE).otherwise(_SP_WORD)
+        return (
+            words.mark(token)
+            .bitwiseOR(F.when(F.startswith(token, F.lit("sp")), package).otherwise(0))
+            .bitwiseOR(F.when((F.length(token) == 7) & _is_note(token), _NOTE).otherwise(0))
+        )
+
+    listed = texts.select(key, boundary_tokens(F.col(text)).alias("_t"))
+    return listed.select(key, "_t", F.transform("_t", mark).alias("_m"))
+
+
+def _places(wanted) -> Column:
+    """Places of the tokens for which wanted(mark) holds."""
+    every = F.transform("_m", lambda m, i: F.when(wanted(m), i))
+    return F.array_compact(every)
+
 
+def _label(words: Compiled, i: Column) -> Column:
+    """Entries of the two-word label at a place, null where there is none."""
+    return F.when(has(F.get("_m", i), _OPENS_LABEL), words.values(F.concat(F.get("_t", i), F.lit(" "), F.get("_t", i + 1))))
 
-def _token_flags() -> dict[str, Column]:
-    token, after, after2 = F.col("token"), F.col("a1"), F.col("a2")
-    before, before2 = F.col("b1"), F.col("b2")
 
-    def sure(condition: Column) -> Column:
-        return F.coalesce(condition, F.lit(False))
+_SLOT_BITS = (_ALERT, _COMPONENT, _SOFTWARE, _VERSION, _OPENS_LABEL, _SAYS_PRIORITY, _PACKAGE, _NOTE)
 
-    package = F.startswith(token, F.lit("sp"))
-    entity = (
-        F.col("t_alert_code").isNotNull() | F.col("t_component_code").isNotNull()
-        | F.col("t_software_component").isNotNull() | F.col("t_product_version").isNotNull()
-        | _is_note(token) | package
+
+def _opened(marked: DataFrame, words: Compiled, key: str) -> DataFrame:
+    """(key, pos, _found): the slot values that tokens open, a row for each token that opens one."""
+    at = F.transform(_places(lambda m: has(m, *_SLOT_BITS)), lambda i: F.struct(
+        (i + 1).alias("pos"), F.get("_t", i).alias("token"), F.get("_m", i).alias("mark"), F.get("_t", i + 1).alias("a1"), F.get("_t", i + 2).alias("a2"),
+    ))
+    token, mark = F.col("token"), F.col("mark")
+    none = F.array().cast("array<struct<family:string,value:string>>")
+    lexical = has(mark, _ALERT, _COMPONENT, _SOFTWARE, _VERSION)
+    label = F.when(has(mark, _OPENS_LABEL) & ~has(mark, _VERSION), F.filter(
+        words.values(F.concat(token, F.lit(" "), "a1")), lambda s: s["family"] == "product_version"
+    ))
+    ahead = _priority(F.col("a1"), F.col("a2"))
+    pattern = (
+        F.when(has(mark, _PACKAGE), F.array(_slot("support_package", support_package(token).cast("string"))))
+        .when(has(mark, _NOTE), F.array(_slot("note_number", token)))
+        .when(has(mark, _SAYS_PRIORITY) & ahead.isNotNull(), F.array(_slot("priority", ahead)))
+    )
+    slots = F.concat(
+        F.when(lexical, words.values(token)).otherwise(none), F.coalesce(label, none), F.coalesce(pattern, none)
     )
-    label_ahead = F.col("l_product_label").isNotNull()
-    cue = F.col("t_product_cue").isNotNull()
-    unknown_value = (
-        (cue & ~label_ahead)
-        | ((token == "priority") & _priority(after, after2).isNull())
-        | ((token == "alert") & F.col("n_alert_code").isNull())
-        | ((token == "component") & F.col("n_component_code").isNull())
-        | (
-            (token == "note")
-            & ~sure(after.isin(*FILLERS))
-            & ~sure(_is_note(after))
+    return marked.select(key, F.inline(at)).select(key, "pos", F.inline(slots))
+
+
+def entity_slots(
+    texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", most_bytes: int = COMPILED_BYTES
+) -> DataFrame:
+    """(key, family, value, first_pos): distinct slot values per text, at the first token that opens them.
+
+    The lexicon is measured and compiled, and looked up within the row; tokens without an entry are never rows. A
+    lexicon above ``most_bytes`` is joined to the tokens instead.
+    """
+    words = compiled_lexicon(entries, most_bytes)
+    if words is None:
+        return extract_slots(request_tokens(texts, entries, key, text), key)
+    opened = _opened(marked_tokens(texts, words, key, text), words, key)
+    return opened.groupBy(key, "family", "value").agg(F.min("pos").alias("first_pos"))
+
+
+class _Joined:
+    """What is known of a token and its neighbours after the joins."""
+
+    def __init__(self) -> None:
+        self.token, self.after, self.after2 = F.col("token"), F.col("a1"), F.col("a2")
+        before, before2 = F.col("b1"), F.col("b2")
+        sure = lambda c: F.coalesce(c, F.lit(False))
+        self.package = F.startswith(self.token, F.lit("sp"))
+        self.bad_package = self.package & support_package(self.token).isNull()
+        self.entity = (
+            F.col("t_alert_code").isNotNull() | F.col("t_component_code").isNotNull()
+            | F.col("t_software_component").isNotNull() | F.col("t_product_version").isNotNull()
+            | _is_note(self.token) | self.package
         )
-        | (package & support_package(token).isNull())
+        self.label_ahead = F.col("l_product_label").isNotNull()
+        self.label_behind = F.col("k_product_label").isNotNull()
+        self.cue = F.col("t_product_cue").isNotNull()
+        self.says_priority, self.says_alert = self.token == "priority", self.token == "alert"
+        self.says_component, self.says_note = self.token == "component", self.token == "note"
+        self.alert_ahead, self.component_ahead = F.col("n_alert_code").isNotNull(), F.col("n_component_code").isNotNull()
+        self.note_ahead = sure(self.after.isin(*FILLERS)) | sure(_is_note(self.after))
+        self.filler = self.token.isin(*FILLERS)
+        self.introduced = sure(before.isin("priority", "alert", "component")) | F.col("_after_cue")
+        self.very_high = sure((before2 == "priority") & (before == "very"))
+        self.after_note = sure(before == "note")
+        self.grammar = self.filler | self.token.isin(*LOOKUP_VERBS) | self.token.isin(*QUESTION_WORDS)
+
+
+class _Compiled:
+    """The same for the token at a place of the marked arrays."""
+
+    def __init__(self, words: Compiled, i: Column) -> None:
+        mark = lambda k: F.coalesce(F.get("_m", i + k), F.lit(0))
+        own, before = mark(0), mark(-1)
+        self.after, self.after2 = F.get("_t", i + 1), F.get("_t", i + 2)
+        self.package, self.bad_package = has(own, _SP_WORD), has(own, _SP_WORD) & ~has(own, _PACKAGE)
+        self.entity = has(own, _ALERT, _COMPONENT, _SOFTWARE, _VERSION, _NOTE, _SP_WORD)
+        self.label_ahead = _label(words, i).isNotNull()
+        self.label_behind = has(before, _OPENS_LABEL) & _label(words, i - 1).isNotNull()
+        self.cue = has(own, _CUE)
+        self.says_priority, self.says_alert = has(own, _SAYS_PRIORITY), has(own, _SAYS_ALERT)
+        self.says_component, self.says_note = has(own, _SAYS_COMPONENT), has(own, _SAYS_NOTE)
+        self.alert_ahead, self.component_ahead = has(mark(1), _ALERT), has(mark(1), _COMPONENT)
+        self.note_ahead = has(mark(1), _FILLER, _NOTE)
+        self.filler = has(own, _FILLER)
+        self.introduced = has(before, _SAYS_PRIORITY, _SAYS_ALERT, _SAYS_COMPONENT, _CUE)
+        self.very_high = has(before, _SAYS_VERY) & has(mark(-2), _SAYS_PRIORITY)
+        self.after_note = has(before, _SAYS_NOTE)
+        self.grammar = has(own, _FILLER, _LOOKUP, _QUESTION)
+
+
+def _unknown_value(t: _Joined | _Compiled) -> Column:
+    """A cue or slot word whose value is not known."""
+    return (
+        (t.cue & ~t.label_ahead)
+        | (t.says_priority & _priority(t.after, t.after2).isNull())
+        | (t.says_alert & ~t.alert_ahead)
+        | (t.says_component & ~t.component_ahead)
+        | (t.says_note & ~t.note_ahead)
+        | t.bad_package
     )
+
+
+def _unknown_token(t: _Joined | _Compiled) -> Column:
+    """Neither grammar nor part of a slot."""
     consumed = (
-        entity | cue | label_ahead | F.col("k_product_label").isNotNull()
-        | token.isin("priority", "alert", "component")
-        | sure(before.isin("priority", "alert", "component"))
-        | sure((before2 == "priority") & (before == "very"))
-        | sure((before == "note") & ~token.isin(*FILLERS))
-        | F.col("_after_cue")
+        t.entity | t.cue | t.says_priority | t.says_alert | t.says_component | t.introduced | t.very_high
+        | (t.after_note & ~t.filler) | t.label_ahead | t.label_behind
     )
-    grammar = token.isin(*FILLERS) | token.isin(*LOOKUP_VERBS) | token.isin(*QUESTION_WORDS)
-    return {
-        "unsupported_marker": token.isin(*UNSUPPORTED_MARKERS),
-        "unknown_entity": sure(unknown_value),
-        "unknown_token": ~(consumed | grammar),
-        "prerequisite": token.isin(*PREREQUISITE_MARKERS),
-        "lookup": token.isin(*LOOKUP_VERBS),
-        "question": token.isin(*QUESTION_WORDS),
-    }
+    return ~t.grammar & ~consumed
 
 
-def diagnose(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def diagnose(
+    texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text", most_bytes: int = COMPILED_BYTES
+) -> DataFrame:
     """Per text: token flags, slot counts, the first failure that applies and the intent.
 
-    Tokens are computed once; one aggregate per text gives both flags and slots, whose
-    distinct values are bounded by the text.
+    With a compiled lexicon everything is found within the text's row and nothing is shuffled; then ``key``
+    is carried along and rows that share one are texts of their own. A lexicon above ``most_bytes`` is joined to tokens.
     """
-    tokens = request_tokens(texts, entries, key, text, keep_empty=True)
-    cues = entries.where(F.col("family") == "product_cue").select(
-        fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
-    ).distinct()
-    marked = tokens.join(cues, "b1", "left").withColumn(
-        "_after_cue", F.coalesce("_cue", F.lit(False))
-    )
-    filled = marked.groupBy(key).agg(
-        F.count("token").alias("tokens"),
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in _token_flags().items()],
-        *[F.size(F.collect_set(v)).alias(f) for f, v in _slot_values().items()],
-    )
+    words = compiled_lexicon(entries, most_bytes)
+    filled = _filled_by_join(texts, entries, key, text) if words is None else _filled_in_row(texts, words, key, text)
     failure = (
         F.when(F.col("unsupported_marker"), "UNSUPPORTED_INTENT")
         .when(F.col("unknown_entity"), "UNKNOWN_ENTITY")
@@ -322,6 +445,79 @@ def diagnose(texts: DataFrame, entries: DataFrame, key: str = "doc_id", text: st
     )
 
 
+def _filled_in_row(texts: DataFrame, words: Compiled, key: str, text: str) -> DataFrame:
+    """Flags and slot counts of each text from its marked tokens."""
+    none = F.array().cast("array<struct<family:string,value:string>>")
+
+    def slots_at(i: Column) -> Column:
+        token, mark = F.get("_t", i), F.get("_m", i)
+        ahead = _priority(F.get("_t", i + 1), F.get("_t", i + 2))
+        return F.concat(
+            F.when(has(mark, _ALERT, _COMPONENT, _SOFTWARE, _VERSION), words.values(token)).otherwise(none),
+            F.coalesce(F.when(~has(mark, _VERSION), _label(words, i)), none),
+            F.when(has(mark, _PACKAGE), F.array(_slot("support_package", support_package(token).cast("string"))))
+            .when(has(mark, _NOTE), F.array(_slot("note_number", token)))
+            .when(has(mark, _SAYS_PRIORITY) & ahead.isNotNull(), F.array(_slot("priority", ahead)))
+            .otherwise(none),
+        )
+
+    def filled(family: str) -> Column:
+        return F.greatest(F.size(F.filter("_slots", lambda s: s["family"] == family)), F.lit(0))
+
+    marked = marked_tokens(texts, words, key, text)
+    every = F.coalesce(F.aggregate("_m", F.lit(0), lambda a, m: a.bitwiseOR(m)), F.lit(0))
+    odd = _places(lambda m: ~has(m, _FILLER, _LOOKUP, _QUESTION))
+    valued = _places(lambda m: has(m, _CUE, _SAYS_PRIORITY, _SAYS_ALERT, _SAYS_COMPONENT, _SAYS_NOTE, _SP_WORD))
+    opening = _places(lambda m: has(m, *_SLOT_BITS))
+    known = marked.select(
+        key, F.coalesce(F.size("_t"), F.lit(0)).alias("_size"), every.alias("_every"),
+        F.exists(valued, lambda i: _unknown_value(_Compiled(words, i))).alias("_value"),
+        F.exists(odd, lambda i: _unknown_token(_Compiled(words, i))).alias("_token"),
+        F.array_distinct(F.flatten(F.transform(opening, slots_at))).alias("_slots"),
+    )
+    flags = {"unsupported_marker": _UNSUPPORTED, "prerequisite": _PREREQUISITE, "lookup": _LOOKUP, "question": _QUESTION}
+    return known.select(
+        key, F.greatest("_size", F.lit(0)).cast("long").alias("tokens"),
+        *[has(F.col("_every"), bit).alias(name) for name, bit in flags.items()],
+        F.coalesce("_value", F.lit(False)).alias("unknown_entity"), F.coalesce("_token", F.lit(False)).alias("unknown_token"),
+        *[filled(f).alias(f) for f in FAMILIES],
+    )
+
+
+def _filled_by_join(texts: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
+    """Flags and slot counts of each text, from a row for each token; distinct values are bounded by the text."""
+    tokens = request_tokens(texts, entries, key, text, keep_empty=True)
+    cues = entries.where(F.col("family") == "product_cue").select(
+        fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
+    ).distinct()
+    marked = tokens.join(cues, "b1", "left").withColumn(
+        "_after_cue", F.coalesce("_cue", F.lit(False))
+    )
+    t = _Joined()
+    flags = {
+        "unsupported_marker": t.token.isin(*UNSUPPORTED_MARKERS),
+        "unknown_entity": _unknown_value(t),
+        "unknown_token": _unknown_token(t),
+        "prerequisite": t.token.isin(*PREREQUISITE_MARKERS),
+        "lookup": t.token.isin(*LOOKUP_VERBS),
+        "question": t.token.isin(*QUESTION_WORDS),
+    }
+    values = {
+        "component_code": F.col("t_component_code"),
+        "alert_code": F.col("t_alert_code"),
+        "software_component": F.col("t_software_component"),
+        "product_version": F.coalesce("t_product_version", "l_product_label"),
+        "support_package": support_package(t.token).cast("string"),
+        "note_number": F.when(_is_note(t.token), t.token),
+        "priority": F.when(t.says_priority, _priority(t.after, t.after2)),
+    }
+    return marked.groupBy(key).agg(
+        F.count("token").alias("tokens"),
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()],
+        *[F.size(F.collect_set(v)).alias(f) for f, v in values.items()],
+    )
+
+
 # The slots each intent allows.
 _SEARCH_SLOTS = ("alert_code", "component_code", "priority")
 ALLOWED_SLOTS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_case, iso_date, strip
 from weftline.schemas import CONTRACTS, COUNTRIES, TableContract
-from weftline.session import cut_lineage, literal_rows
+from weftline.session import literal_rows, written
 
 # Identifier texts that count as missing.
 MISSING_IDENTIFIERS = ("", "null", "none")
@@ -39,7 +39,10 @@ ISSUE_SCHEMA = "code string, file string, row_number bigint, field string, messa
 
 
 def is_missing(value: Column) -> Column:
-    return fold_case(strip(F.coalesce(value, F.lit("")))).isin(*MISSING_IDENTIFIERS)
+    stripped = strip(F.coalesce(value, F.lit("")))
+    # No longer text folds to one of these.
+    longest = max(map(len, MISSING_IDENTIFIERS))
+    return (F.length(stripped) <= longest) & fold_case(stripped).isin(*MISSING_IDENTIFIERS)
 
 
 def _issue(code: str, field: str, condition: Column) -> Column:
@@ -145,30 +148,22 @@ def row_issues(contract: TableContract, as_of: date, has_product: bool = True) -
     return F.array_compact(F.array(*checks))
 
 
-def _key_counts(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """(_key, _first, _rows): each identifier's first row and number of rows; null for missing ones.
-
-    Written, so that joins back to the rows have a bare shuffle on both sides and a key on a
-    third of the rows is split over tasks.
-    """
-    identifier = F.when(~is_missing(F.col(key)), strip(F.col(key)))
-    return cut_lineage(
-        rows.groupBy(identifier.alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    )
-
-
-def _repeated(counts: DataFrame) -> DataFrame:
-    return counts.where("_key IS NOT NULL AND _rows > 1").select("_key", "_first")
-
-
 def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> DataFrame:
     """Second and later rows of an identifier (key, order); the first row passes.
 
-    First rows are found by a partial aggregate and written, which runs a job; the rest is a join.
+    Identifiers seen once never leave their task: only eight-byte digests, counted in the task before, are
+    shuffled. Rows whose digest repeats are written, which runs jobs, and compared by the identifier itself, so two
+    identifiers with one digest are told apart. Both sides of the last join are bare shuffles of
+    written rows, so that a key on a third of the rows is split over tasks.
     """
-    repeated = _repeated(_key_counts(rows, key, order))
-    identified = rows.where(~is_missing(F.col(key))).select(strip(F.col(key)).alias(key), order)
-    joined = identified.join(repeated, F.col(key) == F.col("_key"))
+    digest = F.when(~is_missing(F.col(key)), F.xxhash64(strip(F.col(key))))
+    digested = rows.select(strip(F.col(key)).alias(key), F.col(order).alias(order), digest.alias("_digest"))
+    seen = digested.groupBy("_digest").agg(F.count(F.lit(1)).alias("_seen"))
+    seen = seen.where("_seen > 1 AND _digest IS NOT NULL").select("_digest")
+    candidates = written(digested.join(written(seen, "digests"), "_digest", "left_semi").select(key, order), "repeated")
+    first = candidates.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    first = written(first.where("_rows > 1").select("_key", "_first"), "first")
+    joined = candidates.join(first, F.col(key) == F.col("_key"))
     return joined.where(F.col(order) > F.col("_first")).select(key, order)
 
 
@@ -225,21 +220,17 @@ def table_issues(
 ) -> DataFrame:
     """Issues of one raw table (all texts, with row_number).
 
-    Two reads: one counts the identifiers, which also shows an empty table, and is written; one
-    joins them back and gives every issue of a row at once.
+    Repeated identifiers are found first, from their rows alone; every other issue shows in one read of the
+    rows, which are not shuffled.
     """
     present = _with_contract_columns(rows, contract)
-    counts = _key_counts(present, contract.key, "row_number")
-    own = strip(F.coalesce(F.col(contract.key), F.lit("")))
-    marked = present.join(_repeated(counts), own == F.col("_key"), "left")
-    tagged = attach_mapping(marked, mappings, product_map, countries)
-    repeated = _issue("DUPLICATE_ID", contract.key, F.col("row_number") > F.col("_first"))
-    issues = F.concat(row_issues(contract, as_of, "product" in rows.columns), F.array_compact(F.array(repeated)))
-    found = tagged.select(
-        F.lit(contract.name).alias("file"), F.col("row_number").cast("bigint").alias("row_number"), F.inline(issues)
-    ).select("code", "file", "row_number", "field", "message")
-    none = counts.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    return found.unionByName(none.select(*_labelled("EMPTY_EXPECTED_DATASET", contract.name, F.lit(1), "path")))
+    found = row_level_issues(rows, contract, mappings, product_map, as_of, countries)
+    again = duplicate_rows(present, contract.key).select(
+        *_labelled("DUPLICATE_ID", contract.name, F.col("row_number"), contract.key)
+    )
+    none = rows.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    empty = none.select(*_labelled("EMPTY_EXPECTED_DATASET", contract.name, F.lit(1), "path"))
+    return found.unionByName(again).unionByName(empty)
 
 
 def quality_report(

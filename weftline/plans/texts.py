@@ -136,8 +136,7 @@ UNION SELECT doc_id, 'note_number', note FROM req WHERE (st = 'F' AND pri = '4-N
   OR (st = 'P' AND pri IN ('2-HIGH', '4-NOT SPECIFIED'))""",
 )
 def k02(t: Tables) -> DataFrame:
-    tokens = grounding.request_tokens(request_texts(t), _lexicon(t))
-    return grounding.extract_slots(tokens).select("doc_id", "family", "value")
+    return grounding.entity_slots(request_texts(t), _lexicon(t)).select("doc_id", "family", "value")
 
 
 _SQL_DIAGNOSIS = """diag AS (SELECT *, CASE WHEN st = 'O' AND NOT (known_version AND known_priority) THEN 'UNKNOWN_ENTITY' WHEN st = 'O' THEN 'NONE'

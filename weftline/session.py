@@ -64,6 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, with a size that Spark knows in later joins."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured_side(df: DataFrame) -> DataFrame:
     """A join side, written and measured in bytes: marked for broadcast up to BROADCAST_BYTES, else left to Spark."""
     written = cut_lineage(df)
