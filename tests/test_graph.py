@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import closure as reach
 from weftline.operators import graph, search, shapes
@@ -23,6 +24,90 @@ def edge_frame(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
 
+def strongly(pairs):
+    """Components with a cycle, by reachability; each node with the largest of its component."""
+    ahead = {}
+    for u, v in pairs:
+        ahead.setdefault(u, set()).add(v)
+    reach_of = {}
+    for u in {x for p in pairs for x in p}:
+        seen, todo = set(), [u]
+        while todo:
+            for v in ahead.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        reach_of[u] = seen
+    return {frozenset(v for v in reach_of[u] if u in reach_of[v]) | {u} for u in reach_of if any(v != u and u in reach_of[v] for v in reach_of[u])}
+
+
+@pytest.mark.parametrize("pairs", [
+    [(i, (i + 1) % 5) for i in range(5)] + [(4, 10), (10, 11), (11, 12), (12, 20)] + [(20 + i, 20 + (i + 1) % 6) for i in range(6)] + [(30, 31), (31, 0)],
+    [(0, 1), (1, 2), (2, 0), (0, 3), (3, 4), (4, 0), (2, 7), (7, 8), (8, 1), (9, 9), (8, 9)],
+])
+def test_components_of_chains_and_rings(spark, pairs):
+    found = reach.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["component"], set()).add(r["node"])
+    assert len(found) == len({r["node"] for r in found})
+    assert set(map(frozenset, groups.values())) == strongly([p for p in pairs if p[0] != p[1]])
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 nodes into a ring of 3,000: rounds grow with the digits of the lengths."""
+    chain = spark.range(100_000).selectExpr("id AS src", "id + 1 AS dst")
+    ring = spark.range(3_000).selectExpr("100000 + id AS src", "100000 + (id + 1) % 3000 AS dst")
+    tail = spark.range(500).selectExpr("CASE WHEN id = 0 THEN 100007 ELSE 200000 + id END AS src", "200001 + id AS dst")
+    rounds, cut = [], reach.cut_lineage
+
+    def counted(df):
+        rounds.append(1)
+        return cut(df)
+
+    monkeypatch.setattr(reach, "cut_lineage", counted)
+    edges = chain.union(ring).union(tail)
+    found = reach.cycle_edges(edges, spark.createDataFrame([(5,), (200100,), (101000,)], "seed long"))
+    assert {r["seed"]: r["n"] for r in found.groupBy("seed").agg(F.count("*").alias("n")).collect()} == {5: 3_000, 101_000: 3_000}
+    assert len(rounds) <= 120  # every written step of all rounds; one for each node before
+
+
+def joined_rows(df):
+    """Most rows that a join of the executed plan gave out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    most, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            metric = node.metrics().get("numOutputRows")
+            if "Join" in kind and metric.isDefined():
+                most = max(most, metric.get().value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_dangling_hub_is_not_multiplied(spark):
+    """A star and a chain whose hub has 300 values on two sides and nothing on the third."""
+    def triples_of(pairs):
+        return spark.createDataFrame([("g", s, p, o, "iri", None, None) for s, p, o in pairs], "graph string, s string, p string, o string, o_kind string, datatype string, lang string")
+
+    star = [("hub", p, f"{p}{i}") for p in "ab" for i in range(300)] + [(f"n{i}", p, f"v{i}") for i in range(20) for p in "abc"]
+    found = graph.bgp(triples_of(star), [("?s", "a", "?x"), ("?s", "b", "?y"), ("?s", "c", "?z")])
+    assert found.count() == 20 and joined_rows(found) <= len(star) + 20
+    chain = [(f"l{i}", "a", "hub") for i in range(300)] + [("hub", "b", f"r{i}") for i in range(300)] + [("l0", "a", "m"), ("m", "b", "q"), ("q", "c", "end")]
+    found = graph.bgp(triples_of(chain), [("?w", "a", "?x"), ("?x", "b", "?y"), ("?y", "c", "?z")])
+    assert [tuple(r) for r in found.select("w", "x", "y", "z").collect()] == [("l0", "m", "q", "end")] and joined_rows(found) <= len(chain) + 1
+    circle = [("a", "p", "b"), ("b", "q", "c"), ("c", "r", "a"), ("b", "q", "d")]
+    found = graph.bgp(triples_of(circle), [("?x", "p", "?y"), ("?y", "q", "?z"), ("?z", "r", "?x")])
+    assert [tuple(r) for r in found.select("x", "y", "z").collect()] == [("a", "b", "c")]
+
+
 def test_three_cycle(spark, rows):
     edges = edge_frame(spark, [("A", "B"), ("B", "C"), ("C", "A")])
     seed = spark.createDataFrame([("A",)], "seed string")

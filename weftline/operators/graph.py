@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
+from weftline.session import written
 from weftline.sources.triples import RDF_TYPE, XSD_STRING
 
 
@@ -89,6 +90,49 @@ def _ordered(patterns: Sequence[Pattern], sizes: Mapping[str, int]) -> list[Patt
     return chosen
 
 
+def _join_tree(patterns: Sequence[Pattern]) -> list[tuple[Pattern, Pattern]] | None:
+    """(pattern, the pattern it hangs on) from the leaves to the root, which is the first pattern left; None if cyclic.
+
+    A pattern can be cut off if some other one has all the variables it shares with the rest.
+    """
+    rest, cut = list(patterns), []
+    while len(rest) > 1:
+        for leaf in reversed(rest):
+            others = [p for p in rest if p != leaf]
+            shared = set(_variables(leaf)) & {v for p in others for v in _variables(p)}
+            holder = next((p for p in others if shared and shared <= set(_variables(p))), None)
+            if holder is not None:
+                cut.append((leaf, holder))
+                rest.remove(leaf)
+                break
+        else:
+            return None
+    return cut
+
+
+def _shared(left: DataFrame, right: DataFrame) -> list[str]:
+    return [c for c in right.columns if c in left.columns]
+
+
+def _joined_by_tree(scans: dict[Pattern, DataFrame], tree: list[tuple[Pattern, Pattern]]) -> DataFrame:
+    """Semi-joins from the leaves up, then joins from the root down.
+
+    After the semi-joins every row of a pattern has partners all the way down, so what is joined from the root on is
+    never more than the result: a hub whose other patterns match nothing is gone before it is multiplied. Patterns that
+    were reduced and hang on others are written, as they are read twice.
+    """
+    reduced = dict(scans)
+    for leaf, holder in tree:
+        if reduced[leaf] is not scans[leaf]:
+            reduced[leaf] = written(reduced[leaf], "pattern")
+        shared = _shared(reduced[holder], reduced[leaf])
+        reduced[holder] = reduced[holder].join(reduced[leaf].select(*shared), shared, "left_semi")
+    result = reduced[tree[-1][1]]
+    for leaf, _ in reversed(tree):
+        result = result.join(reduced[leaf], _shared(result, reduced[leaf]))
+    return result
+
+
 def bgp(
     triples: DataFrame, patterns: Sequence[Pattern], sizes: Mapping[str, int] | None = None
 ) -> DataFrame:
@@ -96,17 +140,22 @@ def bgp(
 
     Constants are filters on the scan, equal patterns are used once, and patterns that would
     need a cross product are refused. An object variable joins as a whole term, so literals of
-    different type do not meet. Bindings are made distinct once, at the end.
+    different type do not meet. Three and more patterns that form a tree are reduced by semi-joins first, so
+    that nothing joined on the way exceeds the triples and the result together; patterns that
+    close a circle are joined in order. Bindings are made distinct once, at the end.
     """
     ordered = _ordered(patterns, sizes or {})
     nodes = {v for p in ordered for v in map(_variable, p[:2]) if v}
     objects = [v for p in ordered if (v := _variable(p[2])) and v not in nodes]
     tagged = {v for v in objects if objects.count(v) > 1}
-    result = _scan(triples, ordered[0], tagged, nodes)
-    for pattern in ordered[1:]:
-        right = _scan(triples, pattern, tagged, nodes)
-        shared = [c for c in right.columns if c in result.columns]
-        result = result.join(right, shared)
+    scans = {p: _scan(triples, p, tagged, nodes) for p in ordered}
+    tree = _join_tree(ordered) if len(ordered) > 2 else None
+    if tree:
+        result = _joined_by_tree(scans, tree)
+    else:
+        result = scans[ordered[0]]
+        for pattern in ordered[1:]:
+            result = result.join(scans[pattern], _shared(result, scans[pattern]))
     return result.distinct().drop(*[_tag(v) for v in tagged])
 
 

@@ -156,11 +156,14 @@ def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> Data
     identifiers with one digest are told apart. Both sides of the last join are bare shuffles of
     written rows, so that a key on a third of the rows is split over tasks.
     """
-    digest = F.when(~is_missing(F.col(key)), F.xxhash64(strip(F.col(key))))
+    digest = F.xxhash64(strip(F.coalesce(F.col(key), F.lit(""))))
+    counted = rows.groupBy(digest.alias("_digest")).agg(
+        F.count(F.lit(1)).alias("_seen"), F.min(is_missing(F.col(key)).cast("int")).alias("_missing")
+    )
+    seen = counted.where("_seen > 1 AND _missing = 0").select("_digest")
     digested = rows.select(strip(F.col(key)).alias(key), F.col(order).alias(order), digest.alias("_digest"))
-    seen = digested.groupBy("_digest").agg(F.count(F.lit(1)).alias("_seen"))
-    seen = seen.where("_seen > 1 AND _digest IS NOT NULL").select("_digest")
     candidates = written(digested.join(written(seen, "digests"), "_digest", "left_semi").select(key, order), "repeated")
+    candidates = candidates.where(~is_missing(F.col(key)))
     first = candidates.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     first = written(first.where("_rows > 1").select("_key", "_first"), "first")
     joined = candidates.join(first, F.col(key) == F.col("_key"))
