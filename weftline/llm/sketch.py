@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import re
-import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,25 +35,20 @@ FIRST = (1, 2, 4, 8, 16)
 SHORT = 48
 #: Bins for each of the session's shuffle partitions, which are set for the size of the data.
 BINS = 4
-_CHECK = (1 << 32) - 1
-_ALL = (1 << 64) - 1
+#: Texts compared side by side have so many characters, or are two.
+HELD_CHARACTERS = 1 << 20
 _UNIT = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf7][\x80-\xbf]{3}|[^\s\xe0-\xf7]{1,32}|\S)\s*")
 _LETTER = re.compile(rb"(?:[\xc0-\xff][\x80-\xbf]*|\S)\s*")
 
-Cells = list[list[int]]
+#: What the hash of each of the first units must be a multiple of, by its number; 1 where the text is always cut.
+_EARLY = [0] + [1 if at in FIRST else next(cut for most, cut in CUTS if at <= most) for at in range(1, CUTS[-1][0] + 1)]
 
 
 def _ends(units: list[bytes], passed: int) -> list[int]:
     """After how many units of a line it is cut; ``passed`` units of the text come before it."""
     hashes = map(xxhash.xxh32_intdigest, units)
-    if passed >= CUTS[-1][0]:
-        return [i for i, h in enumerate(hashes, 1) if h % CUT == 0]
-    out = []
-    for i, h in enumerate(hashes, 1):
-        at = passed + i
-        if at in FIRST or h % next((cut for most, cut in CUTS if at <= most), CUT) == 0:
-            out.append(i)
-    return out
+    cuts = itertools.chain(_EARLY[passed + 1 :], itertools.repeat(CUT))
+    return [i for i, (h, cut) in enumerate(zip(hashes, cuts, strict=False), 1) if h % cut == 0]
 
 
 def _cut(lines: list[bytes], unit: re.Pattern) -> Iterator[bytes]:
@@ -86,90 +83,150 @@ def digests(text: str) -> list[int]:
     return list(dict.fromkeys(out))
 
 
-def _check(digest: int) -> int:
-    return (digest * 0xD6E8FEB86659FD93 & _ALL) >> 32
+class Cells(NamedTuple):
+    """Counts, digests and checks of the cells of one sketch, or of many in a row."""
+
+    counts: np.ndarray
+    digests: np.ndarray
+    checks: np.ndarray
+
+    def without(self, other: Cells) -> Cells:
+        return Cells(self.counts - other.counts, self.digests ^ other.digests, self.checks ^ other.checks)
+
+
+def _check(digests: np.ndarray) -> np.ndarray:
+    return digests * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+
+
+def _spots(digests: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """One cell in each of three parts of so many cells. Parts of more cells than 21 bits spread over take a 64-bit mix each."""
+    of = parts.astype(np.uint64)
+    mixed = (digests ^ digests >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    low = np.uint64(0x1FFFFF)
+    spots = np.stack([(mixed & low) % of, (mixed >> np.uint64(21) & low) % of, (mixed >> np.uint64(42)) % of])
+    large = np.flatnonzero(parts > LARGE)
+    if len(large):
+        first = mixed[large]
+        second = (first ^ first >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+        third = (second ^ second >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+        spots[:, large] = [(m ^ m >> np.uint64(32)) % of[large] for m in (first, second, third)]
+    return spots.astype(np.int64) + np.arange(HASHES)[:, None] * parts
 
 
 def _places(digest: int, cells: int) -> tuple[int, ...]:
-    """One cell in each part of the sketch. Parts of more cells than 21 bits spread over take a 64-bit mix each."""
-    part = cells // HASHES
-    mixed = (digest ^ digest >> 33) * 0xFF51AFD7ED558CCD & _ALL
-    if part > LARGE:
-        second = (mixed ^ mixed >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
-        third = (second ^ second >> 29) * 0x9E3779B97F4A7C15 & _ALL
-        return tuple(k * part + (m ^ m >> 32) % part for k, m in enumerate((mixed, second, third)))
-    return (mixed & 0x1FFFFF) % part, part + (mixed >> 21 & 0x1FFFFF) % part, 2 * part + (mixed >> 42) % part
+    return tuple(_spots(np.array([digest], dtype=np.uint64), np.array([cells // HASHES]))[:, 0].tolist())
 
 
-def sketch(of: list[int], cells: int = CELLS) -> Cells:
-    made = [[0, 0, 0] for _ in range(cells)]
-    for digest in of:
-        check = _check(digest)
-        for at in _places(digest, cells):
-            cell = made[at]
-            cell[0] += 1
-            cell[1] ^= digest
-            cell[2] ^= check
+def _numbers(of: list[int] | np.ndarray) -> np.ndarray:
+    return np.asarray(of, dtype=np.uint64)
+
+
+def sketches(of: list[np.ndarray], sizes: np.ndarray) -> Cells:
+    """The sketches of many sets of digests, one behind the other, each with its own number of cells."""
+    owner = np.repeat(np.arange(len(of)), [len(x) for x in of])
+    digests = np.concatenate([*of, np.zeros(0, dtype=np.uint64)])
+    spots = (_spots(digests, sizes[owner] // HASHES) + (np.cumsum(sizes) - sizes)[owner]).ravel()
+    made = Cells(np.bincount(spots, minlength=int(sizes.sum())), *np.zeros((2, int(sizes.sum())), dtype=np.uint64))
+    np.bitwise_xor.at(made.digests, spots, np.tile(digests, HASHES))
+    np.bitwise_xor.at(made.checks, spots, np.tile(_check(digests), HASHES))
     return made
 
 
+def peeled(rest: Cells, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests left in subtracted sketches, their sketch and side, and whether each sketch was peeled whole.
+
+    All cells with a single digest go at once, which frees the next ones. Changes ``rest``.
+    """
+    owner, start = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    look = np.arange(len(owner))
+    for _ in range(2 + len(owner)):
+        look = look[np.abs(rest.counts[look]) == 1]
+        pure = look[_check(rest.digests[look]) == rest.checks[look]]
+        if not len(pure):
+            break
+        # A digest may be alone in several of its cells.
+        order = np.lexsort((rest.digests[pure], owner[pure]))
+        pure = pure[order]
+        new = np.ones(len(pure), dtype=bool)
+        new[1:] = (owner[pure[1:]] != owner[pure[:-1]]) | (rest.digests[pure[1:]] != rest.digests[pure[:-1]])
+        pure = pure[new]
+        digests, own, sign = rest.digests[pure], owner[pure], rest.counts[pure]
+        found.append((digests, own, sign))
+        spots = (_spots(digests, sizes[own] // HASHES) + start[own]).ravel()
+        np.subtract.at(rest.counts, spots, np.tile(sign, HASHES))
+        np.bitwise_xor.at(rest.digests, spots, np.tile(digests, HASHES))
+        np.bitwise_xor.at(rest.checks, spots, np.tile(_check(digests), HASHES))
+        look = np.unique(spots)
+    left = (rest.counts != 0) | (rest.digests != 0) | (rest.checks != 0)
+    whole = np.bincount(owner[left], minlength=len(sizes)) == 0
+    parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64)]
+    return *parts, whole
+
+
+def sketch(of: list[int], cells: int = CELLS) -> Cells:
+    return sketches([_numbers(of)], np.array([cells]))
+
+
 def peel(left: Cells, right: Cells) -> tuple[set[int], set[int]] | None:
     """Digests only in the left sketch and only in the right one; None if peeling stops early."""
-    rest = [[a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for a, b in zip(left, right, strict=True)]
-    only: dict[int, set[int]] = {1: set(), -1: set()}
-    queue = list(range(len(rest)))
-    while queue:
-        sign, digest, check = rest[queue.pop()]
-        if sign not in only or _check(digest) != check or digest in only[sign]:
-            continue
-        only[sign].add(digest)
-        for at in _places(digest, len(rest)):
-            cell = rest[at]
-            cell[0] -= sign
-            cell[1] ^= digest
-            cell[2] ^= check
-            queue.append(at)
-    return None if any(c != [0, 0, 0] for c in rest) else (only[1], only[-1])
+    digests, _, sign, whole = peeled(left.without(right), np.array([len(left.counts)]))
+    return (set(digests[sign > 0].tolist()), set(digests[sign < 0].tolist())) if whole[0] else None
 
 
 class Sketched:
-    """A text, its digests, and its sketches of the sizes asked for so far."""
+    """A text and its digests."""
 
     def __init__(self, text: str):
         self.text, self.digests = text, digests(text)
-        self.made: dict[int, Cells] = {}
 
-    def cells(self, size: int = CELLS) -> Cells:
-        if size not in self.made:
-            self.made[size] = sketch(self.digests, size)
-        return self.made[size]
 
+def _after(size: int, many: int) -> int:
+    """The size that follows one that failed: enough for sides that share nothing, then twice as many cells."""
+    return HASHES << max(3, many.bit_length() - 1) if size == CELLS else 2 * size
 
-def difference(left: Sketched, right: Sketched) -> tuple[set[int], set[int]]:
-    """Digests on one side only, from the fingerprints or, where peeling these fails, from larger sketches.
 
-    The next size is enough for sides that share nothing; if it fails, too, twice as many cells follow.
-    """
-    found = peel(left.cells(), right.cells())
-    size = HASHES << max(3, (len(left.digests) + len(right.digests)).bit_length() - 1)
-    while found is None:
-        found = peel(left.cells(size), right.cells(size))
-        size *= 2
+def difference(left: Sketched, right: Sketched) -> tuple[set[int], set[int]]:
+    """Digests on one side only, from the fingerprints or, where peeling these fails, from larger sketches."""
+    size = CELLS
+    while (found := peel(sketch(left.digests, size), sketch(right.digests, size))) is None:
+        size = _after(size, len(left.digests) + len(right.digests))
     return found
 
 
+def differing(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many digests are on one side only, for each pair; all pairs are compared side by side, as ``difference`` does."""
+    many, out = [len(a) + len(b) for a, b in zip(left, right, strict=True)], np.zeros(len(left), dtype=np.int64)
+    waiting, sizes = np.arange(len(left)), np.full(len(left), CELLS)
+    while len(waiting):
+        rest = sketches([left[i] for i in waiting], sizes).without(sketches([right[i] for i in waiting], sizes))
+        _, own, _, whole = peeled(rest, sizes)
+        out[waiting[whole]] = np.bincount(own, minlength=len(waiting))[whole]
+        waiting, sizes = waiting[~whole], sizes[~whole]
+        sizes = np.array([_after(int(s), many[i]) for i, s in zip(waiting, sizes, strict=True)], dtype=np.int64)
+    return out
+
+
+def likenesses(pairs: list[tuple[Sketched, Sketched]]) -> list[float]:
+    """Share of digests on both sides, for each pair; 1 for two texts without any."""
+    left, right = ([_numbers(p[k].digests) for p in pairs] for k in (0, 1))
+    total = [len(a) + len(b) for a, b in zip(left, right, strict=True)]
+    return [1 - d / t if t else 1.0 for d, t in zip(differing(left, right).tolist(), total, strict=True)]
+
+
 def likeness(left: Sketched, right: Sketched) -> float:
-    """Share of digests on both sides; 1 for two texts without any."""
-    total = len(left.digests) + len(right.digests)
-    if not total:
-        return 1.0
-    return 1 - sum(map(len, difference(left, right))) / total
+    return likenesses([(left, right)])[0]
+
+
+_PACKED = np.dtype([("count", ">u2"), ("digest", ">u8"), ("check", ">u4")])
 
 
-def packed(cells: Cells) -> str:
-    """A sketch as text: counts modulo 65,536, digests and checks, in base64."""
-    raw = b"".join(struct.pack(">HQI", c[0] & 0xFFFF, c[1], c[2]) for c in cells)
-    return base64.b64encode(raw).decode()
+def fingerprints(of: list[Sketched]) -> list[str]:
+    """The sketch of each text as text: counts modulo 65,536, digests and checks, in base64."""
+    cells = sketches([_numbers(x.digests) for x in of], np.full(len(of), CELLS))
+    laid = np.zeros(len(cells.counts), dtype=_PACKED)
+    laid["count"], laid["digest"], laid["check"] = cells.counts & 0xFFFF, cells.digests, cells.checks
+    return [base64.b64encode(laid[at : at + CELLS].tobytes()).decode() for at in range(0, len(laid), CELLS)]
 
 
 def edited(text: str, following: str) -> str:
@@ -209,12 +266,20 @@ _RESULT = (
 )
 
 
-def _row(key: int | None, own: Sketched, following: Sketched) -> tuple:
-    changed = edited(own.text, following.text)
-    new = Sketched(changed)
-    return (
-        key, len(own.text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-        packed(own.cells()), packed(new.cells()), likeness(own, new), likeness(own, following),
+def _rows(pairs: list[tuple[int | None, Sketched, Sketched]]) -> pa.RecordBatch:
+    """Result rows of (key, document, following document)."""
+    own = [o for _, o, _ in pairs]
+    new = [Sketched(edited(o.text, f.text)) for _, o, f in pairs]
+    like = likenesses([*zip(own, new, strict=True), *((o, f) for _, o, f in pairs)])
+    marks = fingerprints([*own, *new])
+    columns = [
+        [k for k, _, _ in pairs], [len(o.text) for o in own],
+        [hashlib.sha256(n.text.encode("utf-8", "surrogatepass")).hexdigest() for n in new],
+        marks[: len(own)], marks[len(own) :], like[: len(own)], like[len(own) :],
+    ]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], [c.split(" ")[0] for c in _RESULT.split(", ")]
     )
 
 
@@ -244,7 +309,7 @@ def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int
     dealt = placed.repartition("bin").sortWithinPartitions("bin", "lent", F.col("key").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, bin_, out = None, None, []
+        waiting, bin_, pairs, held = None, None, [], 0
         for batch in batches:
             for at, lent, number, body in zip(*(batch.column(n) for n in ("bin", "lent", "key", "text")), strict=True):
                 at, lent, number = at.as_py(), lent.as_py(), number.as_py()
@@ -252,12 +317,13 @@ def versions(docs: DataFrame, text: str = "text", key: str = "doc_id", bins: int
                     continue
                 known = Sketched(body.as_py() or "")
                 if waiting is not None:
-                    out.append(_row(waiting[0], waiting[1], known))
+                    pairs.append((*waiting, known))
+                    held += len(known.text)
                 waiting, bin_ = (None, at) if lent else ((number, known), at)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in zip(*out, strict=True)], [c.split(" ")[0] for c in _RESULT.split(", ")]
-                )
-                out = []
+                if held > HELD_CHARACTERS:
+                    yield _rows(pairs)
+                    pairs, held = [], 0
+        if pairs:
+            yield _rows(pairs)
 
     return dealt.mapInArrow(run, _RESULT).withColumnRenamed("key", key)
