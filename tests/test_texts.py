@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline import functions as fn
 from weftline.operators import grounding, scans
-from weftline.operators.lexicon import compile_entries
+from weftline.operators.lexicon import bit_filter, compile_entries
+from weftline.session import literal_rows
 
 
 def values(spark, column, *texts):
@@ -170,6 +171,25 @@ def test_compiled_lexicon_finds_what_joins_find(spark):
     assert "Join" not in near._jdf.queryExecution().toString()
 
 
+def test_case_folds_of_every_code_point(spark):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["|".join(points[i : i + 512]) for i in range(0, len(points), 512)] + ["ΑΣ ΣΑΣ", "STRASSE", "", "\x00A"]
+    frame = literal_rows(spark, list(enumerate(texts)), "n int, t string")
+    found = dict(frame.select("n", fn.fold_case(F.col("t"))).collect())
+    assert all(found[n] == t.casefold() for n, t in enumerate(texts))
+    assert frame.select(fn.fold_case(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_bit_filter_keeps_every_word(spark):
+    """The plan of a million words is as large as that of ten; words pass, most others do not."""
+    words = spark.range(1_000_000).selectExpr("concat('w', id) AS w")
+    for bits, most in ((1 << 20, 0.7), (1 << 24, 0.1)):
+        may_be = bit_filter(words, bits)
+        assert words.where(~may_be(F.col("w"))).count() == 0
+        assert words.selectExpr("concat('x', w) AS w").where(may_be(F.col("w"))).count() < most * 1_000_000
+    assert spark.range(5).selectExpr("string(id) AS w").where(bit_filter(words.limit(0))(F.col("w"))).count() == 0
+
+
 def test_large_lexicon_is_placed(spark):
     entries = spark.range(20_000).selectExpr("concat('word', id) AS surface", "int(id % 8) AS mark", "array(named_struct('family', 'f', 'value', string(id))) AS slots")
     words = compile_entries(entries, {"word7": 16, "other": 32}, most_bytes=1 << 22)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import unicodedata
 from collections.abc import Sequence
 
@@ -36,12 +38,55 @@ PRODUCT_ID = r"\A[A-Za-z][A-Za-z0-9]*\z"
 SEMANTIC_VERSION = r"\A(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\z"
 
 
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Code points that fold to one other, what these are, and those that fold to several, by the Unicode tables."""
+    folded = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+# Folds that lower() leaves alone in everyday texts.
+_COMMON_FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s"}
+
+
+@functools.cache
+def _rare_letters() -> str:
+    """A character class with every code point that lower() and the common folds may not fold: few ranges, wider than needed.
+
+    Below U+0530, where lower() is the same in every version of Unicode, these are only the letters with a fold of their own.
+    """
+    single, _, several = _folds()
+    rare = sorted(
+        ord(c) for c in (*single, *several) if c not in _COMMON_FOLDS and (ord(c) >= 0x530 or c.lower() != c.casefold())
+    )
+    ranges = [[rare[0], rare[0]]]
+    for c in rare[1:]:
+        if c - ranges[-1][1] <= (0x40 if c >= 0x530 else 1):
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def fold_case(text: Column) -> Column:
-    """Lower case plus the common case folds that lower() leaves alone (ß, final sigma, long s)."""
-    folded = F.lower(text)
-    for old, new in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
-        folded = F.replace(folded, F.lit(old), F.lit(new))
-    return folded
+    """Full Unicode case folding, the same as Python's for every code point.
+
+    Texts in ASCII are only lower-cased, and the whole table is used where a letter needs it.
+    """
+    old, new, several = _folds()
+    letters = f"[{''.join(several)}]"
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    parts = F.split(text, f"(?<={letters})|(?={letters})")
+    expanded = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    lowered = common = F.lower(text)
+    for letter, fold in _COMMON_FOLDS.items():
+        common = F.replace(common, F.lit(letter), F.lit(fold))
+    return (
+        F.when(F.octet_length(text) == F.char_length(text), lowered)
+        .when(F.rlike(text, F.lit(_rare_letters())), F.translate(expanded, old, new))
+        .otherwise(common)
+    )
 
 
 def normalize_term(text: Column) -> Column:

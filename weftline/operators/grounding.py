@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
-from weftline.operators.lexicon import COMPILED_BYTES, Compiled, compile_entries, has
+from weftline.operators.lexicon import COMPILED_BYTES, Compiled, bit_filter, compile_entries, has
 from weftline.session import cut_lineage, literal_rows
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -90,10 +90,10 @@ def ground_terms(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     starts = F.when(F.size("_words") > 0, F.sequence(F.lit(0), F.size("_words") - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    # Runs that begin with no term's first word are dropped in the row. The plan carries these words, as
-    # it carries any catalogue, so it is the same whatever their number.
-    first = [row["first"] for row in shape.select("first").distinct().collect()]
-    starts = F.filter(starts, lambda i: F.get("_words", i).isin(*first))
+    # Runs that begin with no term's first word are dropped in the row, by a filter of fixed size; the few others
+    # that pass it meet no term in the join.
+    opens = bit_filter(shape.select("first"))
+    starts = F.filter(starts, lambda i: opens(F.get("_words", i)))
     # The places are kept in a frame of their own: they are used once per size.
     placed = cut.select(key, "_words", "_gaps", F.explode(F.array(starts)).alias("_starts"))
     runs = reduce(lambda a, b: F.concat(a, b), [_runs(n, F.col("_starts")) for n in sizes])

@@ -7,7 +7,7 @@ whatever the size of the lexicon, and needs no join.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Lexicons up to so many bytes of text are compiled; larger ones are joined.
 COMPILED_BYTES = 1 << 20
+#: Bits of a filter: a literal of 128 KB.
+FILTER_BITS = 1 << 20
 _SEEDS = range(7, 27)
 _MOVES = 500
 
@@ -104,6 +106,28 @@ def compile_entries(entries: DataFrame, marks: dict[str, int], most_bytes: int =
     )
 
 
+def bit_filter(words: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that every word of a one-column table passes, and few others, from one literal of fixed size.
+
+    Bits are set by an aggregate; the driver gathers at most one number for 64 of them, however many words there are.
+    """
+    spot = lambda word: F.xxhash64(word).bitwiseAND(F.lit(bits - 1))
+    at = words.select(spot(F.col(words.columns[0])).alias("at"))
+    set_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("mask")
+    )
+    masks = [0] * (bits // 64)
+    for row in set_.collect():
+        masks[row["word"]] = row["mask"]
+    table = F.from_json(F.lit(json.dumps(masks)), "array<bigint>")
+
+    def may_be(word: Column) -> Column:
+        mask = F.get(table, F.shiftright(spot(word), 6).cast("int"))
+        return F.call_function("shiftright", mask, spot(word).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may_be
+
+
 def has(mark: Column, *bits: int) -> Column:
     """Whether a number has one of the bits."""
     return mark.bitwiseAND(F.lit(reduce(lambda a, b: a | b, bits))) != 0
