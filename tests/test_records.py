@@ -196,3 +196,13 @@ def test_row_local_operators_on_a_stream(spark, rows, tmp_path):
 
     found = row_local.run_available(stream, mark, str(tmp_path / "marked"))
     assert rows(found) == rows(mark(given.customer))
+
+
+def test_running_totals_over_ranges(spark):
+    rows = spark.range(500).selectExpr("lpad(id * 7919 % 500, 4, '0') AS k", "id % 5 AS n").repartition(6)
+    found = tables.running_totals(rows, ["k"], "n", "before")
+    total = 0
+    for r in sorted(found.collect(), key=lambda r: r["k"]):
+        assert r["before"] == total
+        total += r["n"]
+    assert tables.running_totals(rows.limit(0), ["k"], "n", "before").count() == 0

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.session import literal_rows
+from weftline.session import literal_rows, written
 
 
 def read_table(
@@ -35,8 +35,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Read CSV files as strings with a row number that counts lines from 2, after the header.
 
     Part files are numbered through in path order. A row's number is the rows before its block
-    plus its place in the block, so rows keep their place and none is shuffled: a first job counts
-    the rows of each block of the listing, and these few counts are broadcast. Records must not
+    plus its place in the block, so rows keep their place: a first job counts the rows of each block of the listing,
+    and these counts are summed up over ranges of blocks and written. Spark joins them back by their measured size. Records must not
     span lines. An empty or absent field is an empty text, so that the checks see it.
     """
     raw = (
@@ -49,18 +49,32 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("_file", "_start").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")
     )
-    offsets, before = [], 0
-    for block in sorted(blocks.collect()):
-        offsets.append((block["_file"], block["_start"], before - block["_first"] + 2))
-        before += block["_rows"]
-    # As many rows as the listing has blocks.
-    placed = F.broadcast(literal_rows(spark, offsets, "_file string, _start bigint, _offset bigint"))
+    before = running_totals(blocks, ["_file", "_start"], "_rows", "_before")
+    placed = written(before.select("_file", "_start", (F.col("_before") - F.col("_first") + 2).alias("_offset")), "blocks")
     data = [c for c in raw.columns if c not in ("_file", "_start", "_at")]
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in data]
     numbered = raw.join(placed, ["_file", "_start"])
     return numbered.select((F.col("_at") + F.col("_offset")).alias("row_number"), *texts)
 
 
+def running_totals(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The rows with the sum of ``value`` over all rows before them in a unique order.
+
+    Rows are dealt out by ranges of the order and written; a window sums within each range, and the driver gathers one
+    sum for each range, so neither holds all rows.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    offsets, before = [], 0
+    for part in sorted(dealt.groupBy("_range").agg(F.sum(value).alias("total")).collect()):
+        offsets.append((part["_range"], before))
+        before += part["total"]
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = literal_rows(rows.sparkSession, offsets, "_range int, _base bigint")
+    summed = dealt.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(starts, "_range")
+    return summed.withColumn(name, F.col("_own") + F.col("_base")).drop("_range", "_own", "_base")
+
+
 def write_sorted(
     df: DataFrame, path: str, columns: Sequence[str], keys: Sequence[str], fmt: str = "csv"
 ) -> None:
