@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import closure as reach
-from weftline.operators import evaluate, filters, graph, search
+from weftline.operators import blank_nodes, evaluate, filters, graph, search
 from weftline.plans.conforming import SQL_TREE
 from weftline.plans.registry import register
 from weftline.plans.tables import SQL_EDGES, Tables, with_tables
@@ -400,6 +400,59 @@ def f02(t: Tables) -> DataFrame:
     return found.select("side", "s", "p", "o", "o_kind", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("datatype", "lang")])
 
 
+_ADDRESS, _NATION, _CALLED = "urn:wl:address", "urn:wl:nation", "urn:wl:called"
+
+
+def address_triples(t: Tables, label: Column, called: Column) -> DataFrame:
+    """Each customer's address as a blank node with a nation and a name."""
+    rows = t.customer.select("*", label.alias("label"), called.alias("called"))
+    whose = F.concat(F.lit("urn:wl:customer/"), F.col("c_custkey").cast("string"))
+    nation = F.concat(F.lit("urn:wl:nation/"), F.col("c_nationkey").cast("string"))
+
+    def fact(s: Column, p: str, o: Column, kind: str) -> Column:
+        return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+
+    node = F.col("label")
+    facts = F.array(fact(whose, _ADDRESS, node, "bnode"), fact(node, _NATION, nation, "iri"), fact(node, _CALLED, F.col("called"), "literal"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.inline(facts)).withColumns({"datatype": none, "lang": none})
+
+
+@register(
+    "f02_blank_node_difference",
+    f"""WITH sides AS (SELECT 'left' AS side, c_name AS called, * FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 'right', c_name || '!', * FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT side, 1::BIGINT AS copies, 'urn:wl:customer/' || c_custkey AS s, '{_ADDRESS}' AS p, '_' AS o FROM sides
+UNION ALL SELECT side, 1, '_', '{_NATION}', 'urn:wl:nation/' || c_nationkey FROM sides
+UNION ALL SELECT side, 1, '_', '{_CALLED}', called FROM sides""",
+)
+def f02_blank(t: Tables) -> DataFrame:
+    """The same addresses under other labels; those of one market segment are called differently."""
+    key, name = F.col("c_custkey").cast("long"), F.col("c_name")
+    changed = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(name, F.lit("!"))).otherwise(name)
+    left = address_triples(t, F.concat(F.lit("_:a"), key.cast("string")), name)
+    right = address_triples(t, F.concat(F.lit("_:b"), (1_000_000_007 - key * 7).cast("string")), changed)
+    found = blank_nodes.graph_difference(left, right)
+    shown = lambda c: F.when(F.startswith(c, F.lit("_:")), F.lit("_")).otherwise(F.col(c)).alias(c)
+    return found.select("side", F.col("copies").cast("long").alias("copies"), shown("s"), "p", shown("o"))
+
+
+@register("f03_blank_node_digest", "SELECT 'relabelled' AS copy, true AS same UNION ALL SELECT 'changed', false")
+def f03_blank(t: Tables) -> DataFrame:
+    """Whether a relabelled and a changed copy of all addresses have the digest of the first."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    last = F.col("c_custkey") == t.customer.agg(F.max("c_custkey").alias("m")).first()["m"]
+    copies = {
+        "first": address_triples(t, F.concat(F.lit("_:a"), key), name),
+        "relabelled": address_triples(t, F.concat(F.lit("_:b"), F.reverse(key), F.lit("x"), key), name),
+        "changed": address_triples(t, F.concat(F.lit("_:a"), key), F.when(last, F.lit("other")).otherwise(name)),
+    }
+    made = {n: blank_nodes.graph_digest(g).select(F.lit(n).alias("copy"), "digest") for n, g in copies.items()}
+    others = made["relabelled"].unionByName(made["changed"])
+    same = others.join(made["first"].select("digest", F.lit(True).alias("same")), "digest", "left")
+    return same.select("copy", F.coalesce("same", F.lit(False)).alias("same"))
+
+
 @register(
     "f03_graph_digest",
     SQL_GRAPH + f", lines AS (SELECT DISTINCT {_SQL_LINE} AS line FROM (SELECT * FROM part_t UNION ALL SELECT * FROM comp_t UNION ALL SELECT * FROM aff_t))"
