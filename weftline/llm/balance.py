@@ -175,7 +175,11 @@ def mix(
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are.
+
+    Rows are mixed by the words of their texts; null and empty texts have none. Rows without a source are a source of their
+    own, repeated rows are rows of their own, keys and columns of other names are not looked at. An empty table gives no rows.
+    """
     rows, keys = keyed(docs)
     copies = unused(rows, "copies")
     taken = mix(rows, text, source, keys, weights).where("copies > 0").select(*keys, F.col("copies").alias(copies))

@@ -124,7 +124,8 @@ def coded(docs: DataFrame, text: Column, path: str, pattern: str, with_ids: bool
 
     The second digest is of the bytes decoded from the ids. Null texts are empty: no ids. Special tokens
     are ordinary text. The rank file is read once at the driver; its model, as large as the vocabulary,
-    travels once to each executor.
+    travels once to each executor. Texts are encoded whole, of any length; equal texts have equal results, row by row. An
+    empty table gives no rows; no other column is looked at.
     """
     ranks = read_ranks(path)
     order = np.array(sorted(ranks.values()), dtype=np.int64)

@@ -302,7 +302,11 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def spans(text: Column) -> Column:
-    """All spans of a text column, an empty list for null and empty texts."""
+    """All spans of a text column, an empty list for null and empty texts.
+
+    Texts are scanned whole, of any length; equal texts have equal spans, of ties in place the kind listed first
+    comes first. An empty table gives no rows; no other column is looked at.
+    """
 
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
@@ -329,7 +333,11 @@ def redacted_of(text: str | None) -> str | None:
 
 
 def redacted(text: Column) -> Column:
-    """The text column with its secrets taken out; null stays null."""
+    """The text column with its secrets taken out; null stays null and empty stays empty.
+
+    Texts are scanned whole, of any length; equal texts come out equal. An empty table gives no rows; no other column is
+    looked at.
+    """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

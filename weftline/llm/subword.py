@@ -165,7 +165,7 @@ def classify(
     Learns from labelled rows whose crc32 of the key leaves another rest than ``held_fold``, at most
     ``most`` of them. Null labels and keys are not learnt from; null and empty texts are scored by the
     document's own bucket alone. Without labelled rows every score is 0.5. Repeated rows are scored each;
-    other columns are ignored.
+    other columns are ignored. Texts are read whole, of any length; an empty table gives no rows.
     """
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % folds
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
