@@ -32,7 +32,7 @@ def test_queries(spark, name):
 
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.fixture(scope="module")
