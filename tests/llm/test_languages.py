@@ -79,3 +79,13 @@ def test_chunks_lose_nothing(monkeypatch):
     whole = np.sort(np.concatenate(list(languages.grams_of(text))))
     monkeypatch.setattr(languages, "CHUNK", 17)
     assert np.array_equal(np.sort(np.concatenate(list(languages.grams_of(text)))), whole)
+
+
+def test_every_learnt_trigram_is_held(spark):
+    """A trigram seen once in a language's texts is in its filter, however common it is elsewhere."""
+    rows = [(0, "zzz " * 5000 + "abc", "one"), (1, "abc " * 5000 + "zzz", "two")]
+    learnt = languages.learn(literal_rows(spark, rows, "doc_id long, text string, lang string"))
+    for text in ("abc", "zzz"):
+        total, held = learnt.counts(text)
+        assert list(held) == [total, total]
+    assert learnt.table.shape == (1, languages.LEAST_SLOTS)
