@@ -72,3 +72,13 @@ def test_host_rates_are_shrunk(spark):
 def test_without_variation(spark, texts):
     table = literal_rows(spark, [(i, t, f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     assert {r["kept"] for r in hosts.judge(table).collect()} == {texts[0] != "short"}
+
+
+def test_a_host_far_from_the_others_is_refused(spark):
+    """Seven in ten against one in ten: refused, though below the plain limit."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    docs = [(f"h{h}", bad if i < 10 + h % 3 else good) for h in range(20) for i in range(100)]
+    docs += [("poor", bad if i < 70 else good) for i in range(100)] + [("fair", bad if i < 45 else good) for i in range(100)]
+    table = literal_rows(spark, [(i, t, s) for i, (s, t) in enumerate(docs)], "doc_id long, text string, source string")
+    kept = Counter(r["source"] for r in hosts.kept(table).collect())
+    assert "poor" not in kept and kept["fair"] == 55 and len(kept) == 21

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -21,8 +22,13 @@ def plain(text, templates, share):
         p = phrase.split(" ")
         places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     hits = set()
-    for at, line in enumerate(lower(text).split("\n")):
-        held = set(WORD.findall(line))
+    lines = [WORD.findall(x) for x in lower(text).split("\n")]
+    for at, line in enumerate(lines):
+        held = set(line)
+        for after in lines[at + 1 : at + 3]:
+            if not after:
+                break
+            held |= set(after)
         for label, body in templates:
             own = set(WORD.findall(lower(body)))
             if len(own & held) >= math.ceil(share * len(own) - 1e-9):
@@ -60,6 +66,19 @@ def test_filters_lose_nothing(spark, share):
     assert found(table, templates=templates, share=share) == {i: plain(t, templates, share) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_statements(spark, mark):
+    texts = [
+        "\n".join(["Some words first.", mark, *(mark + x for x in textwrap.wrap(body, 72 - len(mark))), mark, "And last ones."])
+        for _, body in licenses.TEMPLATES
+    ]
+    table = literal_rows(spark, list(enumerate(texts)), "doc_id long, text string")
+    for i, (_, _, hits) in found(table).items():
+        assert licenses.TEMPLATES[i][0] in {label for _, label, _ in hits}
+    broken = literal_rows(spark, [(0, "Released under\n\nthe MIT License"), (1, "released under\n--\nthe mit license")], "doc_id long, text string")
+    assert all(not hits for _, _, hits in found(broken).values())
+
+
 def test_odd_rows(odd):
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(odd.limit(0)).count() == 0

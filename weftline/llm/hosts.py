@@ -6,6 +6,7 @@ host with few documents is judged mostly by the others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,9 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 HOST_LIMIT = 0.75
+#: Below that a host is refused if most of its documents fail and its rate is so many prior deviations above the corpus.
+LEAST_LIMIT = 0.5
+SPREADS = 3
 #: Bounds of the between-host correlation; its inverse is the prior's weight in documents.
 LEAST_SPREAD, MOST_SPREAD = 1e-6, 1 - 1e-6
 
@@ -100,8 +104,9 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(host, docs, failures, host_rate, host_ok) from rows (host, base_failed), one for each host, null too.
 
     The prior's mean is the corpus' rate, its weight comes from the moments of the hosts' rates around
-    it. A host is refused above ``limit``, and above half the way from the corpus' rate to one, so that a
-    poor corpus does not refuse its ordinary hosts. A hot host is summed before the shuffle. Gathered at
+    it. A host is refused above ``limit`` and half the way from the corpus' rate to one, so that a
+    poor corpus does not refuse its ordinary hosts; or above ``LEAST_LIMIT`` if the rate is also ``SPREADS``
+    standard deviations of the prior above the corpus' rate. A hot host is summed before the shuffle. Gathered at
     the driver: one row of five sums.
     """
     hosts = cut_lineage(judged.groupBy("host").agg(
@@ -113,7 +118,9 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     ).first()
     mean, weight = beta_prior(*sums) if sums[2] else (0.0, 0.0)
     rate = (failures + mean * weight) / (docs + weight)
-    return hosts.withColumn("host_rate", rate).withColumn("host_ok", F.col("host_rate") <= max(limit, (1 + mean) / 2))
+    apart = max(LEAST_LIMIT, mean + SPREADS * math.sqrt(mean * (1 - mean) / (weight + 1)))
+    most = min(max(limit, (1 + mean) / 2), apart)
+    return hosts.withColumn("host_rate", rate).withColumn("host_ok", F.col("host_rate") <= most)
 
 
 def kept(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

@@ -1,7 +1,8 @@
 """License statements in text, in Spark columns only.
 
-Phrases are found word by word. Beyond them, an exact set-similarity join finds every text block (line)
-that holds at least a share of a license template's distinct words. Words are ordered by their frequency
+Phrases are found word by word. Beyond them, an exact set-similarity join finds every text block that holds
+at least a share of a license template's distinct words; a block is a line with those after it, up to three in
+all and to the end of the paragraph, so that wrapped statements are met whole. Words are ordered by their frequency
 in the corpus, rarest first; a block and a template that share enough words share one within the first
 few of each (prefix filter), the block has enough words of the templates (length filter), and what
 follows the shared word on either side suffices (positional filter).
@@ -24,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.8
+LINES = 3
+NO_WORD = "".join(chr(c) for c in range(128) if not chr(c).isalnum() or chr(c).isupper())
 
 # Phrases and labels of the base rule.
 PHRASES = (
@@ -116,14 +119,39 @@ class Index:
         return spark.range(1).select(F.inline(F.array(*made)))
 
 
-def _blocks(lower: Column) -> Column:
+def _lines(lower: Column) -> Column:
     return F.split(lower, "\n")
 
 
+def _blocks(lower: Column, ordered: Column, least: int, lines: int) -> Column:
+    """(block, held): by first line, the template words of a line and of those after it, up to a line without a word.
+
+    Only blocks with ``least`` words, in the given order.
+    """
+    none = F.array().cast("array<string>")
+
+    def reach(x: Column, i: Column, on: int) -> Column:
+        line = F.get(x, i + on)
+        after = reach(x, i, on + 1) if on + 1 < lines else none
+        return F.when(line["worded"], F.concat(line["held"], after)).otherwise(none)
+
+    def joined(x: Column) -> Column:
+        rows = F.transform(x, lambda y, i: F.struct(i.alias("block"), F.concat(y["held"], reach(x, i, 1)).alias("held")))
+        return F.transform(
+            F.filter(rows, lambda r: F.size(r["held"]) >= least),
+            lambda r: F.struct(r["block"].alias("block"), F.array_intersect(ordered, r["held"]).alias("held")),
+        )
+
+    each = F.transform(_lines(lower), lambda b: F.struct(
+        F.array_intersect(F.split(b, GAP), ordered).alias("held"), (F.length(F.btrim(b, F.lit(NO_WORD))) > 0).alias("worded")
+    ))
+    return let(each, joined)
+
+
 def template_words(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
-    """In how many blocks of the corpus each word of the templates stands: one row for each such word."""
+    """In how many lines of the corpus each word of the templates stands: one row for each such word."""
     known = _strings(vocabulary)
-    held = F.transform(_blocks(lowered(F.col(text))), lambda b: F.array_intersect(F.split(b, GAP), known))
+    held = F.transform(_lines(lowered(F.col(text))), lambda b: F.array_intersect(F.split(b, GAP), known))
     found = docs.select(F.explode(F.flatten(held)).alias("word"))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
@@ -131,11 +159,12 @@ def template_words(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[st
 def scan(
     docs: DataFrame, text: str = "text", key: str = "doc_id",
     phrases: tuple[tuple[str, str], ...] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES,
-    share: float = SHARE,
+    share: float = SHARE, lines: int = LINES,
 ) -> DataFrame:
     """(key, n_words, places, matches) for each row of ``docs``.
 
-    ``places`` are the phrases as (at, label); ``matches`` the template hits as (block, label, contained).
+    ``places`` are the phrases as (at, label); ``matches`` the template hits as (block, label, contained),
+    one for each block that holds a template, which may share lines.
     Null and empty texts have neither. Repeated rows, also with equal or null keys, are scanned each; an
     empty table gives no row; other columns are ignored. Gathered at the driver: one count for each
     distinct template word. Texts are read twice, once for those counts.
@@ -145,10 +174,7 @@ def scan(
     ordered, rare = _strings(index.vocabulary), _strings(sorted({w for p in index.prefixes for w in p}))
     least = min(index.needs)
     lower = lowered(F.col(text))
-    held = F.transform(
-        _blocks(lower), lambda b, i: F.struct(i.alias("block"), F.array_intersect(ordered, F.split(b, GAP)).alias("held"))
-    )
-    kept = F.filter(held, lambda b: (F.size(b["held"]) >= least) & F.arrays_overlap(b["held"], rare))
+    kept = F.filter(_blocks(lower, ordered, least, lines), lambda b: (F.size(b["held"]) >= least) & F.arrays_overlap(b["held"], rare))
     scanned = cut_lineage(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
         F.regexp_count(lower, F.lit(WORD)).cast("long").alias("n_words"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm.hosts import HOST_LIMIT, LEAST_SPREAD, MOST_SPREAD
+from weftline.llm.hosts import HOST_LIMIT, LEAST_LIMIT, LEAST_SPREAD, MOST_SPREAD, SPREADS
 from weftline.llm.licenses import PHRASES, SHARE, TEMPLATES
 
 HOST_RULES = f"""
@@ -40,7 +40,8 @@ WITH d AS (
   SELECT m, 1 / least(greatest(CASE WHEN room > 0 THEN (spread - noise * (k - 1)) / room ELSE {LEAST_SPREAD!r} END,
                                {LEAST_SPREAD!r}), {MOST_SPREAD!r}) - 1 AS weight FROM moments
 ), verdicts AS (
-  SELECT source, (failures + m * weight) / (docs + weight) <= greatest({HOST_LIMIT!r}, (1 + m) / 2) AS host_ok FROM hosts, prior
+  SELECT source, (failures + m * weight) / (docs + weight) <= least(greatest({HOST_LIMIT!r}, (1 + m) / 2),
+         greatest({LEAST_LIMIT!r}, m + {SPREADS} * sqrt(m * (1 - m) / (weight + 1)))) AS host_ok FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND host_ok) AS kept
@@ -141,7 +142,7 @@ SELECT doc_id, n_features, weight, score,
 
 
 def licenses() -> str:
-    """Every line against every template, without any filter; phrases by their places among the words."""
+    """Every block of lines against every template, without any filter; phrases by their places among the words."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -162,8 +163,11 @@ WITH d AS (
 ), templates AS (
   SELECT id, label, list_distinct(regexp_extract_all(translate(body, {upper}), '{word}')) AS words
   FROM (VALUES {templates}) AS v(id, label, body)
+), lines AS (
+  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM d)
 ), blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS held FROM d
+  SELECT doc_id, list_distinct(regexp_extract_all(l[i] || CASE WHEN regexp_matches(l[i + 1], '{word}') THEN chr(10) || l[i + 1] ||
+         CASE WHEN regexp_matches(l[i + 2], '{word}') THEN chr(10) || l[i + 2] ELSE '' END ELSE '' END, '{word}')) AS held FROM lines
 ), met AS (
   SELECT doc_id, label, len(list_intersect(words, held)) / len(words) AS contained,
          len(list_intersect(words, held)) >= ceil({SHARE} * len(words) - 1e-9) AS enough
