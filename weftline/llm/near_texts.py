@@ -30,6 +30,8 @@ RADIUS = 14
 BANDS = 5
 #: Unrelated texts are hardly ever so near.
 TIGHT = 7
+#: Bits of a filter of wanted rows (8 MB).
+MOST_BITS = 1 << 26
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _NODE = "shard long, asks boolean, fp long, node long, size int, class long"
@@ -85,6 +87,28 @@ def shingle_set(text: Column, words: int) -> Column:
     return run(text)
 
 
+def among(wanted: DataFrame, keys: tuple[str, str]) -> Column:
+    """Whether a row's keys may be those of a wanted row, by a bit filter that is never wrong about wanted ones.
+
+    Gathered at the driver and sent to executors: at most ``MOST_BITS`` bits.
+    """
+    bits = min(max(1 << (16 * wanted.count()).bit_length(), 1 << 16), MOST_BITS)
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("m")
+    ).toPandas()
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    sent = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def run(places: pd.Series) -> pd.Series:
+        at = places.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return run(place)
+
+
 def _dealt(nodes: DataFrame, forest: Forest, shard_rows: int) -> DataFrame:
     """Nodes in their home shards and in those they ask; shards above ``shard_rows`` in blocks, of which askers ask all."""
 
@@ -208,7 +232,9 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, keys: tuple[st
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one, two = keys
     wanted = cut_lineage(nodes.join(ends, "node").select("node", F.col("least.one").alias(one), F.col("least.two").alias(two)))
-    sets = cut_lineage(rows.select(*keys, text).join(wanted, list(keys)).select("node", shingle_set(F.col(text), words).alias("held")))
+    # Texts stay where they are: what moves are the sets of rows that may be wanted.
+    made = rows.where(among(wanted, keys)).select(*keys, shingle_set(F.col(text), words).alias("held"))
+    sets = cut_lineage(made.join(wanted, list(keys)).select("node", "held"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("of_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("held").alias("of_b")), "b"
     )
@@ -243,7 +269,7 @@ def representatives(
     classed = cut_lineage(in_few_files(
         nodes.drop("class").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"), many
     ))
-    rest = cut_lineage(candidates(classed, radius, bands, True, shard_rows))
+    rest = cut_lineage(candidates(classed, radius, bands, True, shard_rows).join(near, ["a", "b"], "left_anti"))
     linked = linked.union(_similar(rest, nodes, rows, (one, two), text, words))
     roots = components(linked)
     placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
