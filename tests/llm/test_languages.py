@@ -82,10 +82,12 @@ def test_chunks_lose_nothing(monkeypatch):
 
 
 def test_every_learnt_trigram_is_held(spark):
-    """A trigram seen once in a language's texts is in its filter, however common it is elsewhere."""
+    """With shares of 0 a trigram seen once in a language's texts is in its filter; by default a stray is not."""
     rows = [(0, "zzz " * 5000 + "abc", "one"), (1, "abc " * 5000 + "zzz", "two")]
-    learnt = languages.learn(literal_rows(spark, rows, "doc_id long, text string, lang string"))
+    table = literal_rows(spark, rows, "doc_id long, text string, lang string")
+    learnt = languages.learn(table, least_share=0.0, least_part=0.0)
     for text in ("abc", "zzz"):
         total, held = learnt.counts(text)
         assert list(held) == [total, total]
     assert learnt.table.shape == (1, languages.LEAST_SLOTS)
+    assert list(languages.learn(table).counts("zzz")[1]) == [total, 0]

@@ -23,6 +23,9 @@ from weftline.session import cut_lineage
 ROOM = 16
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 PROBES = 3
+#: A language holds a trigram that makes up so much of its own, and so much of the share it has where it is most common.
+LEAST_SHARE = 1e-5
+LEAST_PART = 0.25
 UNKNOWN = "und"
 CHUNK = 1 << 20
 HELD_GRAMS = 1 << 20
@@ -114,18 +117,30 @@ def gram_counts(learnt: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(learnt: DataFrame, slots: int | None = None) -> Filters:
-    """Filters of the languages in rows (lang, text): each holds every trigram its texts have.
+def learn(
+    learnt: DataFrame, slots: int | None = None, least_share: float = LEAST_SHARE, least_part: float = LEAST_PART
+) -> Filters:
+    """Filters of the languages in rows (lang, text): each holds the trigrams its texts have.
 
+    Trigrams that are strays in a language, by the two shares, stay out of its filter; with shares of 0 none does.
     The number of slots follows the trigrams of the language with most, up to ``MOST_SLOTS``; fuller filters have more
     false positives, which the rate of each corrects. Gathered at the driver: one row for each language and at most one for each slot.
     """
     counts = cut_lineage(gram_counts(learnt))
-    sizes = {r["lang"]: r["grams"] for r in counts.groupBy("lang").agg(F.count("*").alias("grams")).collect()}
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("grams"))
+    sizes = {r["lang"]: r["grams"] for r in totals.collect()}
     languages = sorted(sizes)
     if slots is None:
         slots = min(max(1 << (ROOM * max(sizes.values(), default=1) - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
     number = {lang: i for i, lang in enumerate(languages)}
+    shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    shares = shares.where(F.col("share") >= least_share)
+    # A trigram's languages are few: a row for each.
+    top = shares.groupBy("gram").agg(
+        F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("each")
+    )
+    held = top.select("gram", F.explode("each").alias("e"), "top").where(F.col("e.share") >= least_part * F.col("top"))
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
@@ -136,7 +151,7 @@ def learn(learnt: DataFrame, slots: int | None = None) -> Filters:
                     [pa.array(slot.astype(np.int64)), pa.array(which // 64), pa.array(mask)], ["slot", "word", "mask"]
                 )
 
-    sliced = counts.select("lang", "gram").mapInArrow(bits, "slot long, word long, mask long")
+    sliced = held.select("e.lang", "gram").mapInArrow(bits, "slot long, word long, mask long")
     rows = sliced.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros((max(1, -(-len(languages) // 64)), slots), dtype=np.uint64)
     table[rows["word"].to_numpy(np.int64), rows["slot"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
