@@ -78,6 +78,24 @@ def test_fingerprint_is_that_of_the_operator():
     assert len(np.unique(near_texts.hashes_of("a b c d e " * 50, 5))) == 5
 
 
+def test_signs_follow_the_similarity(spark):
+    rng = np.random.default_rng(3)
+
+    def apart(shared, own):
+        sets = rng.integers(0, 1 << 63, shared, dtype=np.uint64), *rng.integers(0, 1 << 63, (2, own), dtype=np.uint64)
+        return (near_texts.sign_of(np.append(sets[0], sets[1])) ^ near_texts.sign_of(np.append(sets[0], sets[2]))).bit_count()
+
+    # 0.8, 0.5 and nothing shared; sets of one block and of several.
+    for many in (80, 8000):
+        mean = [np.mean([apart(*of) for _ in range(30)]) for of in ((many, many // 8), (many, many // 2), (0, many))]
+        assert np.allclose(mean, [6.4, 16, 32], atol=2.5)
+    assert near_texts.sign_of(np.zeros(0, dtype=np.uint64)) == 0
+    rows = [(0, 1, 100, 1, 0), (0, 2, 100, 2, (1 << 16) - 1), (0, 3, 100, 3, -1 << 47)]
+    nodes = literal_rows(spark, rows, "fp long, node long, size int, class long, sign long")
+    found = {(r["a"], r["b"]) for r in near_texts.candidates(nodes, 14, 5, every=True).collect()}
+    assert found == {(2, 1)}
+
+
 def test_odd_rows(spark, odd):
     kept = near_texts.representatives(odd)
     assert kept.columns == odd.columns

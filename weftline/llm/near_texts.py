@@ -2,7 +2,8 @@
 
 Texts with the same set of shingles are one node. Nodes meet in the shards of vantage-point trees over runs
 of the fingerprint's bits, asked one bit around, and are candidates within ``radius`` bits of the whole
-fingerprint if the sizes of their sets allow the similarity. Two searches keep dense groups linear: the first
+fingerprint if the sizes of their sets allow the similarity and so do 64 one-bit MinHashes, which rule out the
+unrelated texts that are near by chance (their number grows with the square of the texts). Two searches keep dense groups linear: the first
 gives each node no more than its smallest neighbours, whose exact similarity links classes; the second
 gives every candidate pair whose ends are still in different classes.
 """
@@ -30,12 +31,17 @@ RADIUS = 14
 BANDS = 5
 #: Unrelated texts are hardly ever so near.
 TIGHT = 7
+#: MinHash bits that may differ. One differs with half of one minus the similarity: 0.1 at 0.8, where 17 or more of 64
+#: do once in 5,000 pairs; of unrelated texts 32 differ, and 16 or fewer once in 25,000 pairs.
+MOST_APART = 16
 #: Bits of a filter of wanted rows (8 MB).
 MOST_BITS = 1 << 26
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_NODE = "shard long, asks boolean, fp long, node long, size int, class long"
-_NAMES = ["shard", "asks", "fp", "node", "size", "class"]
+_CARRIED = ["fp", "node", "size", "class", "sign"]
+_NODE = "shard long, asks boolean, fp long, node long, size int, class long, sign long"
+_NAMES = ["shard", "asks", *_CARRIED]
+_ORDERS = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(BITS)], dtype=np.uint64)
 
 
 def hashes_of(text: str | None, words: int) -> np.ndarray:
@@ -61,18 +67,30 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * totals > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def sign_of(held: np.ndarray) -> int:
+    """A bit of the least hash in each of 64 orders of the set; 0 for an empty one."""
+    if not len(held):
+        return 0
+    least = np.full(BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(held), 1 << 12):
+        np.minimum(least, (_ORDERS[:, None] * held[None, low : low + (1 << 12)]).min(1), out=least)
+    return int(np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")[0])
+
+
 def prints(text: Column, words: int) -> Column:
-    """Struct (node, fp, size): digest of the set of shingles, fingerprint, shingles in the set."""
+    """Struct (node, fp, size, sign): digest of the set of shingles, fingerprint, shingles in the set, MinHash bits."""
 
-    @F.pandas_udf("node long, fp long, size int")
+    @F.pandas_udf("node long, fp long, size int, sign long")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             hashes = hashes_of(text, words)
             held = np.unique(hashes)
-            rows.append((xxhash.xxh64_intdigest(held.astype("<u8").tobytes(), SEED), fingerprint_of(hashes), len(held)))
-        node, fp, size = (np.array(x, dtype=np.uint64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
-        return pd.DataFrame({"node": node.view(np.int64), "fp": fp.view(np.int64), "size": size.astype(np.int32)})
+            digest = xxhash.xxh64_intdigest(held.astype("<u8").tobytes(), SEED)
+            rows.append((digest, fingerprint_of(hashes), len(held), sign_of(held)))
+        made = np.array(rows, dtype=np.uint64).reshape(-1, 4)
+        longs = {name: made[:, i].copy().view(np.int64) for i, name in ((0, "node"), (1, "fp"), (3, "sign"))}
+        return pd.DataFrame({**longs, "size": made[:, 2].astype(np.int32)})[["node", "fp", "size", "sign"]]
 
     return run(text)
 
@@ -123,7 +141,8 @@ def _dealt(nodes: DataFrame, forest: Forest, shard_rows: int) -> DataFrame:
                             [pa.array(shard), pa.array(np.full(len(rows), not stored)), *took.columns], _NAMES
                         )
 
-        return nodes.select("fp", "node", "size", "class").mapInArrow(run, _NODE)
+        sign = F.col("sign") if "sign" in nodes.columns else F.lit(0).cast("long").alias("sign")
+        return nodes.select(*_CARRIED[:-1], sign).mapInArrow(run, _NODE)
 
     large = (
         placed(True).groupBy("shard").count().where(F.col("count") > shard_rows)
@@ -134,14 +153,14 @@ def _dealt(nodes: DataFrame, forest: Forest, shard_rows: int) -> DataFrame:
     later = F.when(F.col("asks"), every).otherwise(F.filter(every, lambda b: b >= own))
     split = placed(False).join(cut_lineage(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return split.select("*", own.alias("own"), F.explode(later).alias("block")).select(
-        "shard", "block", (F.col("asks") | (F.col("own") != F.col("block"))).alias("asks"), "fp", "node", "size", "class"
+        "shard", "block", (F.col("asks") | (F.col("own") != F.col("block"))).alias("asks"), *_CARRIED
     )
 
 
 def _met(rows: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(larger node, smaller node, bits) of candidates: stored nodes among themselves and with those that ask."""
-    shard, block, asks, fp, node, size, kind = rows
-    asks, bits = asks.astype(bool), fp.view(np.uint64)
+    shard, block, asks, fp, node, size, kind, sign = rows
+    asks, bits, sign = asks.astype(bool), fp.view(np.uint64), sign.view(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (block[1:] != block[:-1])]))
     runs = np.diff(np.append(first, len(fp)))
     stored_end = first + np.add.reduceat((~asks).astype(np.int64), first)
@@ -158,7 +177,7 @@ def _met(rows: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.n
         away = np.bitwise_count(bits[a] ^ bits[b])
         near = np.flatnonzero(away <= radius)
         a, b, away = a[near], b[near], away[near]
-        allowed = (kind[a] != kind[b]) & (WHOLE * np.minimum(size[a], size[b]) >= PART * np.maximum(size[a], size[b]))
+        allowed = (kind[a] != kind[b]) & (np.bitwise_count(sign[a] ^ sign[b]) <= MOST_APART) & (WHOLE * np.minimum(size[a], size[b]) >= PART * np.maximum(size[a], size[b]))
         a, b = a[allowed], b[allowed]
         if len(a):
             yield np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), away[allowed]
@@ -177,7 +196,7 @@ def _smallest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def candidates(nodes: DataFrame, radius: int, bands: int, every: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Candidate pairs (a, b) of nodes (fp, node, size, class) in different classes.
+    """Candidate pairs (a, b) of nodes (fp, node, size, class, sign) in different classes; without a sign none is ruled out by it.
 
     All of them, or a few for each node that has any. A task holds the rows of one shard's block and a bounded number of pairs.
     """
@@ -251,16 +270,16 @@ def representatives(
 
     Similar are documents whose sets of ``words``-word shingles (lower-cased A-Z) have a Jaccard similarity of 0.8
     or more; groups are what such links reach. No pair below that is linked. Pairs further apart than ``2 * bands - 1`` bits
-    may be missed, those beyond ``radius`` are. Keys may be null (such a row stays only if its whole group has none) or
+    may be missed, those beyond ``radius`` are, and so is about one in 5,000 of the pairs at just 0.8 by its MinHash bits. Keys may be null (such a row stays only if its whole group has none) or
     repeated (one of the rows stays). Texts without a word are one group; shorter ones than ``words`` are one shingle.
     An empty table stays empty.
     """
     rows, (one, two) = keyed(docs)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(one).alias("one"), F.col(two).alias("two"))
     found = cut_lineage(rows.select(rank.alias("key"), prints(F.col(text), words).alias("p")).select("key", "p.*"))
-    least = F.min(F.struct("key", "fp", "size"))
+    least = F.min(F.struct("key", "fp", "size", "sign"))
     nodes = cut_lineage(found.groupBy("node").agg(least.alias("m")).select(
-        "node", "m.fp", "m.size", F.col("m.key").alias("least"), F.col("node").alias("class")
+        "node", "m.fp", "m.size", "m.sign", F.col("m.key").alias("least"), F.col("node").alias("class")
     ))
     many = nodes.count()
     near = cut_lineage(candidates(nodes, radius, bands, False, shard_rows))
