@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from test_simhash import reach
 from weftline.llm import near_texts
@@ -96,6 +97,24 @@ def test_signs_follow_the_similarity(spark):
     assert found == {(2, 1)}
 
 
+def test_parities_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for many in (1, 4, 9, 40, 300, 3000):
+        for part in (0.6, 0.75, 0.8, 0.81, 0.9, 1.0):
+            one = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, many)]
+            shared = min(many, -(-int(2000 * part * many) // int(1000 * (1 + part))))
+            pairs.append((one, one[:shared] + [int(x) for x in rng.integers(-(1 << 63), 1 << 63, many - shared)]))
+            pairs.append((one, one[: -(-int(part * 100) * many // 100)]))
+    table = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    sizes = F.size("a"), F.size("b")
+    odd = near_texts.parities(F.col("a"), sizes[0]), near_texts.parities(F.col("b"), sizes[1])
+    found = table.select("a", "b", near_texts.may_share(*odd, *sizes).alias("may")).collect()
+    rates = [(len(set(r["a"]) & set(r["b"])) / len(set(r["a"]) | set(r["b"])), len(r["a"]), r["may"]) for r in found]
+    assert all(may for rate, _, may in rates if rate >= 0.8) and sum(rate >= 0.8 for rate, *_ in rates) > 30
+    assert not any(may for rate, many, may in rates if rate < 0.7 and many >= 300)
+
+
 def test_odd_rows(spark, odd):
     kept = near_texts.representatives(odd)
     assert kept.columns == odd.columns

@@ -105,6 +105,43 @@ def shingle_set(text: Column, words: int) -> Column:
     return run(text)
 
 
+def parities(held: Column, size: Column) -> Column:
+    """Whether an odd number of a set's hashes falls into each of 2, 4, 8, ... times 32 places, at least two for each hash.
+
+    A place where two sets of places differ holds a hash of one of them only, so no more places differ than hashes do.
+    """
+
+    @F.pandas_udf("binary")
+    def run(sets: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for hashes, many in zip(sets, sizes, strict=True):
+            places = 64 << max(0, int(many) - 1 >> 5).bit_length()
+            odd = np.bincount(np.asarray(hashes, dtype=np.int64) & (places - 1), minlength=places) & 1
+            out.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+        return pd.Series(out, dtype=object)
+
+    return run(held, size)
+
+
+def may_share(one: Column, two: Column, size_one: Column, size_two: Column) -> Column:
+    """False for sets that differ in too many hashes for the similarity, by their parities; true for all similar ones."""
+
+    @F.pandas_udf("boolean")
+    def run(ones: pd.Series, twos: pd.Series, sizes: pd.Series, others: pd.Series) -> pd.Series:
+        out = []
+        for a, b, n in zip(ones, twos, (sizes + others).to_numpy(), strict=True):
+            a, b = (np.frombuffer(x, dtype="<u8") for x in (a, b))
+            least = min(len(a), len(b))
+            # A longer row of places folds onto a shorter one.
+            a, b = (np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in (a, b))
+            apart = int(np.bitwise_count(a ^ b).sum())
+            # The union is half of both sizes and of what differs.
+            out.append((WHOLE + PART) * apart <= (WHOLE - PART) * int(n))
+        return pd.Series(out, dtype=bool)
+
+    return run(one, two, size_one, size_two)
+
+
 def among(wanted: DataFrame, keys: tuple[str, str]) -> Column:
     """Whether a row's keys may be those of a wanted row, by a bit filter that is never wrong about wanted ones.
 
@@ -254,6 +291,13 @@ def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, keys: tuple[st
     # Texts stay where they are: what moves are the sets of rows that may be wanted.
     made = rows.where(among(wanted, keys)).select(*keys, shingle_set(F.col(text), words).alias("held"))
     sets = cut_lineage(made.join(wanted, list(keys)).select("node", "held"))
+    # Whole sets move only into the pairs that a sixteenth to a thirty-second of their bits cannot rule out.
+    held_size = F.size("held")
+    brief = cut_lineage(sets.select("node", held_size.alias("n"), parities(F.col("held"), held_size).alias("odd")))
+    met = pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a")), "a").join(
+        brief.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b")), "b"
+    )
+    pairs = cut_lineage(met.where(may_share(F.col("odd_a"), F.col("odd_b"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("of_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("held").alias("of_b")), "b"
     )
