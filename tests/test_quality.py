@@ -97,6 +97,13 @@ def test_duplicates_of_hot_and_colliding_keys(spark, rows):
     assert quality.duplicate_rows(once, "id").count() == 0
 
 
+def test_rows_of_an_identifier_that_share_a_number(spark, rows):
+    """One of the rows in the first place passes, wherever the others are."""
+    given = [(7, "a"), (7, "a"), (7, "a"), (9, "a"), (3, "b"), (4, "b"), (4, "b"), (5, "c")]
+    frame = spark.createDataFrame(given, "row_number long, id string").repartition(3)
+    assert rows(quality.duplicate_rows(frame, "id"), "id", "row_number") == [("a", 7), ("a", 7), ("a", 9), ("b", 4), ("b", 4)]
+
+
 def test_identifiers_that_share_a_digest(spark, rows, monkeypatch):
     monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.length(c[0]).cast("long"))
     frame = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "efg")], "row_number long, id string")

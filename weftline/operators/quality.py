@@ -149,7 +149,7 @@ def row_issues(contract: TableContract, as_of: date, has_product: bool = True) -
 
 
 def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> DataFrame:
-    """Second and later rows of an identifier (key, order); the first row passes.
+    """Second and later rows of an identifier (key, order); the first row passes, and of several that share the first place one does.
 
     Identifiers seen once never leave their task: only eight-byte digests, counted in the task before, are
     shuffled. Rows whose digest repeats are written, which runs jobs, and compared by the identifier itself, so two
@@ -162,12 +162,13 @@ def duplicate_rows(rows: DataFrame, key: str, order: str = "row_number") -> Data
     )
     seen = counted.where("_seen > 1 AND _missing = 0").select("_digest")
     digested = rows.select(strip(F.col(key)).alias(key), F.col(order).alias(order), digest.alias("_digest"))
-    candidates = written(digested.join(written(seen, "digests"), "_digest", "left_semi").select(key, order), "repeated")
+    repeated = digested.join(written(seen, "digests"), "_digest", "left_semi").select(key, order)
+    candidates = written(repeated.withColumn("_at", F.monotonically_increasing_id()), "repeated")
     candidates = candidates.where(~is_missing(F.col(key)))
-    first = candidates.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    first = candidates.groupBy(F.col(key).alias("_key")).agg(F.min_by("_at", order).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     first = written(first.where("_rows > 1").select("_key", "_first"), "first")
     joined = candidates.join(first, F.col(key) == F.col("_key"))
-    return joined.where(F.col(order) > F.col("_first")).select(key, order)
+    return joined.where(~F.col("_at").eqNullSafe(F.col("_first"))).select(key, order)
 
 
 def structure_issues(tables: Mapping[str, DataFrame], contracts: Sequence[TableContract] = CONTRACTS):
