@@ -171,6 +171,17 @@ def test_compiled_lexicon_finds_what_joins_find(spark):
     assert "Join" not in near._jdf.queryExecution().toString()
 
 
+def test_requests_that_share_a_key_are_diagnosed_one_by_one(spark):
+    """Equal and different texts of one key, in the row and by joins."""
+    entries = grounding.lexicon(spark, alerts=["TIME_OUT", "OTHER"])
+    texts = ["Find notes for alert TIME_OUT", "Find notes for alert OTHER", "Find notes for alert OTHER", "1234567", "1234567", "", "", None, None, "explain"]
+    frame = spark.createDataFrame([(5, t) for t in texts] + [(6, "1234567")], "doc_id int, text string").repartition(3)
+    near, far = (grounding.diagnose(frame, entries, most_bytes=b) for b in (1 << 20, 0))
+    columns = sorted(far.columns)
+    assert near.count() == far.count() == 11
+    assert sorted(map(repr, near.select(columns).collect())) == sorted(map(repr, far.select(columns).collect()))
+
+
 def test_case_folds_of_every_code_point(spark):
     points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["|".join(points[i : i + 512]) for i in range(0, len(points), 512)] + ["ΑΣ ΣΑΣ", "STRASSE", "", "\x00A"]

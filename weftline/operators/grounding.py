@@ -427,8 +427,8 @@ def diagnose(
 ) -> DataFrame:
     """Per text: token flags, slot counts, the first failure that applies and the intent.
 
-    With a compiled lexicon everything is found within the text's row and nothing is shuffled; then ``key``
-    is carried along and rows that share one are texts of their own. A lexicon above ``most_bytes`` is joined to tokens.
+    Rows that share a ``key`` are texts of their own. With a compiled lexicon everything is found within the text's row and
+    nothing is shuffled. A lexicon above ``most_bytes`` is joined to tokens; texts of one key are then told apart by 128 bits.
     """
     words = compiled_lexicon(entries, most_bytes)
     filled = _filled_by_join(texts, entries, key, text) if words is None else _filled_in_row(texts, words, key, text)
@@ -485,8 +485,12 @@ def _filled_in_row(texts: DataFrame, words: Compiled, key: str, text: str) -> Da
 
 
 def _filled_by_join(texts: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
-    """Flags and slot counts of each text, from a row for each token; distinct values are bounded by the text."""
-    tokens = request_tokens(texts, entries, key, text, keep_empty=True)
+    """Flags and slot counts of each text, from a row for each token; distinct values are bounded by the text.
+
+    Equal texts of one key are counted and given out again at the end.
+    """
+    place = F.struct(F.col(key).alias("key"), *[F.xxhash64(F.col(text), F.lit(n)).alias(f"digest{n}") for n in (0, 1)])
+    tokens = request_tokens(texts.select(place.alias("_place"), text), entries, "_place", text, keep_empty=True)
     cues = entries.where(F.col("family") == "product_cue").select(
         fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
     ).distinct()
@@ -511,11 +515,17 @@ def _filled_by_join(texts: DataFrame, entries: DataFrame, key: str, text: str) -
         "note_number": F.when(_is_note(t.token), t.token),
         "priority": F.when(t.says_priority, _priority(t.after, t.after2)),
     }
-    return marked.groupBy(key).agg(
-        F.count("token").alias("tokens"),
+    # A text has one row at its first place, also if it has no token; a null text has one row without a place.
+    found = marked.groupBy("_place").agg(
+        F.coalesce(F.nullif(F.count_if(F.col("pos") == 1), F.lit(0)), F.count(F.lit(1))).alias("_copies"),
+        F.count("token").alias("_tokens"),
         *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()],
         *[F.size(F.collect_set(v)).alias(f) for f, v in values.items()],
     )
+    return found.select(
+        F.col("_place.key").alias(key), F.expr("_tokens div _copies").alias("tokens"), *flags, *values,
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
+    ).drop("_copy")
 
 
 # The slots each intent allows.
