@@ -36,3 +36,26 @@ def test_every_query_has_sql():
 def test_entry(spark):
     assert entry.entry(spark).columns == ["partner_id", "country", "posting_count", "total_debit_loss_eur"]
     assert entry.entry(spark).count() == 5
+
+
+@pytest.fixture(scope="module")
+def twice(tmp_path_factory):
+    """The smallest tables with some lines repeated: the same order, number and price, some with another part."""
+    folder = tmp_path_factory.mktemp("twice")
+    for table in Path(FOLDER).glob("*.parquet"):
+        (folder / table.name).symlink_to(table)
+    (folder / "lineitem.parquet").unlink()
+    lines = f"SELECT * FROM '{FOLDER}/lineitem.parquet'"
+    connect(FOLDER).execute(
+        f"""COPY ({lines} UNION ALL {lines} WHERE l_orderkey % 9 = 0 UNION ALL
+        SELECT * REPLACE ((l_partkey + 7) % 200 AS l_partkey) FROM ({lines} WHERE l_orderkey % 5 = 0)) TO '{folder}/lineitem.parquet'"""
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name", ["d17_quality_score", "h03_duplicate_identifier", "h09_quality_report", "k03_extraction_diagnostics", "k04_request_intent", "n05_corpus_validation"]
+)
+def test_lines_that_share_a_number(spark, twice, name):
+    ok, detail = compare(spark, connect(twice), name, twice, plans.queries()[name], plans.oracle_sql()[name])
+    assert ok, detail

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import grounding, scans
@@ -81,14 +81,18 @@ def _lexicon(t: Tables) -> DataFrame:
     )
 
 
-def request_texts(t: Tables) -> DataFrame:
+def order_lines(t: Tables) -> DataFrame:
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def request_texts(t: Tables, lines: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """One request text per order line, worded by the order's status and priority."""
+    lines = order_lines(t) if lines is None else lines
     part = t.part.select("p_partkey", F.concat(F.lit("ALERT_"), "p_type").alias("p_type"), "p_name")
     rows = (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            line_number().alias("doc_id"), "p_type", "p_name", F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pri"),
+            (line_number() if key is None else key).alias("doc_id"), "p_type", "p_name", F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pri"),
             F.col("l_linenumber").alias("line"), F.col("l_suppkey").cast("string").alias("supp"),
             F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("note"),
         )
@@ -148,8 +152,8 @@ _SQL_DIAGNOSIS = """diag AS (SELECT *, CASE WHEN st = 'O' AND NOT (known_version
    WHEN pri = '3-MEDIUM' THEN 'ALERT_RESOLUTION' WHEN pri = '2-HIGH' THEN 'GENERAL_SEARCH' ELSE 'NOTE_LOOKUP' END AS intent FROM diag)"""
 
 
-def diagnosis(t: Tables) -> DataFrame:
-    return grounding.diagnose(request_texts(t), _lexicon(t))
+def diagnosis(t: Tables, lines: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+    return grounding.diagnose(request_texts(t, lines, key), _lexicon(t))
 
 
 @register("k03_extraction_diagnostics", with_tables(SQL_REQUESTS, _SQL_DIAGNOSIS) + "SELECT doc_id, failure FROM diag")
