@@ -352,3 +352,16 @@ def test_dataset_label(spark, rows):
     assert rows(shapes.dataset_label(data, "id")) == [("one+two",)]
     with pytest.raises(Exception, match="no dataset"):
         shapes.dataset_label(data, "other").collect()
+
+
+def test_tasks_of_a_merge_follow_its_rows(spark, monkeypatch):
+    """Equal triples meet in as many tasks as the rows need; small graphs stay as they are."""
+    from weftline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    columns = "'data' AS graph, 's' || id % 150 AS s, 'p' AS p, 'o' AS o, 'iri' AS o_kind, cast(NULL AS string) AS datatype, cast(NULL AS string) AS lang"
+    given = spark.range(300).selectExpr(*columns.split(", "))
+    merged = triples.merge_graphs([given, given], "data", 600)
+    assert merged.count() == 150
+    assert merged.rdd.getNumPartitions() == 60
+    assert session.spread(given, 9, "s") is given

@@ -10,7 +10,7 @@ from weftline.operators import blank_nodes, evaluate, filters, graph, search
 from weftline.plans.conforming import SQL_TREE
 from weftline.plans.registry import register
 from weftline.plans.tables import SQL_EDGES, Tables, with_tables
-from weftline.session import scratch_path
+from weftline.session import scratch_path, spread
 from weftline.sources import digests, triples
 from weftline.sources.triples import RDFS_LABEL, XSD, XSD_STRING
 
@@ -18,6 +18,8 @@ NS = "urn:wl:"
 NOTE, COMPONENT = NS + "Note", NS + "Component"
 NUMBER, TITLE, PRIORITY, AFFECTS = NS + "noteNumber", NS + "title", NS + "priority", NS + "affects"
 CODE, PARENT, MIN_SP = NS + "componentCode", NS + "parent", NS + "minPackage"
+# The most triples of one part.
+PART_TRIPLES = 6
 _COLUMNS = ("s", "p", "o", "o_kind", "datatype", "lang")
 
 
@@ -27,7 +29,8 @@ def _iri(kind: str, key: str):
 
 def part_triples(t: Tables) -> DataFrame:
     """Parts as notes. Half of them have no label; brands stand for priorities."""
-    rows = t.part.select(
+    part = spread(t.part, PART_TRIPLES * t.rows("part"), "p_partkey")
+    rows = part.select(
         _iri("part", "p_partkey").alias("node"),
         F.col("p_partkey").alias("number"), F.col("p_name").alias("title"), F.col("p_brand").alias("priority"),
         (F.col("p_size") % 10).alias("min_sp"),
@@ -60,7 +63,12 @@ def affects_triples(t: Tables) -> DataFrame:
 
 
 def note_graph(t: Tables) -> DataFrame:
-    return triples.merge_graphs([part_triples(t), component_triples(t), affects_triples(t)], "data")
+    return triples.merge_graphs([part_triples(t), component_triples(t), affects_triples(t)], "data", note_rows(t))
+
+
+def note_rows(t: Tables) -> int:
+    """The most triples the note graph may have; nations and regions are few."""
+    return PART_TRIPLES * t.rows("part") + 3 * t.rows("supplier") + t.rows("lineitem")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -144,7 +152,7 @@ def a06(t: Tables) -> DataFrame:
     SQL_GRAPH + "SELECT * FROM part_t UNION SELECT * FROM comp_t UNION SELECT * FROM aff_t",
 )
 def a07(t: Tables) -> DataFrame:
-    return _plain(triples.merge_graphs([note_graph(t), part_triples(t), component_triples(t)], "data"))
+    return _plain(triples.merge_graphs([note_graph(t), part_triples(t), component_triples(t)], "data", 2 * note_rows(t)))
 
 
 @register(

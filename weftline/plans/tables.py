@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.metrics import AMOUNT
 from weftline.schemas import MONEY
+from weftline.session import spread
 
 # The as-of date and the thresholds used by the registered metric queries.
 AS_OF = date(2001, 6, 30)
@@ -47,6 +48,10 @@ class Tables:
         self.__dict__[name] = table
         return table
 
+    def rows(self, name: str) -> int:
+        """How many rows a table has, which Parquet files state."""
+        return getattr(self, name).count()
+
     def partners(self) -> DataFrame:
         nations = self.nation.select("n_nationkey", F.col("n_regionkey").alias("country"))
         return self.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -85,9 +90,8 @@ class Tables:
 
     def note_components(self) -> DataFrame:
         """Part p is sold by supplier s: note p affects component s."""
-        return self.lineitem.select(
-            F.col("l_partkey").alias("note"), F.col("l_suppkey").alias("component")
-        ).distinct()
+        pairs = self.lineitem.select(F.col("l_partkey").alias("note"), F.col("l_suppkey").alias("component"))
+        return spread(pairs, self.rows("lineitem"), "note", "component").distinct()
 
     def prerequisite_edges(self) -> DataFrame:
         """Each line of an order to the order's next line number."""

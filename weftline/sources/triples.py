@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import literal_rows
+from weftline.session import literal_rows, spread
 
 # Standard vocabulary.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -175,14 +175,17 @@ def scope(triples: DataFrame, prefixes: Iterable[str]) -> DataFrame:
     return triples.where(subject_ok & inside(F.col("p")) & object_ok)
 
 
-def merge_graphs(graphs: Sequence[DataFrame], name: str | None = None) -> DataFrame:
-    """Union with set semantics; under a common name equal triples of two graphs are one."""
+def merge_graphs(graphs: Sequence[DataFrame], name: str | None = None, rows: int = 0) -> DataFrame:
+    """Union with set semantics; under a common name equal triples of two graphs are one.
+
+    With the most triples there may be, equal ones meet in tasks whose number follows it, and none is held before.
+    """
     merged = graphs[0]
     for other in graphs[1:]:
         merged = merged.unionByName(other)
     if name is not None:
         merged = merged.withColumn("graph", F.lit(name))
-    return merged.select(*TRIPLE_COLUMNS).distinct()
+    return spread(merged.select(*TRIPLE_COLUMNS), rows, "s", "o").distinct()
 
 
 def typed_bindings(bindings: DataFrame, types: Mapping[str, str]) -> DataFrame:
