@@ -365,3 +365,16 @@ def test_tasks_of_a_merge_follow_its_rows(spark, monkeypatch):
     assert merged.count() == 150
     assert merged.rdd.getNumPartitions() == 60
     assert session.spread(given, 9, "s") is given
+
+
+def test_tasks_of_part_triples_follow_the_parts(spark, monkeypatch):
+    """However few files the parts lie in, one task holds only the triples of some of them."""
+    from weftline import session
+    from weftline.plans import graphs
+    from weftline.plans.tables import Tables
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    made = graphs.part_triples(t)
+    assert made.rdd.getNumPartitions() == -(-graphs.PART_TRIPLES * t.part.count() // 100) > 1
+    assert graphs.note_graph(t).rdd.getNumPartitions() == -(-graphs.note_rows(t) // 100)
