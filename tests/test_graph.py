@@ -378,3 +378,15 @@ def test_tasks_of_part_triples_follow_the_parts(spark, monkeypatch):
     made = graphs.part_triples(t)
     assert made.rdd.getNumPartitions() == -(-graphs.PART_TRIPLES * t.part.count() // 100) > 1
     assert graphs.note_graph(t).rdd.getNumPartitions() == -(-graphs.note_rows(t) // 100)
+
+
+def test_class_checks_in_more_tasks_find_the_same(spark, monkeypatch):
+    from weftline import session
+    from weftline.plans import graphs
+    from weftline.plans import shapes as plans
+    from weftline.plans.tables import Tables
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2000)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    few, many = (shapes.class_violations(plans.data_graph(t), plans.note_shapes(t, "class"), n).collect() for n in (0, graphs.note_rows(t)))
+    assert sorted(few) == sorted(many) and few

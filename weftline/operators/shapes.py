@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import cut_lineage, literal_rows, measured_side
+from weftline.session import cut_lineage, literal_rows, measured_side, spread
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -193,8 +193,11 @@ def value_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     return _violation(joined.where(~F.coalesce(passed, F.lit(False))), F.col("o"))
 
 
-def class_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
-    """class: objects that are not instances of the demanded class."""
+def class_violations(triples: DataFrame, shapes: DataFrame, rows: int = 0) -> DataFrame:
+    """class: objects that are not instances of the demanded class.
+
+    With the most triples there may be, objects meet their focus nodes in tasks whose number follows it.
+    """
     checked = shapes.where(F.col("constraint") == "class").withColumnRenamed("value", "_class")
     paths = checked.select(F.col("path").alias("_path")).distinct()
     values = triples.join(paths, triples["p"] == paths["_path"], "left_semi").select(
@@ -203,11 +206,13 @@ def class_violations(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     types = triples.where(F.col("p") == RDF_TYPE).select(
         F.col("s").alias("o"), F.col("o").alias("_class")
     )
-    joined = focus_nodes(triples, checked).join(values, ["focus", "path"])
+    joined = focus_nodes(triples, checked).join(spread(values, rows, "focus", "path"), ["focus", "path"])
     return _violation(joined.join(types, ["o", "_class"], "left_anti"), F.col("o"))
 
 
-def validate(triples: DataFrame, shapes: DataFrame, ontology: DataFrame | None = None, entail: bool = True) -> DataFrame:
+def validate(
+    triples: DataFrame, shapes: DataFrame, ontology: DataFrame | None = None, entail: bool = True, rows: int = 0
+) -> DataFrame:
     """Violations (focus, shape, path, constraint, value, message) of a graph held as a set.
 
     With an ontology, range axioms make objects instances of a class, so "class" holds for
@@ -217,7 +222,7 @@ def validate(triples: DataFrame, shapes: DataFrame, ontology: DataFrame | None =
     graph = cut_lineage(rdfs_entail(triples, ontology) if entail else triples)
     return reduce(
         DataFrame.unionByName,
-        [count_violations(graph, shapes), value_violations(graph, shapes), class_violations(graph, shapes)],
+        [count_violations(graph, shapes), value_violations(graph, shapes), class_violations(graph, shapes, rows)],
     )
 
 

@@ -22,6 +22,7 @@ from weftline.plans.graphs import (
     TITLE,
     component_triples,
     note_graph,
+    note_rows,
 )
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
@@ -92,7 +93,8 @@ def _shown(violations: DataFrame) -> DataFrame:
 def _register_kind(key: str, kind: str, check) -> None:
     @register(key, _SQL_KIND[kind])
     def _(t: Tables) -> DataFrame:
-        return _shown(check(data_graph(t), note_shapes(t, kind)))
+        sized = {"rows": note_rows(t)} if kind == "class" else {}
+        return _shown(check(data_graph(t), note_shapes(t, kind), **sized))
 
 
 _register_kind("j10_min_count", "minCount", shapes.count_violations)
@@ -109,13 +111,13 @@ _SQL_ALL = " UNION ALL ".join(_SQL_KIND.values())
 @register("j09_validate", _SQL_ALL)
 def j09(t: Tables) -> DataFrame:
     """Without the ontology: only stated types count."""
-    return _shown(shapes.validate(data_graph(t), note_shapes(t), entail=False))
+    return _shown(shapes.validate(data_graph(t), note_shapes(t), entail=False, rows=note_rows(t)))
 
 
 @register("j09_validate_with_ontology", " UNION ALL ".join(sql for kind, sql in _SQL_KIND.items() if kind != "class"))
 def j09_ontology(t: Tables) -> DataFrame:
     """The range axiom makes every affected node a component."""
-    return _shown(shapes.validate(data_graph(t), note_shapes(t), ontology(t)))
+    return _shown(shapes.validate(data_graph(t), note_shapes(t), ontology(t), rows=note_rows(t)))
 
 
 @register(
@@ -151,7 +153,7 @@ def j17(t: Tables) -> DataFrame:
     }
     table = shapes.shape_table(t.spark, [(name, *row[1:]) for name, rows in checks.items() for row in rows])
     expected = [("NUMBER_COUNT", True), ("ALL_SHAPES", False), ("COMPONENT_CLASS", True)]
-    violations = shapes.validate(data_graph(t), table, entail=False)
+    violations = shapes.validate(data_graph(t), table, entail=False, rows=note_rows(t))
     return shapes.conformance_by_shape(violations, literal_rows(t.spark, expected, "shape string, expected_conforms boolean"))
 
 
