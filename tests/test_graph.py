@@ -337,6 +337,32 @@ def test_superproperty_brings_its_domain(spark, rows):
     )
 
 
+@pytest.mark.parametrize("is_set", [False, True])
+def test_entailment_is_a_set(spark, rows, is_set):
+    """Super-triples that follow twice or are also stated come once, as do types that a property brings."""
+    sub, kind = RDFS + "subPropertyOf", S + "kind"
+    stated = [iri("a", "p", "b"), iri("a", "q", "b"), iri("a", "r", "b"), iri("a", "x", "b"), iri("a", kind, "C"), iri("a", RDF_TYPE, "C"), text("a", RDF_TYPE, "C")]
+    axioms = spark.createDataFrame(
+        [iri("p", sub, "pq"), iri("q", sub, "pq"), iri("r", sub, "x"), iri("q", sub, "once"), iri(kind, sub, RDF_TYPE),
+         iri("pq", RDFS + "domain", "C"), iri("p", RDFS + "range", "D")], TRIPLE
+    )
+    data = spark.createDataFrame(stated if is_set else stated * 2, TRIPLE)
+    implied = [iri("a", "pq", "b"), iri("a", "once", "b"), iri("b", RDF_TYPE, "D")]
+    assert rows(shapes.rdfs_entail(data, axioms, is_set=is_set)) == sorted(stated + implied, key=repr)
+
+
+def test_entailment_compares_only_types_of_a_set(spark):
+    """Whole triples of a set are not moved: only pairs of node and class are."""
+    from weftline.plans import shapes as plans
+    from weftline.plans.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    made = shapes.rdfs_entail(plans.note_graph(t).localCheckpoint(), plans.ontology(t), is_set=True)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [line.split("Aggregate [")[1].split("]")[0] for line in plan if "Aggregate [" in line]
+    assert grouped and not any("datatype" in g for g in grouped)
+
+
 def test_scope_and_labels(spark, rows):
     data = spark.createDataFrame(
         [iri("ok:a", RDF_TYPE, "ok:T"), iri("ok:a", "ok:p", "no:b"), text("ok:a", "ok:name", "x"), text("no:a", "ok:name", "x")], TRIPLE

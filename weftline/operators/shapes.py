@@ -25,8 +25,6 @@ SHAPE_SCHEMA = (
     "value string, allowed array<struct<value:string,datatype:string>>, message string"
 )
 
-_TRIPLES = f"array<struct<{','.join(f'{c}:string' for c in TRIPLE_COLUMNS)}>>"
-
 # Constraint kinds.
 CONSTRAINTS = ("minCount", "maxCount", "datatype", "languageIn", "in", "class", "minInclusive")
 
@@ -39,12 +37,13 @@ def _closed(triples: DataFrame, predicate: str) -> DataFrame:
     return pairs.select(F.col("seed").alias("src"), F.col("node").alias("dst"))
 
 
-def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFrame:
-    """The triples plus everything subproperty, domain, range and subclass axioms imply.
+def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None, is_set: bool = False) -> DataFrame:
+    """The triples plus everything subproperty, domain, range and subclass axioms imply, as a set.
 
     All chaining happens among the few axioms: each property is given its super-properties and
-    every class its ends imply. The data then needs one pass, joined to small sides, and one
-    distinct. Axioms come from the ontology where given, else from the triples.
+    every class its ends imply. The data then meets small sides. Triples known to be a set are not
+    compared again, nor are those of a super-property that follows from one property alone and is not stated; types
+    are compared as pairs of node and class. Axioms come from the ontology where given, else from the triples.
     """
     axioms = ontology if ontology is not None else triples
     if ontology is None:
@@ -64,39 +63,66 @@ def rdfs_entail(triples: DataFrame, ontology: DataFrame | None = None) -> DataFr
     )
     ends = cut_lineage(ends.unionByName(widened).distinct())
     stated = triples.select(*TRIPLE_COLUMNS)
-    above = super_property.groupBy(F.col("src").alias("p")).agg(F.collect_set("dst").alias("_above"))
+    if not is_set:
+        stated = stated.distinct()
+    met = _among(stated, super_property)
+    above = super_property.groupBy(F.col("src").alias("p")).agg(
+        F.collect_set(F.when(~F.col("dst").isin(met), F.col("dst"))).alias("_own"),
+        F.collect_set(F.when(F.col("dst").isin(met), F.col("dst"))).alias("_met"),
+    )
     sides = ends.groupBy(F.col("_property").alias("p")).agg(
         F.collect_set(F.when(F.col("_end") == DOMAIN, F.col("_class"))).alias("_of_subject"),
         F.collect_set(F.when(F.col("_end") == RANGE, F.col("_class"))).alias("_of_object"),
     )
     classes = super_class.groupBy(F.col("src").alias("_typed")).agg(F.collect_set("dst").alias("_classes"))
-    # One row per axiom subject, so the data meets each table once and grows only in the row.
-    met = (
-        stated.join(measured_side(above), "p", "left").join(measured_side(sides), "p", "left")
-        .join(measured_side(classes), (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("_typed")), "left")
-    )
-
-    def triple(**changed: Column) -> Column:
-        return F.struct(*[changed.get(c, F.col(c)).alias(c) for c in TRIPLE_COLUMNS])
-
-    none = F.lit(None).cast("string")
-
-    def typed(node: Column) -> dict[str, Column]:
-        return {"s": node, "p": F.lit(RDF_TYPE), "o_kind": F.lit("iri"), "datatype": none, "lang": none}
+    above, sides, classes = measured_side(above), measured_side(sides), measured_side(classes)
 
     def each(values: str, make) -> Column:
         return F.transform(F.coalesce(values, F.array().cast("array<string>")), make)
 
-    implied = F.concat(
-        F.array(triple()),
-        each("_above", lambda p: triple(p=p)),
-        each("_of_subject", lambda c: triple(o=c, **typed(F.col("s")))),
-        F.when(F.col("o_kind") != "literal", each("_of_object", lambda c: triple(o=c, **typed(F.col("o"))))).otherwise(
-            F.array().cast(_TRIPLES)
+    def raised(values: Column) -> DataFrame:
+        """The stated triples under each of some properties, which may take in their own."""
+        given = stated.join(above, "p", "left").withColumn("p", F.explode(values))
+        return given.select(*TRIPLE_COLUMNS)
+
+    none = F.array().cast("array<string>")
+    plain = F.col("o_kind").eqNullSafe("iri") & F.col("datatype").isNull() & F.col("lang").isNull()
+    is_type = F.coalesce((F.col("p") == RDF_TYPE) & plain, F.lit(False))
+    own, shared = F.coalesce("_own", none), F.coalesce("_met", none)
+    compared = F.coalesce(F.col("p").isin(met), F.lit(False))
+    single = raised(F.concat(F.when(compared, none).otherwise(F.array("p")), own)).where(~is_type)
+    parts = [single]
+    if met:
+        parts.append(raised(F.concat(F.when(compared, F.array("p")).otherwise(none), shared)).where(~is_type).distinct())
+
+    # Types: what is stated, raised to a type, or follows from a property's ends or a class.
+    followed = stated.join(sides, "p", "left").join(
+        classes, (F.col("p") == RDF_TYPE) & (F.col("o") == F.col("_typed")), "left"
+    )
+    typed = F.concat(
+        each("_of_subject", lambda c: F.struct(F.col("s"), c.alias("o"))),
+        F.when(F.col("o_kind") != "literal", each("_of_object", lambda c: F.struct(F.col("o").alias("s"), c.alias("o")))).otherwise(
+            F.array().cast("array<struct<s:string,o:string>>")
         ),
-        each("_classes", lambda c: triple(o=c, **typed(F.col("s")))),
+        each("_classes", lambda c: F.struct(F.col("s"), c.alias("o"))),
     )
-    return met.select(F.inline(implied)).distinct()
+    known = raised(F.concat(F.array("p"), own, shared)).where(is_type).select("graph", "s", "o")
+    types = known.unionByName(followed.select("graph", F.inline(typed))).distinct()
+    null = F.lit(None).cast("string")
+    types = types.withColumns({"p": F.lit(RDF_TYPE), "o_kind": F.lit("iri"), "datatype": null, "lang": null})
+    return reduce(DataFrame.unionByName, [*parts, types.select(*TRIPLE_COLUMNS)])
+
+
+def _among(stated: DataFrame, super_property: DataFrame) -> list[str]:
+    """Super-properties whose triples may follow twice: from several properties, or also stated.
+
+    Axioms are few: one row for each super-property reaches the driver.
+    """
+    below = super_property.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).collect()
+    twice = {r["dst"] for r in below if r["n"] > 1}
+    once = [r["dst"] for r in below if r["n"] == 1]
+    also = stated.where(F.col("p").isin(once)).select("p").distinct().collect() if once else []
+    return sorted(twice | {r["p"] for r in also})
 
 
 def shape_table(spark, rows: Sequence[tuple]) -> DataFrame:

@@ -63,12 +63,22 @@ def affects_triples(t: Tables) -> DataFrame:
 
 
 def note_graph(t: Tables) -> DataFrame:
-    return triples.merge_graphs([part_triples(t), component_triples(t), affects_triples(t)], "data", note_rows(t))
+    """The triples of parts, components and what parts affect, as a set.
+
+    Affected pairs are made distinct as numbers and have a predicate of their own, so they are a set before they are triples.
+    """
+    described = triples.merge_graphs([part_triples(t), component_triples(t)], "data", described_rows(t))
+    return described.unionByName(affects_triples(t))
+
+
+def described_rows(t: Tables) -> int:
+    """The most triples of parts and components; nations and regions are few."""
+    return PART_TRIPLES * t.rows("part") + 3 * t.rows("supplier")
 
 
 def note_rows(t: Tables) -> int:
-    """The most triples the note graph may have; nations and regions are few."""
-    return PART_TRIPLES * t.rows("part") + 3 * t.rows("supplier") + t.rows("lineitem")
+    """The most triples the note graph may have."""
+    return described_rows(t) + t.rows("lineitem")
 
 
 def _plain(df: DataFrame) -> DataFrame:

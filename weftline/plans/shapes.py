@@ -131,7 +131,7 @@ SELECT * FROM base UNION SELECT note, 'urn:wl:relatesTo', comp, 'iri', '-', '-'
 UNION SELECT s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', c, 'iri', '-', '-' FROM ty""",
 )
 def j08(t: Tables) -> DataFrame:
-    entailed = shapes.rdfs_entail(note_graph(t), ontology(t))
+    entailed = shapes.rdfs_entail(note_graph(t), ontology(t), is_set=True)
     return entailed.select("s", "p", "o", "o_kind", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("datatype", "lang")])
 
 
