@@ -43,6 +43,22 @@ def test_ledger(spark, rows):
         ledger.provenance_lookup(spark.createDataFrame(altered, schema), head, "q1")
 
 
+def test_tree_digest_moves_leaves_twice(spark):
+    """Once to make them distinct, once by their first levels; the levels below move nothing."""
+    lines = spark.range(1000).selectExpr("id % 700 AS n").selectExpr("cast(n AS string) AS line")
+    hashes = sorted({hashlib.sha256(str(n).encode()).hexdigest() for n in range(700)})
+    nodes = [(h, h) for h in hashes]
+    for digits in (8, 6, 4, 2, 0):
+        groups = {}
+        for k, h in nodes:
+            groups.setdefault(k[:digits], []).append(h)
+        nodes = [(k, hashlib.sha256("".join(g).encode()).hexdigest()) for k, g in sorted(groups.items())]
+    made = digests.tree_digest(lines, "line")
+    assert made.collect() == [(nodes[0][1],)]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 4
+
+
 def test_digests(spark, rows, tmp_path):
     lines = [f"line {n}" for n in range(700)]
     frame = spark.createDataFrame([(x,) for x in lines], "line string")

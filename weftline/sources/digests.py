@@ -64,14 +64,19 @@ def tree_digest(lines: DataFrame, column: str, levels: int = LEVELS) -> DataFram
     spread the leaves evenly over 256 ** levels groups. The number of levels is part of the
     digest's definition and the same for tables of every size.
     """
-    leaves = lines.select(F.sha2(F.col(column), 256).alias("h")).distinct()
-    nodes = leaves.select(F.col("h").alias("k"), "h")
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct("k", "h")))["h"], "")
+    leaves = lines.select(F.unhex(F.sha2(F.col(column), 256)).alias("h")).distinct()
+    # Moved once more, by the first two levels, leaves and the levels below meet where they are.
+    kept = min(levels, 2)
+    dealt = leaves.withColumn("top", F.substring("h", 1, kept)).repartition("top")
+    text = F.lower(F.hex("h"))
+    nodes = dealt.select("top", text.alias("k"), text.alias("h"))
+    joined = F.array_join(F.array_sort(F.collect_list("h")), "")
     for level in range(levels, 0, -1):
-        nodes = nodes.groupBy(F.substring("k", 1, 2 * level).alias("prefix")).agg(
-            F.sha2(joined, 256).alias("h")
-        )
-        nodes = nodes.select(F.col("prefix").alias("k"), "h")
+        prefix = F.substring("k", 1, 2 * level).alias("prefix")
+        grouped = nodes.groupBy("top", prefix) if level >= kept else nodes.groupBy(prefix)
+        nodes = grouped.agg(F.sha2(joined, 256).alias("h"))
+        nodes = nodes.select(*["top"][: level >= kept], F.col("prefix").alias("k"), "h")
+        joined = F.array_join(F.array_sort(F.collect_list(F.struct("k", "h")))["h"], "")
     return nodes.agg(F.sha2(joined, 256).alias("digest"))
 
 
