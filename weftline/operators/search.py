@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from weftline.operators.closure import MAX_DEPTH, Closure, closure
 from weftline.operators.graph import zero_or_more_path
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, written
 
 # Result size, steps and reasons of a relaxation.
 TOP_NOTES = 25
@@ -85,40 +85,55 @@ def note_search(
     join; the package range is a residual condition. The top notes are cut per search, with a
     partial cut before the shuffle, and only they meet the requests.
     """
-    found = _searched(requests, graph, top, ancestors)
-    return found.where("in_bounds").drop("in_bounds")
+    asked = cut_lineage(_asked(requests))
+    found = _matches(asked, graph, top, ancestors).where("in_bounds")
+    return _met(asked, found)
 
 
-def _searched(
-    requests: DataFrame, graph: NoteGraph, top: int, ancestors: DataFrame | None, beyond: bool = False
-) -> DataFrame:
-    """The top matches of every request, with in_bounds; matches out of bounds are kept if asked for."""
-    slots = [c for c in SLOTS if c in requests.columns]
+def _asked(requests: DataFrame) -> DataFrame:
+    """Requests that can be searched, with the slots they have."""
+    slots = _slots(requests)
     if not slots:
         raise ValueError("requests have no slot column")
-    asked = requests.where(is_anchored(requests)).select("request_id", *[F.col(c).alias(f"want_{c}") for c in slots])
-    wants = [f"want_{c}" for c in slots]
-    searches = asked.select(*wants).distinct()
+    return requests.where(is_anchored(requests)).select("request_id", *slots)
+
+
+def _slots(requests: DataFrame) -> list[str]:
+    return [c for c in SLOTS if c in requests.columns]
+
+
+def _met(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Requests with the rows of their search."""
+    # Equal null-safe keys as plain keys: each slot as a value and whether it is filled.
+    same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(found[f"want_{c}"]) for c in _slots(asked)])
+    return asked.join(found, same).select(asked["request_id"], *[found[c] for c in ("note", "note_number", "title", "rank")])
+
+
+def _matches(asked: DataFrame, graph: NoteGraph, top: int, ancestors: DataFrame | None, beyond: bool = False) -> DataFrame:
+    """The top matches of every distinct search, with in_bounds; matches out of bounds are kept if asked for.
+
+    Components are raised only to those that a search names, so that a note has no row for every level above it.
+    """
+    slots = _slots(asked)
+    searches = asked.select(*[F.col(c).alias(f"want_{c}") for c in slots]).distinct()
     equal = [c for c in slots if c in EQUALS]
-    filled = searches.select(*[F.col(f"want_{c}").isNotNull().alias(c) for c in equal]).distinct()
+    filled = asked.select(*[F.col(c).isNotNull().alias(c) for c in equal]).distinct()
     masks = [[c for c in equal if row[c]] for row in filled.collect()]
-    if ancestors is None and graph.parents is not None and any("component_code" in m for m in masks):
-        ancestors = component_ancestors(graph.parents)
+    if any("component_code" in m for m in masks):
+        if ancestors is None and graph.parents is not None:
+            ancestors = component_ancestors(graph.parents)
+        if ancestors is not None:
+            named = asked.select(F.col("component_code").alias("ancestor")).distinct()
+            ancestors = written(ancestors.join(named, "ancestor", "left_semi").select("component_code", "ancestor"), "ancestors")
     # One split needs no test of which slots are filled.
     parts = [_search_mask(searches, slots, mask, len(masks) > 1, graph, ancestors, top, beyond) for mask in masks]
-    if not parts:
-        return _no_matches(asked, graph)
-    found = reduce(DataFrame.unionByName, parts)
-    # Equal null-safe keys as plain keys: each slot as a value and whether it is filled.
-    same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(found[c]) for c in wants])
-    return asked.join(found, same).select("request_id", "note", "note_number", "title", "rank", "in_bounds")
+    return reduce(DataFrame.unionByName, parts) if parts else _no_matches(asked, graph)
 
 
 def _no_matches(asked: DataFrame, graph: NoteGraph) -> DataFrame:
-    notes = graph.notes.where(F.lit(False))
-    return notes.select(
-        F.lit(None).cast(asked.schema["request_id"].dataType).alias("request_id"),
-        "note", "note_number", "title", F.lit(0).alias("rank"), F.lit(True).alias("in_bounds"),
+    wants = [F.lit(None).cast(asked.schema[c].dataType).alias(f"want_{c}") for c in _slots(asked)]
+    return graph.notes.where(F.lit(False)).select(
+        *wants, "note", "note_number", "title", F.lit(True).alias("in_bounds"), F.lit(0).alias("rank")
     )
 
 
@@ -199,12 +214,13 @@ def prerequisite_search(
 
 @dataclass(frozen=True)
 class Relaxed:
-    """Strict results, relaxed candidates, one ledger row per step tried, and requests not searched."""
+    """Strict results, relaxed candidates, one ledger row per step tried, requests not searched, and those that were."""
 
     strict: DataFrame
     relaxed: DataFrame
     attempts: DataFrame
     rejected: DataFrame
+    searched: DataFrame
 
 
 def parent_by_code(code):
@@ -241,60 +257,76 @@ def relax_search(
     parents. The strict status of a relaxed request stays empty: candidates are a separate
     table, and one request's result never ends another's search; requests without an anchor
     are rejected. attempts holds one row per request and step run, with the changed slots and
-    the number of bindings. Building the result runs the searches.
+    the number of bindings. Building the result runs the searches; their matches are written once for each distinct
+    search and meet the requests where strict or relaxed is read.
     """
+    requests = cut_lineage(requests)
     rejected = rejected_requests(requests)
-    requests = cut_lineage(requests.where(is_anchored(requests)))
+    asked = _asked(requests)
     parents = graph.parents
-    if graph.components is not None and "component_code" in requests.columns:
-        # Both searches read the same covered components: write them once.
-        above = component_ancestors(parents) if parents is not None else None
-        graph = replace(graph, components=cut_lineage(covered_components(graph, above)), parents=None)
+    above = None
+    if graph.components is not None and parents is not None and "component_code" in requests.columns:
+        above = component_ancestors(parents)
+    graph = replace(graph, parents=None)
     bounds = "support_package" in requests.columns
     drops, step = bounds and budget > 0, 0
-    matched = cut_lineage(_searched(requests, graph, top, None, beyond=drops))
-    strict = matched.where("in_bounds").drop("in_bounds")
-    hits = strict.select("request_id").distinct()
-    attempts = [_attempts(requests, strict, 0, EMPTY_STRICT, "")]
-    pending = requests.join(hits, "request_id", "left_anti")
+    found, tried = _tried(asked, graph, top, above, drops)
+    strict = _met(asked, found.where("in_bounds"))
+    attempts = [_attempts(tried, "_inside", 0, EMPTY_STRICT, "")]
     relaxed: list[DataFrame] = []
+    empty = tried.where("_inside = 0")
     if drops:
         step += 1
-        found = matched.where("NOT in_bounds").drop("in_bounds").join(hits, "request_id", "left_anti")
-        attempts.append(_attempts(pending.where("support_package IS NOT NULL"), found, step, DROP_BOUNDS, "support_package"))
-        relaxed.append(_tagged(found, step, DROP_BOUNDS))
-        pending = requests.join(matched.select("request_id").distinct(), "request_id", "left_anti")
-    if bounds:
-        pending = pending.withColumn(
-            "support_package",
-            F.lit(None).cast(requests.schema["support_package"].dataType) if drops else F.col("support_package"),
-        )
+        attempts.append(_attempts(empty.where("support_package IS NOT NULL"), "_outside", step, DROP_BOUNDS, "support_package"))
+        relaxed.append(_tagged(_met(empty, found.where("NOT in_bounds")), step, DROP_BOUNDS))
     if "component_code" in requests.columns and budget > step:
         step += 1
+        pending = empty.where("_outside = 0").select(*asked.columns)
+        if drops:
+            pending = pending.withColumn("support_package", F.lit(None).cast(requests.schema["support_package"].dataType))
         wider = cut_lineage(widen(pending, None if by_code else parents))
-        found = cut_lineage(note_search(wider, graph, top))
-        attempts.append(_attempts(wider, found, step, WIDEN_COMPONENT, "component"))
-        relaxed.append(_tagged(found, step, WIDEN_COMPONENT))
+        # A widened request still names its component, so it can be searched.
+        found, tried = _tried(wider, graph, top, above, False)
+        attempts.append(_attempts(tried, "_inside", step, WIDEN_COMPONENT, "component"))
+        relaxed.append(_tagged(_met(wider, found), step, WIDEN_COMPONENT))
     candidates = (
         reduce(DataFrame.unionByName, relaxed)
         if relaxed
         else _tagged(strict.where(F.lit(False)), 0, "NONE")
     )
-    return Relaxed(strict, candidates, reduce(DataFrame.unionByName, attempts), rejected)
+    return Relaxed(strict, candidates, reduce(DataFrame.unionByName, attempts), rejected, asked.select("request_id"))
+
+
+def _tried(asked: DataFrame, graph: NoteGraph, top: int, above: DataFrame | None, beyond: bool) -> tuple[DataFrame, DataFrame]:
+    """The matches of each distinct search, and the requests with how many they have inside and outside their bounds.
+
+    Requests meet one row of counts, not their matches, of which there may be ``top`` for each. Requests that share an identifier
+    share their counts.
+    """
+    found = written(_matches(asked, graph, top, above, beyond), "found")
+    inside, wants = F.col("in_bounds").cast("long"), [c for c in found.columns if c.startswith("want_")]
+    counts = found.groupBy(*wants).agg(F.sum(inside).alias("_in"), F.sum(1 - inside).alias("_out"))
+    counts = written(counts, "counts")
+    same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(counts[f"want_{c}"]) for c in _slots(asked)])
+    counted = asked.join(counts, same, "left").select(*asked.columns, "_in", "_out")
+    own = Window.partitionBy("request_id")
+    return found, cut_lineage(counted.select(
+        *asked.columns, *[F.coalesce(F.sum(n).over(own), F.lit(0).cast("bigint")).alias(name) for n, name in (("_in", "_inside"), ("_out", "_outside"))]
+    ))
 
 
 def _tagged(found: DataFrame, step: int, reason: str) -> DataFrame:
     return found.withColumn("step", F.lit(step)).withColumn("reason", F.lit(reason))
 
 
-def _attempts(asked: DataFrame, found: DataFrame, step: int, reason: str, changed: str) -> DataFrame:
-    bindings = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("bindings"))
-    return asked.select("request_id").join(bindings, "request_id", "left").select(
+def _attempts(tried: DataFrame, count: str, step: int, reason: str, changed: str) -> DataFrame:
+    bindings = F.col(count)
+    return tried.select(
         "request_id",
         F.lit(step).alias("step"),
-        (F.when(F.col("bindings") > 0, "NONE").otherwise(reason) if reason == EMPTY_STRICT else F.lit(reason)).alias("reason"),
+        (F.when(bindings > 0, "NONE").otherwise(reason) if reason == EMPTY_STRICT else F.lit(reason)).alias("reason"),
         F.lit(changed).alias("changed"),
-        F.coalesce("bindings", F.lit(0).cast("bigint")).alias("bindings"),
+        bindings.alias("bindings"),
     )
 
 

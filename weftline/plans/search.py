@@ -141,8 +141,8 @@ FROM req LEFT JOIN s USING (request_id) LEFT JOIN d USING (request_id) LEFT JOIN
 UNION ALL SELECT request_id, 'UNSUPPORTED', 'none', 0, 'MISSING_REQUIRED_ENTITY', 0 FROM every WHERE NOT named""",
 )
 def j06(t: Tables) -> DataFrame:
-    requests = order_requests(t)
-    return search.relaxation_outcome(requests, search.relax_search(requests, part_notes(t)))
+    result = search.relax_search(order_requests(t), part_notes(t))
+    return search.relaxation_outcome(result.searched, result)
 
 
 @register(
