@@ -416,3 +416,18 @@ def test_class_checks_in_more_tasks_find_the_same(spark, monkeypatch):
     t = Tables(spark, "/root/testdata/sf0.001")
     few, many = (shapes.class_violations(plans.data_graph(t), plans.note_shapes(t, "class"), n).collect() for n in (0, graphs.note_rows(t)))
     assert sorted(few) == sorted(many) and few
+
+
+def test_relaxation_writes_matches_once_a_search(spark, monkeypatch):
+    """Requests that ask the same share their matches, and components are raised only to those asked for."""
+    kept = []
+    monkeypatch.setattr(search, "written", lambda df, label: kept.append((label, df.localCheckpoint())) or kept[-1][1])
+    notes = spark.range(40).selectExpr("id AS note", "lpad(id, 3, '0') AS note_number", "'t' AS title", "5 AS min_sp", "9 AS max_sp")
+    components = spark.range(40).selectExpr("id AS note", "'S' || id % 2 AS component_code")
+    parents = spark.createDataFrame([("S0", "N"), ("S1", "N"), ("N", "R"), ("S9", "N")], "component_code string, parent_code string")
+    asked = spark.range(300).selectExpr("id AS request_id", "if(id < 200, 'S0', 'S9') AS component_code", "if(id % 2 = 0, 7, 3) AS support_package")
+    result = search.relax_search(asked, search.NoteGraph(notes=notes, components=components, parents=parents))
+    assert [df.count() for label, df in kept if label == "found"] == [40, 25]
+    assert sorted(r["ancestor"] for label, df in kept if label == "ancestors" for r in df.select("ancestor").distinct().collect()) == ["N", "S0", "S9"]
+    assert result.attempts.groupBy("step").count().orderBy("step").collect() == [(0, 300), (1, 200), (2, 100)]
+    assert (result.strict.count(), result.relaxed.count()) == (100 * 20, 100 * 20 + 100 * 25)

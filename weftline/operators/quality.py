@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import fold_case, iso_date, strip
@@ -222,7 +222,7 @@ def table_issues(
     as_of: date,
     countries: Sequence[str] = COUNTRIES,
 ) -> DataFrame:
-    """Issues of one raw table (all texts, with row_number).
+    """Issues of the rows of one raw table (all texts, with row_number).
 
     Repeated identifiers are found first, from their rows alone; every other issue shows in one read of the
     rows, which are not shuffled.
@@ -232,9 +232,31 @@ def table_issues(
     again = duplicate_rows(present, contract.key).select(
         *_labelled("DUPLICATE_ID", contract.name, F.col("row_number"), contract.key)
     )
+    return found.unionByName(again)
+
+
+def empty_issues(rows: DataFrame, contract: TableContract) -> DataFrame:
+    """One issue if the table has no row."""
     none = rows.select(F.lit(1)).limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    empty = none.select(*_labelled("EMPTY_EXPECTED_DATASET", contract.name, F.lit(1), "path"))
-    return found.unionByName(again).unionByName(empty)
+    return none.select(*_labelled("EMPTY_EXPECTED_DATASET", contract.name, F.lit(1), "path"))
+
+
+def structure_report(
+    spark: SparkSession, tables: Mapping[str, DataFrame], contracts: Sequence[TableContract] = CONTRACTS
+) -> DataFrame:
+    """The issues of tables as such: missing ones, missing columns and empty ones.
+
+    Values are not looked at: no identifier is compared and no row written.
+    """
+    structural = [
+        (code, name, row, field, MESSAGES[code])
+        for code, name, row, field in structure_issues(tables, contracts)
+    ]
+    report = literal_rows(spark, structural, ISSUE_SCHEMA)
+    for contract in contracts:
+        if contract.name in tables:
+            report = report.unionByName(empty_issues(tables[contract.name], contract))
+    return report
 
 
 def quality_report(
@@ -246,12 +268,7 @@ def quality_report(
     countries: Sequence[str] = COUNTRIES,
 ) -> DataFrame:
     """All issues of all expected tables: (code, file, row_number, field, message)."""
-    spark = mappings.sparkSession
-    structural = [
-        (code, name, row, field, MESSAGES[code])
-        for code, name, row, field in structure_issues(tables, contracts)
-    ]
-    report = literal_rows(spark, structural, ISSUE_SCHEMA)
+    report = structure_report(mappings.sparkSession, tables, contracts)
     for contract in contracts:
         if contract.name in tables:
             report = report.unionByName(
