@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.closure import closure
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import cut_lineage, literal_rows, measured_side, spread
+from weftline.session import cut_lineage, literal_rows, measured_side, spread, written
 from weftline.sources.triples import RDF_TYPE, RDFS, XSD
 
 SUBCLASS, SUBPROPERTY = RDFS + "subClassOf", RDFS + "subPropertyOf"
@@ -293,21 +293,25 @@ def dataset_label(triples: DataFrame, predicate: str) -> DataFrame:
     return ids.agg(F.when(F.count("o") == 0, missing).otherwise(label).alias("dataset_id"))
 
 
-def crosswalk(triples: DataFrame, match: str, broader: str, alt_label: str) -> DataFrame:
+def crosswalk(triples: DataFrame, match: str, broader: str, alt_label: str, rows: int = 0) -> DataFrame:
     """(class_iri, concept, relation, label): each class's taxonomy concept, everything broader
-    than it, and their alternative labels (null where a concept has none)."""
+    than it, and their alternative labels (null where a concept has none).
+
+    With the most matches there may be, classes are dealt to tasks whose number follows it and move no more: the taxonomy
+    and its labels are written, so that Spark knows their size.
+    """
     from weftline.operators.graph import edges, zero_or_more_path
 
     matched = edges(triples, match).select(F.col("src").alias("class_iri"), F.col("dst").alias("_concept"))
-    above = zero_or_more_path(edges(triples, broader)).select(
+    above = written(zero_or_more_path(edges(triples, broader)).select(
         F.col("src").alias("_concept"), F.col("dst").alias("_above")
-    )
-    related = matched.join(above, "_concept", "left").select(
+    ), "broader")
+    related = spread(matched, rows, "class_iri").join(above, "_concept", "left").select(
         "class_iri",
         F.coalesce("_above", "_concept").alias("concept"),
         F.when(F.coalesce("_above", "_concept") == F.col("_concept"), "match").otherwise("broader").alias("relation"),
     ).distinct()
-    labels = triples.where(F.col("p") == alt_label).select(
+    labels = written(triples.where(F.col("p") == alt_label).select(
         F.col("s").alias("concept"), F.col("o").alias("label")
-    ).distinct()
+    ).distinct(), "labels")
     return related.join(labels, "concept", "left").select("class_iri", "concept", "relation", "label")

@@ -173,7 +173,7 @@ def j18(t: Tables) -> DataFrame:
     renamed = F.col("p")
     for old, new in names.items():
         renamed = F.when(F.col("p") == old, new).otherwise(renamed)
-    found = shapes.crosswalk(taxonomy.withColumn("p", renamed), SKOS + "exactMatch", SKOS + "broader", SKOS + "altLabel")
+    found = shapes.crosswalk(taxonomy.withColumn("p", renamed), SKOS + "exactMatch", SKOS + "broader", SKOS + "altLabel", t.rows("lineitem"))
     return found.withColumn("label", F.coalesce("label", F.lit("-")))
 
 
