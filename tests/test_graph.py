@@ -431,3 +431,32 @@ def test_relaxation_writes_matches_once_a_search(spark, monkeypatch):
     assert sorted(r["ancestor"] for label, df in kept if label == "ancestors" for r in df.select("ancestor").distinct().collect()) == ["N", "S0", "S9"]
     assert result.attempts.groupBy("step").count().orderBy("step").collect() == [(0, 300), (1, 200), (2, 100)]
     assert (result.strict.count(), result.relaxed.count()) == (100 * 20, 100 * 20 + 100 * 25)
+
+
+def test_rings_are_followed_one_way(spark, monkeypatch):
+    sizes, follow = [], reach.follow
+    monkeypatch.setattr(reach, "follow", lambda pointers: sizes.append(pointers.count()) or follow(pointers))
+    ring = spark.range(50).selectExpr("id AS src", "(id + 1) % 50 AS dst")
+    assert reach.strong_components(ring).groupBy("component").count().collect() == [(49, 50)]
+    assert sum(sizes) == 50
+
+
+def test_truncation_reads_its_lines_once(spark):
+    """Edges are written before they are read as edges and for the seeds."""
+    from weftline.plans import registry
+
+    made = registry.queries()["j02_truncation"](spark, "/root/testdata/sf0.001")
+    assert "parquet" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_tasks_of_a_crosswalk_follow_its_matches(spark, rows, monkeypatch):
+    """Matched classes are dealt once, and move no more on the way to their labels."""
+    from weftline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    data = spark.createDataFrame(
+        [iri(f"c{i}", "match", f"k{i % 7}") for i in range(100)] + [iri(f"k{i}", "broader", "top") for i in range(6)] + [text("top", "alt", "T"), text("k1", "alt", "K")], TRIPLE
+    )
+    few, many = (shapes.crosswalk(data, "match", "broader", "alt", n) for n in (0, 100))
+    assert rows(few) == rows(many) and len(rows(many)) == 100 + sum(i % 7 < 6 for i in range(100))
+    assert many.rdd.getNumPartitions() == 10

@@ -123,7 +123,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
     component and leave the graph. Work per round grows with the edges, never with pairs of nodes; rounds grow with the logarithm
     of the chains.
     """
-    rest = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
+    return _components(cut_lineage(edges.select("src", "dst").where("src <> dst").distinct()))
+
+
+def _components(rest: DataFrame) -> DataFrame:
+    """strong_components of edges that are written, distinct and no loops."""
     found = rest.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
     while True:
         rest = _trim(rest)
@@ -177,10 +181,13 @@ def _inner_nodes(edges: DataFrame) -> DataFrame:
 
 def _contracted_components(rest: DataFrame, inner: DataFrame) -> DataFrame:
     """Components of a graph in which the chains of inner nodes are single edges, carried over to these nodes."""
-    ends = follow(inner.select("node", "next"))
+    ends = cut_lineage(follow(inner.select("node", "next")))
     rings = ends.where("end IS NULL").select("node", F.col("top").alias("component"))
-    heads = follow(inner.select("node", F.col("before").alias("next"))).select("node", F.col("end").alias("head"))
-    chains = cut_lineage(ends.where("end IS NOT NULL").select("node", "end").join(heads, "node"))
+    # Only chains have a head: a ring, all of whose nodes are inner ones, is not followed backward as well.
+    linked = ends.where("end IS NOT NULL").select("node", "end")
+    back = inner.select("node", F.col("before").alias("next")).join(linked.select("node"), "node", "left_semi")
+    heads = follow(back).select("node", F.col("end").alias("head"))
+    chains = cut_lineage(linked.join(heads, "node"))
     outer = rest.join(inner.select(F.col("node").alias("src")), "src", "left_anti")
     to = chains.select(F.col("node").alias("dst"), "end")
     short = cut_lineage(outer.join(to, "dst", "left").select("src", F.coalesce("end", "dst").alias("dst")).distinct())
@@ -256,9 +263,11 @@ def cycle_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     grow with the branchings on the way, not with the length of chains.
     """
     distinct = cut_lineage(edges.select("src", "dst").distinct())
-    component = cut_lineage(strong_components(distinct))
-    loops = distinct.where("src = dst").select(F.col("src").alias("node")).join(component, "node", "left_anti")
-    component = cut_lineage(component.unionByName(loops.select("node", F.col("node").alias("component"))))
+    component = cut_lineage(_components(distinct.where("src <> dst")))
+    loops = distinct.where("src = dst").select(F.col("src").alias("node"))
+    if not loops.isEmpty():
+        loops = loops.join(component, "node", "left_anti")
+        component = cut_lineage(component.unionByName(loops.select("node", F.col("node").alias("component"))))
     of_source = component.select(F.col("node").alias("src"), F.col("component").alias("_from"))
     of_target = component.select(F.col("node").alias("dst"), F.col("component").alias("_to"))
     ends = cut_lineage(distinct.join(of_source, "src", "left").join(of_target, "dst", "left"))

@@ -10,7 +10,7 @@ from weftline.operators import blank_nodes, evaluate, filters, graph, search
 from weftline.plans.conforming import SQL_TREE
 from weftline.plans.registry import register
 from weftline.plans.tables import SQL_EDGES, Tables, with_tables
-from weftline.session import scratch_path, spread
+from weftline.session import cut_lineage, scratch_path, spread
 from weftline.sources import digests, triples
 from weftline.sources.triples import RDFS_LABEL, XSD, XSD_STRING
 
@@ -284,7 +284,8 @@ def j01_full(t: Tables) -> DataFrame:
   CASE WHEN max(distance) > 3 THEN 'PREREQUISITE_DEPTH_EXCEEDED' ELSE '-' END AS reason FROM r GROUP BY seed""",
 )
 def j02(t: Tables) -> DataFrame:
-    links = t.prerequisite_edges()
+    # Read as edges and, twice, for the seeds.
+    links = cut_lineage(t.prerequisite_edges())
     seeds = links.select(F.col("src").alias("seed")).distinct()
     status = reach.traversal_status(seeds, reach.closure(links, seeds, 3))
     return status.withColumn("reason", F.coalesce("reason", F.lit("-")))
@@ -348,7 +349,7 @@ _SQL_RING = """WITH RECURSIVE lines AS (SELECT DISTINCT l_orderkey AS o, l_linen
 JOIN edges e ON e.src = s.node WHERE EXISTS (SELECT 1 FROM r b WHERE b.seed = e.dst AND b.node = e.src) OR e.src = e.dst""",
 )
 def j03(t: Tables) -> DataFrame:
-    ring = ring_edges(t)
+    ring = cut_lineage(ring_edges(t))
     return reach.cycle_edges(ring, ring.select(F.col("src").alias("seed")).distinct())
 
 
