@@ -222,3 +222,20 @@ def test_running_totals_over_ranges(spark):
         assert r["before"] == total
         total += r["n"]
     assert tables.running_totals(rows.limit(0), ["k"], "n", "before").count() == 0
+
+
+@pytest.mark.parametrize("task_rows", [100, 1000])
+def test_lines_are_written_in_ranges_by_their_number(spark, monkeypatch, tmp_path, task_rows):
+    """One task holds and sorts only about TASK_ROWS lines, however little room they take packed; equal lines come once."""
+    from weftline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", task_rows)
+    subjects = [f"s{n:03}" for n in range(250)] * 2
+    schema = "graph string, s string, p string, o string, o_kind string, datatype string, lang string"
+    data = spark.createDataFrame([("data", s, "p", "same", "literal", triples.XSD_STRING, None) for s in subjects], schema)
+    path = tmp_path / "out"
+    triples.write_ntriples(data, str(path), len(subjects))
+    parts = [part.read_text().splitlines() for part in sorted(path.glob("part-*"))]
+    assert sum(parts, []) == sorted({f'<{s}> <p> "same" .' for s in subjects})
+    if task_rows == 100:
+        assert len(parts) == 5 and max(map(len, parts)) <= 100

@@ -113,7 +113,7 @@ _SQL_LINE = """'<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '
 @register("a03_read_ntriples", with_tables(SQL_PART_T) + "SELECT DISTINCT * FROM part_t")
 def a03(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "triples")
-    triples.write_ntriples(part_triples(t), path)
+    triples.write_ntriples(part_triples(t), path, PART_TRIPLES * t.rows("part"))
     return _plain(triples.read_ntriples(t.spark, path, "data"))
 
 
@@ -177,7 +177,7 @@ def a08(t: Tables) -> DataFrame:
 @register("a12_write_ntriples", with_tables(SQL_PART_T) + f"SELECT DISTINCT {_SQL_LINE} AS value FROM part_t ORDER BY value")
 def a12(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "lines")
-    triples.write_ntriples(part_triples(t), path)
+    triples.write_ntriples(part_triples(t), path, PART_TRIPLES * t.rows("part"))
     return t.spark.read.text(path)
 
 

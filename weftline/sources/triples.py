@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.schemas import TRIPLE_COLUMNS
-from weftline.session import literal_rows, spread
+from weftline.session import literal_rows, ranged, spread
 
 # Standard vocabulary.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -91,9 +91,12 @@ def ntriples_line() -> Column:
     return F.concat(subject, F.lit(" <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
 
 
-def write_ntriples(triples: DataFrame, path: str) -> None:
-    """Write the graph as sorted N-Triples text, one file per sort range."""
-    triples.select(ntriples_line().alias("value")).distinct().sort("value").write.text(path)
+def write_ntriples(triples: DataFrame, path: str, rows: int = 0) -> None:
+    """Write the graph as sorted N-Triples text, one file per sort range.
+
+    With the most triples there may be, the number of ranges follows it and equal lines meet in theirs.
+    """
+    ranged(triples.select(ntriples_line().alias("value")), rows, "value").write.text(path)
 
 
 def to_triples(
