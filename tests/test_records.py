@@ -43,6 +43,22 @@ def test_ledger(spark, rows):
         ledger.provenance_lookup(spark.createDataFrame(altered, schema), head, "q1")
 
 
+def test_tasks_of_a_ledger_follow_its_rows(spark, rows, monkeypatch):
+    """Rows meet at their places in tasks whose number follows the rows, however little room they take packed."""
+    from weftline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    chain, schema, head = _chain(spark, 250)
+    damaged = [*chain[:99], chain[99][:2] + (chain[99][2] + " ",) + chain[99][3:], *chain[100:], chain[249]]
+    book = spark.createDataFrame(damaged, schema)
+    found = ledger.ledger_violations(book, head, rows=len(damaged))
+    assert rows(found, "sequence", "violation") == [(100, "ROW_HASH"), (250, "SEQUENCE_REPEATED"), (None, "CHECKPOINT_SEQUENCE")]
+    assert rows(found) == rows(ledger.ledger_violations(book, head))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in plan if "hashpartitioning(chain_id" in line and ", sequence" in line]
+    assert moved and all(", 3), REPARTITION_BY_NUM" in line for line in moved)
+
+
 def test_tree_digest_moves_leaves_twice(spark):
     """Once to make them distinct, once by their first levels; the levels below move nothing."""
     lines = spark.range(1000).selectExpr("id % 700 AS n").selectExpr("cast(n AS string) AS line")

@@ -254,6 +254,11 @@ def _honest_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
 _LEDGER = ["chain_id", "query_id", "document", "signature", "sequence", "previous_hash", "row_hash"]
 
 
+def _ledger_rows(t: Tables) -> int:
+    """Two records of every order."""
+    return 2 * t.rows("orders")
+
+
 def order_ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A chain of two records per order, honestly hashed, then damaged by status and priority."""
     first, second = _honest_ledger(t)
@@ -271,7 +276,7 @@ _SQL_LEDGER = """v AS (SELECT CAST(o_orderkey AS VARCHAR) AS chain_id, CAST(2 AS
 
 @register("n02_ledger_verification", with_tables(_SQL_LEDGER) + "SELECT chain_id, sequence, violation FROM v")
 def n02(t: Tables) -> DataFrame:
-    found = ledger.ledger_violations(*order_ledger(t))
+    found = ledger.ledger_violations(*order_ledger(t), rows=_ledger_rows(t))
     return found.withColumn("sequence", F.coalesce(F.col("sequence").cast("string"), F.lit("-")))
 
 
@@ -281,7 +286,7 @@ def n02(t: Tables) -> DataFrame:
 WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT chain_id FROM v)""",
 )
 def n03(t: Tables) -> DataFrame:
-    return ledger.trusted_records(*order_ledger(t)).select("chain_id", "query_id")
+    return ledger.trusted_records(*order_ledger(t), _ledger_rows(t)).select("chain_id", "query_id")
 
 
 @register(
@@ -293,4 +298,4 @@ def n03_lookup(t: Tables) -> DataFrame:
     first, second = _honest_ledger(t)
     whole = first.select(*_LEDGER).unionByName(second.select(*_LEDGER))
     marks = second.select("chain_id", F.lit(2).cast("bigint").alias("sequence"), "row_hash")
-    return ledger.provenance_lookup(whole, marks, "7-close").select("chain_id", "query_id", "signature")
+    return ledger.provenance_lookup(whole, marks, "7-close", _ledger_rows(t)).select("chain_id", "query_id", "signature")
