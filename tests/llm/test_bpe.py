@@ -59,3 +59,28 @@ def test_column(spark, odd, reference):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert odd.limit(0).select(bpe.coded(odd, F.col("text"), PATH, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_frequent_pre_tokens_are_encoded_once(codec, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 60)
+    monkeypatch.setattr(codec, "kept", {})
+    asked, encode = [], codec.processor.encode
+    monkeypatch.setattr(codec.processor, "encode", lambda texts, **more: asked.extend(texts) or encode(texts, **more))
+    for part in range(12):
+        text = "".join(f" often{chr(97 + i)}zq" for i in range(10)) + "".join(f" rare{chr(97 + part)}{chr(97 + i)}zq" for i in range(20))
+        assert codec.encode(text) == reference.encode_ordinary(text)
+        assert len(codec.kept) <= 60
+    assert len(asked) == len(set(asked)) == 10 + 12 * 20
+
+
+def test_ids_leave_a_worker_in_pieces(spark, reference):
+    texts = ["", None, "Hello world " * 30_000, "it's", "x y\n" * bpe.IDS_AT_ONCE, "a b c"] * 4
+    assert [len(g) for g in bpe._groups([t or "" for t in texts])] == [10, 10, 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1)
+    made = docs.select("n", bpe.coded(docs, F.col("text"), PATH, public_tokenizers.PATTERN).alias("c")).collect()
+    assert [r["n"] for r in made] == list(range(len(texts)))
+    for r in made[:6] + made[-6:]:
+        ids = reference.encode_ordinary(texts[r["n"]] or "")
+        assert r["c"]["ids"] == ids and r["c"]["n_tokens"] == len(ids)
+        assert r["c"]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["c"]["decoded_sha256"] == hashlib.sha256((texts[r["n"]] or "").encode()).hexdigest()
