@@ -115,6 +115,38 @@ def test_parities_rule_out_no_similar_pair(spark):
     assert not any(may for rate, many, may in rates if rate < 0.7 and many >= 300)
 
 
+def test_pairs_below_the_similarity_are_no_rows(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = rng.choices(vocabulary, k=200)
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(200), 5 if i < 148 else 0):
+            copy[at] = rng.choice(vocabulary)
+        hashes = near_texts.hashes_of(" ".join(copy + [f"e{i}"]), 5)
+        held = np.unique(hashes)
+        prints = np.array([near_texts.fingerprint_of(hashes), near_texts.sign_of(held)], dtype=np.uint64).view(np.int64)
+        rows.append((int(prints[0]), i, len(held), i, int(prints[1]), held.view(np.int64).tolist()))
+    table = spark.createDataFrame(rows, "fp long, node long, size int, class long, sign long, held array<long>")
+    nodes = table.withColumn("odd", near_texts.parities(F.col("held"), F.col("size"))).drop("held")
+    near = {
+        (a, b) for a in range(150) for b in range(a)
+        if 9 * len({*rows[a][5]} & {*rows[b][5]}) >= 4 * (len(rows[a][5]) + len(rows[b][5]))
+    }
+    every = {tuple(r) for r in near_texts.candidates(nodes.drop("odd"), 14, 5, every=True).collect()}
+    found = {tuple(r) for r in near_texts.candidates(nodes, 14, 5, every=True).collect()}
+    assert len(every) > 2000 > 1000 > len(found)
+    assert every & near <= found <= every
+    for shard_rows in (4096, 20):
+        few = {r["node"] for r in near_texts.paired(nodes.drop("odd"), 14, 5, shard_rows).collect()}
+        assert few == {x for pair in every for x in pair}
+    sizes = np.array([r[2] for r in rows])
+    odd = np.array([bytes(r["odd"]) for r in nodes.orderBy("node").collect()], dtype=object)
+    a, b = np.array(sorted(near)).T
+    assert near_texts._may_share(odd, sizes, a, b).all()
+
+
 def test_odd_rows(spark, odd):
     kept = near_texts.representatives(odd)
     assert kept.columns == odd.columns
