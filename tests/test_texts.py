@@ -182,6 +182,26 @@ def test_requests_that_share_a_key_are_diagnosed_one_by_one(spark):
     assert sorted(map(repr, near.select(columns).collect())) == sorted(map(repr, far.select(columns).collect()))
 
 
+def test_only_words_that_a_large_lexicon_may_have_are_rows(spark):
+    """The kinds that fit are compiled, components are joined: a row for a text, not one for each of its tokens."""
+    entries = grounding.lexicon(
+        spark, alerts=["TIME_OUT"], components=[f"S-{n}" for n in range(500)] + ["note"], versions=[("S/4HANA 2023", "S4_2023"), ("S-7 2021", "ODD")],
+    )
+    said = [f"Find notes for alert TIME_OUT in component s-{n} on S/4HANA 2023 priority high" for n in range(300)]
+    said += ["what is required", "", None, "component S-1 and component s-2 on S-7 2021", "component S-1 and component s-2 on S-7 2021", "s-4 note"]
+    frame = spark.createDataFrame([(n % 305, t) for n, t in enumerate(said)], "doc_id int, text string")
+    words, rest = grounding.split_lexicon(entries, 4000)
+    assert 490 <= rest.count() <= 501 and rest.where("surface = 'time_out' OR surface = 'note'").count() == 0
+    dealt = grounding.with_known(frame, words, rest, "doc_id", "text")
+    assert dealt.where("_at = 0").count() == len(said) and dealt.count() <= len(said) + 10
+    for find in (grounding.diagnose, grounding.entity_slots):
+        whole, parted = (find(frame, entries, most_bytes=b) for b in (1 << 20, 4000))
+        columns = sorted(whole.columns)
+        assert sorted(map(repr, whole.select(columns).collect())) == sorted(map(repr, parted.select(columns).collect()))
+    plan = grounding.entity_slots(frame, entries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_COL" in plan
+
+
 def test_case_folds_of_every_code_point(spark):
     points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["|".join(points[i : i + 512]) for i in range(0, len(points), 512)] + ["ΑΣ ΣΑΣ", "STRASSE", "", "\x00A"]

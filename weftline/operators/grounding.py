@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from weftline.functions.numbers import count_threshold, money_threshold, support_package
 from weftline.functions.text import boundary_tokens, fold_case, normalize_term, plural_variants
 from weftline.operators.lexicon import COMPILED_BYTES, Compiled, bit_filter, compile_entries, has
-from weftline.session import cut_lineage, literal_rows
+from weftline.session import cut_lineage, literal_rows, written
 
 _WORD = r"[\p{L}\p{N}_]+"
 _NO_WORD = r"[^\p{L}\p{N}_]+"
+#: Bits of the filter of a lexicon that is not compiled: a literal of 512 KB.
+REST_BITS = 1 << 22
+
 
 def vocabulary(concepts: DataFrame, local_values: DataFrame | None = None) -> DataFrame:
     """(concept_id, term, ordinal): the terms that name a concept, in the order they are tried.
@@ -267,8 +270,12 @@ def _grammar_marks() -> dict[str, int]:
     return marks
 
 
-def compiled_lexicon(entries: DataFrame, most_bytes: int = COMPILED_BYTES) -> Compiled | None:
-    """Lexicon and grammar words with their marks and slot values; a two-word label is an entry of its own."""
+def split_lexicon(entries: DataFrame, most_bytes: int = COMPILED_BYTES) -> tuple[Compiled, DataFrame | None]:
+    """Grammar words and entries as a compiled lexicon of about ``most_bytes`` at most, and the entries beyond that as a table.
+
+    Entries have a mark and slot values for each surface; a two-word label is an entry of its own. Kinds of entries are compiled
+    whole, the smallest kinds first, so that what is left are the kinds that grow; a grammar word is always compiled.
+    """
     surfaces = _by_surface(entries)
     slots = F.array_compact(F.array(*[
         F.when(F.col(f).isNotNull(), _slot("product_version" if f == "product_label" else f, F.col(f)))
@@ -279,12 +286,95 @@ def compiled_lexicon(entries: DataFrame, most_bytes: int = COMPILED_BYTES) -> Co
     opened = surfaces.where("product_label IS NOT NULL").select(F.split_part("surface", F.lit(" "), F.lit(1)).alias("surface")).distinct()
     nothing = F.array().cast("array<struct<family:string,value:string>>")
     rows = own.unionByName(opened.select("surface", F.lit(_OPENS_LABEL).alias("mark"), nothing.alias("slots")))
-    merged = rows.groupBy("surface").agg(F.bit_or("mark").alias("mark"), F.flatten(F.collect_list("slots")).alias("slots"))
-    return compile_entries(cut_lineage(merged), _grammar_marks(), most_bytes)
+    merged = written(
+        rows.groupBy("surface").agg(F.bit_or("mark").alias("mark"), F.flatten(F.collect_list("slots")).alias("slots")), "lexicon"
+    )
+    grammar = _grammar_marks()
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    sizes = sorted((r["size"], r["mark"]) for r in merged.groupBy("mark").agg(size.alias("size")).collect())
+    if sum(n for n, _ in sizes) <= most_bytes:
+        return compile_entries(merged, grammar, most_bytes), None
+    kinds, room = [], most_bytes
+    for n, kind in sizes:
+        room -= n
+        if room >= 0:
+            kinds.append(kind)
+    small = F.col("mark").isin(kinds) | F.col("surface").isin(*grammar)
+    few = merged.where(small)
+    return compile_entries(few, grammar, few.agg(size).first()[0] or 0), merged.where(~small)
+
+
+class Known:
+    """A compiled lexicon, and the entries of a larger one that stand beside the tokens of a row."""
+
+    def __init__(self, words: Compiled) -> None:
+        self.words = words
 
+    def _entry(self, word: Column) -> Column:
+        return F.get(F.filter("_known", lambda k: k["surface"] == word), F.lit(0))
 
-def marked_tokens(texts: DataFrame, words: Compiled, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, _t, _m): each text's tokens and their marks, in two arrays."""
+    def mark(self, word: Column) -> Column:
+        return self.words.mark(word).bitwiseOR(F.coalesce(self._entry(word)["mark"], F.lit(0)))
+
+    def values(self, word: Column) -> Column:
+        return F.coalesce(self.words.values(word), self._entry(word)["slots"])
+
+
+def with_known(texts: DataFrame, words: Compiled, rest: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _t, _asks, _at, _known): tokens with the entry of a word that the table ``rest`` may have, a row for each such word.
+
+    Words that are compiled or that a bit filter rules out ask nothing, so few do; a text has one row at least.
+    """
+    may_be = bit_filter(rest.select("surface"), REST_BITS)
+    asks = lambda word: words.at(word).isNull() & may_be(word)
+    none = F.array().cast("array<string>")
+    asked = F.filter("_t", asks)
+    if rest.where(F.contains("surface", F.lit(" "))).limit(1).count():
+        pairs = F.transform("_t", lambda t, i: F.concat(t, F.lit(" "), F.get("_t", i + 1)))
+        asked = F.concat(asked, F.filter(pairs, lambda t: t.isNotNull() & asks(t)))
+    listed = texts.select(key, boundary_tokens(F.col(text)).alias("_t"))
+    listed = listed.select(key, "_t", F.coalesce(F.array_distinct(asked), none).alias("_words"))
+    dealt = listed.select(key, "_t", F.size("_words").alias("_asks"), F.posexplode_outer("_words").alias("_at", "_word"))
+    # A text that asks nothing meets nothing; it is dealt by its tokens.
+    dealt = dealt.withColumns({
+        "_some": F.col("_word").isNotNull(), "_word": F.coalesce("_word", F.xxhash64("_t").cast("string")),
+    })
+    entry = rest.select(F.lit(True).alias("_some"), F.col("surface").alias("_word"), F.struct("surface", "mark", "slots").alias("_entry"))
+    met = dealt.join(entry, ["_some", "_word"], "left")
+    known = F.array_compact(F.array("_entry"))
+    return met.select(key, "_t", "_asks", F.coalesce("_at", F.lit(0)).alias("_at"), known.alias("_known"))
+
+
+def _each_text(
+    texts: DataFrame, words: Compiled, rest: DataFrame, key: str, text: str, made: Callable[[DataFrame, Known, Sequence[str]], DataFrame]
+) -> DataFrame:
+    """(key, *what ``made`` adds): a row for each text, from its tokens and all entries they have.
+
+    A text that asks for one word at most is finished where it is. The rows of the others are written, as are the results, and
+    meet by key and tokens; equal ones are counted and given out again.
+    """
+    held = ["_t", "_asks", "_at", "_known"]
+    first = made(with_known(texts, words, rest, key, text), Known(words), held)
+    results = [c for c in first.columns if c not in (key, *held)]
+    one = F.col("_asks") <= 1
+    rows = written(first.select(
+        key, "_asks", "_at", *[F.when(one, F.col(c)).alias(c) for c in results], *[F.when(~one, F.col(c)).alias(c) for c in ("_t", "_known")]
+    ), "looked")
+    several = rows.where("_asks > 1").groupBy(key, "_t").agg(
+        F.count_if(F.col("_at") == 0).alias("_copies"), F.flatten(F.collect_list("_known")).alias("_known")
+    )
+    again = made(several.withColumn("_known", F.array_distinct("_known")), Known(words), ["_copies"])
+    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.where("_asks <= 1").select(key, *results).unionByName(again.select(key, *results))
+
+
+def listed_tokens(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, _t): each text's tokens in an array."""
+    return texts.select(key, boundary_tokens(F.col(text)).alias("_t"))
+
+
+def marked_tokens(listed: DataFrame, words: Compiled | Known, *kept: str) -> DataFrame:
+    """Kept columns, tokens _t and their marks _m in two arrays."""
 
     def mark(token: Column) -> Column:
         package = F.when(support_package(token).isNotNull(), _SP_WORD | _PACKAGE).otherwise(_SP_WORD)
@@ -294,8 +384,8 @@ def marked_tokens(texts: DataFrame, words: Compiled, key: str = "doc_id", text:
             .bitwiseOR(F.when((F.length(token) == 7) & _is_note(token), _NOTE).otherwise(0))
         )
 
-    listed = texts.select(key, boundary_tokens(F.col(text)).alias("_t"))
-    return listed.select(key, "_t", F.transform("_t", mark).alias("_m"))
+    carried = [c for c in ("_known",) if c in listed.columns and c not in kept]
+    return listed.select(*kept, *(c for c in ("_t",) if c not in kept), *carried, F.transform("_t", mark).alias("_m"))
 
 
 def _places(wanted) -> Column:
@@ -304,7 +394,7 @@ def _places(wanted) -> Column:
     return F.array_compact(every)
 
 
-def _label(words: Compiled, i: Column) -> Column:
+def _label(words: Compiled | Known, i: Column) -> Column:
     """Entries of the two-word label at a place, null where there is none."""
     return F.when(has(F.get("_m", i), _OPENS_LABEL), words.values(F.concat(F.get("_t", i), F.lit(" "), F.get("_t", i + 1))))
 
@@ -312,27 +402,26 @@ def _label(words: Compiled, i: Column) -> Column:
 _SLOT_BITS = (_ALERT, _COMPONENT, _SOFTWARE, _VERSION, _OPENS_LABEL, _SAYS_PRIORITY, _PACKAGE, _NOTE)
 
 
-def _opened(marked: DataFrame, words: Compiled, key: str) -> DataFrame:
-    """(key, pos, _found): the slot values that tokens open, a row for each token that opens one."""
-    at = F.transform(_places(lambda m: has(m, *_SLOT_BITS)), lambda i: F.struct(
-        (i + 1).alias("pos"), F.get("_t", i).alias("token"), F.get("_m", i).alias("mark"), F.get("_t", i + 1).alias("a1"), F.get("_t", i + 2).alias("a2"),
-    ))
-    token, mark = F.col("token"), F.col("mark")
+def _opened(listed: DataFrame, words: Compiled | Known, key: str, kept: Sequence[str] = ()) -> DataFrame:
+    """(key, kept columns, _slots): the slot values that a text's tokens open, each with the first token that opens it."""
     none = F.array().cast("array<struct<family:string,value:string>>")
-    lexical = has(mark, _ALERT, _COMPONENT, _SOFTWARE, _VERSION)
-    label = F.when(has(mark, _OPENS_LABEL) & ~has(mark, _VERSION), F.filter(
-        words.values(F.concat(token, F.lit(" "), "a1")), lambda s: s["family"] == "product_version"
-    ))
-    ahead = _priority(F.col("a1"), F.col("a2"))
-    pattern = (
-        F.when(has(mark, _PACKAGE), F.array(_slot("support_package", support_package(token).cast("string"))))
-        .when(has(mark, _NOTE), F.array(_slot("note_number", token)))
-        .when(has(mark, _SAYS_PRIORITY) & ahead.isNotNull(), F.array(_slot("priority", ahead)))
-    )
-    slots = F.concat(
-        F.when(lexical, words.values(token)).otherwise(none), F.coalesce(label, none), F.coalesce(pattern, none)
-    )
-    return marked.select(key, F.inline(at)).select(key, "pos", F.inline(slots))
+
+    def slots_at(i: Column) -> Column:
+        token, mark = F.get("_t", i), F.get("_m", i)
+        label = F.when(~has(mark, _VERSION), F.filter(_label(words, i), lambda s: s["family"] == "product_version"))
+        ahead = _priority(F.get("_t", i + 1), F.get("_t", i + 2))
+        pattern = (
+            F.when(has(mark, _PACKAGE), F.array(_slot("support_package", support_package(token).cast("string"))))
+            .when(has(mark, _NOTE), F.array(_slot("note_number", token)))
+            .when(has(mark, _SAYS_PRIORITY) & ahead.isNotNull(), F.array(_slot("priority", ahead)))
+        )
+        lexical = F.when(has(mark, _ALERT, _COMPONENT, _SOFTWARE, _VERSION), words.values(token))
+        every = F.concat(F.coalesce(lexical, none), F.coalesce(label, none), F.coalesce(pattern, none))
+        return F.transform(every, lambda s: F.struct(s["family"].alias("family"), s["value"].alias("value"), (i + 1).alias("pos")))
+
+    marked = marked_tokens(listed, words, key, *kept)
+    opening = _places(lambda m: has(m, *_SLOT_BITS))
+    return marked.select(key, *kept, F.flatten(F.transform(opening, slots_at)).alias("_slots"))
 
 
 def entity_slots(
@@ -340,48 +429,23 @@ def entity_slots(
 ) -> DataFrame:
     """(key, family, value, first_pos): distinct slot values per text, at the first token that opens them.
 
-    The lexicon is measured and compiled, and looked up within the row; tokens without an entry are never rows. A
-    lexicon above ``most_bytes`` is joined to the tokens instead.
+    The lexicon is measured and looked up within the row, what exceeds ``most_bytes`` by an equal join on the few words it may
+    have. A text moves once, as one row, to the others of its key.
     """
-    words = compiled_lexicon(entries, most_bytes)
-    if words is None:
-        return extract_slots(request_tokens(texts, entries, key, text), key)
-    opened = _opened(marked_tokens(texts, words, key, text), words, key)
-    return opened.groupBy(key, "family", "value").agg(F.min("pos").alias("first_pos"))
+    words, rest = split_lexicon(entries, most_bytes)
+    if rest is None:
+        opened = _opened(listed_tokens(texts, key, text), words, key)
+    else:
+        opened = _each_text(texts, words, rest, key, text, lambda rows, known, kept: _opened(rows, known, key, kept))
+    # A filter on the slots would be moved down and find them twice.
+    found = opened.repartition(key).select(key, F.inline_outer("_slots")).where("family IS NOT NULL")
+    return found.groupBy(key, "family", "value").agg(F.min("pos").alias("first_pos"))
 
 
-class _Joined:
-    """What is known of a token and its neighbours after the joins."""
+class _Token:
+    """What is known of the token at a place of the marked arrays, and of its neighbours."""
 
-    def __init__(self) -> None:
-        self.token, self.after, self.after2 = F.col("token"), F.col("a1"), F.col("a2")
-        before, before2 = F.col("b1"), F.col("b2")
-        sure = lambda c: F.coalesce(c, F.lit(False))
-        self.package = F.startswith(self.token, F.lit("sp"))
-        self.bad_package = self.package & support_package(self.token).isNull()
-        self.entity = (
-            F.col("t_alert_code").isNotNull() | F.col("t_component_code").isNotNull()
-            | F.col("t_software_component").isNotNull() | F.col("t_product_version").isNotNull()
-            | _is_note(self.token) | self.package
-        )
-        self.label_ahead = F.col("l_product_label").isNotNull()
-        self.label_behind = F.col("k_product_label").isNotNull()
-        self.cue = F.col("t_product_cue").isNotNull()
-        self.says_priority, self.says_alert = self.token == "priority", self.token == "alert"
-        self.says_component, self.says_note = self.token == "component", self.token == "note"
-        self.alert_ahead, self.component_ahead = F.col("n_alert_code").isNotNull(), F.col("n_component_code").isNotNull()
-        self.note_ahead = sure(self.after.isin(*FILLERS)) | sure(_is_note(self.after))
-        self.filler = self.token.isin(*FILLERS)
-        self.introduced = sure(before.isin("priority", "alert", "component")) | F.col("_after_cue")
-        self.very_high = sure((before2 == "priority") & (before == "very"))
-        self.after_note = sure(before == "note")
-        self.grammar = self.filler | self.token.isin(*LOOKUP_VERBS) | self.token.isin(*QUESTION_WORDS)
-
-
-class _Compiled:
-    """The same for the token at a place of the marked arrays."""
-
-    def __init__(self, words: Compiled, i: Column) -> None:
+    def __init__(self, words: Compiled | Known, i: Column) -> None:
         mark = lambda k: F.coalesce(F.get("_m", i + k), F.lit(0))
         own, before = mark(0), mark(-1)
         self.after, self.after2 = F.get("_t", i + 1), F.get("_t", i + 2)
@@ -401,7 +465,7 @@ class _Compiled:
         self.grammar = has(own, _FILLER, _LOOKUP, _QUESTION)
 
 
-def _unknown_value(t: _Joined | _Compiled) -> Column:
+def _unknown_value(t: _Token) -> Column:
     """A cue or slot word whose value is not known."""
     return (
         (t.cue & ~t.label_ahead)
@@ -413,7 +477,7 @@ def _unknown_value(t: _Joined | _Compiled) -> Column:
     )
 
 
-def _unknown_token(t: _Joined | _Compiled) -> Column:
+def _unknown_token(t: _Token) -> Column:
     """Neither grammar nor part of a slot."""
     consumed = (
         t.entity | t.cue | t.says_priority | t.says_alert | t.says_component | t.introduced | t.very_high
@@ -428,10 +492,14 @@ def diagnose(
     """Per text: token flags, slot counts, the first failure that applies and the intent.
 
     Rows that share a ``key`` are texts of their own. With a compiled lexicon everything is found within the text's row and
-    nothing is shuffled. A lexicon above ``most_bytes`` is joined to tokens; texts of one key are then told apart by 128 bits.
+    nothing is shuffled. What exceeds ``most_bytes`` meets the words it may have by an equal join; texts that ask for several are
+    put together by key and tokens.
     """
-    words = compiled_lexicon(entries, most_bytes)
-    filled = _filled_by_join(texts, entries, key, text) if words is None else _filled_in_row(texts, words, key, text)
+    words, rest = split_lexicon(entries, most_bytes)
+    if rest is None:
+        filled = _filled(listed_tokens(texts, key, text), words, key)
+    else:
+        filled = _each_text(texts, words, rest, key, text, lambda rows, known, kept: _filled(rows, known, key, kept))
     failure = (
         F.when(F.col("unsupported_marker"), "UNSUPPORTED_INTENT")
         .when(F.col("unknown_entity"), "UNKNOWN_ENTITY")
@@ -445,8 +513,8 @@ def diagnose(
     )
 
 
-def _filled_in_row(texts: DataFrame, words: Compiled, key: str, text: str) -> DataFrame:
-    """Flags and slot counts of each text from its marked tokens."""
+def _filled(listed: DataFrame, words: Compiled | Known, key: str, kept: Sequence[str] = ()) -> DataFrame:
+    """Key and kept columns, with flags and slot counts of each text from its marked tokens."""
     none = F.array().cast("array<struct<family:string,value:string>>")
 
     def slots_at(i: Column) -> Column:
@@ -464,70 +532,26 @@ def _filled_in_row(texts: DataFrame, words: Compiled, key: str, text: str) -> Da
     def filled(family: str) -> Column:
         return F.greatest(F.size(F.filter("_slots", lambda s: s["family"] == family)), F.lit(0))
 
-    marked = marked_tokens(texts, words, key, text)
+    marked = marked_tokens(listed, words, key, *kept)
     every = F.coalesce(F.aggregate("_m", F.lit(0), lambda a, m: a.bitwiseOR(m)), F.lit(0))
     odd = _places(lambda m: ~has(m, _FILLER, _LOOKUP, _QUESTION))
     valued = _places(lambda m: has(m, _CUE, _SAYS_PRIORITY, _SAYS_ALERT, _SAYS_COMPONENT, _SAYS_NOTE, _SP_WORD))
     opening = _places(lambda m: has(m, *_SLOT_BITS))
     known = marked.select(
-        key, F.coalesce(F.size("_t"), F.lit(0)).alias("_size"), every.alias("_every"),
-        F.exists(valued, lambda i: _unknown_value(_Compiled(words, i))).alias("_value"),
-        F.exists(odd, lambda i: _unknown_token(_Compiled(words, i))).alias("_token"),
+        key, *kept, F.coalesce(F.size("_t"), F.lit(0)).alias("_size"), every.alias("_every"),
+        F.exists(valued, lambda i: _unknown_value(_Token(words, i))).alias("_value"),
+        F.exists(odd, lambda i: _unknown_token(_Token(words, i))).alias("_token"),
         F.array_distinct(F.flatten(F.transform(opening, slots_at))).alias("_slots"),
     )
     flags = {"unsupported_marker": _UNSUPPORTED, "prerequisite": _PREREQUISITE, "lookup": _LOOKUP, "question": _QUESTION}
     return known.select(
-        key, F.greatest("_size", F.lit(0)).cast("long").alias("tokens"),
+        key, *kept, F.greatest("_size", F.lit(0)).cast("long").alias("tokens"),
         *[has(F.col("_every"), bit).alias(name) for name, bit in flags.items()],
         F.coalesce("_value", F.lit(False)).alias("unknown_entity"), F.coalesce("_token", F.lit(False)).alias("unknown_token"),
         *[filled(f).alias(f) for f in FAMILIES],
     )
 
 
-def _filled_by_join(texts: DataFrame, entries: DataFrame, key: str, text: str) -> DataFrame:
-    """Flags and slot counts of each text, from a row for each token; distinct values are bounded by the text.
-
-    Equal texts of one key are counted and given out again at the end.
-    """
-    place = F.struct(F.col(key).alias("key"), *[F.xxhash64(F.col(text), F.lit(n)).alias(f"digest{n}") for n in (0, 1)])
-    tokens = request_tokens(texts.select(place.alias("_place"), text), entries, "_place", text, keep_empty=True)
-    cues = entries.where(F.col("family") == "product_cue").select(
-        fold_case(F.col("surface")).alias("b1"), F.lit(True).alias("_cue")
-    ).distinct()
-    marked = tokens.join(cues, "b1", "left").withColumn(
-        "_after_cue", F.coalesce("_cue", F.lit(False))
-    )
-    t = _Joined()
-    flags = {
-        "unsupported_marker": t.token.isin(*UNSUPPORTED_MARKERS),
-        "unknown_entity": _unknown_value(t),
-        "unknown_token": _unknown_token(t),
-        "prerequisite": t.token.isin(*PREREQUISITE_MARKERS),
-        "lookup": t.token.isin(*LOOKUP_VERBS),
-        "question": t.token.isin(*QUESTION_WORDS),
-    }
-    values = {
-        "component_code": F.col("t_component_code"),
-        "alert_code": F.col("t_alert_code"),
-        "software_component": F.col("t_software_component"),
-        "product_version": F.coalesce("t_product_version", "l_product_label"),
-        "support_package": support_package(t.token).cast("string"),
-        "note_number": F.when(_is_note(t.token), t.token),
-        "priority": F.when(t.says_priority, _priority(t.after, t.after2)),
-    }
-    # A text has one row at its first place, also if it has no token; a null text has one row without a place.
-    found = marked.groupBy("_place").agg(
-        F.coalesce(F.nullif(F.count_if(F.col("pos") == 1), F.lit(0)), F.count(F.lit(1))).alias("_copies"),
-        F.count("token").alias("_tokens"),
-        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()],
-        *[F.size(F.collect_set(v)).alias(f) for f, v in values.items()],
-    )
-    return found.select(
-        F.col("_place.key").alias(key), F.expr("_tokens div _copies").alias("tokens"), *flags, *values,
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"),
-    ).drop("_copy")
-
-
 # The slots each intent allows.
 _SEARCH_SLOTS = ("alert_code", "component_code", "priority")
 ALLOWED_SLOTS = {
