@@ -59,6 +59,23 @@ def test_tasks_of_a_ledger_follow_its_rows(spark, rows, monkeypatch):
     assert moved and all(", 3), REPARTITION_BY_NUM" in line for line in moved)
 
 
+def test_corpus_ids_meet_in_one_grouping(spark, rows):
+    """Repeated records, repeated expected ids and ids that are null; records are diagnosed once and ids move once."""
+    made = [("a", "a", 1, "SUCCESS", "NONE", "X"), ("a", "b", 2, "UNSUPPORTED", "NONE", "X"), ("a", "a", 2, "SUCCESS", "BAD", "X"),
+            ("b", "b", 1, "SUCCESS", "NONE", "X"), (None, None, 7, "SUCCESS", "NONE", "X"), ("a", "a", None, "SUCCESS", "NONE", "X")]
+    records = spark.createDataFrame(made, "corpus_id string, record_corpus string, id int, expected_status string, failure string, intent string")
+    records = records.withColumn("reflection_reason", F.lit("BAD"))
+    expected = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 3), (None, 7), ("a", None)], "corpus_id string, id int")
+    found = evaluate.corpus_violations(records, expected)
+    assert rows(found) == sorted([
+        ("a", 2, "DUPLICATE_ID"), ("a", 3, "MISSING_ID"), ("b", 1, "UNEXPECTED_ID"), ("a", 2, "CORPUS_MISMATCH"),
+        ("a", 2, "UNSUPPORTED_CONTRACT"), ("a", 2, "NOT_GROUNDED"), (None, 7, "UNEXPECTED_ID"), (None, 7, "MISSING_ID"),
+        ("a", None, "UNEXPECTED_ID"), ("a", None, "MISSING_ID"),
+    ], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
 def test_tree_digest_moves_leaves_twice(spark):
     """Once to make them distinct, once by their first levels; the levels below move nothing."""
     lines = spark.range(1000).selectExpr("id % 700 AS n").selectExpr("cast(n AS string) AS line")

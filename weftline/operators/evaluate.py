@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.numbers import ratio6
+from weftline.session import written
 
 # The closed set of statuses.
 STATUSES = ("SUCCESS", "EMPTY_RESULT", "SYNTAX_ERROR", "EXECUTION_ERROR", "UNSUPPORTED")
@@ -283,18 +284,9 @@ def corpus_violations(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Broken corpus records, as rows (corpus_id, id, violation).
 
     records: corpus_id (where filed), record_corpus, id, expected_status, reflection_reason,
-    failure and intent (from diagnose); expected: corpus_id, id.
+    failure and intent (from diagnose); expected: corpus_id, id. What breaks a record is written once; records and expected ids
+    meet in one grouping, in which an id or corpus that is null meets nothing.
     """
-    counted = records.groupBy("corpus_id", "id").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = expected.select("corpus_id", "id", F.lit(True).alias("_wanted")).distinct()
-    presence = counted.join(wanted, ["corpus_id", "id"], "full_outer")
-    presence_checks = F.array_compact(
-        F.array(
-            F.when(F.col("_wanted").isNull(), "UNEXPECTED_ID"),
-            F.when(F.col("_n").isNull(), "MISSING_ID"),
-            F.when(F.col("_n") > 1, "DUPLICATE_ID"),
-        )
-    )
     supported = (F.col("failure") == "NONE") & (F.col("intent") != "UNSUPPORTED")
     declared = F.col("expected_status")
     answered = declared.isin("SUCCESS", "EMPTY_RESULT")
@@ -306,8 +298,24 @@ def corpus_violations(records: DataFrame, expected: DataFrame) -> DataFrame:
             F.when((declared == "UNSUPPORTED") & changed, "UNSUPPORTED_CONTRACT"),
         )
     )
-    return presence.select("corpus_id", "id", F.explode(presence_checks).alias("violation")).unionByName(
-        records.select("corpus_id", "id", F.explode(record_checks).alias("violation"))
+    checked = written(records.select("corpus_id", "id", record_checks.alias("_checks")), "records")
+    nowhere = F.col("corpus_id").isNull() | F.col("id").isNull()
+
+    def side(rows: DataFrame, is_record: bool) -> DataFrame:
+        return rows.select("corpus_id", "id", F.when(nowhere, F.lit(is_record)).alias("_side"), F.lit(is_record).alias("_record"))
+
+    found = side(checked, True).unionByName(side(expected, False)).groupBy("corpus_id", "id", "_side").agg(
+        F.count_if("_record").alias("_n"), F.bool_or(~F.col("_record")).alias("_wanted")
+    )
+    presence_checks = F.array_compact(
+        F.array(
+            F.when(~F.col("_wanted"), "UNEXPECTED_ID"),
+            F.when(F.col("_n") == 0, "MISSING_ID"),
+            F.when(F.col("_n") > 1, "DUPLICATE_ID"),
+        )
+    )
+    return found.select("corpus_id", "id", F.explode(presence_checks).alias("violation")).unionByName(
+        checked.select("corpus_id", "id", F.explode("_checks").alias("violation"))
     )
 
 
