@@ -460,3 +460,27 @@ def test_tasks_of_a_crosswalk_follow_its_matches(spark, rows, monkeypatch):
     few, many = (shapes.crosswalk(data, "match", "broader", "alt", n) for n in (0, 100))
     assert rows(few) == rows(many) and len(rows(many)) == 100 + sum(i % 7 < 6 for i in range(100))
     assert many.rdd.getNumPartitions() == 10
+
+
+def test_only_requests_that_share_an_identifier_move_to_each_other(spark, rows, monkeypatch):
+    """Counts of shared identifiers, null ones too, are summed; of 1,000 other requests none goes through a window."""
+    kept = {}
+    monkeypatch.setattr(search, "written", lambda df, label: kept.setdefault((label, len(kept)), df.localCheckpoint()))
+    notes = spark.range(3).selectExpr("id AS note", "string(id) AS note_number", "'t' AS title")
+    components = spark.createDataFrame([(0, "A"), (1, "A"), (2, "B")], "note bigint, component_code string")
+    made = [(n, "B") for n in range(10, 1010)] + [(1, "A"), (1, "B"), (2, "C"), (None, "A"), (None, "C")]
+    asked = spark.createDataFrame(made, "request_id int, component_code string")
+    result = search.relax_search(asked, search.NoteGraph(notes=notes, components=components), budget=0)
+    found = result.attempts.where("request_id < 10 OR request_id IS NULL")
+    assert rows(found, "request_id", "bindings") == [(1, 3), (1, 3), (2, 0), (None, 2), (None, 2)]
+    repeated, counted = (next(df for (name, _), df in kept.items() if name == label) for label in ("repeated", "counted"))
+    assert (repeated.count(), counted.where("_again").count(), counted.count()) == (2, 4, 1005)
+
+
+def test_lines_move_once_to_their_order(spark, tmp_path):
+    """The last line's supplier is found where the order's lines meet, without a second pass over the lines."""
+    from weftline.plans.search import order_requests
+    from weftline.plans.tables import Tables
+
+    plan = order_requests(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("hashpartitioning(l_orderkey") == 1

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from weftline.operators.closure import MAX_DEPTH, Closure, closure
 from weftline.operators.graph import zero_or_more_path
-from weftline.session import cut_lineage, written
+from weftline.session import written
 
 # Result size, steps and reasons of a relaxation.
 TOP_NOTES = 25
@@ -85,7 +85,7 @@ def note_search(
     join; the package range is a residual condition. The top notes are cut per search, with a
     partial cut before the shuffle, and only they meet the requests.
     """
-    asked = cut_lineage(_asked(requests))
+    asked = written(_asked(requests), "asked")
     found = _matches(asked, graph, top, ancestors).where("in_bounds")
     return _met(asked, found)
 
@@ -260,7 +260,7 @@ def relax_search(
     the number of bindings. Building the result runs the searches; their matches are written once for each distinct
     search and meet the requests where strict or relaxed is read.
     """
-    requests = cut_lineage(requests)
+    requests = written(requests, "requests")
     rejected = rejected_requests(requests)
     asked = _asked(requests)
     parents = graph.parents
@@ -284,7 +284,7 @@ def relax_search(
         pending = empty.where("_outside = 0").select(*asked.columns)
         if drops:
             pending = pending.withColumn("support_package", F.lit(None).cast(requests.schema["support_package"].dataType))
-        wider = cut_lineage(widen(pending, None if by_code else parents))
+        wider = written(widen(pending, None if by_code else parents), "wider")
         # A widened request still names its component, so it can be searched.
         found, tried = _tried(wider, graph, top, above, False)
         attempts.append(_attempts(tried, "_inside", step, WIDEN_COMPONENT, "component"))
@@ -308,11 +308,15 @@ def _tried(asked: DataFrame, graph: NoteGraph, top: int, above: DataFrame | None
     counts = found.groupBy(*wants).agg(F.sum(inside).alias("_in"), F.sum(1 - inside).alias("_out"))
     counts = written(counts, "counts")
     same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(counts[f"want_{c}"]) for c in _slots(asked)])
-    counted = asked.join(counts, same, "left").select(*asked.columns, "_in", "_out")
+    again = asked.groupBy("request_id").count().where("count > 1").select(F.col("request_id").alias("_id"), F.lit(True).alias("_again"))
+    again = written(again, "repeated")
+    totals = [F.coalesce(n, F.lit(0).cast("bigint")).alias(name) for n, name in (("_in", "_inside"), ("_out", "_outside"))]
+    counted = asked.join(counts, same, "left").select(*asked.columns, *totals)
+    # Only requests that share their identifier move to each other.
+    counted = written(counted.join(again, counted["request_id"].eqNullSafe(again["_id"]), "left").drop("_id"), "counted")
     own = Window.partitionBy("request_id")
-    return found, cut_lineage(counted.select(
-        *asked.columns, *[F.coalesce(F.sum(n).over(own), F.lit(0).cast("bigint")).alias(name) for n, name in (("_in", "_inside"), ("_out", "_outside"))]
-    ))
+    shared = counted.where("_again").withColumns({n: F.sum(n).over(own) for n in ("_inside", "_outside")})
+    return found, counted.where("_again IS NULL").unionByName(shared).drop("_again")
 
 
 def _tagged(found: DataFrame, step: int, reason: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.operators import search
 from weftline.plans.quality import SQL_NUMBER, line_number
 from weftline.plans.registry import register
 from weftline.plans.tables import Tables, with_tables
+from weftline.session import spread
 
 
 def part_notes(t: Tables) -> search.NoteGraph:
@@ -21,6 +23,8 @@ def part_notes(t: Tables) -> search.NoteGraph:
         return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
     suppliers = t.supplier.select(code("S", "s_suppkey").alias("component_code"), code("N", "s_nationkey").alias("parent_code"))
+    # Pairs move once, to their note, where equal ones go and the note's other columns are met.
+    sold = t.lineitem.select(F.col("l_partkey").alias("note"), F.col("l_suppkey").alias("component"))
     nations = t.nation.select(code("N", "n_nationkey").alias("component_code"), code("R", "n_regionkey").alias("parent_code"))
     return search.NoteGraph(
         notes=part.select(
@@ -28,7 +32,7 @@ def part_notes(t: Tables) -> search.NoteGraph:
             low.alias("min_sp"), (low + 3).alias("max_sp"),
         ),
         alerts=part.select(F.col("p_partkey").alias("note"), F.col("p_type").alias("alert_code")),
-        components=t.note_components().select("note", code("S", "component").alias("component_code")),
+        components=spread(sold, t.rows("lineitem"), "note").select("note", code("S", "component").alias("component_code")),
         versions=part.select(F.col("p_partkey").alias("note"), F.col("p_brand").alias("product_version")),
         parents=suppliers.union(nations),
     )
@@ -39,12 +43,14 @@ def order_requests(t: Tables) -> DataFrame:
 
     Lines without a discount name no alert and no component, so no search can start from them.
     """
-    last = t.lineitem.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("supplier"))
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", line_number().alias("request_id"), (F.col("l_discount") > 0).alias("named"))
+    order = Window.partitionBy("l_orderkey")
+    last = F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).over(order)
+    lines = t.lineitem.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line_number().alias("request_id"), (F.col("l_discount") > 0).alias("named")
+    ).withColumn("supplier", last)
     package = F.when(F.col("l_linenumber") > 6, None).when(F.col("supplier") % 2 == 0, 15).otherwise(5)
     return (
-        lines.join(last, "l_orderkey")
-        .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
+        lines.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
         .select(
             "request_id",
             F.when(F.col("named"), F.col("p_type")).alias("alert_code"),
