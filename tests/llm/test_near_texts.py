@@ -54,6 +54,24 @@ def test_against_all_pairs(spark, shard_rows):
     assert 10 * len(kept - expected) <= len(texts) - len(expected)
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 3])
+def test_no_similar_pair_is_missed(spark, shard_rows):
+    """Short texts that differ in a word, whose fingerprints are far apart, behind a passage that many texts share."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(vocabulary, k=9)
+    texts = []
+    for n in range(60):
+        base = rng.choices(vocabulary, k=rng.randrange(8, 40)) + passage * (n % 2)
+        texts += [base, base + [rng.choice(vocabulary)], base[:-1]]
+    texts = [" ".join(words) for words in texts]
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i + 1) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    table = literal_rows(spark, list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_texts.representatives(table, shard_rows=shard_rows).collect()}
+    assert kept == set(reach(near).values()) and len(kept) < 100
+
+
 def test_a_dense_group_gives_few_candidates(spark):
     rng = random.Random(2)
     rows = [(rng.getrandbits(3), i, 100, i) for i in range(600)]
